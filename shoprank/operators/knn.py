@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 # Rows emitted by the tile stage.
 CANDIDATE_SCHEMA = (
     "group_key string, query_id bigint, product_id bigint, text_sim double, image_sim double, "
-    "n_text int, n_image int"
+    "n_text int, n_image int, k int, alpha double"
 )
 _TILE_SCHEMA = (
     "group_key string, tile int, ids array<bigint>, ns array<int>, ns_i array<int>, "
-    "dim_t int, dim_i int, mat_t binary, mat_i binary"
+    "ks array<int>, alphas array<double>, dim_t int, dim_i int, mat_t binary, mat_i binary"
 )
 
 # |BLAS cosine - sequential cosine| is ~1e-15; a 1e-9 slack keeps every true top-n row.
@@ -68,6 +68,8 @@ def _pack_tile(table: pa.Table) -> pa.Table:
     ids = table.column("id").to_numpy()
     ns = table.column("n").to_numpy(zero_copy_only=False).astype(np.int32)
     ns_i = table.column("n_i").to_numpy(zero_copy_only=False).astype(np.int32)
+    ks = table.column("k").to_numpy(zero_copy_only=False).astype(np.int32)
+    alphas = table.column("alpha").to_numpy(zero_copy_only=False).astype(np.float64)
 
     def mat(name: str) -> tuple[int, bytes, np.ndarray]:
         col = table.column(name).combine_chunks()
@@ -90,11 +92,13 @@ def _pack_tile(table: pa.Table) -> pa.Table:
     return pa.Table.from_pydict(
         {
             "group_key": [key], "tile": [tile], "ids": [ids.tolist()], "ns": [ns.tolist()],
-            "ns_i": [ns_i.tolist()], "dim_t": [dt], "dim_i": [di], "mat_t": [mt], "mat_i": [mi],
+            "ns_i": [ns_i.tolist()], "ks": [ks.tolist()], "alphas": [alphas.tolist()],
+            "dim_t": [dt], "dim_i": [di], "mat_t": [mt], "mat_i": [mi],
         },
         schema=pa.schema([
             ("group_key", pa.string()), ("tile", pa.int32()), ("ids", pa.list_(pa.int64())),
-            ("ns", pa.list_(pa.int32())), ("ns_i", pa.list_(pa.int32())), ("dim_t", pa.int32()),
+            ("ns", pa.list_(pa.int32())), ("ns_i", pa.list_(pa.int32())),
+            ("ks", pa.list_(pa.int32())), ("alphas", pa.list_(pa.float64())), ("dim_t", pa.int32()),
             ("dim_i", pa.int32()), ("mat_t", pa.binary()), ("mat_i", pa.binary()),
         ]),
     )
@@ -212,15 +216,71 @@ def _decode(buf, rows: int, dim: int):
     return np.frombuffer(buf, dtype="<f4").reshape(rows, dim).astype(np.float64)
 
 
+class _RunningPools:
+    """Per-partition merge of tile-pair outputs: keeps, per question, only rows that are in
+    its top-n by text or by image among everything seen so far in this partition (exact,
+    since a global top-n row is a top-n row of any subset containing it)."""
+
+    _COLS = ("key", "qid", "pid", "ts", "im", "nt", "ni", "k", "alpha")
+
+    def __init__(self, flush_rows: int = 2_000_000):
+        self.parts: list[dict] = []
+        self.rows = 0
+        self.kept = 0
+        self.flush_rows = flush_rows
+
+    def add(self, **cols):
+        self.parts.append(cols)
+        self.rows += len(cols["qid"])
+        if self.rows - self.kept > self.flush_rows:
+            self._compact()
+
+    def _compact(self):
+        if not self.parts:
+            return
+        cat = {c: np.concatenate([p[c] for p in self.parts]) for c in self._COLS}
+        # rank within question: group rows by (key, qid) via a dense code
+        kc = np.unique(cat["key"], return_inverse=True)[1].astype(np.int64).ravel()
+        code = np.unique(np.stack([kc, cat["qid"]], axis=1), axis=0, return_inverse=True)[1].ravel()
+        keep = _rank_keep(code, cat["pid"], cat["ts"], cat["nt"].astype(np.int64))
+        im = np.where(np.isnan(cat["im"]), -np.inf, cat["im"])
+        keep |= _rank_keep(code, cat["pid"], im, cat["ni"].astype(np.int64))
+        self.parts = [{c: cat[c][keep] for c in self._COLS}]
+        self.rows = self.kept = int(keep.sum())
+
+    def batch(self):
+        self._compact()
+        if not self.parts or self.rows == 0:
+            return None
+        p = self.parts[0]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(p["key"], type=pa.string()),
+                pa.array(p["qid"], type=pa.int64()),
+                pa.array(p["pid"], type=pa.int64()),
+                pa.array(p["ts"], type=pa.float64()),
+                pa.array(p["im"], type=pa.float64(), mask=np.isnan(p["im"])),
+                pa.array(p["nt"].astype(np.int32), type=pa.int32()),
+                pa.array(p["ni"].astype(np.int32), type=pa.int32()),
+                pa.array(p["k"].astype(np.int32), type=pa.int32()),
+                pa.array(p["alpha"], type=pa.float64(), mask=np.isnan(p["alpha"])),
+            ],
+            names=["group_key", "query_id", "product_id", "text_sim", "image_sim", "n_text", "n_image", "k", "alpha"],
+        )
+
+
+def _ints(cell) -> np.ndarray:
+    return np.asarray(cell.values.to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
 def _score_batches(batches):
+    acc = _RunningPools()
     for rb in batches:
         cols = {name: rb.column(i) for i, name in enumerate(rb.schema.names)}
-        keys, qids, cids, tss, iss, nts, nis = [], [], [], [], [], [], []
         for r in range(rb.num_rows):
-            q_ids = np.asarray(cols["q_ids"][r].values.to_numpy(), dtype=np.int64)
-            q_ns = np.asarray(cols["q_ns"][r].values.to_numpy(), dtype=np.int64)
-            q_ns_i = np.asarray(cols["q_ns_i"][r].values.to_numpy(), dtype=np.int64)
-            c_ids = np.asarray(cols["c_ids"][r].values.to_numpy(), dtype=np.int64)
+            q_ids, c_ids = _ints(cols["q_ids"][r]), _ints(cols["c_ids"][r])
+            q_ns, q_ns_i, q_ks = _ints(cols["q_ns"][r]), _ints(cols["q_ns_i"][r]), _ints(cols["q_ks"][r])
+            q_alpha = np.asarray(cols["q_alphas"][r].values.to_numpy(zero_copy_only=False), dtype=np.float64)
             qt = _decode(cols["q_mat_t"][r].as_py(), len(q_ids), cols["q_dim_t"][r].as_py())
             qi = _decode(cols["q_mat_i"][r].as_py(), len(q_ids), cols["q_dim_i"][r].as_py())
             ct = _decode(cols["c_mat_t"][r].as_py(), len(c_ids), cols["c_dim_t"][r].as_py())
@@ -230,34 +290,24 @@ def _score_batches(batches):
             if qt.shape[1] != ct.shape[1] or (qi is not None and ci is not None and qi.shape[1] != ci.shape[1]):
                 raise ValueError("question and corpus vectors differ in dimension")
             a, b, t, i, row = score_tile_pair(q_ids, q_ns, q_ns_i, qt, qi, c_ids, ct, ci)
-            keys.append(np.full(a.size, cols["group_key"][r].as_py(), dtype=object))
-            qids.append(a), cids.append(b), tss.append(t), iss.append(i)
-            nts.append(q_ns[row]), nis.append(q_ns_i[row])
-        if not keys:
-            continue
-        img = np.concatenate(iss)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(keys), type=pa.string()),
-                pa.array(np.concatenate(qids), type=pa.int64()),
-                pa.array(np.concatenate(cids), type=pa.int64()),
-                pa.array(np.concatenate(tss), type=pa.float64()),
-                pa.array(img, type=pa.float64(), mask=np.isnan(img)),
-                pa.array(np.concatenate(nts).astype(np.int32), type=pa.int32()),
-                pa.array(np.concatenate(nis).astype(np.int32), type=pa.int32()),
-            ],
-            names=["group_key", "query_id", "product_id", "text_sim", "image_sim", "n_text", "n_image"],
-        )
+            acc.add(key=np.full(a.size, cols["group_key"][r].as_py(), dtype=object), qid=a, pid=b, ts=t, im=i,
+                    nt=q_ns[row], ni=q_ns_i[row], k=q_ks[row], alpha=q_alpha[row])
+    out = acc.batch()
+    if out is not None:
+        yield out
 
 
-def _tiles(df: DataFrame, id_col: str, n_tiles: int, n_expr, n_i_expr) -> DataFrame:
+def _tiles(df: DataFrame, id_col: str, n_tiles: int) -> DataFrame:
+    def opt(c, t):
+        return (F.col(c) if c in df.columns else F.lit(0)).cast(t).alias(c)
+
     return (
         df.select(
             F.col("group_key"),
             F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_tiles)).cast("int").alias("tile"),
             F.col(id_col).alias("id"),
-            n_expr.cast("int").alias("n"),
-            n_i_expr.cast("int").alias("n_i"),
+            opt("n", "int"), opt("n_i", "int"), opt("k", "int"),
+            (F.col("alpha") if "alpha" in df.columns else F.lit(None)).cast("double").alias("alpha"),
             F.col("vt"),
             F.col("vi"),
         )
@@ -269,39 +319,56 @@ def _tiles(df: DataFrame, id_col: str, n_tiles: int, n_expr, n_i_expr) -> DataFr
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(
         "group_key",
-        *[F.col(c).alias(prefix + c) for c in ("tile", "ids", "ns", "ns_i", "dim_t", "dim_i", "mat_t", "mat_i")],
+        *[F.col(c).alias(prefix + c)
+          for c in ("tile", "ids", "ns", "ns_i", "ks", "alphas", "dim_t", "dim_i", "mat_t", "mat_i")],
     )
 
 
-def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None) -> DataFrame:
-    """Per question, the local top-``n`` rows by text and by image of every corpus tile.
+@dataclass(frozen=True)
+class SideStats:
+    rows: int
+    dim_t: int
+    dim_i: int
+
+    @property
+    def row_bytes(self) -> int:
+        return 24 + 4 * (self.dim_t + self.dim_i)
+
+
+def side_stats(df: DataFrame, vt: str, vi: str) -> SideStats:
+    """Row count and vector dimensions of one side (one small aggregate)."""
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vt)).alias("dt"),
+                 F.max(F.size(vi)).alias("di")).first()
+    return SideStats(int(row["rows"] or 0), max(int(row["dt"] or 0), 0), max(int(row["di"] or 0), 0))
 
-    questions: ``group_key, query_id, n_text, n_image, qt ARRAY<FLOAT>, qi ARRAY<FLOAT>``
+
+def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None,
+                      qstats: SideStats | None = None, cstats: SideStats | None = None) -> DataFrame:
+    """Per question, its top-``n_text`` rows by text and top-``n_image`` rows by image within
+    each partition of tile pairs (the global pools are a final ``row_number`` away).
+
+    questions: ``group_key, query_id, n_text, n_image, k, alpha, qt ARRAY<FLOAT>, qi ARRAY<FLOAT>``
                (``qi`` NULL or ``n_image`` 0 = the image space is not searched)
     corpus:    ``group_key, product_id, tv ARRAY<FLOAT>, iv ARRAY<FLOAT>``
     Output (:data:`CANDIDATE_SCHEMA`) carries both exact similarities of every row, so a
-    row found in one space still has its true score in the other.
+    row found in one space still has its true score in the other; ``k``/``alpha`` pass
+    through so later steps need no join back to the question table.
     """
     cfg = cfg or TileConfig()
-    q = questions.select("group_key", "query_id", "n_text", "n_image",
-                         F.col("qt").alias("vt"), F.col("qi").alias("vi"))
+    q = questions.select("group_key", "query_id", F.col("n_text").alias("n"), F.col("n_image").alias("n_i"),
+                         "k", "alpha", F.col("qt").alias("vt"), F.col("qi").alias("vi"))
     c = corpus.select("group_key", "product_id", F.col("tv").alias("vt"), F.col("iv").alias("vi"))
 
-    # One small aggregate per side sizes the tiles (no data reaches the driver).
-    cstat = c.agg(F.count(F.lit(1)).alias("rows"),
-                  F.max(F.size("vt")).alias("dt"), F.max(F.size("vi")).alias("di")).first()
-    qstat = q.agg(F.count(F.lit(1)).alias("rows"),
-                  F.max(F.size("vt")).alias("dt"), F.max(F.size("vi")).alias("di")).first()
-    c_rows, q_rows = int(cstat["rows"] or 0), int(qstat["rows"] or 0)
-    c_row_bytes = 12 + 4 * (max(cstat["dt"] or 0, 0) + max(cstat["di"] or 0, 0))
-    q_row_bytes = 12 + 4 * (max(qstat["dt"] or 0, 0) + max(qstat["di"] or 0, 0))
-    n_c = max(cfg.min_corpus_tiles, math.ceil(c_rows * c_row_bytes / cfg.corpus_tile_bytes), 1)
-    n_q = max(1, math.ceil(q_rows / cfg.query_tile_rows))
-
-    ctiles = _prefixed(_tiles(c, "product_id", n_c, F.lit(0), F.lit(0)), "c_")
-    qtiles = _prefixed(_tiles(q, "query_id", n_q, F.col("n_text"), F.col("n_image")), "q_")
-
-    if q_rows * q_row_bytes <= cfg.broadcast_bytes:
+    # Tile counts come from row counts (no data reaches the driver).
+    cstats = cstats or side_stats(c, "vt", "vi")
+    qstats = qstats or side_stats(q, "vt", "vi")
+    n_c = max(cfg.min_corpus_tiles, math.ceil(cstats.rows * cstats.row_bytes / cfg.corpus_tile_bytes), 1)
+    n_q = max(1, math.ceil(qstats.rows / cfg.query_tile_rows))
+
+    ctiles = _prefixed(_tiles(c, "product_id", n_c), "c_")
+    qtiles = _prefixed(_tiles(q, "query_id", n_q), "q_")
+
+    if qstats.rows * qstats.row_bytes <= cfg.broadcast_bytes:
         pairs = ctiles.join(F.broadcast(qtiles), on="group_key", how="inner")
     else:
         # Replicate: corpus tiles to every question tile, question tiles to every corpus

@@ -1,8 +1,9 @@
 """Global pools, candidate union, fused score and per-question top-k.
 
-Per-question pool sizes (``n = k * multiplier``) and ``k`` vary by row; every window is
-filtered by a *literal* upper bound first so Catalyst keeps ``WindowGroupLimit`` (a
-partial top-n before the shuffle and a final one after), then by the row's own value.
+All steps partition by ``query_id`` only, so after the single exchange that follows the
+tile stage the pool windows, the fusion and the top-k window run without another shuffle.
+Per-question sizes (``n = k * multiplier``, ``k``) vary by row; the top-k window is
+filtered by a literal bound first so Catalyst can use ``WindowGroupLimit``.
 """
 
 from __future__ import annotations
@@ -11,44 +12,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pools(cands: DataFrame, n_max: int) -> DataFrame:
-    """Global top-``n_text`` by text and top-``n_image`` by image per question.
+def pools(cands: DataFrame) -> DataFrame:
+    """Union of the global top-``n_text`` by text and top-``n_image`` by image per question.
 
-    cands: ``query_id, product_id, text_sim, image_sim, n_text, n_image`` (tile stage output)
-    Returns one row per (question, product) in either pool: ``query_id, product_id,
-    text_sim, image_sim, text_rank, image_rank`` (rank NULL = not in that pool).
+    cands: ``query_id, product_id, text_sim, image_sim, n_text, n_image, k, alpha``.
+    Adds ``text_rank`` / ``image_rank`` (NULL = not in that pool). Each (question, product)
+    pair occurs once in the input, so the union needs no de-duplication.
     """
-    both = cands.select(
-        "query_id", "product_id", "text_sim", "image_sim", "n_text", "n_image",
-        F.explode(F.array(
-            F.struct(F.lit("t").alias("kind"), F.col("text_sim").alias("sim")),
-            F.struct(F.lit("i").alias("kind"), F.col("image_sim").alias("sim")),
-        )).alias("k"),
-    ).select("query_id", "product_id", "text_sim", "image_sim", "n_text", "n_image", "k.kind", "k.sim")
-    both = both.filter(F.col("sim").isNotNull())
-    w = Window.partitionBy("query_id", "kind").orderBy(F.col("sim").desc(), F.col("product_id").asc())
-    ranked = both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.lit(n_max))
-    ranked = ranked.filter(F.when(F.col("kind") == "t", F.col("rn") <= F.col("n_text"))
-                           .otherwise(F.col("rn") <= F.col("n_image")))
-    return ranked.groupBy("query_id", "product_id").agg(
-        F.max("text_sim").alias("text_sim"),
-        F.max("image_sim").alias("image_sim"),
-        F.min(F.when(F.col("kind") == "t", F.col("rn"))).alias("text_rank"),
-        F.min(F.when(F.col("kind") == "i", F.col("rn"))).alias("image_rank"),
+    wt = Window.partitionBy("query_id").orderBy(F.col("text_sim").desc(), F.col("product_id").asc())
+    wi = Window.partitionBy("query_id").orderBy(F.col("image_sim").desc_nulls_last(), F.col("product_id").asc())
+    r = cands.withColumn("text_rank", F.row_number().over(wt)).withColumn("image_rank", F.row_number().over(wi))
+    in_t = F.col("text_rank") <= F.col("n_text")
+    in_i = F.col("image_sim").isNotNull() & (F.col("image_rank") <= F.col("n_image"))
+    return r.filter(in_t | in_i).select(
+        "query_id", "product_id", "text_sim", "image_sim", "n_text", "n_image", "k", "alpha",
+        F.when(in_t, F.col("text_rank")).alias("text_rank"),
+        F.when(in_i, F.col("image_rank")).alias("image_rank"),
     )
 
 
-def fuse(pool: DataFrame, params: DataFrame) -> DataFrame:
-    """``score = alpha * text_sim + (1 - alpha) * image_sim``; text-only questions score by text."""
-    p = pool.join(params.select("query_id", "alpha", "text_only"), "query_id")
-    score = F.when(F.col("text_only"), F.col("text_sim")).otherwise(
+def fuse(pool: DataFrame) -> DataFrame:
+    """``score = alpha * text_sim + (1 - alpha) * image_sim``; text-only questions
+    (``n_image = 0``) score by ``text_sim``."""
+    score = F.when(F.col("n_image") == 0, F.col("text_sim")).otherwise(
         F.col("alpha") * F.col("text_sim") + (F.lit(1.0) - F.col("alpha")) * F.col("image_sim"))
-    return p.withColumn("score", score.cast("double"))
+    return pool.withColumn("score", score.cast("double"))
 
 
-def top_k(scored: DataFrame, params: DataFrame, k_max: int, by: str = "score",
+def top_k(scored: DataFrame, k_max: int, by: str = "score", k_col: str = "k",
           partition: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Rank by ``by`` desc, ``product_id`` asc; keep ``rank <= k`` of the question."""
     w = Window.partitionBy(*partition).orderBy(F.col(by).desc(), F.col("product_id").asc())
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(k_max))
-    return ranked.join(params.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
+    return ranked.filter(F.col("rank") <= F.col(k_col))

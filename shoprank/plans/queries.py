@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.catalog import catalog_from_tables
-from ..sources.vectors import product_vectors
+from ..config import PARITY_K
+from ..sources.vectors import corpus_stats, product_vectors
 from .fixtures import parity_questions
 from .retrieval import retrieve
 
@@ -25,7 +26,8 @@ def hybrid_topk_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: hybrid top-k of every product question, fetched from the catalog."""
     catalog = catalog_from_tables(spark, sf_dir)
     corpus = product_vectors(spark, sf_dir)
-    ranked = retrieve(parity_questions(spark, sf_dir), corpus, catalog)
+    stats = corpus_stats(spark, sf_dir)
+    ranked = retrieve(parity_questions(spark, sf_dir), corpus, catalog, qstats=stats, cstats=stats, k_max=PARITY_K)
     return ranked.select("query_id", "rank", "product_id", "title", "store", "price",
                          "average_rating", "image", _r("score"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..config import FALLBACK_MODE, MODE_CHOICES, MODE_ROUTES
-from ..operators.knn import TileConfig, hybrid_candidates
+from ..operators.knn import SideStats, TileConfig, hybrid_candidates
 from ..operators.rank import fuse, pools, top_k
 from ..sources.vectors import SPACE_PAIR
 
@@ -42,14 +42,25 @@ def valid_params():
             & (F.col("alpha") >= 0.0) & (F.col("alpha") <= 1.0)).eqNullSafe(F.lit(True))
 
 
-def route_questions(questions: DataFrame, route: DataFrame) -> DataFrame:
+def _route_case(field: int):
+    """CASE over the fixed mode routes (no join: the routes are constants)."""
+    mode = resolved_mode()
+    expr = None
+    for route in MODE_ROUTES:
+        val = F.lit(route[field])
+        expr = F.when(mode == route[0], val) if expr is None else expr.when(mode == route[0], val)
+    return expr
+
+
+def route_questions(questions: DataFrame) -> DataFrame:
     """Attach the route and the probe vectors; compute per-question pool sizes.
 
     questions: ``query_id, model_choice, k, alpha, multiplier`` + one vector column per
-    encoder (``clip``, ``sbert``, ``blip``). The route table is 4 fixed rows: broadcast.
+    encoder (``clip``, ``sbert``, ``blip``).
     """
-    q = questions.filter(valid_params()).withColumn("route_mode", resolved_mode())
-    q = q.join(F.broadcast(route), "route_mode", "inner")
+    q = questions.filter(valid_params()).select(
+        "*", resolved_mode().alias("route_mode"), _route_case(1).alias("text_encoder"),
+        _route_case(2).cast("string").alias("image_encoder"), _route_case(3).alias("text_only"))
 
     def probe(enc_col: str):
         expr = F.lit(None).cast("array<float>")
@@ -61,7 +72,7 @@ def route_questions(questions: DataFrame, route: DataFrame) -> DataFrame:
     pool = (F.col("k") * F.col("multiplier")).cast("int")
     return q.select(
         "query_id", "route_mode", F.col("k").cast("int").alias("k"), F.col("alpha").cast("double").alias("alpha"),
-        "text_only", F.col("space_pair").alias("group_key"),
+        "text_only", F.lit(SPACE_PAIR).alias("group_key"),
         F.when(F.col("text_only"), F.col("k")).otherwise(pool).cast("int").alias("n_text"),
         F.when(F.col("text_only"), F.lit(0)).otherwise(pool).cast("int").alias("n_image"),
         probe("text_encoder").alias("qt"),
@@ -69,34 +80,37 @@ def route_questions(questions: DataFrame, route: DataFrame) -> DataFrame:
     )
 
 
-def param_bounds(routed: DataFrame) -> tuple[int, int]:
-    """Literal upper bounds of ``n`` and ``k`` (one tiny aggregate) for WindowGroupLimit."""
-    row = routed.agg(F.max(F.greatest("n_text", "n_image")).alias("n"), F.max("k").alias("k")).first()
-    return max(int(row["n"] or 1), 1), max(int(row["k"] or 1), 1)
+def question_stats(routed: DataFrame) -> tuple[SideStats, int]:
+    """Count, dimensions and the literal bound of ``k`` in one small aggregate."""
+    row = routed.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("qt")).alias("dt"),
+                     F.max(F.size("qi")).alias("di"), F.max("k").alias("k")).first()
+    stats = SideStats(int(row["rows"] or 0), max(int(row["dt"] or 0), 0), max(int(row["di"] or 0), 0))
+    return stats, max(int(row["k"] or 1), 1)
 
 
-def candidate_pools(routed: DataFrame, corpus: DataFrame, n_max: int | None = None,
-                    cfg: TileConfig | None = None) -> DataFrame:
+def candidate_pools(routed: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None,
+                    qstats: SideStats | None = None, cstats: SideStats | None = None) -> DataFrame:
     """Union of both pools per question with both exact similarities."""
-    if n_max is None:
-        n_max, _ = param_bounds(routed)
-    cands = hybrid_candidates(routed, corpus, cfg)
-    return pools(cands, n_max)
+    return pools(hybrid_candidates(routed, corpus, cfg, qstats=qstats, cstats=cstats))
 
 
 def retrieve(questions: DataFrame, corpus: DataFrame, catalog: DataFrame | None = None,
-             route: DataFrame | None = None, cfg: TileConfig | None = None) -> DataFrame:
+             cfg: TileConfig | None = None, keep: tuple[str, ...] = (),
+             qstats: SideStats | None = None, cstats: SideStats | None = None,
+             k_max: int | None = None) -> DataFrame:
     """Whole hybrid retrieval (R1-R11 + S4) for a table of questions.
 
-    Returns ``query_id, rank, product_id, text_sim, image_sim, score, route_mode`` and the
-    catalog columns when ``catalog`` is given.
+    ``qstats``/``cstats`` (row-count upper bounds and dimensions) and ``k_max`` may be
+    given when known; otherwise one small aggregate computes them.
+    Returns ``query_id, rank, product_id, text_sim, image_sim, score`` (+ ``keep`` columns
+    of the pool) and the catalog columns when ``catalog`` is given.
     """
-    spark = questions.sparkSession
-    routed = route_questions(questions, route if route is not None else route_table(spark))
-    n_max, k_max = param_bounds(routed)
-    pool = candidate_pools(routed, corpus, n_max, cfg)
-    params = routed.select("query_id", "k", "alpha", "text_only", "route_mode")
-    ranked = top_k(fuse(pool, params), params, k_max)
+    routed = route_questions(questions)
+    if qstats is None or k_max is None:
+        qstats, k_max = question_stats(routed)
+    pool = candidate_pools(routed, corpus, cfg, qstats, cstats)
+    ranked = top_k(fuse(pool), k_max).select(
+        "query_id", "rank", "product_id", "text_sim", "image_sim", "score", *keep)
     if catalog is not None:
         ranked = ranked.join(catalog, "product_id", "inner")
     return ranked

@@ -55,5 +55,14 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("tv").alias("blip"), F.col("iv").alias("clip"))
 
 
+def corpus_stats(spark: SparkSession, sf_dir: str):
+    """Upper bound of the corpus size without reading vectors: the row count of the
+    embeddings table (Parquet footers) and the adapter's fixed dimensions."""
+    from ..operators.knn import SideStats
+
+    rows = read_table(spark, sf_dir, "embeddings").count()
+    return SideStats(int(rows), TEXT_SLICE[1], IMAGE_SLICE[1])
+
+
 def vector_norms(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col + "_norm", l2_norm(col))
