@@ -42,7 +42,7 @@ def float_repr(c) -> Column:
 
 def fixed_decimals(c, pattern: str) -> Column:
     """Python ``f'{x:.Nf}'`` via a DecimalFormat pattern ('0.00'); NULL -> 'N/A'."""
-    return F.coalesce(F.format_number(_col(c).cast("double"), pattern), F.lit("N/A"))
+    return F.coalesce(F.call_function("format_number", _col(c).cast("double"), F.lit(pattern)), F.lit("N/A"))
 
 
 def normalize_keywords(c) -> Column:

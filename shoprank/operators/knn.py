@@ -242,9 +242,14 @@ class _RunningPools:
         # rank within question: group rows by (key, qid) via a dense code
         kc = np.unique(cat["key"], return_inverse=True)[1].astype(np.int64).ravel()
         code = np.unique(np.stack([kc, cat["qid"]], axis=1), axis=0, return_inverse=True)[1].ravel()
-        keep = _rank_keep(code, cat["pid"], cat["ts"], cat["nt"].astype(np.int64))
+        # pool sizes per question code (every row of a question carries the same values)
+        n_t = np.zeros(int(code.max()) + 1, dtype=np.int64)
+        n_i = np.zeros_like(n_t)
+        n_t[code] = cat["nt"]
+        n_i[code] = cat["ni"]
+        keep = _rank_keep(code, cat["pid"], cat["ts"], n_t)
         im = np.where(np.isnan(cat["im"]), -np.inf, cat["im"])
-        keep |= _rank_keep(code, cat["pid"], im, cat["ni"].astype(np.int64))
+        keep |= _rank_keep(code, cat["pid"], im, n_i)
         self.parts = [{c: cat[c][keep] for c in self._COLS}]
         self.rows = self.kept = int(keep.sum())
 

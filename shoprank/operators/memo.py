@@ -1,0 +1,45 @@
+"""Memoisation re-aimed as incremental batch work.
+
+The original memoises the slicing call and the whole answer by their arguments, with at
+most 50 entries. On Spark that becomes: compute each distinct argument tuple once, serve
+repeats from the result table, and keep the 50 most recently used entries as the memo.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import MEMO_MAX_ENTRIES
+
+
+def memo_usage(log: DataFrame, key_cols: list[str], seq: str = "seq",
+               capacity: int = MEMO_MAX_ENTRIES) -> DataFrame:
+    """Per distinct argument tuple: first/last use, number of uses, repeat hits, and whether
+    it is in the memo after the log (the ``capacity`` most recently used tuples).
+
+    The grouping aggregates map-side first, so a hot key costs one row per partition; the
+    retained set is a top-``capacity`` (per-partition top then merge), never a global sort.
+    """
+    usage = log.groupBy(*key_cols).agg(
+        F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count(F.lit(1)).alias("uses"))
+    usage = usage.withColumn("hits", F.col("uses") - F.lit(1))
+    newest = usage.orderBy(F.col("last_seq").desc()).limit(capacity).select(*key_cols).withColumn("retained", F.lit(True))
+    return usage.join(newest, key_cols, "left").withColumn("retained", F.coalesce("retained", F.lit(False)))
+
+
+def memo_split(batch: DataFrame, memo: DataFrame, key_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of a new batch of calls against a memo table (semi / anti join)."""
+    distinct = batch.dropDuplicates(key_cols)
+    keys = memo.select(*key_cols)
+    return distinct.join(keys, key_cols, "left_semi"), distinct.join(keys, key_cols, "left_anti")
+
+
+def memo_update(memo: DataFrame, computed: DataFrame, used: DataFrame, key_cols: list[str],
+                stamp: str = "last_used", capacity: int = MEMO_MAX_ENTRIES) -> DataFrame:
+    """New memo = old entries (refreshed by ``used``) + newly computed ones, newest
+    ``capacity`` kept. ``used``: ``key_cols + [stamp]`` of this batch's calls."""
+    last = used.groupBy(*key_cols).agg(F.max(stamp).alias("_u"))
+    merged = memo.unionByName(computed, allowMissingColumns=True)
+    merged = merged.join(last, key_cols, "left").withColumn(stamp, F.greatest(F.col(stamp), F.col("_u"))).drop("_u")
+    return merged.orderBy(F.col(stamp).desc()).limit(capacity)

@@ -7,9 +7,23 @@ so both sides produce the same bits before rounding.
 
 from __future__ import annotations
 
-from ..config import PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER
+from ..config import (ALPHA_GRID, ANSWER_USER_PARTS, HASH_DIM, MODE_CHOICES, MODE_ROUTES, PARITY_ALPHA,
+                      PARITY_K, PARITY_MULTIPLIER, QUERY_SLICING_SYSTEM_MSG, RECOMMENDATION_SYSTEM_MSG,
+                      UI_ALPHA)
+from ..operators.slicing import CONSTRAINT_PATTERN, OP_MAP
+from .fixtures import DISPATCH_MODES
 
-K, N, A = PARITY_K, PARITY_K * PARITY_MULTIPLIER, PARITY_ALPHA
+K, MULT, A = PARITY_K, PARITY_MULTIPLIER, PARITY_ALPHA
+WS = r"[ \t\n\r\f\x0B]"
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def _cos(a: str, b: str, na: str, nb: str) -> str:
@@ -39,50 +53,328 @@ vec AS (
     AND NOT list_bool_or(list_transform(embedding[1:64], lambda x: x IS NULL OR isnan(x) OR isinf(x)))),
 vecn AS (SELECT product_id, tv, iv, {_norm('tv')} AS tn, {_norm('iv')} AS inn FROM vec)"""
 
+_KNOWN = ", ".join(q(m) for m in MODE_CHOICES)
 
-def pairs_sql(text_probe: str = "tv", image_probe: str = "iv") -> str:
-    """All (question, product) similarities; probes pick the question half per encoder."""
-    tn = "tn" if text_probe == "tv" else "inn"
-    inn = "inn" if image_probe == "iv" else "tn"
-    return f"""
-pairs AS (
-  SELECT q.product_id AS query_id, c.product_id,
-         {_cos('q.' + text_probe, 'c.tv', 'q.' + tn, 'c.tn')} AS text_sim,
-         {_cos('q.' + image_probe, 'c.iv', 'q.' + inn, 'c.inn')} AS image_sim
-  FROM vecn q CROSS JOIN vecn c)"""
 
+def retrieval_ctes(mode_sql: str = "'Clip-STrans'", k: int = K, mult: int = MULT) -> str:
+    """CTEs ``qr, pairs, ranked, pool`` for every question (= every searchable product).
 
-def pool_sql(n: int = N) -> str:
+    Clip-Clip probes the text space with the joint-space (image-half) vector; Blip-Text
+    searches text only with n = k; unknown modes fall back to Clip-Clip.
+    """
     return f"""
+{CATALOG.strip()},
+{VECTORS.strip()},
+qm AS (SELECT product_id AS query_id, {mode_sql} AS model_choice FROM vecn),
+qr AS (SELECT query_id, model_choice,
+              CASE WHEN model_choice IN ({_KNOWN}) THEN model_choice ELSE 'Clip-Clip' END AS route_mode
+       FROM qm),
+pairs AS (
+  SELECT r.query_id, r.model_choice, r.route_mode, c.product_id,
+         CASE WHEN r.route_mode = 'Clip-Clip' THEN {_cos('qv.iv', 'c.tv', 'qv.inn', 'c.tn')}
+              ELSE {_cos('qv.tv', 'c.tv', 'qv.tn', 'c.tn')} END AS text_sim,
+         CASE WHEN r.route_mode = 'Blip-Text' THEN NULL
+              ELSE {_cos('qv.iv', 'c.iv', 'qv.inn', 'c.inn')} END AS image_sim,
+         CASE WHEN r.route_mode = 'Blip-Text' THEN {k} ELSE {k * mult} END AS n_text,
+         CASE WHEN r.route_mode = 'Blip-Text' THEN 0 ELSE {k * mult} END AS n_image
+  FROM qr r JOIN vecn qv ON qv.product_id = r.query_id CROSS JOIN vecn c),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_sim DESC, product_id) AS text_rank,
-            row_number() OVER (PARTITION BY query_id ORDER BY image_sim DESC, product_id) AS image_rank
+  SELECT *,
+    row_number() OVER (PARTITION BY query_id ORDER BY text_sim DESC, product_id) AS text_rank0,
+    row_number() OVER (PARTITION BY query_id ORDER BY image_sim DESC NULLS LAST, product_id) AS image_rank0
   FROM pairs),
-pool AS (SELECT * FROM ranked WHERE text_rank <= {n} OR image_rank <= {n})"""
+pool AS (
+  SELECT *, CASE WHEN text_rank0 <= n_text THEN text_rank0 END AS text_rank,
+            CASE WHEN image_sim IS NOT NULL AND image_rank0 <= n_image THEN image_rank0 END AS image_rank
+  FROM ranked WHERE text_rank0 <= n_text OR (image_sim IS NOT NULL AND image_rank0 <= n_image))"""
+
 
+def _score(alpha: str) -> str:
+    return f"CASE WHEN n_image = 0 THEN text_sim ELSE {alpha} * text_sim + (1 - {alpha}) * image_sim END"
 
-def top_sql(alpha: float = A, k: int = K) -> str:
+
+def top_ctes(alpha: float = A, k: int = K) -> str:
+    a = f"CAST({alpha!r} AS DOUBLE)"
     return f"""
-scored AS (
-  SELECT query_id, product_id, text_sim, image_sim,
-         CAST({alpha!r} AS DOUBLE) * text_sim + (1 - CAST({alpha!r} AS DOUBLE)) * image_sim AS score
-  FROM pool),
+scored AS (SELECT *, {_score(a)} AS score FROM pool),
 top AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INTEGER) AS rank
   FROM scored QUALIFY rank <= {k})"""
 
 
-HYBRID_TOPK_FETCH = f"""
-WITH {CATALOG.strip()},
-{VECTORS.strip()},
-{pairs_sql().strip()},
-{pool_sql().strip()},
-{top_sql().strip()}
-SELECT t.query_id, t.rank, t.product_id, c.title, c.store, c.price, c.average_rating, c.image,
-       round(t.score, 6) AS score
-FROM top t JOIN catalog c ON c.product_id = t.product_id
-"""
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(p.strip() for p in parts)
+
+
+RANKED = _with(retrieval_ctes(), top_ctes())
+
+# ----------------------------------------------------------------------- text fixtures
+
+QUESTION_TEXTS = """
+qtext AS (
+  SELECT p_partkey AS query_id,
+    CASE p_size % 4
+      WHEN 0 THEN 'price under ' || CAST(900 + p_size AS VARCHAR)
+      WHEN 1 THEN 'stars above 2.' || CAST(p_size % 10 AS VARCHAR)
+      WHEN 2 THEN 'price at most $' || CAST(920 + p_size % 30 AS VARCHAR) || '.50 and rating at least 2.'
+                  || CAST(p_size % 7 AS VARCHAR)
+      ELSE 'None' END AS constraint_text,
+    concat_ws(', ', string_split(p_name, ' ')[-1], string_split(p_name, ' ')[1], lower(p_type),
+              upper(string_split(p_name, ' ')[-1])) AS keywords_text,
+    p_name, p_type, p_size
+  FROM part),
+qtexts AS (
+  SELECT query_id, constraint_text, keywords_text,
+         'I want a ' || p_name || ' (' || lower(p_type) || ')'
+           || CASE WHEN p_size % 4 != 3 THEN ', ' || constraint_text ELSE '' END AS query
+  FROM qtext)"""
+
+RESPONSES = f"""
+{QUESTION_TEXTS.strip()},
+responses AS (
+  SELECT query_id, query_id % 7 != 6 AS ok,
+    CASE query_id % 7
+      WHEN 0 THEN 'output_1: ' || constraint_text || chr(10) || 'output_2: ' || keywords_text
+      WHEN 1 THEN 'output_1: ' || constraint_text || chr(10) || 'Output_2: ' || keywords_text
+      WHEN 2 THEN 'output_2: ' || keywords_text || chr(10)
+      WHEN 3 THEN 'Sure. output_1: ' || constraint_text || chr(10) || chr(10) || '  output_2:   ' || keywords_text || '  '
+      WHEN 4 THEN 'output_1: ' || constraint_text || chr(10) || 'output_1: None' || chr(10) || 'output_2: '
+                  || keywords_text || chr(10) || 'output_2: extra'
+      WHEN 5 THEN chr(9) || 'output_1: ' || constraint_text || chr(13) || chr(10) || 'output_2: ' || keywords_text
+                  || chr(13) || chr(10)
+      ELSE 'Error calling model: request ' || CAST(query_id AS VARCHAR) || ' timed out' END AS body
+  FROM qtexts)"""
+
+
+def _label(body: str, label: str) -> str:
+    lines = f"string_split({strip(body)}, chr(10))"
+    hit = f"list_filter({lines}, lambda l: contains(lower(l), '{label}'))[1]"
+    return f"coalesce({strip(f'replace({hit}, {q(label + ':')}, {q('')})')}, '')"
+
+
+def sliced_cte(src: str = "responses") -> str:
+    return f"""
+sliced AS (
+  SELECT *, CASE WHEN ok THEN {_label('body', 'output_1')} END AS constraints,
+            CASE WHEN ok THEN {_label('body', 'output_2')} END AS keywords
+  FROM {src})"""
+
+
+SLICED = f"{RESPONSES.strip()},\n{sliced_cte().strip()}"
+
+_PAT = q(CONSTRAINT_PATTERN)
+_OPS = " ".join(f"WHEN {q(w)} THEN {q(s)}" for w, s in OP_MAP.items())
+CONSTRAINTS = f"""
+cx AS (
+  SELECT query_id, regexp_extract_all(lower(coalesce(constraints, '')), {_PAT}, 1) AS f,
+         regexp_extract_all(lower(coalesce(constraints, '')), {_PAT}, 2) AS o,
+         regexp_extract_all(lower(coalesce(constraints, '')), {_PAT}, 3) AS v
+  FROM sliced),
+cxi AS (SELECT query_id, f, o, v, unnest(generate_series(1, len(f))) AS i FROM cx WHERE len(f) > 0),
+constraints AS (
+  SELECT query_id, CAST(i AS INTEGER) AS pos, CASE WHEN f[i] = 'price' THEN 'price' ELSE 'rating' END AS field,
+         CASE o[i] {_OPS} END AS op, CAST(v[i] AS DOUBLE) AS value
+  FROM cxi)"""
+
+VIOLATION = """
+(NOT coalesce(CASE c.op
+   WHEN '>' THEN CASE WHEN c.field = 'price' THEN CAST(t.price AS DOUBLE) ELSE CAST(t.average_rating AS DOUBLE) END > c.value
+   WHEN '>=' THEN CASE WHEN c.field = 'price' THEN CAST(t.price AS DOUBLE) ELSE CAST(t.average_rating AS DOUBLE) END >= c.value
+   WHEN '<' THEN CASE WHEN c.field = 'price' THEN CAST(t.price AS DOUBLE) ELSE CAST(t.average_rating AS DOUBLE) END < c.value
+   WHEN '<=' THEN CASE WHEN c.field = 'price' THEN CAST(t.price AS DOUBLE) ELSE CAST(t.average_rating AS DOUBLE) END <= c.value
+ END, false))"""
+
+FETCHED = "fetched AS (SELECT t.*, c.title, c.store, c.description, c.price, c.average_rating, c.image " \
+          "FROM top t JOIN catalog c ON c.product_id = t.product_id)"
+
+SURVIVORS = f"""
+survivors AS (
+  SELECT t.* FROM fetched t
+  WHERE NOT EXISTS (SELECT 1 FROM constraints c WHERE c.query_id = t.query_id AND {VIOLATION.strip()}))"""
+
+
+def _float_repr(x: str) -> str:
+    return f"coalesce(CAST(CAST({x} AS DOUBLE) AS VARCHAR), 'N/A')"
+
+
+BLOCKS = f"""
+blocks AS (
+  SELECT query_id, rank, product_id,
+    'Title: ' || coalesce(title, '') || chr(10) || 'Description: ' || coalesce(description, '') || chr(10)
+    || 'Store: ' || coalesce(store, '') || chr(10) || 'Features: ' || chr(10) || 'Details: ' || chr(10)
+    || 'Price: ' || {_float_repr('price')} || chr(10) || 'Rating: ' || {_float_repr('average_rating')} || chr(10)
+    || 'Image: ' || coalesce(image, '') AS block
+  FROM fetched)"""
+
+CONTEXT = """
+context AS (
+  SELECT query_id, count(*) AS n_products, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context
+  FROM blocks GROUP BY query_id)"""
+
+
+def _messages(system: str, user: str) -> str:
+    return (f"CAST(to_json([{{'role': 'system', 'content': {q(system)}}}, {{'role': 'user', 'content': {user}}}]) "
+            "AS VARCHAR)")
+
+
+_A0, _A1, _A2, _A3 = (q(p) for p in ANSWER_USER_PARTS)
+PROMPTS_BASE = _with(retrieval_ctes(), top_ctes(), FETCHED, BLOCKS, CONTEXT, SLICED)
+
+
+def _prompt_select(where: str = "") -> str:
+    slicing = _messages(QUERY_SLICING_SYSTEM_MSG, "'Query:' || chr(10) || '\"' || coalesce(t.query, '') || '\"'")
+    user = (f"{_A0} || coalesce(t.query, '') || {_A1} || coalesce(s.constraints, '') || {_A2} "
+            f"|| coalesce(x.context, '') || {_A3}")
+    return f"""
+SELECT x.query_id, t.query, s.constraints, s.keywords, x.n_products,
+       {slicing} AS slicing_json, {_messages(RECOMMENDATION_SYSTEM_MSG, user)} AS answer_json
+FROM context x JOIN sliced s ON s.query_id = x.query_id JOIN qtexts t ON t.query_id = x.query_id {where}"""
+
+
+def _hash_tokens(name: str, src: str, key: str, text: str) -> str:
+    return f"""
+{name}_tok AS (SELECT {key} AS id, unnest(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM {src}),
+{name} AS (
+  SELECT id, CAST(CAST(('0x' || substr(md5(tok), 1, 6)) AS BIGINT) % {HASH_DIM} AS INTEGER) AS bucket, count(*) AS tf
+  FROM {name}_tok WHERE length(tok) > 0 GROUP BY ALL)"""
+
+
+def _modes_sql() -> str:
+    arr = "[" + ", ".join(q(m) for m in DISPATCH_MODES) + "]"
+    return f"{arr}[(product_id % {len(DISPATCH_MODES)}) + 1]"
+
+
+_ROUTE_VALUES = ", ".join(
+    f"({q(m)}, {q(te)}, {q(ie) if ie else 'NULL'}, {str(to).lower()})" for m, te, ie, to in MODE_ROUTES)
+_GRID = ", ".join(f"(CAST({a!r} AS DOUBLE))" for a in ALPHA_GRID)
 
 ORACLE = {
-    "hybrid_topk_fetch": HYBRID_TOPK_FETCH,
+    "catalog_typed_scan": _with(CATALOG) + "\nSELECT product_id, title, store, description, price, average_rating, image FROM catalog",
+    "catalog_csv_ingest": _with(CATALOG) + """
+SELECT c.product_id, c.title, c.store,
+       CASE WHEN p.p_size % 13 = 0 THEN NULL ELSE TRY_CAST(CAST(CAST(c.price AS DOUBLE) AS VARCHAR) AS FLOAT) END AS price,
+       c.average_rating, c.image
+FROM catalog c JOIN part p ON p.p_partkey = c.product_id
+WHERE NOT (p.p_size % 13 != 0 AND p.p_size % 17 = 0)""",
+    "vector_route": _with(VECTORS, f"""
+routes(model_choice, text_encoder, image_encoder, text_only) AS (VALUES {_ROUTE_VALUES}),
+stats AS (
+  SELECT 'text' AS space, count(*) AS n_vectors, CAST(max(len(tv)) AS INTEGER) AS dim FROM vec
+  UNION ALL SELECT 'image', count(*), CAST(max(len(iv)) AS INTEGER) FROM vec)""") + """
+SELECT r.model_choice, r.text_encoder, r.image_encoder, r.text_only, 'text' AS text_space, 'image' AS image_space,
+       t.n_vectors AS n_text_vectors, t.dim AS text_dim, i.n_vectors AS n_image_vectors, i.dim AS image_dim
+FROM routes r JOIN stats t ON t.space = 'text' JOIN stats i ON i.space = 'image'""",
+    "l2_normalize": f"""
+WITH sp AS (
+  SELECT vec_id AS product_id, 'text' AS space, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings
+  UNION ALL SELECT vec_id, 'image', CAST(embedding[33:64] AS DOUBLE[]) FROM embeddings
+  UNION ALL SELECT vec_id, 'full', CAST(embedding AS DOUBLE[]) FROM embeddings),
+n AS (SELECT *, {_norm('v')} AS nb FROM sp),
+u AS (SELECT *, list_transform(v, lambda x: CASE WHEN nb = 0 THEN 0.0 ELSE x / nb END) AS u FROM n)
+SELECT product_id, space, round(nb, 6) AS norm_before, round({_norm('u')}, 6) AS norm_after,
+       round(u[1], 6) AS first_value
+FROM u""",
+    "text_encode_hashed": _with(_hash_tokens("db", "documents", "doc_id", "text")) + """
+SELECT id AS doc_id, bucket, tf, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)), 6) AS weight FROM db""",
+    "topn_text": _with(retrieval_ctes()) + """
+SELECT query_id, product_id, CAST(text_rank AS INTEGER) AS rank, round(text_sim, 6) AS sim FROM pool WHERE text_rank IS NOT NULL""",
+    "topn_image": _with(retrieval_ctes()) + """
+SELECT query_id, product_id, CAST(image_rank AS INTEGER) AS rank, round(image_sim, 6) AS sim FROM pool WHERE image_rank IS NOT NULL""",
+    "candidate_union": _with(retrieval_ctes()) + """
+SELECT query_id, product_id, text_rank IS NOT NULL AS in_text, image_rank IS NOT NULL AS in_image FROM pool""",
+    "rescore_fusion": _with(retrieval_ctes(), top_ctes()) + """
+SELECT query_id, product_id, round(text_sim, 6) AS text_sim, round(image_sim, 6) AS image_sim, round(score, 6) AS score
+FROM scored""",
+    "hybrid_topk_fetch": RANKED + """
+SELECT t.query_id, t.rank, t.product_id, c.title, c.store, c.price, c.average_rating, c.image,
+       round(t.score, 6) AS score
+FROM top t JOIN catalog c ON c.product_id = t.product_id""",
+    "text_only_topk": _with(retrieval_ctes("'Blip-Text'"), top_ctes()) + """
+SELECT t.query_id, t.rank, t.product_id, c.title, round(t.text_sim, 6) AS text_sim
+FROM top t JOIN catalog c ON c.product_id = t.product_id""",
+    "mode_dispatch": _with(retrieval_ctes(_modes_sql()), top_ctes()) + """
+SELECT query_id, model_choice, route_mode, rank, product_id, round(score, 6) AS score FROM top""",
+    "alpha_sweep": _with(retrieval_ctes(), f"""
+grid(alpha) AS (VALUES {_GRID}),
+swept AS (SELECT p.*, g.alpha, {_score('g.alpha')} AS score FROM pool p CROSS JOIN grid g),
+top AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, alpha ORDER BY score DESC, product_id) AS INTEGER) AS rank
+  FROM swept QUALIFY rank <= {K})""") + """
+SELECT query_id, alpha, rank, product_id, round(score, 6) AS score FROM top""",
+    "slice_response_parse": _with(SLICED) + "\nSELECT query_id, ok, constraints, keywords FROM sliced",
+    "keyword_normalize": _with(SLICED, f"""
+kw AS (
+  SELECT query_id, keywords,
+         list_filter(list_transform(string_split(lower(keywords), ','), lambda x: {strip('x')}),
+                     lambda x: length(x) > 0) AS parts
+  FROM sliced)""") + """
+SELECT query_id, keywords, array_to_string(list_filter(parts, lambda x, i: list_position(parts, x) = i), ', ') AS keywords_norm
+FROM kw""",
+    "constraint_extract": _with(SLICED, CONSTRAINTS) + "\nSELECT query_id, pos, field, op, value FROM constraints",
+    "constraint_filter_post": _with(retrieval_ctes(), top_ctes(), FETCHED, SLICED, CONSTRAINTS, SURVIVORS) + """
+SELECT query_id, rank, product_id, price, average_rating FROM survivors""",
+    "recommend_top3": _with(retrieval_ctes(), top_ctes(), FETCHED, SLICED, CONSTRAINTS, SURVIVORS) + """
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, product_id) AS INTEGER) AS rec_rank,
+       product_id, title, price, average_rating, image
+FROM survivors QUALIFY rec_rank <= 3""",
+    "recommendation_guard": _with(retrieval_ctes(), top_ctes()) + """
+SELECT p.query_id, p.product_id,
+       EXISTS (SELECT 1 FROM top t WHERE t.query_id = p.query_id AND t.product_id = p.product_id) AS allowed
+FROM pool p WHERE p.image_rank <= 3""",
+    "product_block_format": _with(retrieval_ctes(), top_ctes(), FETCHED, BLOCKS) + """
+SELECT query_id, rank, product_id, block FROM blocks""",
+    "context_assemble": _with(retrieval_ctes(), top_ctes(), FETCHED, BLOCKS, CONTEXT) + """
+SELECT query_id, n_products, context FROM context""",
+    "prompt_messages_json": "SELECT query_id, slicing_json, answer_json FROM (" + PROMPTS_BASE + _prompt_select() + ")",
+    "result_card_format": RANKED + ",\n" + FETCHED + """
+SELECT query_id, rank,
+  '**' || coalesce(title, '') || '**  ' || chr(10) || 'Store: ' || coalesce(store, '') || '  ' || chr(10)
+  || 'Price: $' || coalesce(printf('%.2f', CAST(price AS DOUBLE)), 'N/A') || '  ' || chr(10)
+  || 'Rating: ' || coalesce(printf('%.1f', CAST(average_rating AS DOUBLE)), 'N/A') || '/5' AS card
+FROM fetched""",
+    "response_status": _with(RESPONSES, """
+raw AS (
+  SELECT query_id, ok,
+    CASE WHEN ok THEN CAST(to_json({'output': {'message': {'content': [{'text': body}]}}}) AS VARCHAR) ELSE body END AS raw
+  FROM responses),
+parsed AS (
+  SELECT query_id, ok, CASE WHEN ok THEN json_extract_string(raw, '$.output.message.content[0].text') END AS body
+  FROM raw)""", sliced_cte("parsed")) + """
+SELECT ok, count(*) AS n_responses, count(body) AS n_parsed,
+       CAST(sum(CASE WHEN length(keywords) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_with_keywords,
+       CAST(sum(CASE WHEN length(constraints) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_with_constraints
+FROM sliced GROUP BY ok""",
+    "query_memo": f"""
+WITH log AS (
+  SELECT p_partkey AS seq, 'I want a ' || p_name AS query, {K} AS k, CAST({UI_ALPHA!r} AS DOUBLE) AS alpha,
+         'Clip-STrans' AS model_choice
+  FROM part),
+usage AS (
+  SELECT query, k, alpha, model_choice, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS uses,
+         count(*) - 1 AS hits
+  FROM log GROUP BY ALL),
+newest AS (SELECT query FROM usage ORDER BY last_seq DESC LIMIT 50)
+SELECT u.query, u.k, u.alpha, u.model_choice, u.first_seq, u.last_seq, u.uses, u.hits,
+       u.query IN (SELECT query FROM newest) AS retained
+FROM usage u""",
+    "hashed_text_search": _with(
+        _hash_tokens("qb", "benchmark", "item_id", "text"),
+        _hash_tokens("cb", "part", "p_partkey", "concat_ws(' ', p_name, p_type, p_brand)"), """
+qn AS (SELECT id, sqrt(sum(tf * tf)) AS n FROM qb GROUP BY id),
+cn AS (SELECT id, sqrt(sum(tf * tf)) AS n FROM cb GROUP BY id),
+dots AS (SELECT q.id AS qid, c.id AS pid, sum(q.tf * c.tf) AS d FROM qb q JOIN cb c USING (bucket) GROUP BY ALL),
+pairs AS (
+  SELECT b.item_id AS query_id, p.p_partkey AS product_id,
+         CASE WHEN coalesce(qn.n, 0) * coalesce(cn.n, 0) = 0 THEN 0.0
+              ELSE CAST(coalesce(d.d, 0) AS DOUBLE) / (qn.n * cn.n) END AS score
+  FROM benchmark b CROSS JOIN part p
+  LEFT JOIN qn ON qn.id = b.item_id LEFT JOIN cn ON cn.id = p.p_partkey
+  LEFT JOIN dots d ON d.qid = b.item_id AND d.pid = p.p_partkey),
+top AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INTEGER) AS rank
+  FROM pairs QUALIFY rank <= 10)""") + """
+SELECT query_id, rank, product_id, round(score, 6) AS score FROM top""",
+    "rag_prompt_end_to_end": "SELECT query_id, constraints, keywords, n_products, "
+    "CAST(to_json([{'role': 'user', 'content': [{'text': answer_json}]}]) AS VARCHAR) AS request_json FROM ("
+    + PROMPTS_BASE + _prompt_select("WHERE s.ok") + ")",
 }

@@ -1,7 +1,8 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
 
-Float outputs are rounded to 6 decimals; integer ranks are INT. Column names equal the
-oracle SQL in :mod:`shoprank.plans.oracle`.
+Float outputs are rounded to 6 decimals; ranks are INT. Column names equal the oracle SQL
+in :mod:`shoprank.plans.oracle`. Every query reads whole tables (no id subsets, no caps
+other than the top-k / memo-capacity limits that are the feature itself).
 """
 
 from __future__ import annotations
@@ -9,29 +10,344 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.catalog import catalog_from_tables
-from ..config import PARITY_K
-from ..sources.vectors import corpus_stats, product_vectors
-from .fixtures import parity_questions
-from .retrieval import retrieve
+from ..config import ALPHA_GRID, HASH_DIM, PARITY_K, UI_ALPHA
+from ..functions.hashing import dense_counts, sparse_weights, token_buckets
+from ..functions.vector import l2_norm, l2_normalize
+from ..operators.constraints import guard, post_filter, recommend
+from ..operators.knn import SideStats, TileConfig, hybrid_candidates
+from ..operators.memo import memo_usage
+from ..operators.prompts import (answer_messages, assemble_context, result_card, slicing_messages,
+                                 with_blocks)
+from ..operators.rank import fuse, pools, top_k
+from ..operators.slicing import clean_keywords, extract_constraints, parse_slices
+from ..session import scratch_path
+from ..sources.catalog import catalog_from_tables, read_catalog_csv
+from ..sources.tables import read_table
+from ..sources.vectors import IMAGE_SPACE, TEXT_SPACE, corpus_stats, product_vectors, raw_vectors
+from .fixtures import mixed_mode_questions, parity_questions, question_texts, slicing_responses
+from .retrieval import candidate_pools, resolved_mode, retrieve, route_questions, route_table
 
 R = 6  # decimals of published scores
 
 
-def _r(c: str):
-    return F.round(F.col(c), R).alias(c)
+def _r(c: str, name: str | None = None):
+    return F.round(F.col(c), R).alias(name or c)
 
 
-def hybrid_topk_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: hybrid top-k of every product question, fetched from the catalog."""
-    catalog = catalog_from_tables(spark, sf_dir)
+# --------------------------------------------------------------------------- sources
+
+
+def catalog_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 adapter: typed catalog (FLOAT price/rating) from part + lineitem."""
+    return catalog_from_tables(spark, sf_dir)
+
+
+def catalog_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog written by Spark as CSV (extra column, empty and bad prices), then
+    ingested by name with ``try_cast``; rejected rows leave, empty prices become NULL."""
+    cat = catalog_from_tables(spark, sf_dir)
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
+    price_text = (F.when(F.col("p_size") % 13 == 0, F.lit(""))
+                  .when(F.col("p_size") % 17 == 0, F.lit("n/a"))
+                  .otherwise(F.col("price").cast("double").cast("string")))
+    out = (cat.join(part, cat.product_id == part.p_partkey)
+           .select(F.col("p_size").cast("string").alias("junk"), "title", "store",
+                   price_text.alias("price"), F.col("average_rating").cast("string").alias("average_rating"),
+                   "image", F.col("product_id").cast("string").alias("product_key")))
+    path = scratch_path(spark, "catalog-csv")
+    out.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+    typed, _rejects = read_catalog_csv(spark, path, id_col="product_key")
+    return typed.select("product_id", "title", "store", "price", "average_rating", "image")
+
+
+def vector_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode routes joined with the vector count and dimension of their spaces."""
+    corpus = product_vectors(spark, sf_dir)
+    long = corpus.select(F.explode(F.array(
+        F.struct(F.lit(TEXT_SPACE).alias("space"), F.size("tv").alias("dim")),
+        F.struct(F.lit(IMAGE_SPACE).alias("space"), F.size("iv").alias("dim")))).alias("s")).select("s.*")
+    stats = long.groupBy("space").agg(F.count(F.lit(1)).alias("n_vectors"), F.max("dim").alias("dim"))
+    routes = route_table(spark).select(
+        F.col("route_mode").alias("model_choice"), "text_encoder", "image_encoder", "text_only",
+        F.lit(TEXT_SPACE).alias("text_space"), F.lit(IMAGE_SPACE).alias("image_space"))
+    t = stats.select(F.col("space").alias("text_space"), F.col("n_vectors").alias("n_text_vectors"),
+                     F.col("dim").alias("text_dim"))
+    i = stats.select(F.col("space").alias("image_space"), F.col("n_vectors").alias("n_image_vectors"),
+                     F.col("dim").alias("image_dim"))
+    # Both sides are bounded by the number of spaces (2 rows): broadcast is safe.
+    return routes.join(F.broadcast(t), "text_space").join(F.broadcast(i), "image_space")
+
+
+def l2_normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4/V5: L2 normalisation of every vector in each space (and the full vector)."""
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    raw = raw_vectors(spark, sf_dir)
+    sp = (raw.select("product_id", F.lit(TEXT_SPACE).alias("space"), F.col("tv").alias("v"))
+          .unionByName(raw.select("product_id", F.lit(IMAGE_SPACE).alias("space"), F.col("iv").alias("v")))
+          .unionByName(emb.select(F.col("vec_id").alias("product_id"), F.lit("full").alias("space"),
+                                  F.col("embedding").alias("v"))))
+    n = sp.withColumn("nb", l2_norm("v"))
+    u = n.withColumn("u", l2_normalize("v", "nb"))
+    return u.select("product_id", "space", _r("nb", "norm_before"),
+                    F.round(l2_norm("u"), R).alias("norm_after"),
+                    F.round(F.element_at("u", 1), R).alias("first_value"))
+
+
+def text_encode_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1-V3 stand-in: hashed bag-of-words of every whole document (sparse form)."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    w = sparse_weights(token_buckets(docs, "doc_id", "text"), "doc_id")
+    return w.select("doc_id", "bucket", "tf", _r("weight"))
+
+
+# --------------------------------------------------------------------------- retrieval
+
+
+def _inputs(spark: SparkSession, sf_dir: str):
     corpus = product_vectors(spark, sf_dir)
     stats = corpus_stats(spark, sf_dir)
-    ranked = retrieve(parity_questions(spark, sf_dir), corpus, catalog, qstats=stats, cstats=stats, k_max=PARITY_K)
+    return corpus, stats
+
+
+def _pool(spark: SparkSession, sf_dir: str, questions: DataFrame) -> DataFrame:
+    corpus, stats = _inputs(spark, sf_dir)
+    return candidate_pools(route_questions(questions), corpus, qstats=stats, cstats=stats)
+
+
+def topn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text-space pool (top k*multiplier by text cosine) of every question."""
+    p = _pool(spark, sf_dir, parity_questions(spark, sf_dir)).filter(F.col("text_rank").isNotNull())
+    return p.select("query_id", "product_id", F.col("text_rank").cast("int").alias("rank"), _r("text_sim", "sim"))
+
+
+def topn_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: image-space pool of every question."""
+    p = _pool(spark, sf_dir, parity_questions(spark, sf_dir)).filter(F.col("image_rank").isNotNull())
+    return p.select("query_id", "product_id", F.col("image_rank").cast("int").alias("rank"), _r("image_sim", "sim"))
+
+
+def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of both pools with membership flags."""
+    p = _pool(spark, sf_dir, parity_questions(spark, sf_dir))
+    return p.select("query_id", "product_id", F.col("text_rank").isNotNull().alias("in_text"),
+                    F.col("image_rank").isNotNull().alias("in_image"))
+
+
+def rescore_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both exact cosines of every candidate and the fused score."""
+    p = fuse(_pool(spark, sf_dir, parity_questions(spark, sf_dir)))
+    return p.select("query_id", "product_id", _r("text_sim"), _r("image_sim"), _r("score"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str, questions: DataFrame | None = None,
+            catalog: DataFrame | None = None) -> DataFrame:
+    corpus, stats = _inputs(spark, sf_dir)
+    questions = questions if questions is not None else parity_questions(spark, sf_dir)
+    return retrieve(questions, corpus, catalog, qstats=stats, cstats=stats, k_max=PARITY_K)
+
+
+def hybrid_topk_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R8/R9/S4 (flagship): hybrid top-k of every product question, fetched from the catalog."""
+    ranked = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
     return ranked.select("query_id", "rank", "product_id", "title", "store", "price",
                          "average_rating", "image", _r("score"))
 
 
+def text_only_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text-only mode: top k by text cosine, no over-fetch, no fusion."""
+    q = parity_questions(spark, sf_dir, model_choice="Blip-Text")
+    ranked = _ranked(spark, sf_dir, q, catalog_from_tables(spark, sf_dir, with_rating=False))
+    return ranked.select("query_id", "rank", "product_id", "title", _r("text_sim"))
+
+
+def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch mixing all modes and an unknown one (falls back)."""
+    q = mixed_mode_questions(spark, sf_dir)
+    ranked = _ranked(spark, sf_dir, q)
+    modes = q.select("query_id", "model_choice", resolved_mode().alias("route_mode"))
+    return ranked.join(modes, "query_id").select("query_id", "model_choice", "route_mode", "rank",
+                                                 "product_id", _r("score"))
+
+
+def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pools fused with every alpha of a grid; top k per (question, alpha)."""
+    p = _pool(spark, sf_dir, parity_questions(spark, sf_dir))
+    grid = F.explode(F.array(*[F.lit(float(a)) for a in ALPHA_GRID])).alias("alpha_g")
+    swept = p.select("*", grid).drop("alpha").withColumnRenamed("alpha_g", "alpha")
+    ranked = top_k(fuse(swept), PARITY_K, partition=("query_id", "alpha"))
+    return ranked.select("query_id", "alpha", F.col("rank").cast("int").alias("rank"), "product_id", _r("score"))
+
+
+# --------------------------------------------------------------------------- slicing and constraints
+
+
+def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_slices(slicing_responses(spark, sf_dir))
+
+
+def slice_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1: (constraints, keywords) from every response; failed calls stay NULL."""
+    return _sliced(spark, sf_dir).select("query_id", "ok", "constraints", "keywords")
+
+
+def keyword_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: keyword clean-up of every parsed response."""
+    return clean_keywords(_sliced(spark, sf_dir)).select("query_id", "keywords", "keywords_norm")
+
+
+def constraint_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3: typed constraints (field, op, value) from the constraint text."""
+    return extract_constraints(_sliced(spark, sf_dir))
+
+
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
+    return post_filter(ranked, extract_constraints(_sliced(spark, sf_dir)))
+
+
+def constraint_filter_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: ranked products that satisfy all constraints of their question."""
+    return _survivors(spark, sf_dir).select("query_id", "rank", "product_id", "price", "average_rating")
+
+
+def recommend_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three recommendations per question after the post-filter."""
+    rec = recommend(_survivors(spark, sf_dir))
+    return rec.select("query_id", F.col("rec_rank").cast("int").alias("rec_rank"), "product_id", "title",
+                      "price", "average_rating", "image")
+
+
+def recommendation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6: proposals (top 3 by image similarity alone) checked against the retrieved list."""
+    corpus, stats = _inputs(spark, sf_dir)
+    routed = route_questions(parity_questions(spark, sf_dir))
+    pool = candidate_pools(routed, corpus, qstats=stats, cstats=stats)
+    proposed = pool.filter(F.col("image_rank") <= 3).select("query_id", "product_id")
+    retrieved = top_k(fuse(pool), PARITY_K)
+    return guard(proposed, retrieved).select("query_id", "product_id", "allowed")
+
+
+# --------------------------------------------------------------------------- prompts and reports
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_blocks(_ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir)))
+
+
+def product_block_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-line product block of every retrieved product."""
+    return _blocks(spark, sf_dir).select("query_id", "rank", "product_id", "block")
+
+
+def context_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks joined in rank order per question."""
+    return assemble_context(_blocks(spark, sf_dir))
+
+
+def _prompts(spark: SparkSession, sf_dir: str, only_ok: bool) -> DataFrame:
+    ctx = assemble_context(_blocks(spark, sf_dir))
+    sliced = _sliced(spark, sf_dir)
+    if only_ok:
+        sliced = sliced.filter(F.col("ok"))
+    texts = question_texts(spark, sf_dir).select("query_id", "query")
+    base = ctx.join(sliced.select("query_id", "constraints", "keywords"), "query_id").join(texts, "query_id")
+    return base.select("query_id", "query", "constraints", "keywords", "n_products",
+                       slicing_messages(F.col("query")).alias("slicing_json"),
+                       answer_messages(F.col("query"), F.col("constraints"), F.col("context")).alias("answer_json"))
+
+
+def prompt_messages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slicing and answer message lists as JSON for every question."""
+    return _prompts(spark, sf_dir, only_ok=False).select("query_id", "slicing_json", "answer_json")
+
+
+def result_card_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result card text of every retrieved product."""
+    ranked = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
+    return ranked.select("query_id", "rank", result_card(ranked).alias("card"))
+
+
+def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response envelopes parsed from JSON; counts by call status (failed rows unparsed)."""
+    resp = slicing_responses(spark, sf_dir)
+    env = F.to_json(F.named_struct(F.lit("output"), F.named_struct(F.lit("message"), F.named_struct(
+        F.lit("content"), F.array(F.named_struct(F.lit("text"), F.col("body")))))))
+    raw = resp.select("query_id", "ok", F.when(F.col("ok"), env).otherwise(F.col("body")).alias("raw"))
+    parsed = raw.select("query_id", "ok", F.when(F.col("ok"), F.get_json_object(
+        "raw", "$.output.message.content[0].text")).alias("body"))
+    sliced = parse_slices(parsed)
+    return sliced.groupBy("ok").agg(
+        F.count(F.lit(1)).alias("n_responses"),
+        F.count("body").alias("n_parsed"),
+        F.sum(F.when(F.length("keywords") > 0, 1).otherwise(0)).cast("bigint").alias("n_with_keywords"),
+        F.sum(F.when(F.length("constraints") > 0, 1).otherwise(0)).cast("bigint").alias("n_with_constraints"),
+    )
+
+
+def query_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: memo of answer calls keyed by (question, k, alpha, mode) over the question log."""
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    log = part.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("I want a "), F.col("p_name")).alias("query"),
+                      F.lit(PARITY_K).alias("k"), F.lit(UI_ALPHA).alias("alpha"), F.lit("Clip-STrans").alias("model_choice"))
+    return memo_usage(log, ["query", "k", "alpha", "model_choice"])
+
+
+def hashed_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 over the hashing encoder: free-text questions against catalog text, exact cosine."""
+    bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_brand"])
+    ctext = part.select(F.col("p_partkey").alias("product_id"),
+                        F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    qv = dense_counts(token_buckets(bench, "item_id", "text"), "item_id", HASH_DIM, bench)
+    cv = dense_counts(token_buckets(ctext, "product_id", "text"), "product_id", HASH_DIM, ctext)
+    questions = qv.select(F.lit("hash").alias("group_key"), F.col("item_id").alias("query_id"),
+                          F.lit(PARITY_K).alias("n_text"), F.lit(0).alias("n_image"), F.lit(PARITY_K).alias("k"),
+                          F.lit(1.0).alias("alpha"), F.col("vec").alias("qt"), F.lit(None).cast("array<float>").alias("qi"))
+    corpus = cv.select(F.lit("hash").alias("group_key"), "product_id", F.col("vec").alias("tv"),
+                       F.lit(None).cast("array<float>").alias("iv"))
+    n_q = bench.count()
+    n_c = part.count()
+    cands = hybrid_candidates(questions, corpus, TileConfig(),
+                              qstats=SideStats(n_q, HASH_DIM, 0), cstats=SideStats(n_c, HASH_DIM, 0))
+    ranked = top_k(fuse(pools(cands)), PARITY_K)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "product_id", _r("score"))
+
+
+def rag_prompt_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question -> slice -> retrieve -> context -> request body of the agent-style
+    call (the message list JSON wrapped as one user turn). Failed slicing calls are left out."""
+    p = _prompts(spark, sf_dir, only_ok=True)
+    body = F.to_json(F.array(F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"),
+                                            F.array(F.named_struct(F.lit("text"), F.col("answer_json"))))))
+    return p.select("query_id", "constraints", "keywords", "n_products", body.alias("request_json"))
+
+
 QUERIES = {
+    "catalog_typed_scan": catalog_typed_scan,
+    "catalog_csv_ingest": catalog_csv_ingest,
+    "vector_route": vector_route,
+    "l2_normalize": l2_normalize_query,
+    "text_encode_hashed": text_encode_hashed,
+    "topn_text": topn_text,
+    "topn_image": topn_image,
+    "candidate_union": candidate_union,
+    "rescore_fusion": rescore_fusion,
     "hybrid_topk_fetch": hybrid_topk_fetch,
+    "text_only_topk": text_only_topk,
+    "mode_dispatch": mode_dispatch,
+    "alpha_sweep": alpha_sweep,
+    "slice_response_parse": slice_response_parse,
+    "keyword_normalize": keyword_normalize,
+    "constraint_extract": constraint_extract,
+    "constraint_filter_post": constraint_filter_post,
+    "recommend_top3": recommend_top3,
+    "recommendation_guard": recommendation_guard,
+    "product_block_format": product_block_format,
+    "context_assemble": context_assemble,
+    "prompt_messages_json": prompt_messages_json,
+    "result_card_format": result_card_format,
+    "response_status": response_status,
+    "query_memo": query_memo,
+    "hashed_text_search": hashed_text_search,
+    "rag_prompt_end_to_end": rag_prompt_end_to_end,
 }

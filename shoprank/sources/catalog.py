@@ -29,13 +29,14 @@ CSV_COLUMNS = ["image", "title", "store", "price", "average_rating"]
 CSV_OPTIONAL = ["description", "features", "details"]
 
 
-def read_catalog_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_catalog_csv(spark: SparkSession, path: str, id_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Typed catalog from a CSV with a header. Returns ``(catalog, rejects)``.
 
     The header is read in full and columns are selected **by name** (a partial schema
-    would bind by position). ``product_id`` is the 0-based row ordinal of the file, the
-    id the vector files refer to. Empty numbers are NULL; unparsable numbers send the row
-    to ``rejects`` with a reason instead of failing the job.
+    would bind by position). ``product_id`` is the value of ``id_col`` when given, else the
+    0-based row ordinal of a single catalog file (the id the vector files refer to).
+    Empty numbers are NULL; unparsable numbers send the row to ``rejects`` with a reason
+    instead of failing the job.
     """
     raw = (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -45,7 +46,10 @@ def read_catalog_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     if missing:
         raise ValueError(f"catalog CSV lacks columns {missing}")
     keep = CSV_COLUMNS + [c for c in CSV_OPTIONAL if c in raw.columns]
-    df = with_row_ordinal(raw.select(*keep), "product_id")
+    if id_col is not None:
+        df = raw.select(*keep, F.col(id_col).try_cast("bigint").alias("product_id"))
+    else:
+        df = with_row_ordinal(raw.select(*keep), "product_id")
 
     def num(c: str):
         s = F.trim(F.col(c))
