@@ -378,3 +378,4 @@ SELECT query_id, rank, product_id, round(score, 6) AS score FROM top""",
     "CAST(to_json([{'role': 'user', 'content': [{'text': answer_json}]}]) AS VARCHAR) AS request_json FROM ("
     + PROMPTS_BASE + _prompt_select("WHERE s.ok") + ")",
 }
+ORACLE["stream_retrieval"] = ORACLE["hybrid_topk_fetch"]

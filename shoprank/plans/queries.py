@@ -322,6 +322,24 @@ def rag_prompt_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("query_id", "constraints", "keywords", "n_products", body.alias("request_json"))
 
 
+def stream_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship questions arrive as a file stream (several micro-batches); each batch
+    is answered by the batch plan; the result must equal ``hybrid_topk_fetch``."""
+    from ..streaming.retrieval_stream import answer_stream, read_answers
+
+    base = scratch_path(spark, "stream")
+    questions = parity_questions(spark, sf_dir)
+    # Spark writes the question files (4 files -> 4 micro-batches).
+    questions.repartition(4, "query_id").write.parquet(f"{base}/source")
+    corpus, stats = _inputs(spark, sf_dir)
+    answer_stream(spark, f"{base}/source", questions.schema, f"{base}/sink", f"{base}/checkpoint",
+                  corpus, catalog_from_tables(spark, sf_dir),
+                  retrieve_kwargs={"qstats": stats, "cstats": stats, "k_max": PARITY_K})
+    out = read_answers(spark, f"{base}/sink")
+    return out.select("query_id", "rank", "product_id", "title", "store", "price",
+                      "average_rating", "image", _r("score"))
+
+
 QUERIES = {
     "catalog_typed_scan": catalog_typed_scan,
     "catalog_csv_ingest": catalog_csv_ingest,
@@ -350,4 +368,5 @@ QUERIES = {
     "query_memo": query_memo,
     "hashed_text_search": hashed_text_search,
     "rag_prompt_end_to_end": rag_prompt_end_to_end,
+    "stream_retrieval": stream_retrieval,
 }
