@@ -6,11 +6,11 @@ Shape of the plan
    bounded number of rows whatever the key distribution; the number of tiles comes from
    one small count. Each tile is packed into one row (ids + float32 matrices as binary)
    by a grouped ``applyInArrow``.
-2. Tile pairs are formed by an equi-join on the tile keys. When the packed question side
-   is below ``broadcast_bytes`` (checked from the count, not assumed), it is broadcast and
-   the corpus tiles are not moved again. Otherwise both sides are replicated on the
-   (question tile, corpus tile) key and shuffle-joined, so every pair meets in exactly one
-   task and no key holds more than one pair.
+2. Tile pairs are formed by an equi-join on the tile keys. When one packed side is below
+   ``broadcast_bytes`` (checked from count x fixed row width, not assumed), that side is
+   broadcast and the other is streamed without moving again. Otherwise both sides are
+   replicated on the (question tile, corpus tile) key and shuffle-joined, so every pair
+   meets in exactly one task and no key holds more than one pair.
 3. ``mapInArrow`` scores each pair with one matrix product per chunk, keeps per question
    the local top-n by text and by image (with a small slack so the BLAS result can never
    drop a true member), recomputes the kept pairs in the exact left-to-right DOUBLE order
@@ -367,13 +367,31 @@ def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig |
     # Tile counts come from row counts (no data reaches the driver).
     cstats = cstats or side_stats(c, "vt", "vi")
     qstats = qstats or side_stats(q, "vt", "vi")
-    n_c = max(cfg.min_corpus_tiles, math.ceil(cstats.rows * cstats.row_bytes / cfg.corpus_tile_bytes), 1)
+    c_bytes, q_bytes = cstats.rows * cstats.row_bytes, qstats.rows * qstats.row_bytes
+    par = max(1, questions.sparkSession.sparkContext.defaultParallelism)
+    n_c = max(cfg.min_corpus_tiles, math.ceil(c_bytes / cfg.corpus_tile_bytes), 1)
     n_q = max(1, math.ceil(qstats.rows / cfg.query_tile_rows))
 
+    # Broadcast the smaller packed side when its size (count x fixed row width) is under
+    # the bound; the streamed side is cut into at least one tile per core so the scoring
+    # runs in parallel. Splitting questions never adds candidate rows (each question
+    # still sees the whole corpus tile); splitting the corpus does, so it is only done
+    # when the corpus is the streamed side.
+    if c_bytes <= cfg.broadcast_bytes and c_bytes <= q_bytes:
+        n_q = max(n_q, min(par, math.ceil(qstats.rows / 64)))
+        mode = "corpus"
+    elif q_bytes <= cfg.broadcast_bytes:
+        n_c = max(n_c, min(par, math.ceil(cstats.rows / 1024)))
+        mode = "questions"
+    else:
+        mode = "replicate"
+
     ctiles = _prefixed(_tiles(c, "product_id", n_c), "c_")
     qtiles = _prefixed(_tiles(q, "query_id", n_q), "q_")
 
-    if qstats.rows * qstats.row_bytes <= cfg.broadcast_bytes:
+    if mode == "corpus":
+        pairs = qtiles.join(F.broadcast(ctiles), on="group_key", how="inner")
+    elif mode == "questions":
         pairs = ctiles.join(F.broadcast(qtiles), on="group_key", how="inner")
     else:
         # Replicate: corpus tiles to every question tile, question tiles to every corpus
