@@ -44,6 +44,10 @@ _TILE_SCHEMA = (
 _SLACK = 1e-9
 # Upper bound of the similarity matrix held at once in a Python worker (doubles).
 _CHUNK_CELLS = 4_000_000
+# Merged candidate rows a worker may hold before it emits them. Emitting early is exact:
+# every (question, product) pair is scored in exactly one tile pair, so rows of
+# different flushes never collide and the global ranking after the exchange sees all.
+_EMIT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -223,7 +227,7 @@ class _RunningPools:
 
     _COLS = ("key", "qid", "pid", "ts", "im", "nt", "ni", "k", "alpha")
 
-    def __init__(self, flush_rows: int = 2_000_000):
+    def __init__(self, flush_rows: int = 250_000):
         self.parts: list[dict] = []
         self.rows = 0
         self.kept = 0
@@ -253,11 +257,13 @@ class _RunningPools:
         self.parts = [{c: cat[c][keep] for c in self._COLS}]
         self.rows = self.kept = int(keep.sum())
 
-    def batch(self):
+    def drain(self):
+        """The merged rows as one Arrow batch (None when empty); the buffer is reset."""
         self._compact()
         if not self.parts or self.rows == 0:
             return None
         p = self.parts[0]
+        self.parts, self.rows, self.kept = [], 0, 0
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(p["key"], type=pa.string()),
@@ -297,7 +303,11 @@ def _score_batches(batches):
             a, b, t, i, row = score_tile_pair(q_ids, q_ns, q_ns_i, qt, qi, c_ids, ct, ci)
             acc.add(key=np.full(a.size, cols["group_key"][r].as_py(), dtype=object), qid=a, pid=b, ts=t, im=i,
                     nt=q_ns[row], ni=q_ns_i[row], k=q_ks[row], alpha=q_alpha[row])
-    out = acc.batch()
+            if acc.rows >= _EMIT_ROWS:
+                out = acc.drain()
+                if out is not None:
+                    yield out
+    out = acc.drain()
     if out is not None:
         yield out
 
@@ -347,18 +357,9 @@ def side_stats(df: DataFrame, vt: str, vi: str) -> SideStats:
     return SideStats(int(row["rows"] or 0), max(int(row["dt"] or 0), 0), max(int(row["di"] or 0), 0))
 
 
-def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None,
-                      qstats: SideStats | None = None, cstats: SideStats | None = None) -> DataFrame:
-    """Per question, its top-``n_text`` rows by text and top-``n_image`` rows by image within
-    each partition of tile pairs (the global pools are a final ``row_number`` away).
-
-    questions: ``group_key, query_id, n_text, n_image, k, alpha, qt ARRAY<FLOAT>, qi ARRAY<FLOAT>``
-               (``qi`` NULL or ``n_image`` 0 = the image space is not searched)
-    corpus:    ``group_key, product_id, tv ARRAY<FLOAT>, iv ARRAY<FLOAT>``
-    Output (:data:`CANDIDATE_SCHEMA`) carries both exact similarities of every row, so a
-    row found in one space still has its true score in the other; ``k``/``alpha`` pass
-    through so later steps need no join back to the question table.
-    """
+def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None,
+               qstats: SideStats | None = None, cstats: SideStats | None = None) -> DataFrame:
+    """Packed (question tile, corpus tile) pairs; see :func:`hybrid_candidates`."""
     cfg = cfg or TileConfig()
     q = questions.select("group_key", "query_id", F.col("n_text").alias("n"), F.col("n_image").alias("n_i"),
                          "k", "alpha", F.col("qt").alias("vt"), F.col("qi").alias("vi"))
@@ -399,4 +400,19 @@ def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig |
         cx = ctiles.withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
         qx = qtiles.withColumn("c_tile", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
         pairs = cx.join(qx, on=["group_key", "q_tile", "c_tile"], how="inner")
-    return pairs.mapInArrow(_score_batches, CANDIDATE_SCHEMA)
+    return pairs
+
+
+def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None,
+                      qstats: SideStats | None = None, cstats: SideStats | None = None) -> DataFrame:
+    """Per question, its top-``n_text`` rows by text and top-``n_image`` rows by image within
+    each partition of tile pairs (the global pools are a final ``row_number`` away).
+
+    questions: ``group_key, query_id, n_text, n_image, k, alpha, qt ARRAY<FLOAT>, qi ARRAY<FLOAT>``
+               (``qi`` NULL or ``n_image`` 0 = the image space is not searched)
+    corpus:    ``group_key, product_id, tv ARRAY<FLOAT>, iv ARRAY<FLOAT>``
+    Output (:data:`CANDIDATE_SCHEMA`) carries both exact similarities of every row, so a
+    row found in one space still has its true score in the other; ``k``/``alpha`` pass
+    through so later steps need no join back to the question table.
+    """
+    return tile_pairs(questions, corpus, cfg, qstats, cstats).mapInArrow(_score_batches, CANDIDATE_SCHEMA)

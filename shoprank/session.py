@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,7 +32,14 @@ def get_spark(app: str = "shoprank", cpus: int | str | None = None,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
+    return spark
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make a session ready for this package: shared checkpoint folder + code on the workers."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -54,3 +64,46 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unique folder path under the shared checkpoint folder (not created)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/shoprank-{label}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def _package_zip() -> bytes:
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(root)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, base))
+    return buf.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Put this package on the Python workers' path (what ``--py-files`` does).
+
+    Python stages (tile packing and scoring) import ``shoprank`` on the executors, which
+    otherwise only works when every worker happens to start in the repository folder.
+    The zip is written once per content hash into the shared checkpoint folder and
+    registered with ``addPyFile``; Spark fetches it to every executor.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    data = _package_zip()
+    name = f"shoprank-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles/{name}"
+    jvm = sc._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        out = fs.create(jpath, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

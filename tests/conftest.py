@@ -14,7 +14,7 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from shoprank.session import ensure_checkpoint_dir
+    from shoprank.session import prepare
 
     s = (
         SparkSession.builder.master("local[4]")
@@ -28,6 +28,6 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shoprank-test-ckpt-"))
-    ensure_checkpoint_dir(s)
+    prepare(s)
     yield s
     s.stop()

@@ -112,3 +112,29 @@ def test_result_invariant_to_repartitioning(spark):
     cands = hybrid_candidates(qdf.repartition(5), cdf.repartition(7), TileConfig(corpus_tile_bytes=500))
     b = top_k(fuse(pools(cands)), 3).select("query_id", "rank", "product_id", "score")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_early_emission_keeps_pools_exact(spark, monkeypatch):
+    """A worker that flushes its merge buffer many times still yields the exact pools."""
+    import pyarrow as pa
+
+    from shoprank.operators import knn
+
+    rng = np.random.default_rng(5)
+    nq, nc = 9, 60
+    q_t, c_t, c_i = rng.normal(size=(nq, DIM)), rng.normal(size=(nc, DIM)), rng.normal(size=(nc, DIM))
+    q_i = [rng.normal(size=DIM) for _ in range(nq)]
+    n = [4] * nq
+    qdf, cdf = _frames(spark, q_t, q_i, c_t, c_i, n, n)
+    pairs = knn.tile_pairs(qdf, cdf, TileConfig(corpus_tile_bytes=400, query_tile_rows=2),
+                           SideStats(nq, DIM, DIM), SideStats(nc, DIM, DIM))
+    table = pairs.toArrow()
+    monkeypatch.setattr(knn, "_EMIT_ROWS", 3)
+    out = list(knn._score_batches(iter(table.to_batches(max_chunksize=1))))
+    assert len(out) > 1
+    cands = spark.createDataFrame(pa.Table.from_batches(out).to_pandas(), knn.CANDIDATE_SCHEMA)
+    assert cands.count() == cands.select("query_id", "product_id").distinct().count()
+    got = {}
+    for r in pools(cands).collect():
+        got.setdefault(r.query_id, set()).add(r.product_id)
+    assert got == _brute_pool(q_t, q_i, c_t, c_i, n, n)
