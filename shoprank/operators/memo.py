@@ -43,3 +43,51 @@ def memo_update(memo: DataFrame, computed: DataFrame, used: DataFrame, key_cols:
     merged = memo.unionByName(computed, allowMissingColumns=True)
     merged = merged.join(last, key_cols, "left").withColumn(stamp, F.greatest(F.col(stamp), F.col("_u"))).drop("_u")
     return merged.orderBy(F.col(stamp).desc()).limit(capacity)
+
+
+def batch_memo(calls: DataFrame, key_cols: list[str], batch: str = "batch", stamp: str = "stamp",
+               capacity: int = MEMO_MAX_ENTRIES, max_batches: int = 100_000) -> DataFrame:
+    """Replay a call log through a bounded memo, one batch at a time.
+
+    calls: ``key_cols + [batch, stamp]``; batches run in ``batch`` order, a later call has
+    a larger ``stamp``. Within a batch each distinct argument tuple is computed at most
+    once. After every batch the memo holds the ``capacity`` tuples used most recently
+    (ties: key order). Output per (batch, tuple): ``calls``, ``hit`` (served from the memo
+    left by the previous batch) and ``retained`` (in the memo after this batch).
+
+    Plan: one aggregate per (batch, tuple); a per-batch table (one row per batch, its size
+    checked) gives each batch its position and its *reach*, the first later batch with at
+    least ``capacity`` distinct tuples, which evicts everything older. A tuple row is only
+    replicated to the memo states up to its reach (usually 2), never to all later batches,
+    and each state is a per-batch top-``capacity`` (partial top-N before the exchange).
+    """
+    from pyspark.sql import Window
+
+    per = calls.groupBy(batch, *key_cols).agg(F.count(F.lit(1)).alias("calls"), F.max(stamp).alias("_last"))
+    bt = per.groupBy(F.col(batch).alias("_b")).agg(F.count(F.lit(1)).alias("_nk"))
+    n_b = bt.count()
+    if n_b > max_batches:
+        raise ValueError(f"{n_b} batches exceed the bound of {max_batches}")
+    order = Window.orderBy("_b")
+    bt = bt.withColumn("_i", F.row_number().over(order) - 1)
+    later_full = Window.orderBy("_i").rowsBetween(1, Window.unboundedFollowing)
+    bt = bt.withColumn("_reach", F.coalesce(F.min(F.when(F.col("_nk") >= capacity, F.col("_i"))).over(later_full),
+                                            F.lit(n_b - 1)))
+    per = per.join(F.broadcast(bt.select("_b", "_i", "_reach")), F.col(batch) == F.col("_b")).drop("_b")
+
+    states = per.select(*key_cols, "_last", F.explode(F.sequence(F.col("_i"), F.col("_reach"))).alias("_t"))
+    states = states.groupBy("_t", *key_cols).agg(F.max("_last").alias("_s"))
+    w = Window.partitionBy("_t").orderBy(F.col("_s").desc(), *[F.col(c).asc() for c in key_cols])
+    memo = (states.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.lit(capacity))
+            .select("_t", *key_cols))
+
+    # One pass over the memo states: state t answers batch t + 1 (hit) and is batch t's
+    # memo (retained). At most capacity x 2 rows per batch.
+    flags = memo.select(F.explode(F.array(
+        F.struct((F.col("_t") + 1).alias("_i"), F.lit(True).alias("hit"), F.lit(False).alias("retained")),
+        F.struct(F.col("_t").alias("_i"), F.lit(False).alias("hit"), F.lit(True).alias("retained")))).alias("f"),
+        *key_cols).select("f.*", *key_cols)
+    flags = flags.groupBy("_i", *key_cols).agg(F.max("hit").alias("hit"), F.max("retained").alias("retained"))
+    out = per.join(flags, ["_i", *key_cols], "left")
+    return out.select(batch, *key_cols, "calls", F.coalesce("hit", F.lit(False)).alias("hit"),
+                      F.coalesce("retained", F.lit(False)).alias("retained"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER
+from ..config import PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER, UI_ALPHA
 from ..sources.tables import read_table
 from ..sources.vectors import question_vectors
 
@@ -87,3 +87,22 @@ def slicing_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Error calling model: request "), F.col("query_id").cast("string"), F.lit(" timed out")))
     )
     return t.select("query_id", (v != 6).alias("ok"), body.alias("body"))
+
+
+def memo_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer calls for the memo: one per ``lineitem`` row, about its part.
+
+    ``query`` is the part's question text, ``model_choice`` cycles the dispatch modes by
+    line number, ``batch`` is the ship year and ``stamp`` orders calls by ship day, then
+    order key and line number (``days * 2^40 + orderkey * 16 + line``).
+    """
+    li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_orderkey", "l_linenumber", "l_shipdate"])
+    texts = question_texts(spark, sf_dir).select(F.col("query_id").alias("l_partkey"), "query")
+    modes = F.array(*[F.lit(m) for m in DISPATCH_MODES])
+    stamp = (F.unix_date(F.to_date("l_shipdate")).cast("bigint") * F.lit(1 << 40)
+             + F.col("l_orderkey") * F.lit(16) + F.col("l_linenumber"))
+    return li.join(texts, "l_partkey").select(
+        F.year("l_shipdate").alias("batch"), "query", F.lit(PARITY_K).alias("k"),
+        F.lit(UI_ALPHA).cast("double").alias("alpha"),
+        F.element_at(modes, F.pmod(F.col("l_linenumber"), F.lit(len(DISPATCH_MODES))).cast("int") + 1).alias("model_choice"),
+        stamp.alias("stamp"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..config import (ALPHA_GRID, ANSWER_USER_PARTS, HASH_DIM, MODE_CHOICES, MODE_ROUTES, PARITY_ALPHA,
                       PARITY_K, PARITY_MULTIPLIER, QUERY_SLICING_SYSTEM_MSG, RECOMMENDATION_SYSTEM_MSG,
-                      UI_ALPHA)
+                      MEMO_MAX_ENTRIES, UI_ALPHA)
 from ..operators.slicing import CONSTRAINT_PATTERN, OP_MAP
 from .fixtures import DISPATCH_MODES
 
@@ -244,6 +244,8 @@ def _modes_sql() -> str:
     return f"{arr}[(product_id % {len(DISPATCH_MODES)}) + 1]"
 
 
+_DISPATCH_ARR = "[" + ", ".join(q(m) for m in DISPATCH_MODES) + "]"
+
 _ROUTE_VALUES = ", ".join(
     f"({q(m)}, {q(te)}, {q(ie) if ie else 'NULL'}, {str(to).lower()})" for m, te, ie, to in MODE_ROUTES)
 _GRID = ", ".join(f"(CAST({a!r} AS DOUBLE))" for a in ALPHA_GRID)
@@ -344,19 +346,28 @@ SELECT ok, count(*) AS n_responses, count(body) AS n_parsed,
        CAST(sum(CASE WHEN length(keywords) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_with_keywords,
        CAST(sum(CASE WHEN length(constraints) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_with_constraints
 FROM sliced GROUP BY ok""",
-    "query_memo": f"""
-WITH log AS (
-  SELECT p_partkey AS seq, 'I want a ' || p_name AS query, {K} AS k, CAST({UI_ALPHA!r} AS DOUBLE) AS alpha,
-         'Clip-STrans' AS model_choice
-  FROM part),
-usage AS (
-  SELECT query, k, alpha, model_choice, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS uses,
-         count(*) - 1 AS hits
-  FROM log GROUP BY ALL),
-newest AS (SELECT query FROM usage ORDER BY last_seq DESC LIMIT 50)
-SELECT u.query, u.k, u.alpha, u.model_choice, u.first_seq, u.last_seq, u.uses, u.hits,
-       u.query IN (SELECT query FROM newest) AS retained
-FROM usage u""",
+    "query_memo": _with(QUESTION_TEXTS, f"""
+calls AS (
+  SELECT year(l.l_shipdate) AS batch, t.query, {K} AS k, CAST({UI_ALPHA!r} AS DOUBLE) AS alpha,
+         {_DISPATCH_ARR}[(l.l_linenumber % {len(DISPATCH_MODES)}) + 1] AS model_choice,
+         datediff('day', DATE '1970-01-01', CAST(l.l_shipdate AS DATE)) * CAST(1099511627776 AS BIGINT)
+           + l.l_orderkey * 16 + l.l_linenumber AS stamp
+  FROM lineitem l JOIN qtexts t ON t.query_id = l.l_partkey),
+per AS (SELECT batch, query, k, alpha, model_choice, count(*) AS calls, max(stamp) AS last_stamp
+        FROM calls GROUP BY ALL),
+bt AS (SELECT DISTINCT batch AS b FROM per),
+prevb AS (SELECT b, lag(b) OVER (ORDER BY b) AS pb FROM bt),
+upto AS (SELECT bt.b, p.query, p.k, p.alpha, p.model_choice, max(p.last_stamp) AS s
+         FROM per p JOIN bt ON p.batch <= bt.b GROUP BY ALL),
+memo AS (SELECT * FROM upto
+         QUALIFY row_number() OVER (PARTITION BY b ORDER BY s DESC, query, k, alpha, model_choice) <= {MEMO_MAX_ENTRIES})
+SELECT p.batch, p.query, p.k, p.alpha, p.model_choice, p.calls,
+       mh.query IS NOT NULL AS hit, mr.query IS NOT NULL AS retained
+FROM per p JOIN prevb pv ON pv.b = p.batch
+LEFT JOIN memo mh ON mh.b = pv.pb AND mh.query = p.query AND mh.k = p.k AND mh.alpha = p.alpha
+                 AND mh.model_choice = p.model_choice
+LEFT JOIN memo mr ON mr.b = p.batch AND mr.query = p.query AND mr.k = p.k AND mr.alpha = p.alpha
+                 AND mr.model_choice = p.model_choice"""),
     "hashed_text_search": _with(
         _hash_tokens("qb", "benchmark", "item_id", "text"),
         _hash_tokens("cb", "part", "p_partkey", "concat_ws(' ', p_name, p_type, p_brand)"), """

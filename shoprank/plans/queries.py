@@ -15,7 +15,7 @@ from ..functions.hashing import dense_counts, sparse_weights, token_buckets
 from ..functions.vector import l2_norm, l2_normalize
 from ..operators.constraints import guard, post_filter, recommend
 from ..operators.knn import SideStats, TileConfig, hybrid_candidates
-from ..operators.memo import memo_usage
+from ..operators.memo import batch_memo
 from ..operators.prompts import (answer_messages, assemble_context, result_card, slicing_messages,
                                  with_blocks)
 from ..operators.rank import fuse, pools, top_k
@@ -24,7 +24,7 @@ from ..session import scratch_path
 from ..sources.catalog import catalog_from_tables, read_catalog_csv
 from ..sources.tables import read_table
 from ..sources.vectors import IMAGE_SPACE, TEXT_SPACE, corpus_stats, product_vectors, raw_vectors
-from .fixtures import mixed_mode_questions, parity_questions, question_texts, slicing_responses
+from .fixtures import memo_calls, mixed_mode_questions, parity_questions, question_texts, slicing_responses
 from .retrieval import candidate_pools, resolved_mode, retrieve, route_questions, route_table
 
 R = 6  # decimals of published scores
@@ -285,11 +285,13 @@ def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: memo of answer calls keyed by (question, k, alpha, mode) over the question log."""
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
-    log = part.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("I want a "), F.col("p_name")).alias("query"),
-                      F.lit(PARITY_K).alias("k"), F.lit(UI_ALPHA).alias("alpha"), F.lit("Clip-STrans").alias("model_choice"))
-    return memo_usage(log, ["query", "k", "alpha", "model_choice"])
+    """M1: the answer memo replayed over a question log, one batch per ship year.
+
+    Log = every ``lineitem`` row as a call about its part (question text of the part, mode
+    by line number, k and alpha of the UI); recency = ship date, then order and line.
+    """
+    calls = memo_calls(spark, sf_dir)
+    return batch_memo(calls, ["query", "k", "alpha", "model_choice"])
 
 
 def hashed_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
