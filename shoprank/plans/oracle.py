@@ -390,3 +390,26 @@ SELECT query_id, rank, product_id, round(score, 6) AS score FROM top""",
     + PROMPTS_BASE + _prompt_select("WHERE s.ok") + ")",
 }
 ORACLE["stream_retrieval"] = ORACLE["hybrid_topk_fetch"]
+
+_KW_ANSWER = _messages(RECOMMENDATION_SYSTEM_MSG, f"{_A0} || coalesce(t.query, '') || {_A1} || coalesce(s.constraints, '') "
+                                                  f"|| {_A2} || coalesce(x.context, '') || {_A3}")
+ORACLE["keyword_rag_prompt"] = _with(
+    SLICED, CATALOG,
+    "kq AS (SELECT query_id, constraints, keywords FROM sliced WHERE ok AND length(keywords) > 0)",
+    _hash_tokens("qb", "kq", "query_id", "keywords"),
+    _hash_tokens("cb", "part", "p_partkey", "concat_ws(' ', p_name, p_type, p_brand)"), f"""
+qn AS (SELECT id, sqrt(sum(tf * tf)) AS n FROM qb GROUP BY id),
+cn AS (SELECT id, sqrt(sum(tf * tf)) AS n FROM cb GROUP BY id),
+dots AS (SELECT q.id AS qid, c.id AS pid, sum(q.tf * c.tf) AS d FROM qb q JOIN cb c USING (bucket) GROUP BY ALL),
+pairs AS (
+  SELECT k.query_id, p.p_partkey AS product_id,
+         CASE WHEN coalesce(qn.n, 0) * coalesce(cn.n, 0) = 0 THEN 0.0
+              ELSE CAST(coalesce(d.d, 0) AS DOUBLE) / (qn.n * cn.n) END AS score
+  FROM kq k CROSS JOIN part p
+  LEFT JOIN qn ON qn.id = k.query_id LEFT JOIN cn ON cn.id = p.p_partkey
+  LEFT JOIN dots d ON d.qid = k.query_id AND d.pid = p.p_partkey),
+top AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INTEGER) AS rank
+  FROM pairs QUALIFY rank <= {K})""", FETCHED, BLOCKS, CONTEXT) + f"""
+SELECT x.query_id, s.keywords, x.n_products, {_KW_ANSWER} AS answer_json
+FROM context x JOIN kq s ON s.query_id = x.query_id JOIN qtexts t ON t.query_id = x.query_id"""
