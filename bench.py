@@ -26,6 +26,7 @@ HEADLINE = [
     "text_only_topk",
     "recommend_top3",
     "rag_prompt_end_to_end",
+    "keyword_rag_prompt",
     "hashed_text_search",
     "text_encode_hashed",
     "query_memo",
