@@ -284,25 +284,61 @@ def _ints(cell) -> np.ndarray:
     return np.asarray(cell.values.to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
+_TILE_FIELDS = ("ids", "ns", "ns_i", "ks", "alphas", "dim_t", "dim_i", "mat_t", "mat_i")
+
+
+def _score_pair(acc: "_RunningPools", key: str, q: dict, c: dict) -> None:
+    """Score one (question tile, corpus tile) pair into the running pools. ``q``/``c`` map
+    the packed tile fields to their Arrow scalars."""
+    q_ids, c_ids = _ints(q["ids"]), _ints(c["ids"])
+    q_ns, q_ns_i, q_ks = _ints(q["ns"]), _ints(q["ns_i"]), _ints(q["ks"])
+    q_alpha = np.asarray(q["alphas"].values.to_numpy(zero_copy_only=False), dtype=np.float64)
+    qt = _decode(q["mat_t"].as_py(), len(q_ids), q["dim_t"].as_py())
+    qi = _decode(q["mat_i"].as_py(), len(q_ids), q["dim_i"].as_py())
+    ct = _decode(c["mat_t"].as_py(), len(c_ids), c["dim_t"].as_py())
+    ci = _decode(c["mat_i"].as_py(), len(c_ids), c["dim_i"].as_py())
+    if qt is None or ct is None:
+        return
+    if qt.shape[1] != ct.shape[1] or (qi is not None and ci is not None and qi.shape[1] != ci.shape[1]):
+        raise ValueError("question and corpus vectors differ in dimension")
+    a, b, t, i, row = score_tile_pair(q_ids, q_ns, q_ns_i, qt, qi, c_ids, ct, ci)
+    acc.add(key=np.full(a.size, key, dtype=object), qid=a, pid=b, ts=t, im=i,
+            nt=q_ns[row], ni=q_ns_i[row], k=q_ks[row], alpha=q_alpha[row])
+
+
 def _score_batches(batches):
+    """Rows = joined pairs (``q_*`` and ``c_*`` tile columns), as in the broadcast modes."""
+    acc = _RunningPools()
+    for rb in batches:
+        cols = {name: rb.column(i) for i, name in enumerate(rb.schema.names)}
+        for r in range(rb.num_rows):
+            _score_pair(acc, cols["group_key"][r].as_py(),
+                        {f: cols["q_" + f][r] for f in _TILE_FIELDS}, {f: cols["c_" + f][r] for f in _TILE_FIELDS})
+            if acc.rows >= _EMIT_ROWS:
+                out = acc.drain()
+                if out is not None:
+                    yield out
+    out = acc.drain()
+    if out is not None:
+        yield out
+
+
+def _score_cogrouped(batches):
+    """Rows = replicated tiles sorted by (group_key, pair, side): side 0 is the question
+    tile, side 1 the corpus tile of the same pair. Holds one question tile at a time."""
     acc = _RunningPools()
+    held_key, held = None, None
     for rb in batches:
         cols = {name: rb.column(i) for i, name in enumerate(rb.schema.names)}
         for r in range(rb.num_rows):
-            q_ids, c_ids = _ints(cols["q_ids"][r]), _ints(cols["c_ids"][r])
-            q_ns, q_ns_i, q_ks = _ints(cols["q_ns"][r]), _ints(cols["q_ns_i"][r]), _ints(cols["q_ks"][r])
-            q_alpha = np.asarray(cols["q_alphas"][r].values.to_numpy(zero_copy_only=False), dtype=np.float64)
-            qt = _decode(cols["q_mat_t"][r].as_py(), len(q_ids), cols["q_dim_t"][r].as_py())
-            qi = _decode(cols["q_mat_i"][r].as_py(), len(q_ids), cols["q_dim_i"][r].as_py())
-            ct = _decode(cols["c_mat_t"][r].as_py(), len(c_ids), cols["c_dim_t"][r].as_py())
-            ci = _decode(cols["c_mat_i"][r].as_py(), len(c_ids), cols["c_dim_i"][r].as_py())
-            if qt is None or ct is None:
+            key = (cols["group_key"][r].as_py(), cols["pair"][r].as_py())
+            tile = {f: cols[f][r] for f in _TILE_FIELDS}
+            if cols["side"][r].as_py() == 0:
+                held_key, held = key, tile
                 continue
-            if qt.shape[1] != ct.shape[1] or (qi is not None and ci is not None and qi.shape[1] != ci.shape[1]):
-                raise ValueError("question and corpus vectors differ in dimension")
-            a, b, t, i, row = score_tile_pair(q_ids, q_ns, q_ns_i, qt, qi, c_ids, ct, ci)
-            acc.add(key=np.full(a.size, cols["group_key"][r].as_py(), dtype=object), qid=a, pid=b, ts=t, im=i,
-                    nt=q_ns[row], ni=q_ns_i[row], k=q_ks[row], alpha=q_alpha[row])
+            if held_key != key:
+                continue          # corpus tile whose question tile is empty
+            _score_pair(acc, key[0], held, tile)
             if acc.rows >= _EMIT_ROWS:
                 out = acc.drain()
                 if out is not None:
@@ -312,21 +348,32 @@ def _score_batches(batches):
         yield out
 
 
-def _tiles(df: DataFrame, id_col: str, n_tiles: int) -> DataFrame:
+def _tiles(df: DataFrame, id_col: str, n_tiles: int, n_parts: int) -> DataFrame:
+    """Packed tiles; tile ``t`` is packed in partition ``t % n_parts``.
+
+    ``repartitionById`` places rows by tile number directly: the exchange is user-sized, so
+    AQE does not merge the (small in bytes, heavy in compute) tiles into a few tasks, and the
+    grouped pack needs no second exchange.
+    """
     def opt(c, t):
         return (F.col(c) if c in df.columns else F.lit(0)).cast(t).alias(c)
 
+    tile = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_tiles)).cast("int")
+    packed_in = df.select(
+        F.col("group_key"),
+        tile.alias("tile"),
+        F.col(id_col).alias("id"),
+        opt("n", "int"), opt("n_i", "int"), opt("k", "int"),
+        (F.col("alpha") if "alpha" in df.columns else F.lit(None)).cast("double").alias("alpha"),
+        F.col("vt"),
+        F.col("vi"),
+    )
+    # ``part`` is a grouping column, so the grouped pack is satisfied by this exchange.
+    part = F.col("tile") if n_parts >= n_tiles else F.pmod(F.col("tile"), F.lit(n_parts))
     return (
-        df.select(
-            F.col("group_key"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_tiles)).cast("int").alias("tile"),
-            F.col(id_col).alias("id"),
-            opt("n", "int"), opt("n_i", "int"), opt("k", "int"),
-            (F.col("alpha") if "alpha" in df.columns else F.lit(None)).cast("double").alias("alpha"),
-            F.col("vt"),
-            F.col("vi"),
-        )
-        .groupBy("group_key", "tile")
+        packed_in.withColumn("part", part.cast("int"))
+        .repartitionById(n_parts, "part")
+        .groupBy("group_key", "part", "tile")
         .applyInArrow(_pack_tile, _TILE_SCHEMA)
     )
 
@@ -358,8 +405,10 @@ def side_stats(df: DataFrame, vt: str, vi: str) -> SideStats:
 
 
 def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None,
-               qstats: SideStats | None = None, cstats: SideStats | None = None) -> DataFrame:
-    """Packed (question tile, corpus tile) pairs; see :func:`hybrid_candidates`."""
+               qstats: SideStats | None = None, cstats: SideStats | None = None) -> tuple[DataFrame, str]:
+    """Packed (question tile, corpus tile) pairs and the pairing mode; see
+    :func:`hybrid_candidates`. Broadcast modes give one row per pair (``q_*``/``c_*``
+    columns); the replicate mode gives co-grouped tile rows (``pair``, ``side``)."""
     cfg = cfg or TileConfig()
     q = questions.select("group_key", "query_id", F.col("n_text").alias("n"), F.col("n_image").alias("n_i"),
                          "k", "alpha", F.col("qt").alias("vt"), F.col("qi").alias("vi"))
@@ -387,20 +436,31 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
     else:
         mode = "replicate"
 
-    ctiles = _prefixed(_tiles(c, "product_id", n_c), "c_")
-    qtiles = _prefixed(_tiles(q, "query_id", n_q), "q_")
+    # Partitions per side: one tile per partition up to a cap that keeps the task count sane
+    # on a large cluster (tiles beyond it share partitions and are packed one group at a time).
+    cap = max(4 * par, int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ctiles = _tiles(c, "product_id", n_c, min(n_c, cap))
+    qtiles = _tiles(q, "query_id", n_q, min(n_q, cap))
 
     if mode == "corpus":
-        pairs = qtiles.join(F.broadcast(ctiles), on="group_key", how="inner")
-    elif mode == "questions":
-        pairs = ctiles.join(F.broadcast(qtiles), on="group_key", how="inner")
-    else:
-        # Replicate: corpus tiles to every question tile, question tiles to every corpus
-        # tile; each (q_tile, c_tile) key then holds exactly one pair.
-        cx = ctiles.withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-        qx = qtiles.withColumn("c_tile", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-        pairs = cx.join(qx, on=["group_key", "q_tile", "c_tile"], how="inner")
-    return pairs
+        return _prefixed(qtiles, "q_").join(F.broadcast(_prefixed(ctiles, "c_")), on="group_key", how="inner"), mode
+    if mode == "questions":
+        return _prefixed(ctiles, "c_").join(F.broadcast(_prefixed(qtiles, "q_")), on="group_key", how="inner"), mode
+    # Replicate: each corpus tile to every question tile and back, keyed by the pair
+    # number; a user-sized exchange on the pair number co-groups the two tiles of a pair in
+    # one partition (sorted question tile first), so every pair meets exactly once and no
+    # key holds more than one pair.
+    cx = ctiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q_tile"),
+                       F.lit(1).alias("side")).withColumnRenamed("tile", "c_tile")
+    qx = qtiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c_tile"),
+                       F.lit(0).alias("side")).withColumnRenamed("tile", "q_tile")
+    pair = (F.col("q_tile").cast("bigint") * F.lit(n_c) + F.col("c_tile")).alias("pair")
+    cols = ["group_key", pair, "side", *_TILE_FIELDS]
+    n_pair_parts = min(n_q * n_c, cap)
+    both = (qx.select(*cols).unionByName(cx.select(*cols))
+            .repartitionById(n_pair_parts, F.pmod(F.col("pair"), F.lit(n_pair_parts)).cast("int"))
+            .sortWithinPartitions("group_key", "pair", "side"))
+    return both, mode
 
 
 def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None,
@@ -415,4 +475,6 @@ def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig |
     row found in one space still has its true score in the other; ``k``/``alpha`` pass
     through so later steps need no join back to the question table.
     """
-    return tile_pairs(questions, corpus, cfg, qstats, cstats).mapInArrow(_score_batches, CANDIDATE_SCHEMA)
+    pairs, mode = tile_pairs(questions, corpus, cfg, qstats, cstats)
+    score = _score_cogrouped if mode == "replicate" else _score_batches
+    return pairs.mapInArrow(score, CANDIDATE_SCHEMA)

@@ -114,8 +114,10 @@ def test_result_invariant_to_repartitioning(spark):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
-def test_early_emission_keeps_pools_exact(spark, monkeypatch):
-    """A worker that flushes its merge buffer many times still yields the exact pools."""
+@pytest.mark.parametrize("bcast", [64 << 20, 0])
+def test_early_emission_keeps_pools_exact(spark, monkeypatch, bcast):
+    """A worker that flushes its merge buffer many times still yields the exact pools
+    (broadcast pairing and co-grouped replicate pairing)."""
     import pyarrow as pa
 
     from shoprank.operators import knn
@@ -126,11 +128,16 @@ def test_early_emission_keeps_pools_exact(spark, monkeypatch):
     q_i = [rng.normal(size=DIM) for _ in range(nq)]
     n = [4] * nq
     qdf, cdf = _frames(spark, q_t, q_i, c_t, c_i, n, n)
-    pairs = knn.tile_pairs(qdf, cdf, TileConfig(corpus_tile_bytes=400, query_tile_rows=2),
-                           SideStats(nq, DIM, DIM), SideStats(nc, DIM, DIM))
+    pairs, mode = knn.tile_pairs(qdf, cdf, TileConfig(corpus_tile_bytes=400, query_tile_rows=2, broadcast_bytes=bcast),
+                                 SideStats(nq, DIM, DIM), SideStats(nc, DIM, DIM))
+    assert (mode == "replicate") == (bcast == 0)
+    # one partition's rows in partition order, as mapInArrow sees them
     table = pairs.toArrow()
     monkeypatch.setattr(knn, "_EMIT_ROWS", 3)
-    out = list(knn._score_batches(iter(table.to_batches(max_chunksize=1))))
+    score = knn._score_cogrouped if mode == "replicate" else knn._score_batches
+    if mode == "replicate":
+        table = table.sort_by([("group_key", "ascending"), ("pair", "ascending"), ("side", "ascending")])
+    out = list(score(iter(table.to_batches(max_chunksize=1))))
     assert len(out) > 1
     cands = spark.createDataFrame(pa.Table.from_batches(out).to_pandas(), knn.CANDIDATE_SCHEMA)
     assert cands.count() == cands.select("query_id", "product_id").distinct().count()
