@@ -25,7 +25,9 @@ def token_buckets(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> Da
     The explode is followed by a partial (map-side) aggregation, so one huge text does not
     make one huge shuffle group.
     """
-    toks = df.select(key, F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("tok"))
+    from ..sources.tables import spread
+
+    toks = spread(df.select(key, text)).select(key, F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("tok"))
     toks = toks.filter(F.length("tok") > 0)
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("tok")), 1, 6), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
     return toks.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))

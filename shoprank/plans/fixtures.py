@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER, UI_ALPHA
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from ..sources.vectors import question_vectors
 
 
@@ -96,7 +96,7 @@ def memo_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     line number, ``batch`` is the ship year and ``stamp`` orders calls by ship day, then
     order key and line number (``days * 2^40 + orderkey * 16 + line``).
     """
-    li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_orderkey", "l_linenumber", "l_shipdate"])
+    li = spread(read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_orderkey", "l_linenumber", "l_shipdate"]))
     texts = question_texts(spark, sf_dir).select(F.col("query_id").alias("l_partkey"), "query")
     modes = F.array(*[F.lit(m) for m in DISPATCH_MODES])
     stamp = (F.unix_date(F.to_date("l_shipdate")).cast("bigint") * F.lit(1 << 40)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, LongType, StringType, StructField, StructType
 
 from ..config import IMAGE_URL_PREFIX, IMAGE_URL_SUFFIX
-from .tables import read_table
+from .tables import read_table, spread
 
 CATALOG_SCHEMA = StructType([
     StructField("product_id", LongType()),
@@ -95,7 +95,7 @@ def with_row_ordinal(df: DataFrame, name: str) -> DataFrame:
 
 def product_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``average_rating = avg(l_quantity) / 10`` per part (partial aggregation before the shuffle)."""
-    li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_quantity"])
+    li = spread(read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_quantity"]))
     return li.groupBy(F.col("l_partkey").alias("product_id")).agg(
         (F.avg("l_quantity") / 10).cast("float").alias("average_rating"))
 
