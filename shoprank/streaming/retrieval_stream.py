@@ -16,18 +16,28 @@ from pyspark.sql import functions as F
 from ..plans.retrieval import retrieve
 
 
+def answer_batch(batch: DataFrame, batch_id: int, corpus: DataFrame, sink_dir: str,
+                 catalog: DataFrame | None = None, retrieve_kwargs: dict | None = None) -> DataFrame:
+    """Answer one micro-batch of questions and (over)write its own sink folder.
+
+    Writing to ``batch_id=<id>`` with overwrite makes a replay of the same batch (after a
+    failure between the write and the checkpoint commit) replace, not duplicate, its rows.
+    """
+    questions = batch.filter(F.col("query_id").isNotNull())
+    ranked = retrieve(questions, corpus, catalog, **(retrieve_kwargs or {}))
+    (ranked.withColumn("batch_id", F.lit(batch_id).cast("long"))
+     .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}"))
+    return ranked
+
+
 def answer_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str, checkpoint_dir: str,
                   corpus: DataFrame, catalog: DataFrame | None = None, files_per_trigger: int = 1,
                   retrieve_kwargs: dict | None = None,
                   on_batch: Callable[[DataFrame, int], None] | None = None) -> None:
     """Run the question stream to completion (``availableNow``) into ``sink_dir``."""
-    kwargs = retrieve_kwargs or {}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        questions = batch.filter(F.col("query_id").isNotNull())
-        ranked = retrieve(questions, corpus, catalog, **kwargs)
-        (ranked.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}"))
+        ranked = answer_batch(batch, batch_id, corpus, sink_dir, catalog, retrieve_kwargs)
         if on_batch is not None:
             on_batch(ranked, batch_id)
 
