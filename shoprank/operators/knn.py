@@ -439,7 +439,11 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
     # Partitions per side: one tile per partition up to a cap that keeps the task count sane
     # on a large cluster (tiles beyond it share partitions and are packed one group at a time).
     cap = max(4 * par, int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ctiles = _tiles(c, "product_id", n_c, min(n_c, cap))
+    # Every partition that scores a question emits up to 2n rows for it. When the questions
+    # are broadcast, each corpus partition sees all of them, so the corpus is cut into one
+    # wave of partitions (not more), which bounds those rows at par x 2n per question.
+    c_parts = min(n_c, par if mode == "questions" else cap)
+    ctiles = _tiles(c, "product_id", n_c, c_parts)
     qtiles = _tiles(q, "query_id", n_q, min(n_q, cap))
 
     if mode == "corpus":
@@ -455,11 +459,17 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
     qx = qtiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c_tile"),
                        F.lit(0).alias("side")).withColumnRenamed("tile", "q_tile")
     pair = (F.col("q_tile").cast("bigint") * F.lit(n_c) + F.col("c_tile")).alias("pair")
-    cols = ["group_key", pair, "side", *_TILE_FIELDS]
-    n_pair_parts = min(n_q * n_c, cap)
+    # Question-tile-major layout: the pairs of one question tile go to r partitions (r = 1
+    # once there are as many question tiles as partitions), so the per-partition merge sees
+    # many corpus tiles per question and emits ~r x 2n rows per question, not n_c x 2n.
+    q_parts = min(n_q, cap)
+    r = max(1, min(n_c, cap // q_parts))
+    part = (F.pmod(F.col("q_tile"), F.lit(q_parts)) * F.lit(r) + F.pmod(F.col("c_tile"), F.lit(r))).cast("int")
+    cols = ["group_key", pair, part.alias("part"), "side", *_TILE_FIELDS]
     both = (qx.select(*cols).unionByName(cx.select(*cols))
-            .repartitionById(n_pair_parts, F.pmod(F.col("pair"), F.lit(n_pair_parts)).cast("int"))
-            .sortWithinPartitions("group_key", "pair", "side"))
+            .repartitionById(q_parts * r, "part")
+            .sortWithinPartitions("group_key", "pair", "side")
+            .drop("part"))
     return both, mode
 
 
