@@ -81,3 +81,22 @@ def test_encoder_slot_runs_a_batch_encoder(spark):
     assert got == {1: [9.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
     with pytest.raises(Exception):
         encode_with(docs, "doc_id", "text", lambda ts: [[1.0]] * len(ts), 2).collect()
+
+
+def test_spread_only_splits_small_partition_counts(spark):
+    from shoprank.sources.tables import spread
+
+    par = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, 1, par)
+    assert spread(many) is many                              # already split: unchanged
+    one = spark.range(0, 2_000_000, 1, 1).selectExpr("id", "repeat('x', 20) AS s")
+    assert spread(one, min_bytes=1).rdd.getNumPartitions() == par
+    assert spread(one, min_bytes=1 << 60).rdd.getNumPartitions() == 1
+
+
+def test_row_ordinal_is_dense_and_in_scan_order(spark):
+    from shoprank.sources.catalog import with_row_ordinal
+
+    df = spark.range(0, 500, 1, 7).withColumnRenamed("id", "v")
+    got = sorted((r.v, r.pos) for r in with_row_ordinal(df, "pos").collect())
+    assert got == [(i, i) for i in range(500)]

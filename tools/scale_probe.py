@@ -52,6 +52,13 @@ def main():
         retrieve(questions, big, qstats=stats_q, cstats=stats_c, k_max=10).write.format("noop").mode("overwrite").save()
         out[f"sec_run{rep}"] = round(time.perf_counter() - t0, 2)
     out["pairs_per_sec_run1"] = round(out["questions"] * out["corpus"] / out["sec_run1"])
+    # correctness spot check: copy 0 is the question's own vector in both spaces, so it
+    # must rank first for every question
+    ranked = retrieve(questions, big, qstats=stats_q, cstats=stats_c, k_max=10)
+    firsts = ranked.filter(F.col("rank") == 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("product_id") == F.col("query_id")).cast("int")).alias("self"))
+    row = firsts.first()
+    out["rank1_is_self"] = f"{row['self']}/{row['n']}"
     spark.stop()
     print(json.dumps(out))
 
