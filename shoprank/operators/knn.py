@@ -60,6 +60,12 @@ class TileConfig:
     query_tile_rows: int = 4096
     broadcast_bytes: int = 64 << 20
     min_corpus_tiles: int = 1
+    # Sizing hints for the replicate pairing: expected candidate rows a scoring partition
+    # emits per question (2n; 400 for the common k=10, multiplier=20) and their width, and
+    # the largest packed question tile a task may hold.
+    pool_hint: int = 400
+    candidate_row_bytes: int = 48
+    max_query_tile_bytes: int = 256 << 20
 
 
 def _pack_tile(table: pa.Table) -> pa.Table:
@@ -324,20 +330,21 @@ def _score_batches(batches):
 
 
 def _score_cogrouped(batches):
-    """Rows = replicated tiles sorted by (group_key, pair, side): side 0 is the question
-    tile, side 1 the corpus tile of the same pair. Holds one question tile at a time."""
+    """Rows = replicated tiles sorted by (group_key, q_tile, side): a question tile (side 0)
+    followed by the corpus tiles (side 1) it meets in this partition. Holds one question
+    tile at a time."""
     acc = _RunningPools()
     held_key, held = None, None
     for rb in batches:
         cols = {name: rb.column(i) for i, name in enumerate(rb.schema.names)}
         for r in range(rb.num_rows):
-            key = (cols["group_key"][r].as_py(), cols["pair"][r].as_py())
+            key = (cols["group_key"][r].as_py(), cols["q_tile"][r].as_py())
             tile = {f: cols[f][r] for f in _TILE_FIELDS}
             if cols["side"][r].as_py() == 0:
                 held_key, held = key, tile
                 continue
             if held_key != key:
-                continue          # corpus tile whose question tile is empty
+                continue          # corpus tile of a question tile that does not exist
             _score_pair(acc, key[0], held, tile)
             if acc.rows >= _EMIT_ROWS:
                 out = acc.drain()
@@ -404,11 +411,36 @@ def side_stats(df: DataFrame, vt: str, vi: str) -> SideStats:
     return SideStats(int(row["rows"] or 0), max(int(row["dt"] or 0), 0), max(int(row["di"] or 0), 0))
 
 
+def _questions_cost(q_rows: int, n_c: int, par: int, cfg: TileConfig) -> float:
+    """Shuffle bytes of the broadcast-questions pairing: every corpus partition (one wave)
+    emits up to 2n candidate rows for every question."""
+    return q_rows * min(n_c, par) * cfg.pool_hint * cfg.candidate_row_bytes
+
+
+def _replicate_plan(q_rows: int, q_bytes: int, c_bytes: int, n_c: int, cap: int, cfg: TileConfig) -> tuple[int, float]:
+    """Question tile count for the replicate pairing and its shuffle bytes.
+
+    With n_q question tiles, each question tile is scored in r = cap / n_q partitions: the
+    corpus is copied n_q times, every question tile r times (once per partition, not once
+    per pair) and every partition emits 2n candidate rows per question it holds. Total
+    ``n_q * C + (cap / n_q) * (Q_bytes + Q * 2n * w)`` is smallest at
+    ``n_q = sqrt(cap * (Q_bytes + Q * 2n * w) / C)``, clamped so a packed question tile
+    stays under ``max_query_tile_bytes`` and no tile is empty.
+    """
+    per_q = cfg.pool_hint * cfg.candidate_row_bytes
+    best = math.sqrt(cap * (q_bytes + max(q_rows, 1) * per_q) / max(c_bytes, 1))
+    n_q = max(math.ceil(best), math.ceil(q_bytes / cfg.max_query_tile_bytes), 1)
+    n_q = min(n_q, max(q_rows, 1))
+    r = max(1, min(n_c, cap // min(n_q, cap)))
+    cost = n_q * c_bytes + r * (q_bytes + q_rows * per_q)
+    return n_q, cost
+
+
 def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None,
                qstats: SideStats | None = None, cstats: SideStats | None = None) -> tuple[DataFrame, str]:
     """Packed (question tile, corpus tile) pairs and the pairing mode; see
     :func:`hybrid_candidates`. Broadcast modes give one row per pair (``q_*``/``c_*``
-    columns); the replicate mode gives co-grouped tile rows (``pair``, ``side``)."""
+    columns); the replicate mode gives co-grouped tile rows (``q_tile``, ``side``, ``c_tile``)."""
     cfg = cfg or TileConfig()
     q = questions.select("group_key", "query_id", F.col("n_text").alias("n"), F.col("n_image").alias("n_i"),
                          "k", "alpha", F.col("qt").alias("vt"), F.col("qi").alias("vi"))
@@ -427,18 +459,21 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
     # runs in parallel. Splitting questions never adds candidate rows (each question
     # still sees the whole corpus tile); splitting the corpus does, so it is only done
     # when the corpus is the streamed side.
+    # Partitions per side: one tile per partition up to a cap that keeps the task count sane
+    # on a large cluster (tiles beyond it share partitions and are packed one group at a time).
+    cap = max(4 * par, int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rep_n_q, rep_cost = _replicate_plan(qstats.rows, q_bytes, c_bytes, n_c, cap, cfg)
     if c_bytes <= cfg.broadcast_bytes and c_bytes <= q_bytes:
         n_q = max(n_q, min(par, math.ceil(qstats.rows / 64)))
         mode = "corpus"
-    elif q_bytes <= cfg.broadcast_bytes:
+    elif (q_bytes <= cfg.broadcast_bytes
+          and _questions_cost(qstats.rows, max(n_c, min(par, math.ceil(cstats.rows / 1024))), par, cfg)
+          <= 2 * rep_cost):
         n_c = max(n_c, min(par, math.ceil(cstats.rows / 1024)))
         mode = "questions"
     else:
+        n_q = rep_n_q
         mode = "replicate"
-
-    # Partitions per side: one tile per partition up to a cap that keeps the task count sane
-    # on a large cluster (tiles beyond it share partitions and are packed one group at a time).
-    cap = max(4 * par, int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Every partition that scores a question emits up to 2n rows for it. When the questions
     # are broadcast, each corpus partition sees all of them, so the corpus is cut into one
     # wave of partitions (not more), which bounds those rows at par x 2n per question.
@@ -450,25 +485,25 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
         return _prefixed(qtiles, "q_").join(F.broadcast(_prefixed(ctiles, "c_")), on="group_key", how="inner"), mode
     if mode == "questions":
         return _prefixed(ctiles, "c_").join(F.broadcast(_prefixed(qtiles, "q_")), on="group_key", how="inner"), mode
-    # Replicate: each corpus tile to every question tile and back, keyed by the pair
-    # number; a user-sized exchange on the pair number co-groups the two tiles of a pair in
-    # one partition (sorted question tile first), so every pair meets exactly once and no
-    # key holds more than one pair.
+    # Replicate, question-tile-major: question tile t is scored in r partitions
+    # (t mod q_parts) * r + j; corpus tile c goes to partition j = c mod r of every question
+    # tile. Sorted by (group_key, question tile, side), each partition streams one packed
+    # question tile followed by its corpus tiles, so a question tile travels r times (not
+    # once per pair), each pair is scored exactly once, and the per-partition merge sees
+    # n_c / r corpus tiles per question.
+    q_parts = min(n_q, cap)
+    r = max(1, min(n_c, cap // q_parts))
+    base = F.pmod(F.col("q_tile"), F.lit(q_parts)) * F.lit(r)
     cx = ctiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q_tile"),
                        F.lit(1).alias("side")).withColumnRenamed("tile", "c_tile")
-    qx = qtiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c_tile"),
+    cx = cx.withColumn("part", (base + F.pmod(F.col("c_tile"), F.lit(r))).cast("int"))
+    qx = qtiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("_j"),
                        F.lit(0).alias("side")).withColumnRenamed("tile", "q_tile")
-    pair = (F.col("q_tile").cast("bigint") * F.lit(n_c) + F.col("c_tile")).alias("pair")
-    # Question-tile-major layout: the pairs of one question tile go to r partitions (r = 1
-    # once there are as many question tiles as partitions), so the per-partition merge sees
-    # many corpus tiles per question and emits ~r x 2n rows per question, not n_c x 2n.
-    q_parts = min(n_q, cap)
-    r = max(1, min(n_c, cap // q_parts))
-    part = (F.pmod(F.col("q_tile"), F.lit(q_parts)) * F.lit(r) + F.pmod(F.col("c_tile"), F.lit(r))).cast("int")
-    cols = ["group_key", pair, part.alias("part"), "side", *_TILE_FIELDS]
+    qx = qx.withColumn("c_tile", F.lit(-1)).withColumn("part", (base + F.col("_j")).cast("int"))
+    cols = ["group_key", "part", "q_tile", "side", "c_tile", *_TILE_FIELDS]
     both = (qx.select(*cols).unionByName(cx.select(*cols))
             .repartitionById(q_parts * r, "part")
-            .sortWithinPartitions("group_key", "pair", "side")
+            .sortWithinPartitions("group_key", "q_tile", "side", "c_tile")
             .drop("part"))
     return both, mode
 

@@ -128,7 +128,9 @@ def test_early_emission_keeps_pools_exact(spark, monkeypatch, bcast):
     q_i = [rng.normal(size=DIM) for _ in range(nq)]
     n = [4] * nq
     qdf, cdf = _frames(spark, q_t, q_i, c_t, c_i, n, n)
-    pairs, mode = knn.tile_pairs(qdf, cdf, TileConfig(corpus_tile_bytes=400, query_tile_rows=2, broadcast_bytes=bcast),
+    # pool_hint=1 makes broadcasting the questions the cheaper plan when it is allowed
+    cfg = TileConfig(corpus_tile_bytes=400, query_tile_rows=2, broadcast_bytes=bcast, pool_hint=1 if bcast else 400)
+    pairs, mode = knn.tile_pairs(qdf, cdf, cfg,
                                  SideStats(nq, DIM, DIM), SideStats(nc, DIM, DIM))
     assert (mode == "replicate") == (bcast == 0)
     # one partition's rows in partition order, as mapInArrow sees them
@@ -136,7 +138,8 @@ def test_early_emission_keeps_pools_exact(spark, monkeypatch, bcast):
     monkeypatch.setattr(knn, "_EMIT_ROWS", 3)
     score = knn._score_cogrouped if mode == "replicate" else knn._score_batches
     if mode == "replicate":
-        table = table.sort_by([("group_key", "ascending"), ("pair", "ascending"), ("side", "ascending")])
+        table = table.sort_by([("group_key", "ascending"), ("q_tile", "ascending"), ("side", "ascending"),
+                               ("c_tile", "ascending")])
     out = list(score(iter(table.to_batches(max_chunksize=1))))
     assert len(out) > 1
     cands = spark.createDataFrame(pa.Table.from_batches(out).to_pandas(), knn.CANDIDATE_SCHEMA)
