@@ -2,7 +2,7 @@
 
 Everything under "FIXED VALUES" must stay byte-for-byte as written: the mode names, the
 fallback rule, the prompt texts and the result formats are what a user of the original
-shopping assistant sees, so changing them changes results.
+application sees, so changing them changes results.
 """
 
 from __future__ import annotations
