@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .sharding import op8_interleaved_sharding
+from .url_filter import op4_url_markov_filter
 
 QUERIES = {
+    "op4_url_markov_filter": op4_url_markov_filter,
     "op8_interleaved_sharding": op8_interleaved_sharding,
 }
 
