@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .packing import op3_best_fit_packing
 from .sharding import op8_interleaved_sharding
 from .url_filter import op4_url_markov_filter
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_markov_filter": op4_url_markov_filter,
     "op8_interleaved_sharding": op8_interleaved_sharding,
 }
