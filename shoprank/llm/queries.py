@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .langid import op6_language_viterbi
 from .packing import op3_best_fit_packing
+from .pivot_search import op7_pivot_topk
 from .sharding import op8_interleaved_sharding
 from .url_filter import op4_url_markov_filter
 
 QUERIES = {
+    "op7_pivot_topk": op7_pivot_topk,
     "op6_language_viterbi": op6_language_viterbi,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_markov_filter": op4_url_markov_filter,
