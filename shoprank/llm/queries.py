@@ -6,9 +6,11 @@ from .langid import op6_language_viterbi
 from .packing import op3_best_fit_packing
 from .pivot_search import op7_pivot_topk
 from .sharding import op8_interleaved_sharding
+from .toxicity import op1_toxicity
 from .url_filter import op4_url_markov_filter
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op7_pivot_topk": op7_pivot_topk,
     "op6_language_viterbi": op6_language_viterbi,
     "op3_best_fit_packing": op3_best_fit_packing,
