@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op5_jaccard_join
 from .langid import op6_language_viterbi
 from .packing import op3_best_fit_packing
 from .pivot_search import op7_pivot_topk
@@ -10,6 +11,7 @@ from .toxicity import op1_toxicity
 from .url_filter import op4_url_markov_filter
 
 QUERIES = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op1_toxicity": op1_toxicity,
     "op7_pivot_topk": op7_pivot_topk,
     "op6_language_viterbi": op6_language_viterbi,
