@@ -7,10 +7,12 @@ from .langid import op6_language_viterbi
 from .packing import op3_best_fit_packing
 from .pivot_search import op7_pivot_topk
 from .sharding import op8_interleaved_sharding
+from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op1_toxicity
 from .url_filter import op4_url_markov_filter
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op1_toxicity": op1_toxicity,
     "op7_pivot_topk": op7_pivot_topk,
