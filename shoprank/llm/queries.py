@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_latent_decontamination
 from .jaccard import op5_jaccard_join
 from .langid import op6_language_viterbi
 from .packing import op3_best_fit_packing
@@ -12,6 +13,7 @@ from .toxicity import op1_toxicity
 from .url_filter import op4_url_markov_filter
 
 QUERIES = {
+    "op10_latent_decontamination": op10_latent_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op1_toxicity": op1_toxicity,
