@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
@@ -36,6 +37,11 @@ def fold(id_col: Column, k: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
+def with_fields(df: DataFrame, more: str, *without: str) -> StructType:
+    """The schema of ``df`` but for some columns, followed by the fields of a DDL text."""
+    return StructType([f for f in df.schema.fields if f.name not in without] + StructType.fromDDL(more).fields)
+
+
 def text_blocks(batch: pa.RecordBatch, col: str, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``max_bytes`` of text at most.
 

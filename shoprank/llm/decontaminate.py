@@ -38,7 +38,7 @@ TERMS = 1 << 15
 RANK = 128
 ITEMS = 2048
 COMMON = 0.2
-COSINE = 0.3
+COSINE = 0.25
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.65, 0.5, 5
 RESULT = "doc_id long, item_id long, cosine double, lcs int, item_words int, share double, answer boolean"
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table, text_blocks
+from .common import fold, table, text_blocks, with_fields
 
 BUCKETS = 1 << 16
 PENALTY = 12.0
@@ -188,9 +188,9 @@ def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty
     return path
 
 
-def label(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
+def label(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
           penalty: float = PENALTY) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) of every row; a span is (first byte, end byte, lang) over words of one language.
+    """Columns ``carry`` with (lang_pred, score, spans) of every row; a span is (first byte, end byte, lang) of words of one language.
 
     score: the share of the text's letter bytes in spans of its language.
     """
@@ -207,7 +207,7 @@ def label(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col
         width = max(1, len(langs))
         part = max(1 << 16, (6 << 20) // width)
         for batch in batches:
-            for lo, hi, data, offs in text_blocks(batch, "text", 8 << 20):
+            for lo, hi, data, offs in text_blocks(batch, text_col, 8 << 20):
                 n = hi - lo
                 s, e, r, m = [], [], [], []
                 a = 0
@@ -242,12 +242,13 @@ def label(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col
                     if not letter.search(text):
                         pred[d], score[d], spans[d] = len(langs), 0.0, []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(names[pred].tolist(), pa.string()), pa.array(score),
+                    [*(c.slice(lo, n) for c in batch.columns), pa.array(names[pred].tolist(), pa.string()), pa.array(score),
                      pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))],
-                    names=["doc_id", "lang_pred", "score", "spans"])
+                    names=[*batch.schema.names, "lang_pred", "score", "spans"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<first:long,end:long,lang:string>>")
+    rows = df.select(*carry) if text_col in carry else df.select(*carry, text_col)
+    out = rows.mapInArrow(run, with_fields(rows, "lang_pred string, score double, spans array<struct<first:long,end:long,lang:string>>"))
+    return out.select(*carry, "lang_pred", "score", "spans")
 
 
 def _doubtful(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -257,10 +258,13 @@ def _doubtful(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return seen[offs[1:]] == seen[offs[:-1]]
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Labels of every row by a model learned from the rows whose fold (crc32 of the id mod 4) is not 2."""
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Labels of every row by a model learned from the rows whose fold (crc32 of the id mod 4) is not 2.
+
+    The columns carried (the id if none) must not be named lang_pred, score or spans.
+    """
     model = learn(df.where(fold(F.col(id_col), 4) != 2), text_col, lang_col)
-    return label(df, model, id_col, text_col)
+    return label(df, model, text_col, carry or (id_col,))
 
 
 def op6_language_viterbi(spark, sf_dir: str) -> DataFrame:

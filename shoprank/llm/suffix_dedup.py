@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, ragged, span_hashes, table, text_blocks, written
+from .common import mix64, ragged, span_hashes, table, text_blocks, with_fields, written
 from .induced import InducedSorter
 
 LENGTH = 200
@@ -244,10 +244,11 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     return spans.join(whole, "th", "full").select("th", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
-def without_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def without_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """All columns of ``df`` with (kept binary, n_bytes, n_removed, n_spans): its bytes without the repeated ones.
 
-    The text column must not be named ``th`` or like the new columns.
+    as_text: kept as a string instead, without the characters that a cut has gone through. The columns must not be named
+    ``th``, ``whole`` or like the new ones.
     """
     found = repeated_spans(df, text_col, length)
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -275,17 +276,17 @@ def without_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH)
                         runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     else:
                         keep, runs = own, 0
-                    kept.append(keep.tobytes())
+                    kept.append(keep.tobytes().decode("utf-8", "ignore") if as_text else keep.tobytes())
                     n_bytes.append(n)
                     n_removed.append(n - len(keep))
                     n_spans.append(runs)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(names.index(c)).slice(lo, hi - lo) for c in cols), pa.array(kept, pa.binary()),
+                    [*(batch.column(names.index(c)).slice(lo, hi - lo) for c in cols), pa.array(kept, pa.string() if as_text else pa.binary()),
                      pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())],
                     names=[*cols, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in cols)
-    return rows.mapInArrow(run, f"{types}, kept binary, n_bytes long, n_removed long, n_spans long")
+    kind = "string" if as_text else "binary"
+    return rows.mapInArrow(run, with_fields(rows, f"kept {kind}, n_bytes long, n_removed long, n_spans long", "spans", "whole"))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ragged, span_hashes, table, text_blocks, written
+from .common import fold, ragged, span_hashes, table, text_blocks, with_fields, written
 from .langid import _fold_case
 
 SAMPLE = 40_000
@@ -397,9 +397,7 @@ def _featured(rows: DataFrame, terms: list[str], rigid: frozenset[str], weights:
                     kept += [pa.array(p), pa.array(np.rint(np.expm1(f[:, 3])).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(kept, names=[*names, *(["f"] if weights is None else ["score", "finds"])])
 
-    out = "f array<double>" if weights is None else "score double, finds long"
-    kept = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInArrow(run, f"{kept}, {out}")
+    return rows.mapInArrow(run, with_fields(rows, "f array<double>" if weights is None else "score double, finds long", "text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
