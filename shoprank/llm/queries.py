@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_latent_decontamination
+from .html_text import op9_wrapper_extraction
 from .jaccard import op5_jaccard_join
 from .langid import op6_language_viterbi
 from .packing import op3_best_fit_packing
@@ -13,6 +14,7 @@ from .toxicity import op1_toxicity
 from .url_filter import op4_url_markov_filter
 
 QUERIES = {
+    "op9_wrapper_extraction": op9_wrapper_extraction,
     "op10_latent_decontamination": op10_latent_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_jaccard_join": op5_jaccard_join,
