@@ -318,7 +318,7 @@ def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
             out_tie.append(fp[at][label])
         return pa.table({"fp": pa.array(np.concatenate(out_fp), pa.int64()), "tie": pa.array(np.concatenate(out_tie), pa.int64())})
 
-    return rows.select(*keys, "block", "fp", "seen", "set").groupBy(*keys).applyInArrow(run, "fp long, tie long")
+    return rows.select(*dict.fromkeys([*keys, "block", "fp", "seen", "set"])).groupBy(*keys).applyInArrow(run, "fp long, tie long")
 
 
 def _sets_of(docs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
