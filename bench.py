@@ -22,6 +22,7 @@ from shoprank.session import get_spark  # noqa: E402
 HEADLINE = [
     "hybrid_topk_fetch",
     "mode_dispatch",
+    "mixed_parameter_topk",
     "alpha_sweep",
     "text_only_topk",
     "recommend_top3",
@@ -29,7 +30,6 @@ HEADLINE = [
     "keyword_rag_prompt",
     "hashed_text_search",
     "text_encode_hashed",
-    "query_memo",
     "catalog_csv_ingest",
     "stream_retrieval",
 ]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ASCII whitespace removed by Python's str.strip() (space, \t, \n, \r, \f, \v).
-WS_CLASS = r"[ \t\n\r\f\x0B]"
+# White space removed by Python's str.strip(), as a regex class that Java and RE2 both read.
+WS_CLASS = (r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 _STRIP_RE = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 
 
@@ -36,8 +36,27 @@ def first_labelled_value(body, label: str, parity: bool = True) -> Column:
 
 
 def float_repr(c) -> Column:
-    """Python ``str(float(x))`` of a FLOAT column (the value as a double), NULL -> 'N/A'."""
-    return F.coalesce(_col(c).cast("double").cast("string"), F.lit("N/A"))
+    """Python ``str(float(x))`` of a FLOAT column (the value as a double), NULL -> 'N/A'.
+
+    Plain decimals from 1e-4 up to 1e16 and ``1e-05`` / ``1e+16`` outside; the digits are the engine's shortest ones.
+    """
+    x = _col(c).cast("double")
+    s = x.cast("string")
+    sign = F.when(s.startswith("-"), "-").otherwise("")
+    mant = F.regexp_extract(s, r"^-?([0-9.]+)E", 1)
+    exp = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.replace(mant, F.lit("."), F.lit("")), "0+$", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    n = F.length(digits)
+    large = F.when(n <= exp + 1, F.concat(F.rpad(digits, exp + 1, F.lit("0")), F.lit(".0"))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, n)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    far = F.concat(F.regexp_replace(mant, r"\.0$", ""), F.lit("e"), F.when(exp < 0, "-").otherwise("+"),
+                   F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))), F.lit("0")))
+    text = (F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).when(exp.isNull(), s)
+            .when(exp.between(0, 15), F.concat(sign, large)).when(exp.between(-4, -1), F.concat(sign, small))
+            .otherwise(F.concat(sign, far)))
+    return F.when(x.isNull(), F.lit("N/A")).otherwise(text)
 
 
 def fixed_decimals(c, pattern: str) -> Column:

@@ -1,4 +1,4 @@
-"""Constraint post-filter, recommendation cut and recommendation guard (semi/anti joins)."""
+"""Constraint post-filter, recommendation cut and recommendation guard (one join each)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MAX_RECOMMENDATIONS
-from .slicing import violates
+from .slicing import satisfied
 
 
 def post_filter(ranked: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -17,11 +17,11 @@ def post_filter(ranked: DataFrame, constraints: DataFrame) -> DataFrame:
     ranked: ``query_id, product_id, price, average_rating, ...``;
     constraints: ``query_id, field, op, value``.
     """
-    bad = (ranked.select("query_id", "product_id", "price", "average_rating")
-           .join(constraints.select("query_id", "field", "op", "value"), "query_id")
-           .filter(violates())
-           .select("query_id", "product_id"))
-    return ranked.join(bad, ["query_id", "product_id"], "left_anti")
+    # a question has the few constraints that its text names, so one row can hold them
+    per = constraints.groupBy("query_id").agg(F.collect_list(F.struct("field", "op", "value")).alias("_constraints"))
+    held = ranked.join(per, "query_id", "left")
+    all_met = F.forall("_constraints", lambda c: satisfied(c["field"], c["op"], c["value"]))
+    return held.filter(F.col("_constraints").isNull() | all_met).drop("_constraints")
 
 
 def recommend(survivors: DataFrame, limit: int = MAX_RECOMMENDATIONS) -> DataFrame:
@@ -32,11 +32,7 @@ def recommend(survivors: DataFrame, limit: int = MAX_RECOMMENDATIONS) -> DataFra
 
 
 def guard(proposed: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Label proposals: ``allowed`` = the product is in that question's retrieved list.
-
-    Computed as a left-semi (allowed) and a left-anti (violation) join on the key pair.
-    """
-    keys = retrieved.select("query_id", "product_id")
-    allowed = proposed.join(keys, ["query_id", "product_id"], "left_semi").withColumn("allowed", F.lit(True))
-    denied = proposed.join(keys, ["query_id", "product_id"], "left_anti").withColumn("allowed", F.lit(False))
-    return allowed.unionByName(denied)
+    """Label proposals: ``allowed`` = the product is in that question's retrieved list (one left join)."""
+    keys = retrieved.select("query_id", "product_id").distinct().withColumn("_in", F.lit(True))
+    return (proposed.join(keys, ["query_id", "product_id"], "left")
+            .withColumn("allowed", F.coalesce("_in", F.lit(False))).drop("_in"))

@@ -2,10 +2,9 @@
 
 Shape of the plan
 -----------------
-1. Both sides are cut into tiles by a hash of their id (``xxhash64``), so a tile has a
-   bounded number of rows whatever the key distribution; the number of tiles comes from
-   one small count. Each tile is packed into one row (ids + float32 matrices as binary)
-   by a grouped ``applyInArrow``.
+1. The corpus is packed into tiles where it is scanned (``pack_corpus``, no exchange), or read as tiles
+   packed before; the questions are cut into tiles by a hash of their id (``xxhash64``). A tile has a
+   bounded number of rows whatever the key distribution and is one row (ids + float32 matrices as binary).
 2. Tile pairs are formed by an equi-join on the tile keys. When one packed side is below
    ``broadcast_bytes`` (checked from count x fixed row width, not assumed), that side is
    broadcast and the other is streamed without moving again. Otherwise both sides are
@@ -23,10 +22,12 @@ global ``row_number`` in :mod:`shoprank.operators.rank` over the emitted rows is
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,8 @@ class TileConfig:
     pool_hint: int = 400
     candidate_row_bytes: int = 48
     max_query_tile_bytes: int = 256 << 20
+    # Corpus tiles from which candidates are merged in two levels.
+    merge_above: int = 64
 
 
 def _pack_tile(table: pa.Table) -> pa.Table:
@@ -385,6 +388,71 @@ def _tiles(df: DataFrame, id_col: str, n_tiles: int, n_parts: int) -> DataFrame:
     )
 
 
+def pack_corpus(corpus: DataFrame, cfg: TileConfig | None = None, dims: int = 64) -> DataFrame:
+    """Packed corpus tiles made where the rows are scanned: no exchange. The result can be written once as a table
+    and given to :func:`hybrid_candidates` instead of the corpus, for later queries and micro-batches.
+
+    corpus: ``group_key, product_id, tv, iv``; ``dims``: elements of both vectors together, to size a tile.
+    """
+    cfg = cfg or TileConfig()
+    most = max(1, cfg.corpus_tile_bytes // (24 + 4 * max(dims, 1)))
+    rows = corpus.select("group_key", F.lit(0).alias("tile"), F.col("product_id").alias("id"), F.lit(0).alias("n"),
+                         F.lit(0).alias("n_i"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("alpha"),
+                         F.col("tv").alias("vt"), F.col("iv").alias("vi"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, made = TaskContext.get().partitionId() * 65_537, 0
+        held: dict[str, list] = {}
+        count: dict[str, int] = {}
+
+        def tile(key: str) -> list[pa.RecordBatch]:
+            nonlocal made
+            t = pa.Table.from_batches(held.pop(key))
+            count.pop(key)
+            number = pa.array([(base + made) % (1 << 31)] * len(t), pa.int32())
+            made += 1
+            return _pack_tile(t.set_column(t.schema.get_field_index("tile"), "tile", number)).to_batches()
+
+        for batch in batches:
+            keys = batch.column(0)
+            for key in pc.unique(keys).to_pylist():
+                part = batch.filter(pc.equal(keys, key))
+                for at in range(0, len(part), most):
+                    piece = part.slice(at, most)
+                    if count.get(key, 0) + len(piece) > most and key in held:
+                        yield from tile(key)
+                    held.setdefault(key, []).append(piece)
+                    count[key] = count.get(key, 0) + len(piece)
+        for key in list(held):
+            yield from tile(key)
+
+    return rows.mapInArrow(pack, _TILE_SCHEMA)
+
+
+def _merged(cands: DataFrame, partitions: int) -> DataFrame:
+    """Second merge level: candidates of a question from many scoring partitions meet in about sqrt(partitions)
+    buckets, each of which keeps its top rows, before the final windows see them."""
+    buckets = max(2, math.isqrt(partitions))
+    dealt = cands.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(buckets)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = _RunningPools()
+        for rb in batches:
+            c = {n: rb.column(i) for i, n in enumerate(rb.schema.names)}
+            acc.add(key=np.array(c["group_key"].to_pylist(), object),
+                    **{a: c[b].fill_null(float("nan")).to_numpy(zero_copy_only=False) if t else c[b].to_numpy(zero_copy_only=False).astype(np.int64)
+                       for a, b, t in (("qid", "query_id", 0), ("pid", "product_id", 0), ("ts", "text_sim", 1), ("im", "image_sim", 1),
+                                       ("nt", "n_text", 0), ("ni", "n_image", 0), ("k", "k", 0), ("alpha", "alpha", 1))})
+            if acc.rows >= _EMIT_ROWS and (out := acc.drain()) is not None:
+                yield out
+        if (out := acc.drain()) is not None:
+            yield out
+
+    return dealt.repartition(partitions, "query_id", "_bucket").drop("_bucket").mapInArrow(merge, CANDIDATE_SCHEMA)
+
+
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(
         "group_key",
@@ -411,6 +479,12 @@ def side_stats(df: DataFrame, vt: str, vi: str) -> SideStats:
     return SideStats(int(row["rows"] or 0), max(int(row["dt"] or 0), 0), max(int(row["di"] or 0), 0))
 
 
+def packed_stats(tiles: DataFrame) -> SideStats:
+    """Row count and dimensions of packed tiles."""
+    row = tiles.agg(F.sum(F.size("ids")).alias("rows"), F.max("dim_t").alias("dt"), F.max("dim_i").alias("di")).first()
+    return SideStats(int(row["rows"] or 0), int(row["dt"] or 0), int(row["di"] or 0))
+
+
 def _questions_cost(q_rows: int, n_c: int, par: int, cfg: TileConfig) -> float:
     """Shuffle bytes of the broadcast-questions pairing: every corpus partition (one wave)
     emits up to 2n candidate rows for every question."""
@@ -444,10 +518,10 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
     cfg = cfg or TileConfig()
     q = questions.select("group_key", "query_id", F.col("n_text").alias("n"), F.col("n_image").alias("n_i"),
                          "k", "alpha", F.col("qt").alias("vt"), F.col("qi").alias("vi"))
-    c = corpus.select("group_key", "product_id", F.col("tv").alias("vt"), F.col("iv").alias("vi"))
+    packed = "mat_t" in corpus.columns
 
     # Tile counts come from row counts (no data reaches the driver).
-    cstats = cstats or side_stats(c, "vt", "vi")
+    cstats = cstats or (packed_stats(corpus) if packed else side_stats(corpus, "tv", "iv"))
     qstats = qstats or side_stats(q, "vt", "vi")
     c_bytes, q_bytes = cstats.rows * cstats.row_bytes, qstats.rows * qstats.row_bytes
     par = max(1, questions.sparkSession.sparkContext.defaultParallelism)
@@ -475,10 +549,9 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
         n_q = rep_n_q
         mode = "replicate"
     # Every partition that scores a question emits up to 2n rows for it. When the questions
-    # are broadcast, each corpus partition sees all of them, so the corpus is cut into one
-    # wave of partitions (not more), which bounds those rows at par x 2n per question.
-    c_parts = min(n_c, par if mode == "questions" else cap)
-    ctiles = _tiles(c, "product_id", n_c, c_parts)
+    # are broadcast, each corpus partition sees all of them; beyond MERGE_ABOVE partitions a second
+    # merge level (see _merged) bounds what the final windows read.
+    ctiles = corpus if packed else pack_corpus(corpus, cfg, cstats.dim_t + cstats.dim_i)
     qtiles = _tiles(q, "query_id", n_q, min(n_q, cap))
 
     if mode == "corpus":
@@ -515,11 +588,15 @@ def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig |
 
     questions: ``group_key, query_id, n_text, n_image, k, alpha, qt ARRAY<FLOAT>, qi ARRAY<FLOAT>``
                (``qi`` NULL or ``n_image`` 0 = the image space is not searched)
-    corpus:    ``group_key, product_id, tv ARRAY<FLOAT>, iv ARRAY<FLOAT>``
+    corpus:    ``group_key, product_id, tv ARRAY<FLOAT>, iv ARRAY<FLOAT>``, or its :func:`pack_corpus` tiles
     Output (:data:`CANDIDATE_SCHEMA`) carries both exact similarities of every row, so a
     row found in one space still has its true score in the other; ``k``/``alpha`` pass
     through so later steps need no join back to the question table.
     """
+    cfg = cfg or TileConfig()
+    cstats = cstats or (packed_stats(corpus) if "mat_t" in corpus.columns else side_stats(corpus, "tv", "iv"))
     pairs, mode = tile_pairs(questions, corpus, cfg, qstats, cstats)
     score = _score_cogrouped if mode == "replicate" else _score_batches
-    return pairs.mapInArrow(score, CANDIDATE_SCHEMA)
+    cands = pairs.mapInArrow(score, CANDIDATE_SCHEMA)
+    tiles = math.ceil(cstats.rows * cstats.row_bytes / cfg.corpus_tile_bytes)
+    return _merged(cands, tiles) if mode != "corpus" and tiles > cfg.merge_above else cands

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import (ANSWER_USER_PARTS, BLOCK_SEPARATOR, CARD_PRICE_PATTERN, CARD_RATING_PATTERN,
+from ..config import (AGENT_ANSWER_USER_PARTS, AGENT_RECOMMENDATION_SYSTEM_MSG, AGENT_SLICING_SYSTEM_MSG, ANSWER_USER_PARTS, BLOCK_SEPARATOR, CARD_PRICE_PATTERN, CARD_RATING_PATTERN,
                       MISSING_TEXT, QUERY_SLICING_SYSTEM_MSG, RECOMMENDATION_SYSTEM_MSG,
                       SLICING_USER_PREFIX, SLICING_USER_SUFFIX)
 from ..functions.text import fixed_decimals, float_repr
@@ -78,6 +80,43 @@ def answer_messages(query: Column, constraints: Column, context: Column) -> Colu
     return _messages(RECOMMENDATION_SYSTEM_MSG, user)
 
 
+def _dumped(s: Column) -> Column:
+    """A string as Python's ``json.dumps`` writes it: what isn't printable ASCII as \\uXXXX in lower case."""
+    framed = F.to_json(F.named_struct(F.lit("x"), s))
+    plain = F.substring(framed, F.lit(6), F.length(framed) - 6)  # {"x":"..."} without its frame, quotes kept
+
+    def one(c: Column) -> Column:
+        code = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        esc = F.concat(F.lit("\\u"), F.substring(code, 1, 4))
+        out = F.when(F.length(code) > 4, F.concat(esc, F.lit("\\u"), F.substring(code, 5, 4))).otherwise(esc)
+        out = F.when(c.rlike("^[ -~]$"), c).otherwise(out)
+        for sign, text in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+            out = F.when(c == sign, F.lit(text)).otherwise(out)
+        return out
+
+    spelt = F.concat(F.lit('"'), F.array_join(F.transform(F.split(s, ""), one), ""), F.lit('"'))
+    return F.when(s.rlike(r"[^ -~\n\r\t]"), spelt).otherwise(plain)
+
+
+def _dumped_messages(system: str, user: Column) -> Column:
+    return F.concat(F.lit('[{"role": "system", "content": ' + json.dumps(system) + '}, {"role": "user", "content": '), _dumped(user),
+                    F.lit("}]"))
+
+
+def agent_slicing_request(query: Column) -> Column:
+    """The agent's slicing messages as ``json.dumps`` text."""
+    return _dumped_messages(AGENT_SLICING_SYSTEM_MSG,
+                            F.concat(F.lit(SLICING_USER_PREFIX), F.coalesce(query, F.lit("")), F.lit(SLICING_USER_SUFFIX)))
+
+
+def agent_answer_request(query: Column, constraints: Column, context: Column) -> Column:
+    """The agent's answer messages as ``json.dumps`` text."""
+    a, b, c, d = AGENT_ANSWER_USER_PARTS
+    user = F.concat(F.lit(a), F.coalesce(query, F.lit("")), F.lit(b), F.coalesce(constraints, F.lit("")),
+                    F.lit(c), F.coalesce(context, F.lit("")), F.lit(d))
+    return _dumped_messages(AGENT_RECOMMENDATION_SYSTEM_MSG, user)
+
+
 def result_card(df: DataFrame) -> Column:
     """'**title**  \\nStore: s  \\nPrice: $x.xx  \\nRating: y.y/5' (Python %.2f / %.1f)."""
     return F.concat(

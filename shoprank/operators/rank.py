@@ -39,9 +39,18 @@ def fuse(pool: DataFrame) -> DataFrame:
     return pool.withColumn("score", score.cast("double"))
 
 
-def top_k(scored: DataFrame, k_max: int, by: str = "score", k_col: str = "k",
-          partition: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Rank by ``by`` desc, ``product_id`` asc; keep ``rank <= k`` of the question."""
+def ranked(scored: DataFrame, by: str = "score", partition: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Add ``rank``: by ``by`` desc, ``product_id`` asc."""
     w = Window.partitionBy(*partition).orderBy(F.col(by).desc(), F.col("product_id").asc())
-    ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(k_max))
-    return ranked.filter(F.col("rank") <= F.col(k_col))
+    return scored.withColumn("rank", F.row_number().over(w))
+
+
+def top_k(scored: DataFrame, k_max: int | None = None, by: str = "score", k_col: str = "k",
+          partition: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Keep ``rank <= k`` of the question. ``k_max``: the largest k in the data, an optimiser bound that lets Catalyst
+    cut each partition before the exchange; a question with a larger k fails the job instead of losing rows."""
+    out = ranked(scored, by, partition)
+    if k_max is not None:
+        fits = F.when(F.col(k_col) > k_max, F.raise_error(F.lit(f"k is larger than k_max={k_max}")).cast("int")).otherwise(F.col(k_col))
+        out = out.filter(F.col("rank") <= F.lit(k_max)).withColumn(k_col, fits)
+    return out.filter(F.col("rank") <= F.col(k_col))

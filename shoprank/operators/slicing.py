@@ -71,12 +71,9 @@ def extract_constraints(df: DataFrame, key: str = "query_id", col: str = "constr
         _op(F.col("c.o")).alias("op"), F.col("c.v").cast("double").alias("value"))
 
 
-def violates(field_col: str = "field", op_col: str = "op", value_col: str = "value"):
-    """TRUE when the product does not satisfy the constraint; a NULL price/rating never
-    satisfies one (so it always violates)."""
-    subject = F.when(F.col(field_col) == "price", F.col("price").cast("double")).otherwise(
-        F.col("average_rating").cast("double"))
-    v = F.col(value_col)
-    ok = (F.when(F.col(op_col) == ">", subject > v).when(F.col(op_col) == ">=", subject >= v)
-          .when(F.col(op_col) == "<", subject < v).when(F.col(op_col) == "<=", subject <= v))
-    return ~F.coalesce(ok, F.lit(False))
+def satisfied(field, op, value, price="price", rating="average_rating"):
+    """TRUE when the product meets the constraint; a NULL or NaN price/rating never meets one."""
+    x = F.when(field == "price", F.col(price).cast("double")).otherwise(F.col(rating).cast("double"))
+    ok = (F.when(op == ">", x > value).when(op == ">=", x >= value)
+          .when(op == "<", x < value).when(op == "<=", x <= value))
+    return F.coalesce(ok & ~F.isnan(x), F.lit(False))

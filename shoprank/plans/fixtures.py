@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER, UI_ALPHA
-from ..sources.tables import read_table, spread
+from ..config import PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER
+from ..sources.tables import read_table
 from ..sources.vectors import question_vectors
 
 
@@ -30,6 +30,10 @@ def parity_questions(spark: SparkSession, sf_dir: str, model_choice: str = "Clip
 
 # Modes cycled over the questions by id for the dispatch query (the last one is unknown and
 # must fall back to the first mode).
+MIXED_MODES = ["Clip-Clip", "Clip-STrans", "Clip-Blip", "Blip-Text", "Blip-Blip", None]
+MIXED_K = [5, 10, 20, None]
+MIXED_MULTIPLIER = [20, 50, None]
+MIXED_ALPHA = [0.15, 0.5, 1.0, 0.0, None]
 DISPATCH_MODES = ["Clip-Clip", "Clip-STrans", "Clip-Blip", "Blip-Text", "Blip-Blip"]
 
 
@@ -41,6 +45,31 @@ def mixed_mode_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("model_choice", F.element_at(modes, idx + 1))
 
 
+def mixed_parameter_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product question with its own settings: k 5, 10, 20 or NULL, multiplier 20, 50 or NULL, alpha 0 to 1 or
+    NULL, every mode, an unknown one and NULL."""
+    q = question_vectors(spark, sf_dir)
+
+    def pick(values: list, kind: str):
+        i = F.pmod(F.col("query_id"), F.lit(len(values))).cast("int") + 1
+        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), i)
+
+    return q.select("query_id", pick(MIXED_MODES, "string").alias("model_choice"), pick(MIXED_K, "int").alias("k"),
+                    pick(MIXED_ALPHA, "double").alias("alpha"), pick(MIXED_MULTIPLIER, "int").alias("multiplier"),
+                    "clip", "sbert", "blip")
+
+
+def faulty_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed questions, some with settings that can't be run."""
+    q = mixed_parameter_questions(spark, sf_dir)
+    i = F.col("query_id")
+    return q.withColumns({
+        "alpha": F.when(i % 11 == 0, F.lit(1.2)).when(i % 19 == 0, F.lit(float("nan"))).otherwise(F.col("alpha")),
+        "k": F.when(i % 13 == 0, F.lit(0)).otherwise(F.col("k")),
+        "multiplier": F.when(i % 17 == 0, F.lit(-1)).otherwise(F.col("multiplier")),
+        "query_id": F.when(i % 23 != 0, i)})
+
+
 def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shopping question text per product question: ``query_id, query, constraint_text, keywords_text``.
 
@@ -69,7 +98,7 @@ def slicing_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses to the slicing prompt, one per question: ``query_id, ok, body``.
 
     Layout variant by ``query_id % 7``: 0 normal, 1 capitalised second label, 2 missing
-    first line, 3 label in mid-line after a blank line, 4 two lines per label, 5 CRLF line
+    first line, 3 label in mid-line after a blank line and Unicode spaces, 4 two lines per label, 5 CRLF line
     ends, 6 failed call (``ok = false``, body is the error text).
     """
     t = question_texts(spark, sf_dir)
@@ -80,29 +109,10 @@ def slicing_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(v == 0, F.concat(F.lit("output_1: "), c, nl, F.lit("output_2: "), k))
         .when(v == 1, F.concat(F.lit("output_1: "), c, nl, F.lit("Output_2: "), k))
         .when(v == 2, F.concat(F.lit("output_2: "), k, nl))
-        .when(v == 3, F.concat(F.lit("Sure. output_1: "), c, nl, nl, F.lit("  output_2:   "), k, F.lit("  ")))
+        .when(v == 3, F.concat(F.lit("Sure. output_1: "), c, nl, nl, F.lit("  output_2:\u00a0\u3000 "), k, F.lit(" \u2003\u00a0")))
         .when(v == 4, F.concat(F.lit("output_1: "), c, nl, F.lit("output_1: None"), nl,
                                F.lit("output_2: "), k, nl, F.lit("output_2: extra")))
         .when(v == 5, F.concat(F.lit("\toutput_1: "), c, crlf, F.lit("output_2: "), k, crlf))
         .otherwise(F.concat(F.lit("Error calling model: request "), F.col("query_id").cast("string"), F.lit(" timed out")))
     )
-    return t.select("query_id", (v != 6).alias("ok"), body.alias("body"))
-
-
-def memo_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answer calls for the memo: one per ``lineitem`` row, about its part.
-
-    ``query`` is the part's question text, ``model_choice`` cycles the dispatch modes by
-    line number, ``batch`` is the ship year and ``stamp`` orders calls by ship day, then
-    order key and line number (``days * 2^40 + orderkey * 16 + line``).
-    """
-    li = spread(read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_orderkey", "l_linenumber", "l_shipdate"]))
-    texts = question_texts(spark, sf_dir).select(F.col("query_id").alias("l_partkey"), "query")
-    modes = F.array(*[F.lit(m) for m in DISPATCH_MODES])
-    stamp = (F.unix_date(F.to_date("l_shipdate")).cast("bigint") * F.lit(1 << 40)
-             + F.col("l_orderkey") * F.lit(16) + F.col("l_linenumber"))
-    return li.join(texts, "l_partkey").select(
-        F.year("l_shipdate").alias("batch"), "query", F.lit(PARITY_K).alias("k"),
-        F.lit(UI_ALPHA).cast("double").alias("alpha"),
-        F.element_at(modes, F.pmod(F.col("l_linenumber"), F.lit(len(DISPATCH_MODES))).cast("int") + 1).alias("model_choice"),
-        stamp.alias("stamp"))
+    return t.select("query_id", "query", (v != 6).alias("ok"), body.alias("body"))

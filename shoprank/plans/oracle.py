@@ -7,14 +7,23 @@ so both sides produce the same bits before rounding.
 
 from __future__ import annotations
 
-from ..config import (ALPHA_GRID, ANSWER_USER_PARTS, HASH_DIM, MODE_CHOICES, MODE_ROUTES, PARITY_ALPHA,
-                      PARITY_K, PARITY_MULTIPLIER, QUERY_SLICING_SYSTEM_MSG, RECOMMENDATION_SYSTEM_MSG,
-                      MEMO_MAX_ENTRIES, UI_ALPHA)
-from ..operators.slicing import CONSTRAINT_PATTERN, OP_MAP
-from .fixtures import DISPATCH_MODES
+import json
+
+from ..config import (AGENT_ANSWER_USER_PARTS, AGENT_RECOMMENDATION_SYSTEM_MSG, AGENT_SLICING_SYSTEM_MSG, ALPHA_GRID,
+                      ANSWER_USER_PARTS, HASH_DIM, MODE_CHOICES, PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER,
+                      QUERY_SLICING_SYSTEM_MSG, RECOMMENDATION_SYSTEM_MSG)
+from .fixtures import DISPATCH_MODES, MIXED_ALPHA, MIXED_K, MIXED_MODES, MIXED_MULTIPLIER
+
+# The constraint grammar, written out here on its own.
+CONSTRAINT_PATTERN = (r"(price|star|stars|rating|ratings|review|reviews)\s+"
+                      r"(above|over|more than|at least|under|below|less than|at most|up to)\s+\$?(\d+(?:\.\d+)?)")
+OP_MAP = {"above": ">", "over": ">", "more than": ">", "at least": ">=", "under": "<", "below": "<", "less than": "<",
+          "at most": "<=", "up to": "<="}
+
 
 K, MULT, A = PARITY_K, PARITY_MULTIPLIER, PARITY_ALPHA
-WS = r"[ \t\n\r\f\x0B]"
+# What Python's strip() removes.
+WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def q(s: str) -> str:
@@ -45,38 +54,42 @@ catalog AS (
          'https://img.invalid/' || CAST(p.p_partkey AS VARCHAR) || '.jpg' AS image
   FROM part p LEFT JOIN rating r ON r.product_id = p.p_partkey)"""
 
+# Slices of the embedding per vector set: (name, first, last).
+SETS = [("cl", 17, 48), ("sb", 1, 24), ("bl", 5, 44), ("am", 9, 32), ("iv", 33, 64)]
 VECTORS = f"""
 vec AS (
-  SELECT vec_id AS product_id, CAST(embedding[1:32] AS DOUBLE[]) AS tv, CAST(embedding[33:64] AS DOUBLE[]) AS iv
+  SELECT vec_id AS product_id, {", ".join(f"CAST(embedding[{a}:{b}] AS DOUBLE[]) AS {n}" for n, a, b in SETS)}
   FROM embeddings
-  WHERE vec_id IN (SELECT p_partkey FROM part) AND len(embedding) >= 64
-    AND NOT list_bool_or(list_transform(embedding[1:64], lambda x: x IS NULL OR isnan(x) OR isinf(x)))),
-vecn AS (SELECT product_id, tv, iv, {_norm('tv')} AS tn, {_norm('iv')} AS inn FROM vec)"""
+  WHERE vec_id IN (SELECT p_partkey FROM part) AND len(embedding) = 64
+    AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))),
+vecn AS (SELECT *, {", ".join(f"{_norm(n)} AS {n}n" for n, _, _ in SETS)} FROM vec)"""
 
 _KNOWN = ", ".join(q(m) for m in MODE_CHOICES)
 
 
-def retrieval_ctes(mode_sql: str = "'Clip-STrans'", k: int = K, mult: int = MULT) -> str:
-    """CTEs ``qr, pairs, ranked, pool`` for every question (= every searchable product).
+def retrieval_ctes(mode_sql: str = "'Clip-STrans'", k: str = str(K), mult: str = str(MULT), alpha: str = f"CAST({A!r} AS DOUBLE)") -> str:
+    """CTEs ``qr, pairs, ranked, pool`` for every question (= every searchable product); settings are SQL over its
+    ``product_id``, NULL ones take the defaults.
 
-    Clip-Clip probes the text space with the joint-space (image-half) vector; Blip-Text
-    searches text only with n = k; unknown modes fall back to Clip-Clip.
+    Clip-Clip probes its text set with the joint-space (image) vector; Blip-Text searches its own text set only, with
+    n = k; unknown modes fall back to Clip-Clip.
     """
     return f"""
 {CATALOG.strip()},
 {VECTORS.strip()},
-qm AS (SELECT product_id AS query_id, {mode_sql} AS model_choice FROM vecn),
-qr AS (SELECT query_id, model_choice,
-              CASE WHEN model_choice IN ({_KNOWN}) THEN model_choice ELSE 'Clip-Clip' END AS route_mode
-       FROM qm),
+qm AS (SELECT product_id AS query_id, coalesce({mode_sql}, 'Clip-STrans') AS model_choice, coalesce({k}, 5) AS k,
+              coalesce({mult}, 20) AS mult, coalesce({alpha}, 0.5) AS alpha FROM vecn),
+qr AS (SELECT *, CASE WHEN model_choice IN ({_KNOWN}) THEN model_choice ELSE 'Clip-Clip' END AS route_mode FROM qm),
 pairs AS (
-  SELECT r.query_id, r.model_choice, r.route_mode, c.product_id,
-         CASE WHEN r.route_mode = 'Clip-Clip' THEN {_cos('qv.iv', 'c.tv', 'qv.inn', 'c.tn')}
-              ELSE {_cos('qv.tv', 'c.tv', 'qv.tn', 'c.tn')} END AS text_sim,
+  SELECT r.query_id, r.model_choice, r.route_mode, r.k, r.alpha, c.product_id,
+         CASE r.route_mode WHEN 'Clip-Clip' THEN {_cos('qv.iv', 'c.cl', 'qv.ivn', 'c.cln')}
+              WHEN 'Clip-STrans' THEN {_cos('qv.sb', 'c.sb', 'qv.sbn', 'c.sbn')}
+              WHEN 'Clip-Blip' THEN {_cos('qv.bl', 'c.bl', 'qv.bln', 'c.bln')}
+              ELSE {_cos('qv.sb', 'c.am', 'qv.sbn', 'c.amn')} END AS text_sim,
          CASE WHEN r.route_mode = 'Blip-Text' THEN NULL
-              ELSE {_cos('qv.iv', 'c.iv', 'qv.inn', 'c.inn')} END AS image_sim,
-         CASE WHEN r.route_mode = 'Blip-Text' THEN {k} ELSE {k * mult} END AS n_text,
-         CASE WHEN r.route_mode = 'Blip-Text' THEN 0 ELSE {k * mult} END AS n_image
+              ELSE {_cos('qv.iv', 'c.iv', 'qv.ivn', 'c.ivn')} END AS image_sim,
+         CASE WHEN r.route_mode = 'Blip-Text' THEN r.k ELSE r.k * r.mult END AS n_text,
+         CASE WHEN r.route_mode = 'Blip-Text' THEN 0 ELSE r.k * r.mult END AS n_image
   FROM qr r JOIN vecn qv ON qv.product_id = r.query_id CROSS JOIN vecn c),
 ranked AS (
   SELECT *,
@@ -89,17 +102,16 @@ pool AS (
   FROM ranked WHERE text_rank0 <= n_text OR (image_sim IS NOT NULL AND image_rank0 <= n_image))"""
 
 
-def _score(alpha: str) -> str:
+def _score(alpha: str = "alpha") -> str:
     return f"CASE WHEN n_image = 0 THEN text_sim ELSE {alpha} * text_sim + (1 - {alpha}) * image_sim END"
 
 
-def top_ctes(alpha: float = A, k: int = K) -> str:
-    a = f"CAST({alpha!r} AS DOUBLE)"
+def top_ctes() -> str:
     return f"""
-scored AS (SELECT *, {_score(a)} AS score FROM pool),
+scored AS (SELECT *, {_score()} AS score FROM pool),
 top AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INTEGER) AS rank
-  FROM scored QUALIFY rank <= {k})"""
+  FROM scored QUALIFY rank <= k)"""
 
 
 def _with(*parts: str) -> str:
@@ -132,12 +144,12 @@ qtexts AS (
 RESPONSES = f"""
 {QUESTION_TEXTS.strip()},
 responses AS (
-  SELECT query_id, query_id % 7 != 6 AS ok,
+  SELECT query_id, query, query_id % 7 != 6 AS ok,
     CASE query_id % 7
       WHEN 0 THEN 'output_1: ' || constraint_text || chr(10) || 'output_2: ' || keywords_text
       WHEN 1 THEN 'output_1: ' || constraint_text || chr(10) || 'Output_2: ' || keywords_text
       WHEN 2 THEN 'output_2: ' || keywords_text || chr(10)
-      WHEN 3 THEN 'Sure. output_1: ' || constraint_text || chr(10) || chr(10) || '  output_2:   ' || keywords_text || '  '
+      WHEN 3 THEN 'Sure. output_1: ' || constraint_text || chr(10) || chr(10) || '  output_2:' || chr(160) || chr(12288) || ' ' || keywords_text || ' ' || chr(8195) || chr(160)
       WHEN 4 THEN 'output_1: ' || constraint_text || chr(10) || 'output_1: None' || chr(10) || 'output_2: '
                   || keywords_text || chr(10) || 'output_2: extra'
       WHEN 5 THEN chr(9) || 'output_1: ' || constraint_text || chr(13) || chr(10) || 'output_2: ' || keywords_text
@@ -217,18 +229,17 @@ def _messages(system: str, user: str) -> str:
             "AS VARCHAR)")
 
 
-_A0, _A1, _A2, _A3 = (q(p) for p in ANSWER_USER_PARTS)
-PROMPTS_BASE = _with(retrieval_ctes(), top_ctes(), FETCHED, BLOCKS, CONTEXT, SLICED)
 
 
-def _prompt_select(where: str = "") -> str:
-    slicing = _messages(QUERY_SLICING_SYSTEM_MSG, "'Query:' || chr(10) || '\"' || coalesce(t.query, '') || '\"'")
-    user = (f"{_A0} || coalesce(t.query, '') || {_A1} || coalesce(s.constraints, '') || {_A2} "
-            f"|| coalesce(x.context, '') || {_A3}")
-    return f"""
-SELECT x.query_id, t.query, s.constraints, s.keywords, x.n_products,
-       {slicing} AS slicing_json, {_messages(RECOMMENDATION_SYSTEM_MSG, user)} AS answer_json
-FROM context x JOIN sliced s ON s.query_id = x.query_id JOIN qtexts t ON t.query_id = x.query_id {where}"""
+def _user(parts: tuple[str, ...]) -> str:
+    a, b, c, d = (q(p) for p in parts)
+    return f"{a} || coalesce(s.query, '') || {b} || coalesce(s.constraints, '') || {c} || coalesce(x.context, '') || {d}"
+
+
+def _dumped(system: str, user: str) -> str:
+    """Messages as json.dumps text (the fixtures' own columns are ASCII)."""
+    head = '[{"role": "system", "content": ' + json.dumps(system) + '}, {"role": "user", "content": '
+    return f"{q(head)} || CAST(to_json({user}) AS VARCHAR) || '}}]'"
 
 
 def _hash_tokens(name: str, src: str, key: str, text: str) -> str:
@@ -244,28 +255,47 @@ def _modes_sql() -> str:
     return f"{arr}[(product_id % {len(DISPATCH_MODES)}) + 1]"
 
 
-_DISPATCH_ARR = "[" + ", ".join(q(m) for m in DISPATCH_MODES) + "]"
 
-_ROUTE_VALUES = ", ".join(
-    f"({q(m)}, {q(te)}, {q(ie) if ie else 'NULL'}, {str(to).lower()})" for m, te, ie, to in MODE_ROUTES)
+def _cycle(values: list, kind: str) -> str:
+    """The value at position product_id mod their number."""
+    items = ", ".join("NULL" if v is None else q(v) if isinstance(v, str) else repr(v) for v in values)
+    return f"CAST([{items}] AS {kind}[])[(product_id % {len(values)}) + 1]"
+
+
+MIXED = retrieval_ctes(_cycle(MIXED_MODES, "VARCHAR"), _cycle(MIXED_K, "INTEGER"), _cycle(MIXED_MULTIPLIER, "INTEGER"),
+                       _cycle(MIXED_ALPHA, "DOUBLE"))
 _GRID = ", ".join(f"(CAST({a!r} AS DOUBLE))" for a in ALPHA_GRID)
 
 ORACLE = {
     "catalog_typed_scan": _with(CATALOG) + "\nSELECT product_id, title, store, description, price, average_rating, image FROM catalog",
     "catalog_csv_ingest": _with(CATALOG) + """
 SELECT c.product_id, c.title, c.store,
-       CASE WHEN p.p_size % 13 = 0 THEN NULL ELSE TRY_CAST(CAST(CAST(c.price AS DOUBLE) AS VARCHAR) AS FLOAT) END AS price,
+       CASE WHEN p.p_size % 13 = 0 OR p.p_size % 17 = 0 OR p.p_size % 19 = 0 OR p.p_size % 11 = 0 THEN NULL ELSE c.price END AS price,
        c.average_rating, c.image
 FROM catalog c JOIN part p ON p.p_partkey = c.product_id
-WHERE NOT (p.p_size % 13 != 0 AND p.p_size % 17 = 0)""",
-    "vector_route": _with(VECTORS, f"""
-routes(model_choice, text_encoder, image_encoder, text_only) AS (VALUES {_ROUTE_VALUES}),
-stats AS (
-  SELECT 'text' AS space, count(*) AS n_vectors, CAST(max(len(tv)) AS INTEGER) AS dim FROM vec
-  UNION ALL SELECT 'image', count(*), CAST(max(len(iv)) AS INTEGER) FROM vec)""") + """
-SELECT r.model_choice, r.text_encoder, r.image_encoder, r.text_only, 'text' AS text_space, 'image' AS image_space,
-       t.n_vectors AS n_text_vectors, t.dim AS text_dim, i.n_vectors AS n_image_vectors, i.dim AS image_dim
-FROM routes r JOIN stats t ON t.space = 'text' JOIN stats i ON i.space = 'image'""",
+WHERE p.p_size % 13 = 0 OR p.p_size % 17 = 0 OR p.p_size % 19 = 0 OR p.p_size % 11 = 0
+   OR NOT (p.p_size % 23 = 0 OR p.p_size % 7 = 0)""",
+    "catalog_csv_rejects": """
+SELECT p_partkey AS product_id, CASE WHEN p_size % 23 = 0 THEN '12d' ELSE 'about 9' END AS price, 'price' AS reason
+FROM part
+WHERE NOT (p_size % 13 = 0 OR p_size % 17 = 0 OR p_size % 19 = 0 OR p_size % 11 = 0) AND (p_size % 23 = 0 OR p_size % 7 = 0)""",
+    "vector_rejects": """
+SELECT * FROM (
+  SELECT vec_id AS product_id,
+         CASE WHEN embedding IS NULL OR len(embedding) != 64 THEN 'length'
+              WHEN list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) THEN 'element'
+              WHEN vec_id NOT IN (SELECT p_partkey FROM part) THEN 'no product' END AS reason
+  FROM embeddings) WHERE reason IS NOT NULL""",
+    "vector_route": _with(VECTORS) + """
+SELECT model_choice, text_encoder, image_encoder, text_only, text_space, image_space,
+       (SELECT count(*) FROM vec) AS n_text_vectors, CAST(text_dim AS INTEGER) AS text_dim,
+       CASE WHEN image_space IS NOT NULL THEN (SELECT count(*) FROM vec) END AS n_image_vectors, CAST(image_dim AS INTEGER) AS image_dim
+FROM (VALUES
+  ('Clip-Clip', 'clip', 'clip', false, 'clip_text', 'clip_image', 32, 32),
+  ('Clip-STrans', 'sbert', 'clip', false, 'sbert_text', 'clip_image', 24, 32),
+  ('Clip-Blip', 'blip', 'clip', false, 'blip_text', 'clip_image', 40, 32),
+  ('Blip-Text', 'sbert', NULL, true, 'amazon_text', NULL, 24, NULL))
+  r(model_choice, text_encoder, image_encoder, text_only, text_space, image_space, text_dim, image_dim)""",
     "l2_normalize": f"""
 WITH sp AS (
   SELECT vec_id AS product_id, 'text' AS space, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings
@@ -298,11 +328,19 @@ FROM top t JOIN catalog c ON c.product_id = t.product_id""",
 SELECT query_id, model_choice, route_mode, rank, product_id, round(score, 6) AS score FROM top""",
     "alpha_sweep": _with(retrieval_ctes(), f"""
 grid(alpha) AS (VALUES {_GRID}),
-swept AS (SELECT p.*, g.alpha, {_score('g.alpha')} AS score FROM pool p CROSS JOIN grid g),
+swept AS (SELECT p.* EXCLUDE (alpha), g.alpha, {_score('g.alpha')} AS score FROM pool p CROSS JOIN grid g),
 top AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id, alpha ORDER BY score DESC, product_id) AS INTEGER) AS rank
   FROM swept QUALIFY rank <= {K})""") + """
 SELECT query_id, alpha, rank, product_id, round(score, 6) AS score FROM top""",
+    "mixed_parameter_topk": _with(MIXED, top_ctes()) + """
+SELECT query_id, k, rank, product_id, round(score, 6) AS score FROM top""",
+    "question_rejects": _with(VECTORS) + f"""
+SELECT query_id, reason FROM (
+  SELECT CASE WHEN product_id % 23 != 0 THEN product_id END AS query_id,
+    CASE WHEN product_id % 23 = 0 THEN 'query_id' WHEN product_id % 13 = 0 THEN 'k' WHEN product_id % 17 = 0 THEN 'multiplier'
+         WHEN product_id % 11 = 0 OR product_id % 19 = 0 THEN 'alpha' END AS reason
+  FROM vec) WHERE reason IS NOT NULL""",
     "slice_response_parse": _with(SLICED) + "\nSELECT query_id, ok, constraints, keywords FROM sliced",
     "keyword_normalize": _with(SLICED, f"""
 kw AS (
@@ -327,7 +365,6 @@ FROM pool p WHERE p.image_rank <= 3""",
 SELECT query_id, rank, product_id, block FROM blocks""",
     "context_assemble": _with(retrieval_ctes(), top_ctes(), FETCHED, BLOCKS, CONTEXT) + """
 SELECT query_id, n_products, context FROM context""",
-    "prompt_messages_json": "SELECT query_id, slicing_json, answer_json FROM (" + PROMPTS_BASE + _prompt_select() + ")",
     "result_card_format": RANKED + ",\n" + FETCHED + """
 SELECT query_id, rank,
   '**' || coalesce(title, '') || '**  ' || chr(10) || 'Store: ' || coalesce(store, '') || '  ' || chr(10)
@@ -346,28 +383,6 @@ SELECT ok, count(*) AS n_responses, count(body) AS n_parsed,
        CAST(sum(CASE WHEN length(keywords) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_with_keywords,
        CAST(sum(CASE WHEN length(constraints) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_with_constraints
 FROM sliced GROUP BY ok""",
-    "query_memo": _with(QUESTION_TEXTS, f"""
-calls AS (
-  SELECT year(l.l_shipdate) AS batch, t.query, {K} AS k, CAST({UI_ALPHA!r} AS DOUBLE) AS alpha,
-         {_DISPATCH_ARR}[(l.l_linenumber % {len(DISPATCH_MODES)}) + 1] AS model_choice,
-         datediff('day', DATE '1970-01-01', CAST(l.l_shipdate AS DATE)) * CAST(1099511627776 AS BIGINT)
-           + l.l_orderkey * 16 + l.l_linenumber AS stamp
-  FROM lineitem l JOIN qtexts t ON t.query_id = l.l_partkey),
-per AS (SELECT batch, query, k, alpha, model_choice, count(*) AS calls, max(stamp) AS last_stamp
-        FROM calls GROUP BY ALL),
-bt AS (SELECT DISTINCT batch AS b FROM per),
-prevb AS (SELECT b, lag(b) OVER (ORDER BY b) AS pb FROM bt),
-upto AS (SELECT bt.b, p.query, p.k, p.alpha, p.model_choice, max(p.last_stamp) AS s
-         FROM per p JOIN bt ON p.batch <= bt.b GROUP BY ALL),
-memo AS (SELECT * FROM upto
-         QUALIFY row_number() OVER (PARTITION BY b ORDER BY s DESC, query, k, alpha, model_choice) <= {MEMO_MAX_ENTRIES})
-SELECT p.batch, p.query, p.k, p.alpha, p.model_choice, p.calls,
-       mh.query IS NOT NULL AS hit, mr.query IS NOT NULL AS retained
-FROM per p JOIN prevb pv ON pv.b = p.batch
-LEFT JOIN memo mh ON mh.b = pv.pb AND mh.query = p.query AND mh.k = p.k AND mh.alpha = p.alpha
-                 AND mh.model_choice = p.model_choice
-LEFT JOIN memo mr ON mr.b = p.batch AND mr.query = p.query AND mr.k = p.k AND mr.alpha = p.alpha
-                 AND mr.model_choice = p.model_choice"""),
     "hashed_text_search": _with(
         _hash_tokens("qb", "benchmark", "item_id", "text"),
         _hash_tokens("cb", "part", "p_partkey", "concat_ws(' ', p_name, p_type, p_brand)"), """
@@ -385,17 +400,15 @@ top AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INTEGER) AS rank
   FROM pairs QUALIFY rank <= 10)""") + """
 SELECT query_id, rank, product_id, round(score, 6) AS score FROM top""",
-    "rag_prompt_end_to_end": "SELECT query_id, constraints, keywords, n_products, "
-    "CAST(to_json([{'role': 'user', 'content': [{'text': answer_json}]}]) AS VARCHAR) AS request_json FROM ("
-    + PROMPTS_BASE + _prompt_select("WHERE s.ok") + ")",
 }
-ORACLE["stream_retrieval"] = ORACLE["hybrid_topk_fetch"]
+ORACLE["stream_retrieval"] = _with(MIXED, top_ctes()) + """
+SELECT t.query_id, t.rank, t.product_id, c.title, c.store, c.price, c.average_rating, c.image, round(t.score, 6) AS score
+FROM top t JOIN catalog c ON c.product_id = t.product_id"""
 
-_KW_ANSWER = _messages(RECOMMENDATION_SYSTEM_MSG, f"{_A0} || coalesce(t.query, '') || {_A1} || coalesce(s.constraints, '') "
-                                                  f"|| {_A2} || coalesce(x.context, '') || {_A3}")
-ORACLE["keyword_rag_prompt"] = _with(
+# Questions with keywords, their hashed search over the catalog text and the context of the found products.
+_REQUESTS = _with(
     SLICED, CATALOG,
-    "kq AS (SELECT query_id, constraints, keywords FROM sliced WHERE ok AND length(keywords) > 0)",
+    "kq AS (SELECT query_id, query, constraints, keywords FROM sliced WHERE ok AND length(keywords) > 0)",
     _hash_tokens("qb", "kq", "query_id", "keywords"),
     _hash_tokens("cb", "part", "p_partkey", "concat_ws(' ', p_name, p_type, p_brand)"), f"""
 qn AS (SELECT id, sqrt(sum(tf * tf)) AS n FROM qb GROUP BY id),
@@ -410,6 +423,19 @@ pairs AS (
   LEFT JOIN dots d ON d.qid = k.query_id AND d.pid = p.p_partkey),
 top AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INTEGER) AS rank
-  FROM pairs QUALIFY rank <= {K})""", FETCHED, BLOCKS, CONTEXT) + f"""
-SELECT x.query_id, s.keywords, x.n_products, {_KW_ANSWER} AS answer_json
-FROM context x JOIN kq s ON s.query_id = x.query_id JOIN qtexts t ON t.query_id = x.query_id"""
+  FROM pairs QUALIFY rank <= {K})""", FETCHED, BLOCKS, CONTEXT)
+ORACLE["keyword_rag_prompt"] = _REQUESTS + f"""
+SELECT x.query_id, s.keywords, x.n_products, {_messages(RECOMMENDATION_SYSTEM_MSG, _user(ANSWER_USER_PARTS))} AS answer_json
+FROM context x JOIN kq s ON s.query_id = x.query_id"""
+_REQUEST = f"CAST({_dumped(AGENT_RECOMMENDATION_SYSTEM_MSG, _user(AGENT_ANSWER_USER_PARTS))} AS VARCHAR)"
+ORACLE["rag_prompt_end_to_end"] = _REQUESTS + f"""
+SELECT x.query_id, s.constraints, s.keywords, x.n_products,
+       CAST(to_json([{{'role': 'user', 'content': [{{'text': {_REQUEST}}}]}}]) AS VARCHAR) AS request_json
+FROM context x JOIN kq s ON s.query_id = x.query_id"""
+_ASK = "'Query:' || chr(10) || '\"' || coalesce(a.query, '') || '\"'"
+ORACLE["prompt_messages_json"] = _REQUESTS + f"""
+SELECT a.query_id, {_messages(QUERY_SLICING_SYSTEM_MSG, _ASK)} AS slicing_json,
+       CASE WHEN x.context IS NOT NULL THEN {_messages(RECOMMENDATION_SYSTEM_MSG, _user(ANSWER_USER_PARTS))} END AS answer_json
+FROM sliced a LEFT JOIN context x ON x.query_id = a.query_id LEFT JOIN kq s ON s.query_id = a.query_id"""
+ORACLE["agent_messages_json"] = _with(QUESTION_TEXTS) + f"""
+SELECT a.query_id, {_dumped(AGENT_SLICING_SYSTEM_MSG, _ASK)} AS slicing_request FROM qtexts a"""

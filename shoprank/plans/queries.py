@@ -2,30 +2,34 @@
 
 Float outputs are rounded to 6 decimals; ranks are INT. Column names equal the oracle SQL
 in :mod:`shoprank.plans.oracle`. Every query reads whole tables (no id subsets, no caps
-other than the top-k / memo-capacity limits that are the feature itself).
+other than the top-k limits that are the feature itself).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ALPHA_GRID, HASH_DIM, PARITY_K, UI_ALPHA
+from ..config import ALPHA_GRID, HASH_DIM, MODE_SPACES, PARITY_K, SPACE_SLICES
 from ..functions.hashing import dense_counts, sparse_weights, token_buckets
 from ..functions.vector import l2_norm, l2_normalize
-from ..operators.constraints import guard, post_filter, recommend
-from ..operators.knn import SideStats, TileConfig, hybrid_candidates
-from ..operators.memo import batch_memo
-from ..operators.prompts import (answer_messages, assemble_context, result_card, slicing_messages,
-                                 with_blocks)
-from ..operators.rank import fuse, pools, top_k
+from ..operators.constraints import post_filter, recommend
+from ..operators.knn import SideStats, TileConfig, hybrid_candidates, pack_corpus
+from ..operators.prompts import (agent_answer_request, agent_slicing_request, answer_messages, assemble_context, result_card,
+                                 slicing_messages, with_blocks)
+from ..operators.rank import fuse, pools, ranked, top_k
 from ..operators.slicing import clean_keywords, extract_constraints, parse_slices
-from ..session import scratch_path
+from ..session import scratch_path, scratch_table
 from ..sources.catalog import catalog_from_tables, read_catalog_csv
 from ..sources.tables import read_table
-from ..sources.vectors import IMAGE_SPACE, TEXT_SPACE, corpus_stats, product_vectors, raw_vectors
-from .fixtures import memo_calls, mixed_mode_questions, parity_questions, question_texts, slicing_responses
-from .retrieval import candidate_pools, resolved_mode, retrieve, route_questions, route_table
+from ..sources.vectors import corpus_stats, product_vectors, valid_vectors
+from ..sources.vectors import vector_rejects as rejected_vectors
+from .fixtures import (faulty_questions, mixed_mode_questions, mixed_parameter_questions, parity_questions, question_texts,
+                       slicing_responses)
+from .retrieval import (candidate_pools, question_rejects, question_stats, resolved_mode, retrieve, route_questions, route_table,
+                        with_defaults)
 
 R = 6  # decimals of published scores
 
@@ -42,50 +46,58 @@ def catalog_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_from_tables(spark, sf_dir)
 
 
-def catalog_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog written by Spark as CSV (extra column, empty and bad prices), then
-    ingested by name with ``try_cast``; rejected rows leave, empty prices become NULL."""
+def _catalog_csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The catalog written by Spark as CSV (extra column; empty, missing-word and bad prices) and ingested again."""
     cat = catalog_from_tables(spark, sf_dir)
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
-    price_text = (F.when(F.col("p_size") % 13 == 0, F.lit(""))
-                  .when(F.col("p_size") % 17 == 0, F.lit("n/a"))
+    size = F.col("p_size")
+    price_text = (F.when(size % 13 == 0, F.lit("")).when(size % 17 == 0, F.lit("n/a")).when(size % 19 == 0, F.lit("NaN"))
+                  .when(size % 11 == 0, F.lit("NULL")).when(size % 23 == 0, F.lit("12d")).when(size % 7 == 0, F.lit("about 9"))
                   .otherwise(F.col("price").cast("double").cast("string")))
     out = (cat.join(part, cat.product_id == part.p_partkey)
-           .select(F.col("p_size").cast("string").alias("junk"), "title", "store",
+           .select(size.cast("string").alias("junk"), "title", "store",
                    price_text.alias("price"), F.col("average_rating").cast("string").alias("average_rating"),
                    "image", F.col("product_id").cast("string").alias("product_key")))
     path = scratch_path(spark, "catalog-csv")
     out.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
-    typed, _rejects = read_catalog_csv(spark, path, id_col="product_key")
+    return read_catalog_csv(spark, path, id_col="product_key")
+
+
+def catalog_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV ingest by column name; missing-value words become NULL prices and the rows stay."""
+    typed, _ = _catalog_csv(spark, sf_dir)
     return typed.select("product_id", "title", "store", "price", "average_rating", "image")
 
 
+def catalog_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the ingest leaves out, with the number as written and the reason."""
+    _, rejects = _catalog_csv(spark, sf_dir)
+    return rejects.select("product_id", "price", "reason")
+
+
+def vector_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings that can't be searched and why."""
+    return rejected_vectors(spark, sf_dir)
+
+
 def vector_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mode routes joined with the vector count and dimension of their spaces."""
-    corpus = product_vectors(spark, sf_dir)
-    long = corpus.select(F.explode(F.array(
-        F.struct(F.lit(TEXT_SPACE).alias("space"), F.size("tv").alias("dim")),
-        F.struct(F.lit(IMAGE_SPACE).alias("space"), F.size("iv").alias("dim")))).alias("s")).select("s.*")
+    """Mode routes with the number and dimension of the vectors in the sets that they search."""
+    sets = F.array(*[F.struct(F.lit(name).alias("space"), F.size(F.slice("embedding", *at)).alias("dim")) for name, at in SPACE_SLICES.items()])
+    long = valid_vectors(spark, sf_dir).select(F.explode(sets).alias("s")).select("s.*")
     stats = long.groupBy("space").agg(F.count(F.lit(1)).alias("n_vectors"), F.max("dim").alias("dim"))
-    routes = route_table(spark).select(
-        F.col("route_mode").alias("model_choice"), "text_encoder", "image_encoder", "text_only",
-        F.lit(TEXT_SPACE).alias("text_space"), F.lit(IMAGE_SPACE).alias("image_space"))
-    t = stats.select(F.col("space").alias("text_space"), F.col("n_vectors").alias("n_text_vectors"),
-                     F.col("dim").alias("text_dim"))
-    i = stats.select(F.col("space").alias("image_space"), F.col("n_vectors").alias("n_image_vectors"),
-                     F.col("dim").alias("image_dim"))
-    # Both sides are bounded by the number of spaces (2 rows): broadcast is safe.
-    return routes.join(F.broadcast(t), "text_space").join(F.broadcast(i), "image_space")
+    routes = route_table(spark).withColumnRenamed("route_mode", "model_choice")
+    t = stats.select(F.col("space").alias("text_space"), F.col("n_vectors").alias("n_text_vectors"), F.col("dim").alias("text_dim"))
+    i = stats.select(F.col("space").alias("image_space"), F.col("n_vectors").alias("n_image_vectors"), F.col("dim").alias("image_dim"))
+    # A row per vector set on either side: five at most, so broadcast is safe.
+    return routes.join(F.broadcast(t), "text_space").join(F.broadcast(i), "image_space", "left")
 
 
 def l2_normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4/V5: L2 normalisation of every vector in each space (and the full vector)."""
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
-    raw = raw_vectors(spark, sf_dir)
-    sp = (raw.select("product_id", F.lit(TEXT_SPACE).alias("space"), F.col("tv").alias("v"))
-          .unionByName(raw.select("product_id", F.lit(IMAGE_SPACE).alias("space"), F.col("iv").alias("v")))
-          .unionByName(emb.select(F.col("vec_id").alias("product_id"), F.lit("full").alias("space"),
-                                  F.col("embedding").alias("v"))))
+    parts = {"text": F.slice("embedding", 1, 32), "image": F.slice("embedding", 33, 32), "full": F.col("embedding")}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("space"), v.alias("v")) for n, v in parts.items()])).alias("s")
+    sp = emb.select(F.col("vec_id").alias("product_id"), each).select("product_id", "s.space", "s.v")
     n = sp.withColumn("nb", l2_norm("v"))
     u = n.withColumn("u", l2_normalize("v", "nb"))
     return u.select("product_id", "space", _r("nb", "norm_before"),
@@ -103,15 +115,14 @@ def text_encode_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- retrieval
 
 
-def _inputs(spark: SparkSession, sf_dir: str):
-    corpus = product_vectors(spark, sf_dir)
-    stats = corpus_stats(spark, sf_dir)
-    return corpus, stats
+def _inputs(spark: SparkSession, sf_dir: str, modes: list[str] | None = None):
+    return product_vectors(spark, sf_dir, modes), corpus_stats(spark, sf_dir, modes)
 
 
 def _pool(spark: SparkSession, sf_dir: str, questions: DataFrame) -> DataFrame:
-    corpus, stats = _inputs(spark, sf_dir)
-    return candidate_pools(route_questions(questions), corpus, qstats=stats, cstats=stats)
+    corpus, stats = _inputs(spark, sf_dir, ["Clip-STrans"])
+    routed = route_questions(questions)
+    return candidate_pools(routed, corpus, qstats=question_stats(routed)[0], cstats=stats)
 
 
 def topn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,33 +151,44 @@ def rescore_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str, questions: DataFrame | None = None,
-            catalog: DataFrame | None = None) -> DataFrame:
-    corpus, stats = _inputs(spark, sf_dir)
+            catalog: DataFrame | None = None, modes: list[str] | None = None) -> DataFrame:
     questions = questions if questions is not None else parity_questions(spark, sf_dir)
-    return retrieve(questions, corpus, catalog, qstats=stats, cstats=stats, k_max=PARITY_K)
+    corpus, stats = _inputs(spark, sf_dir, modes or ["Clip-STrans"])
+    return retrieve(questions, corpus, catalog, cstats=stats)
 
 
 def hybrid_topk_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R8/R9/S4 (flagship): hybrid top-k of every product question, fetched from the catalog."""
-    ranked = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
-    return ranked.select("query_id", "rank", "product_id", "title", "store", "price",
-                         "average_rating", "image", _r("score"))
+    out = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
+    return out.select("query_id", "rank", "product_id", "title", "store", "price", "average_rating", "image", _r("score"))
 
 
 def text_only_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text-only mode: top k by text cosine, no over-fetch, no fusion."""
     q = parity_questions(spark, sf_dir, model_choice="Blip-Text")
-    ranked = _ranked(spark, sf_dir, q, catalog_from_tables(spark, sf_dir, with_rating=False))
-    return ranked.select("query_id", "rank", "product_id", "title", _r("text_sim"))
+    out = _ranked(spark, sf_dir, q, catalog_from_tables(spark, sf_dir, with_rating=False), ["Blip-Text"])
+    return out.select("query_id", "rank", "product_id", "title", _r("text_sim"))
 
 
 def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch mixing all modes and an unknown one (falls back)."""
     q = mixed_mode_questions(spark, sf_dir)
-    ranked = _ranked(spark, sf_dir, q)
+    out = _ranked(spark, sf_dir, q, modes=list(MODE_SPACES))
     modes = q.select("query_id", "model_choice", resolved_mode().alias("route_mode"))
-    return ranked.join(modes, "query_id").select("query_id", "model_choice", "route_mode", "rank",
-                                                 "product_id", _r("score"))
+    return out.join(modes, "query_id").select("query_id", "model_choice", "route_mode", "rank", "product_id", _r("score"))
+
+
+def mixed_parameter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question with its own k, multiplier, alpha and mode, NULL settings taking the defaults."""
+    q = mixed_parameter_questions(spark, sf_dir)
+    out = _ranked(spark, sf_dir, q, modes=list(MODE_SPACES))
+    k = with_defaults(q).select("query_id", "k")
+    return out.join(k, "query_id").select("query_id", "k", "rank", "product_id", _r("score"))
+
+
+def rejected_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose settings can't be run and why."""
+    return question_rejects(faulty_questions(spark, sf_dir))
 
 
 def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +196,8 @@ def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pool(spark, sf_dir, parity_questions(spark, sf_dir))
     grid = F.explode(F.array(*[F.lit(float(a)) for a in ALPHA_GRID])).alias("alpha_g")
     swept = p.select("*", grid).drop("alpha").withColumnRenamed("alpha_g", "alpha")
-    ranked = top_k(fuse(swept), PARITY_K, partition=("query_id", "alpha"))
-    return ranked.select("query_id", "alpha", F.col("rank").cast("int").alias("rank"), "product_id", _r("score"))
+    out = top_k(fuse(swept), PARITY_K, partition=("query_id", "alpha"))
+    return out.select("query_id", "alpha", F.col("rank").cast("int").alias("rank"), "product_id", _r("score"))
 
 
 # --------------------------------------------------------------------------- slicing and constraints
@@ -201,8 +223,8 @@ def constraint_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
-    return post_filter(ranked, extract_constraints(_sliced(spark, sf_dir)))
+    out = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
+    return post_filter(out, extract_constraints(_sliced(spark, sf_dir)))
 
 
 def constraint_filter_post(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,12 +241,9 @@ def recommend_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recommendation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6: proposals (top 3 by image similarity alone) checked against the retrieved list."""
-    corpus, stats = _inputs(spark, sf_dir)
-    routed = route_questions(parity_questions(spark, sf_dir))
-    pool = candidate_pools(routed, corpus, qstats=stats, cstats=stats)
-    proposed = pool.filter(F.col("image_rank") <= 3).select("query_id", "product_id")
-    retrieved = top_k(fuse(pool), PARITY_K)
-    return guard(proposed, retrieved).select("query_id", "product_id", "allowed")
+    # the proposals are rows of the pool, so their place in the ranking tells whether they were retrieved
+    pool = ranked(fuse(_pool(spark, sf_dir, parity_questions(spark, sf_dir))))
+    return pool.filter(F.col("image_rank") <= 3).select("query_id", "product_id", (F.col("rank") <= F.col("k")).alias("allowed"))
 
 
 # --------------------------------------------------------------------------- prompts and reports
@@ -244,27 +263,55 @@ def context_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble_context(_blocks(spark, sf_dir))
 
 
-def _prompts(spark: SparkSession, sf_dir: str, only_ok: bool) -> DataFrame:
-    ctx = assemble_context(_blocks(spark, sf_dir))
-    sliced = _sliced(spark, sf_dir)
-    if only_ok:
-        sliced = sliced.filter(F.col("ok"))
-    texts = question_texts(spark, sf_dir).select("query_id", "query")
-    base = ctx.join(sliced.select("query_id", "constraints", "keywords"), "query_id").join(texts, "query_id")
-    return base.select("query_id", "query", "constraints", "keywords", "n_products",
-                       slicing_messages(F.col("query")).alias("slicing_json"),
-                       answer_messages(F.col("query"), F.col("constraints"), F.col("context")).alias("answer_json"))
+Retriever = Callable[[DataFrame], DataFrame]
+
+
+def rag_requests(sliced: DataFrame, retriever: Retriever, catalog: DataFrame) -> DataFrame:
+    """What a language model is asked about every question that was sliced.
+
+    sliced: ``query_id, query, constraints, keywords``. ``retriever`` takes ``query_id, text`` and returns
+    ``query_id, rank, product_id``; the keywords are what it searches. Adds ``n_products`` and ``context``.
+    """
+    found = retriever(sliced.select("query_id", F.col("keywords").alias("text")))
+    context = assemble_context(with_blocks(found.join(catalog, "product_id")))
+    return sliced.join(context, "query_id")
+
+
+def hashed_retriever(spark: SparkSession, sf_dir: str) -> Retriever:
+    """Text questions against the catalog text through the hashing encoder."""
+    return lambda questions: _hashed_search(spark, sf_dir, questions)
+
+
+def _answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose slicing call succeeded and gave something to search (an empty question is never run)."""
+    return _sliced(spark, sf_dir).filter(F.col("ok") & (F.length("keywords") > 0))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag_requests(_answerable(spark, sf_dir), hashed_retriever(spark, sf_dir), catalog_from_tables(spark, sf_dir))
 
 
 def prompt_messages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slicing and answer message lists as JSON for every question."""
-    return _prompts(spark, sf_dir, only_ok=False).select("query_id", "slicing_json", "answer_json")
+    """Slicing messages of every question as JSON, and answer messages of those that can be answered
+    (chat variant)."""
+    asked = _sliced(spark, sf_dir).select("query_id", "query")
+    answers = _requests(spark, sf_dir).select("query_id", "constraints", "context")
+    both = asked.join(answers, "query_id", "left")
+    answer = answer_messages(F.col("query"), F.col("constraints"), F.col("context"))
+    return both.select("query_id", slicing_messages(F.col("query")).alias("slicing_json"),
+                       F.when(F.col("context").isNotNull(), answer).alias("answer_json"))
+
+
+def agent_messages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: the agent's slicing request of every question, as ``json.dumps`` text."""
+    texts = question_texts(spark, sf_dir)
+    return texts.select("query_id", agent_slicing_request(F.col("query")).alias("slicing_request"))
 
 
 def result_card_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result card text of every retrieved product."""
-    ranked = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
-    return ranked.select("query_id", "rank", result_card(ranked).alias("card"))
+    out = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
+    return out.select("query_id", "rank", result_card(out).alias("card"))
 
 
 def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,17 +331,7 @@ def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: the answer memo replayed over a question log, one batch per ship year.
-
-    Log = every ``lineitem`` row as a call about its part (question text of the part, mode
-    by line number, k and alpha of the UI); recency = ship date, then order and line.
-    """
-    calls = memo_calls(spark, sf_dir)
-    return batch_memo(calls, ["query", "k", "alpha", "model_choice"])
-
-
-def _hashed_search(spark: SparkSession, sf_dir: str, questions: DataFrame, rows_bound: int) -> DataFrame:
+def _hashed_search(spark: SparkSession, sf_dir: str, questions: DataFrame) -> DataFrame:
     """Text questions ``(query_id, text)`` against the catalog text (title, description,
     store), both through the hashing encoder; exact cosine top-k on the tiled kNN join."""
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_brand"])
@@ -307,10 +344,8 @@ def _hashed_search(spark: SparkSession, sf_dir: str, questions: DataFrame, rows_
                   F.col("vec").alias("qt"), F.lit(None).cast("array<float>").alias("qi"))
     c = cv.select(F.lit("hash").alias("group_key"), "product_id", F.col("vec").alias("tv"),
                   F.lit(None).cast("array<float>").alias("iv"))
-    # Row counts are upper bounds for tiling only (parquet footers, no data scan).
-    n_c = part.count()
-    cands = hybrid_candidates(q, c, TileConfig(), qstats=SideStats(rows_bound, HASH_DIM, 0),
-                              cstats=SideStats(n_c, HASH_DIM, 0))
+    cands = hybrid_candidates(q, c, TileConfig(pool_hint=PARITY_K), qstats=SideStats(questions.count(), HASH_DIM, 0),
+                              cstats=SideStats(part.count(), HASH_DIM, 0))
     return top_k(fuse(pools(cands)), PARITY_K).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "product_id", "score")
 
@@ -318,47 +353,41 @@ def _hashed_search(spark: SparkSession, sf_dir: str, questions: DataFrame, rows_
 def hashed_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 over the hashing encoder: free-text questions against catalog text, exact cosine."""
     bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
-    ranked = _hashed_search(spark, sf_dir, bench.select(F.col("item_id").alias("query_id"), "text"), bench.count())
-    return ranked.select("query_id", "rank", "product_id", _r("score"))
+    out = _hashed_search(spark, sf_dir, bench.select(F.col("item_id").alias("query_id"), "text"))
+    return out.select("query_id", "rank", "product_id", _r("score"))
 
 
 def keyword_rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q7/S5/R14 on text: the sliced keywords are what is searched. Failed calls and empty
-    keywords are dropped (an empty question is never run); keywords -> hashed encoding ->
-    top-k over catalog text -> catalog fetch -> blocks -> context -> answer messages."""
-    sliced = _sliced(spark, sf_dir).filter(F.col("ok") & (F.length("keywords") > 0))
-    n_bound = read_table(spark, sf_dir, "part", ["p_partkey"]).count()
-    ranked = _hashed_search(spark, sf_dir, sliced.select("query_id", F.col("keywords").alias("text")), n_bound)
-    fetched = ranked.join(catalog_from_tables(spark, sf_dir), "product_id")
-    ctx = assemble_context(with_blocks(fetched))
-    texts = question_texts(spark, sf_dir).select("query_id", "query")
-    base = ctx.join(sliced.select("query_id", "constraints", "keywords"), "query_id").join(texts, "query_id")
-    return base.select("query_id", "keywords", "n_products",
-                       answer_messages(F.col("query"), F.col("constraints"), F.col("context")).alias("answer_json"))
+    """Sliced keywords -> retriever -> catalog fetch -> blocks -> context -> answer messages (chat variant)."""
+    return _requests(spark, sf_dir).select(
+        "query_id", "keywords", "n_products",
+        answer_messages(F.col("query"), F.col("constraints"), F.col("context")).alias("answer_json"))
 
 
 def rag_prompt_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question -> slice -> retrieve -> context -> request body of the agent-style
-    call (the message list JSON wrapped as one user turn). Failed slicing calls are left out."""
-    p = _prompts(spark, sf_dir, only_ok=True)
+    """Question -> slice -> retrieve -> context -> request body of the agent's call: its messages as
+    ``json.dumps`` text, wrapped as one user turn."""
+    request = agent_answer_request(F.col("query"), F.col("constraints"), F.col("context"))
     body = F.to_json(F.array(F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"),
-                                            F.array(F.named_struct(F.lit("text"), F.col("answer_json"))))))
-    return p.select("query_id", "constraints", "keywords", "n_products", body.alias("request_json"))
+                                            F.array(F.named_struct(F.lit("text"), request)))))
+    return _requests(spark, sf_dir).select("query_id", "constraints", "keywords", "n_products", body.alias("request_json"))
 
 
 def stream_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship questions arrive as a file stream (several micro-batches); each batch
-    is answered by the batch plan; the result must equal ``hybrid_topk_fetch``."""
+    """Questions arrive as a file stream (several micro-batches); each batch
+    is answered by the batch plan. Questions mix k, multiplier, alpha and modes."""
     from ..streaming.retrieval_stream import answer_stream, read_answers
 
     base = scratch_path(spark, "stream")
-    questions = parity_questions(spark, sf_dir)
+    questions = mixed_parameter_questions(spark, sf_dir)
     # Spark writes the question files (4 files -> 4 micro-batches).
     questions.repartition(4, "query_id").write.parquet(f"{base}/source")
     corpus, stats = _inputs(spark, sf_dir)
+    # packed tiles and the catalog are made once, micro-batches read them
+    tiles = scratch_table(spark, pack_corpus(corpus, dims=stats.dim_t + stats.dim_i), "stream-tiles")
+    catalog = scratch_table(spark, catalog_from_tables(spark, sf_dir), "stream-catalog")
     answer_stream(spark, f"{base}/source", questions.schema, f"{base}/sink", f"{base}/checkpoint",
-                  corpus, catalog_from_tables(spark, sf_dir),
-                  retrieve_kwargs={"qstats": stats, "cstats": stats, "k_max": PARITY_K})
+                  tiles, catalog, retrieve_kwargs={"cstats": stats})
     out = read_answers(spark, f"{base}/sink")
     return out.select("query_id", "rank", "product_id", "title", "store", "price",
                       "average_rating", "image", _r("score"))
@@ -367,6 +396,8 @@ def stream_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "catalog_typed_scan": catalog_typed_scan,
     "catalog_csv_ingest": catalog_csv_ingest,
+    "catalog_csv_rejects": catalog_csv_rejects,
+    "vector_rejects": vector_rejects,
     "vector_route": vector_route,
     "l2_normalize": l2_normalize_query,
     "text_encode_hashed": text_encode_hashed,
@@ -377,6 +408,8 @@ QUERIES = {
     "hybrid_topk_fetch": hybrid_topk_fetch,
     "text_only_topk": text_only_topk,
     "mode_dispatch": mode_dispatch,
+    "mixed_parameter_topk": mixed_parameter_topk,
+    "question_rejects": rejected_questions,
     "alpha_sweep": alpha_sweep,
     "slice_response_parse": slice_response_parse,
     "keyword_normalize": keyword_normalize,
@@ -387,9 +420,9 @@ QUERIES = {
     "product_block_format": product_block_format,
     "context_assemble": context_assemble,
     "prompt_messages_json": prompt_messages_json,
+    "agent_messages_json": agent_messages_json,
     "result_card_format": result_card_format,
     "response_status": response_status,
-    "query_memo": query_memo,
     "hashed_text_search": hashed_text_search,
     "rag_prompt_end_to_end": rag_prompt_end_to_end,
     "keyword_rag_prompt": keyword_rag_prompt,

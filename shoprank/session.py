@@ -47,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     The setting is read from the session; only when it is unset (tests, a bare local
-    session) a fresh folder is created and registered.
+    session with a local master) a fresh folder is created and registered.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         conf_dir = tempfile.mkdtemp(prefix="shoprank-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -63,9 +65,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unique folder path under the shared checkpoint folder (not created)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/shoprank-{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/shoprank-{label}-{uuid.uuid4().hex[:12]}"
+    _HANDED_OUT.append(path)
+    return path
 
 
+def scratch_table(spark: SparkSession, df, label: str):
+    """``df`` written once as Parquet in the shared scratch folder and read back, for later jobs to share."""
+    path = scratch_path(spark, label)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders that this process has handed out (call once their results are no longer read)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _HANDED_OUT:
+        path = jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+_HANDED_OUT: list[str] = []
 _SHIPPED: set[str] = set()
 
 

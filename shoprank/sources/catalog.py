@@ -11,8 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, LongType, StringType, StructField, StructType
 
-from ..config import IMAGE_URL_PREFIX, IMAGE_URL_SUFFIX
-from .tables import read_table, spread
+from ..config import IMAGE_URL_PREFIX, IMAGE_URL_SUFFIX, MISSING_WORDS
+from .tables import read_table
 
 CATALOG_SCHEMA = StructType([
     StructField("product_id", LongType()),
@@ -26,6 +26,8 @@ CATALOG_SCHEMA = StructType([
 
 # Columns read from a catalog CSV; everything else in the file is ignored.
 CSV_COLUMNS = ["image", "title", "store", "price", "average_rating"]
+#: A plain decimal number; no type suffixes or words.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 CSV_OPTIONAL = ["description", "features", "details"]
 
 
@@ -35,8 +37,8 @@ def read_catalog_csv(spark: SparkSession, path: str, id_col: str | None = None)
     The header is read in full and columns are selected **by name** (a partial schema
     would bind by position). ``product_id`` is the value of ``id_col`` when given, else the
     0-based row ordinal of a single catalog file (the id the vector files refer to).
-    Empty numbers are NULL; unparsable numbers send the row to ``rejects`` with a reason
-    instead of failing the job.
+    Numbers written as a missing-value word (``MISSING_WORDS``) are NULL and the row stays; unparsable numbers send
+    the row to ``rejects`` with a reason instead of failing the job.
     """
     raw = (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -52,8 +54,11 @@ def read_catalog_csv(spark: SparkSession, path: str, id_col: str | None = None)
         df = with_row_ordinal(raw.select(*keep), "product_id")
 
     def num(c: str):
+        return F.when(F.trim(F.col(c)).rlike(NUMBER), F.trim(F.col(c)).try_cast("float"))
+
+    def is_bad(c: str):
         s = F.trim(F.col(c))
-        return F.when(s.isNull() | (s == ""), F.lit(None).cast("float")).otherwise(s.try_cast("float"))
+        return F.coalesce(~s.isin(*MISSING_WORDS) & ~s.rlike(NUMBER), F.lit(False))
 
     typed = df.select(
         "product_id",
@@ -64,13 +69,10 @@ def read_catalog_csv(spark: SparkSession, path: str, id_col: str | None = None)
         *[F.col(c) for c in ("features", "details") if c in df.columns],
         F.col("price").alias("_raw_price"), F.col("average_rating").alias("_raw_rating"),
     )
-    bad_price = F.col("price").isNull() & (F.trim(F.col("_raw_price")) != "")
-    bad_rating = F.col("average_rating").isNull() & (F.trim(F.col("_raw_rating")) != "")
-    is_bad = F.coalesce(bad_price, F.lit(False)) | F.coalesce(bad_rating, F.lit(False))
-    reason = F.concat_ws(",", F.when(F.coalesce(bad_price, F.lit(False)), F.lit("price")),
-                         F.when(F.coalesce(bad_rating, F.lit(False)), F.lit("average_rating")))
-    catalog = typed.filter(~is_bad).drop("_raw_price", "_raw_rating")
-    rejects = typed.filter(is_bad).select(
+    bad_price, bad_rating = is_bad("_raw_price"), is_bad("_raw_rating")
+    reason = F.concat_ws(",", F.when(bad_price, F.lit("price")), F.when(bad_rating, F.lit("average_rating")))
+    catalog = typed.filter(~(bad_price | bad_rating)).drop("_raw_price", "_raw_rating")
+    rejects = typed.filter(bad_price | bad_rating).select(
         "product_id", F.col("_raw_price").alias("price"), F.col("_raw_rating").alias("average_rating"),
         reason.alias("reason"))
     return catalog, rejects
@@ -95,7 +97,7 @@ def with_row_ordinal(df: DataFrame, name: str) -> DataFrame:
 
 def product_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``average_rating = avg(l_quantity) / 10`` per part (partial aggregation before the shuffle)."""
-    li = spread(read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_quantity"]))
+    li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_quantity"])
     return li.groupBy(F.col("l_partkey").alias("product_id")).agg(
         (F.avg("l_quantity") / 10).cast("float").alias("average_rating"))
 

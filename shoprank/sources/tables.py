@@ -16,17 +16,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def spread(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
-    """Round-robin ``df`` over all cores when it arrives in fewer partitions than cores and
-    is big enough for that to matter (a single large file with one row group scans as one
-    task). Inputs already split into at least one partition per core pass through
-    unchanged, so on a cluster reading many files this adds no shuffle.
-    """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(par) if size >= min_bytes else df

@@ -1,68 +1,74 @@
-"""Vector tables: the product corpus in two spaces and the question vectors.
+"""Vector tables: the product corpus in the spaces of every mode, and the question vectors.
 
-Fixture adapter over ``embeddings(vec_id, embedding ARRAY<FLOAT>(64), label)``:
-``product_id = vec_id``; elements 1-32 are the text space, 33-64 the image space.
-Only vectors with a catalog product are searchable.
+Fixture adapter over ``embeddings(vec_id, embedding ARRAY<FLOAT>(64), label)``: ``product_id = vec_id``; each space
+is its own slice of the embedding (``SPACE_SLICES``), so the spaces differ in content and dimension. Only vectors
+with a catalog product are searchable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import IMAGE_SLICE, TEXT_SLICE
-from ..functions.vector import is_valid_vector, l2_norm
+from ..config import EMBEDDING_DIM, ENCODER_SLICES, MODE_SPACES, SPACE_SLICES
+from ..functions.vector import is_valid_vector
 from .tables import read_table
 
-TEXT_SPACE = "text"
-IMAGE_SPACE = "image"
-SPACE_PAIR = f"{TEXT_SPACE}|{IMAGE_SPACE}"
 
+def pair_key(mode: str) -> str:
+    """Name of the pair of vector sets that a mode searches (the group key of the tiled join)."""
+    text, image = MODE_SPACES[mode]
+    return f"{text}|{image or ''}"
 
-def raw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(product_id, tv, iv)`` for every embedding row, both halves as ARRAY<FLOAT>."""
+
+def _slice(name: str, slices: dict[str, tuple[int, int]]) -> Column:
+    first, length = slices[name]
+    return F.slice("embedding", first, length)
+
+
+def vector_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``product_id, reason`` of embeddings that can't be searched: no or wrong length, NULL or non-finite elements,
+    or no catalog product."""
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
-    return emb.select(
-        F.col("vec_id").alias("product_id"),
-        F.slice("embedding", TEXT_SLICE[0], TEXT_SLICE[1]).alias("tv"),
-        F.slice("embedding", IMAGE_SLICE[0], IMAGE_SLICE[1]).alias("iv"),
-    )
+    ids = read_table(spark, sf_dir, "part", ["p_partkey"]).select(F.col("p_partkey").alias("vec_id"), F.lit(True).alias("known"))
+    size = F.coalesce(F.size("embedding") == EMBEDDING_DIM, F.lit(False))
+    reason = (F.when(~size, "length").when(~is_valid_vector("embedding", EMBEDDING_DIM), "element")
+              .when(F.col("known").isNull(), "no product"))
+    return emb.join(ids, "vec_id", "left").select(F.col("vec_id").alias("product_id"), reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def validate_vectors(df: DataFrame, dim_t: int = TEXT_SLICE[1], dim_i: int = IMAGE_SLICE[1]) -> tuple[DataFrame, DataFrame]:
-    """Split into (valid, rejects): wrong length, NULL or NaN/Inf elements are rejected."""
-    ok = is_valid_vector("tv", dim_t) & is_valid_vector("iv", dim_i)
-    return df.filter(ok), df.filter(~ok)
+def valid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, embedding`` of the embeddings that :func:`vector_rejects` doesn't list."""
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    ids = read_table(spark, sf_dir, "part", ["p_partkey"]).select(F.col("p_partkey").alias("vec_id"))
+    return emb.where(is_valid_vector("embedding", EMBEDDING_DIM)).join(ids, "vec_id", "left_semi")
 
 
-def product_vectors(spark: SparkSession, sf_dir: str, catalog_ids: DataFrame | None = None) -> DataFrame:
-    """Searchable corpus ``(group_key, product_id, tv, iv)``: valid vectors with a product."""
-    vec, _ = validate_vectors(raw_vectors(spark, sf_dir))
-    if catalog_ids is None:
-        catalog_ids = read_table(spark, sf_dir, "part", ["p_partkey"]).select(F.col("p_partkey").alias("product_id"))
-    vec = vec.join(catalog_ids.select("product_id"), "product_id", "left_semi")
-    return vec.select(F.lit(SPACE_PAIR).alias("group_key"), "product_id", "tv", "iv")
+def product_vectors(spark: SparkSession, sf_dir: str, modes: list[str] | None = None) -> DataFrame:
+    """Searchable corpus ``(group_key, product_id, tv, iv)``, one row per product and pair of vector sets of ``modes``
+    (all modes by default); ``iv`` is NULL in a text-only pair."""
+    pairs = {}
+    for mode in modes or list(MODE_SPACES):
+        text, image = MODE_SPACES[mode]
+        pairs[pair_key(mode)] = F.struct(
+            F.lit(pair_key(mode)).alias("group_key"), _slice(text, SPACE_SLICES).alias("tv"),
+            (_slice(image, SPACE_SLICES) if image else F.lit(None).cast("array<float>")).alias("iv"))
+    rows = valid_vectors(spark, sf_dir).select("vec_id", F.explode(F.array(*pairs.values())).alias("p"))
+    return rows.select("p.group_key", F.col("vec_id").alias("product_id"), "p.tv", "p.iv")
 
 
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adapter question table: every searchable product is also a question.
+    """Adapter question table: every searchable product is also a question, with one vector per encoder."""
+    return valid_vectors(spark, sf_dir).select(
+        F.col("vec_id").alias("query_id"), *[_slice(e, ENCODER_SLICES).alias(e) for e in ("sbert", "blip", "clip")])
 
-    ``query_id = product_id``. Encoder outputs: the text-space encoders ("sbert", "blip")
-    give the text half, the joint-space encoder ("clip") gives the image half.
-    """
-    corpus = product_vectors(spark, sf_dir)
-    return corpus.select(F.col("product_id").alias("query_id"), F.col("tv").alias("sbert"),
-                         F.col("tv").alias("blip"), F.col("iv").alias("clip"))
 
-
-def corpus_stats(spark: SparkSession, sf_dir: str):
-    """Upper bound of the corpus size without reading vectors: the row count of the
-    embeddings table (Parquet footers) and the adapter's fixed dimensions."""
+def corpus_stats(spark: SparkSession, sf_dir: str, modes: list[str] | None = None):
+    """Upper bound of the corpus size without reading vectors: the row count of the embeddings table (Parquet
+    footers) times the pairs, and the largest dimensions."""
     from ..operators.knn import SideStats
 
+    modes = modes or list(MODE_SPACES)
     rows = read_table(spark, sf_dir, "embeddings").count()
-    return SideStats(int(rows), TEXT_SLICE[1], IMAGE_SLICE[1])
-
-
-def vector_norms(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col + "_norm", l2_norm(col))
+    dims = [[SPACE_SLICES[s][1] for s in side if s] for side in zip(*[MODE_SPACES[m] for m in modes])]
+    return SideStats(int(rows) * len({pair_key(m) for m in modes}), max(dims[0]), max(dims[1], default=0))

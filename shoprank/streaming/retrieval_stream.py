@@ -13,18 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.retrieval import retrieve
+from ..plans.retrieval import question_rejects, retrieve
 
 
 def answer_batch(batch: DataFrame, batch_id: int, corpus: DataFrame, sink_dir: str,
                  catalog: DataFrame | None = None, retrieve_kwargs: dict | None = None) -> DataFrame:
-    """Answer one micro-batch of questions and (over)write its own sink folder.
+    """Answer one micro-batch of questions and (over)write its own sink folder; questions that can't be run go to
+    ``<sink_dir>_rejects`` with a reason. Sizes and the largest k are measured on the batch itself.
 
     Writing to ``batch_id=<id>`` with overwrite makes a replay of the same batch (after a
     failure between the write and the checkpoint commit) replace, not duplicate, its rows.
     """
-    questions = batch.filter(F.col("query_id").isNotNull())
-    ranked = retrieve(questions, corpus, catalog, **(retrieve_kwargs or {}))
+    question_rejects(batch).write.mode("overwrite").parquet(f"{sink_dir}_rejects/batch_id={batch_id}")
+    ranked = retrieve(batch, corpus, catalog, **(retrieve_kwargs or {}))
     (ranked.withColumn("batch_id", F.lit(batch_id).cast("long"))
      .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}"))
     return ranked

@@ -6,10 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoprank.functions.hashing import encode_with
-from shoprank.plans.fixtures import parity_questions
-from shoprank.plans.retrieval import retrieve, route_questions
-from shoprank.session import scratch_path
-from shoprank.sources.vectors import corpus_stats, product_vectors
+from shoprank.config import MODE_SPACES
+from shoprank.operators.knn import SideStats, TileConfig, pack_corpus, tile_pairs
+from shoprank.operators.rank import top_k
+from shoprank.plans.fixtures import faulty_questions, parity_questions
+from shoprank.plans.queries import QUERIES, rag_requests
+from shoprank.plans.retrieval import question_rejects, retrieve, route_questions
+from shoprank.session import _HANDED_OUT, drop_scratch, scratch_path, scratch_table
+from shoprank.sources.vectors import product_vectors
 from shoprank.streaming.retrieval_stream import answer_batch, answer_stream, read_answers
 
 from .conftest import SF_SMALL
@@ -17,7 +21,7 @@ from .conftest import SF_SMALL
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    return product_vectors(spark, SF_SMALL)
+    return product_vectors(spark, SF_SMALL, ["Clip-STrans"])
 
 
 def _rows(df):
@@ -40,33 +44,73 @@ def test_k_larger_than_corpus_returns_whole_corpus(spark, corpus):
     assert len(got) == 3 and all(r["count"] == n for r in got)
 
 
-def test_invalid_parameters_are_rejected_and_unknown_mode_falls_back(spark, corpus):
+def test_invalid_parameters_are_rejected_and_unknown_mode_falls_back(spark):
     q = parity_questions(spark, SF_SMALL).limit(4)
     bad = (q.withColumn("alpha", F.when(F.col("query_id") % 2 == 0, F.lit(1.5)).otherwise(F.col("alpha")))
            .withColumn("model_choice", F.lit("No-Such-Mode")))
     routed = route_questions(bad).collect()
-    assert all(r.route_mode == "Clip-Clip" for r in routed)
-    kept = {r.query_id for r in routed}
-    assert kept == {r.query_id for r in q.collect() if r.query_id % 2 == 1}
-
-
-def test_stream_equals_batch_and_replay_does_not_duplicate(spark, corpus):
-    stats = corpus_stats(spark, SF_SMALL)
-    kw = {"qstats": stats, "cstats": stats, "k_max": 10}
-    questions = parity_questions(spark, SF_SMALL)
+    assert all(r.route_mode == "Clip-Clip" and r.group_key == "clip_text|clip_image" for r in routed)
+    kept, out = {r.query_id for r in routed}, {(r.query_id, r.reason) for r in question_rejects(bad).collect()}
+    ids = {r.query_id for r in q.collect()}
+    assert kept == {i for i in ids if i % 2} and out == {(i, "alpha") for i in ids if i % 2 == 0}
+
+
+def test_null_settings_take_the_defaults(spark, corpus):
+    q = parity_questions(spark, SF_SMALL, k=5, alpha=0.5, multiplier=20)
+    unset = q.select("query_id", F.lit(None).cast("string").alias("model_choice"), F.lit(None).cast("int").alias("k"),
+                     F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("int").alias("multiplier"), "clip", "sbert", "blip")
+    assert _rows(retrieve(unset, corpus)) == _rows(retrieve(q, corpus)) and question_rejects(unset).count() == 0
+
+
+def test_mixed_k_is_never_cut(spark, corpus):
+    q = parity_questions(spark, SF_SMALL).withColumn("k", F.when(F.col("query_id") % 2 == 0, 25).otherwise(3))
+    got = {r.query_id: r["count"] for r in retrieve(q, corpus).groupBy("query_id").count().collect()}
+    assert all(n == (25 if i % 2 == 0 else 3) for i, n in got.items()) and got
+    scored = spark.createDataFrame([(1, i, float(i), 20) for i in range(30)], "query_id long, product_id long, score double, k int")
+    with pytest.raises(Exception, match="k_max"):
+        top_k(scored, 10).collect()
+
+
+def test_no_exchange_on_the_corpus(spark, corpus):
+    """The corpus is packed where it is scanned, whichever side is broadcast; tiles made before give equal results."""
+    q = parity_questions(spark, SF_SMALL)
+    tiles = pack_corpus(corpus)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "FlatMapGroups" not in plan
+    pairs, mode = tile_pairs(route_questions(q.limit(3)), corpus, TileConfig(), SideStats(3, 24, 32), SideStats(2_000_000_000, 24, 32))
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert mode == "questions" and "hashpartitioning(product_id" not in text
+    stored = scratch_table(spark, tiles, "test-tiles")
+    assert _rows(retrieve(q, stored)) == _rows(retrieve(q, corpus))
+
+
+def test_modes_search_different_vector_sets(spark):
+    every = product_vectors(spark, SF_SMALL)
+    base = parity_questions(spark, SF_SMALL)
+    got = {m: _rows(retrieve(base.withColumn("model_choice", F.lit(m)), every).withColumn("score", F.coalesce("score", F.lit(0.0))))
+           for m in [*MODE_SPACES, "Blip-Blip"]}
+    assert got["Blip-Blip"] == got["Clip-Clip"]
+    assert len({tuple(got[m]) for m in MODE_SPACES}) == len(MODE_SPACES)
+
+
+def test_stream_equals_batch_and_replay_does_not_duplicate(spark):
+    corpus = product_vectors(spark, SF_SMALL)
+    tiles = scratch_table(spark, pack_corpus(corpus), "test-stream-tiles")
+    questions = faulty_questions(spark, SF_SMALL)
     base = scratch_path(spark, "test-stream")
     questions.repartition(3, "query_id").write.parquet(f"{base}/source")
-    answer_stream(spark, f"{base}/source", questions.schema, f"{base}/sink", f"{base}/ckpt", corpus,
-                  retrieve_kwargs=kw)
+    answer_stream(spark, f"{base}/source", questions.schema, f"{base}/sink", f"{base}/ckpt", tiles)
     streamed = read_answers(spark, f"{base}/sink")
-    batch = retrieve(questions, corpus, **kw)
+    batch = retrieve(questions, corpus)
     cols = ["query_id", "rank", "product_id", "score"]
     assert streamed.select("batch_id").distinct().count() == 3
     assert _rows(streamed.select(cols)) == _rows(batch.select(cols))
+    rejects = spark.read.parquet(f"{base}/sink_rejects")
+    assert rejects.count() == question_rejects(questions).count() > 0
     # replay batch 0 (as after a failure before the commit): its folder is replaced
     first = spark.read.parquet(f"{base}/sink/batch_id=0").select("query_id").distinct()
     replay = questions.join(first, "query_id", "left_semi")
-    answer_batch(replay, 0, corpus, f"{base}/sink", retrieve_kwargs=kw)
+    answer_batch(replay, 0, tiles, f"{base}/sink")
     again = read_answers(spark, f"{base}/sink")
     assert _rows(again.select(cols)) == _rows(batch.select(cols))
 
@@ -74,24 +118,42 @@ def test_stream_equals_batch_and_replay_does_not_duplicate(spark, corpus):
 def test_encoder_slot_runs_a_batch_encoder(spark):
     docs = spark.createDataFrame([(1, "red shirt"), (2, ""), (3, None)], "doc_id long, text string")
 
-    def encoder(texts):
-        return [[float(len(t)), float(t.count(" "))] for t in texts]
+    def factory():
+        return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
 
-    got = {r.doc_id: r.vec for r in encode_with(docs, "doc_id", "text", encoder, 2).collect()}
+    got = {r.doc_id: r.vec for r in encode_with(docs, "doc_id", "text", factory, 2, name="lengths").collect()}
     assert got == {1: [9.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
     with pytest.raises(Exception):
-        encode_with(docs, "doc_id", "text", lambda ts: [[1.0]] * len(ts), 2).collect()
+        encode_with(docs, "doc_id", "text", lambda: lambda ts: [[1.0]] * len(ts), 2).collect()
+
+
+@pytest.mark.parametrize("query", ["constraint_filter_post", "recommend_top3", "recommendation_guard"])
+def test_one_scoring_stage(spark, query):
+    plan = QUERIES[query](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_score_batches") + plan.count("_score_cogrouped") == 1
+
+
+def test_retriever_is_passed_in(spark):
+    sliced = spark.createDataFrame([(1, "q", "c", "red mug"), (2, "q2", "c2", "hat")], "query_id long, query string, constraints string, keywords string")
+    catalog = spark.createDataFrame([(7, "Mug", None, 1.0)], "product_id long, title string, store string, price float")
+    seen = []
+
+    def retriever(questions):
+        seen.extend(r.text for r in questions.collect())
+        return questions.select("query_id", F.lit(1).alias("rank"), F.lit(7).cast("long").alias("product_id"))
 
+    got = {r.query_id: r.context for r in rag_requests(sliced, retriever, catalog).collect()}
+    assert sorted(seen) == ["hat", "red mug"] and set(got) == {1, 2} and "Title: Mug" in got[1]
 
-def test_spread_only_splits_small_partition_counts(spark):
-    from shoprank.sources.tables import spread
 
-    par = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, par)
-    assert spread(many) is many                              # already split: unchanged
-    one = spark.range(0, 2_000_000, 1, 1).selectExpr("id", "repeat('x', 20) AS s")
-    assert spread(one, min_bytes=1).rdd.getNumPartitions() == par
-    assert spread(one, min_bytes=1 << 60).rdd.getNumPartitions() == 1
+def test_scratch_folders_can_be_dropped(spark):
+    path = scratch_path(spark, "test-drop")
+    spark.range(3).write.parquet(path)
+    kept = list(_HANDED_OUT)
+    _HANDED_OUT[:] = [path]
+    drop_scratch(spark)
+    _HANDED_OUT[:] = kept
+    assert not os.path.exists(path.removeprefix("file:"))
 
 
 def test_row_ordinal_is_dense_and_in_scan_order(spark):
