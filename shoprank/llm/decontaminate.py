@@ -85,34 +85,42 @@ def _bucket(word: np.ndarray) -> np.ndarray:
     return (word >> np.uint64(20)).astype(np.int64) % TERMS
 
 
-def _vector(words: np.ndarray, vocabulary: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, unit TF-IDF weights) of one passage."""
+def _columns(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Column of each word: the place of its bucket among those that the vocabulary fills."""
+    return np.searchsorted(np.unique(_bucket(vocabulary)), _bucket(words))
+
+
+def _vector(words: np.ndarray, vocabulary: np.ndarray, weight: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, unit TF-IDF weights) of one passage; ``column``: of each vocabulary word."""
     at = np.searchsorted(vocabulary, words)
     at[at == len(vocabulary)] = 0
     at = at[vocabulary[at] == words]
-    cols, inv = np.unique(_bucket(vocabulary[at]), return_inverse=True)
+    cols, inv = np.unique(column[at], return_inverse=True)
     x = np.bincount(inv, weights=weight[at], minlength=len(cols))
     norm = math.sqrt(float((x * x).sum()))
     return cols, x / norm if norm else x
 
 
 def randomised_svd(items: DataFrame, vocabulary: np.ndarray, weight: np.ndarray, rank: int = RANK, passes: int = 2) -> np.ndarray:
-    """[TERMS, rank] right singular directions of the passages' TF-IDF matrix A, by subspace iteration with A'A.
+    """[columns, rank] right singular directions of the passages' TF-IDF matrix A, by subspace iteration with A'A.
 
-    Each pass sums a_i (a_i' Q) over the rows of each partition, then over partitions; the sum has TERMS x rank numbers.
+    Each pass sums a_i (a_i' Q) over the rows of each partition, then over partitions: TERMS x rank numbers at most.
     """
     sc = items.sparkSession.sparkContext
-    q = np.random.default_rng(29).standard_normal((TERMS, rank))
+    column = _columns(vocabulary, vocabulary)
+    size = int(column.max()) + 1
+    rank = min(rank, size)
+    q = np.random.default_rng(29).standard_normal((size, rank))
     for last in [False] * passes + [True]:
-        sent = sc.broadcast((vocabulary, weight, q.astype(np.float32)))
+        sent = sc.broadcast((vocabulary, weight, column, q.astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch], last: bool = last, sent=sent) -> Iterator[pa.RecordBatch]:
-            known, w, q = sent.value
+            known, w, column, q = sent.value
             rows: dict[int, np.ndarray] = {}
             small = np.zeros((q.shape[1], q.shape[1]))
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    cols, x = _vector(_words_of_text(text), known, w)
+                    cols, x = _vector(_words_of_text(text), known, w, column)
                     y = x @ q[cols]
                     if last:
                         small += np.outer(y, y)
@@ -125,7 +133,7 @@ def randomised_svd(items: DataFrame, vocabulary: np.ndarray, weight: np.ndarray,
                                              names=["row", "v"])
 
         part = items.select("text").mapInArrow(run, "row int, v array<double>")
-        total = np.zeros((rank if last else TERMS, rank))
+        total = np.zeros((rank if last else size, rank))
         for r in part.toLocalIterator():
             total[r.row] += r.v
         if last:
@@ -193,11 +201,12 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight:
         items, known, w, v = sent.value
         heavy = set(known[w > 0].tolist())
         objects = [_Item(i, x, heavy) for i, x in items]
+        column = _columns(known, known)
         q = np.zeros((len(items), v.shape[1]), np.float32)
         for i, (_, x) in enumerate(items):
-            cols, t = _vector(x, known, w)
+            cols, t = _vector(x, known, w, column)
             q[i] = t @ v[cols]
-        mine = v[_bucket(known)] * w[:, None].astype(np.float32)  # a word's part of a window's projection
+        mine = v[column] * w[:, None].astype(np.float32)  # a word's part of a window's projection
         for batch in batches:
             ids = batch.column(0)
             best: dict[tuple, tuple] = {}
