@@ -33,7 +33,7 @@ from .induced import InducedSorter
 
 LENGTH = 200
 GRAM = 32
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Packed bytes per range of anchors, and piece bytes per shard, that are aimed at.
 RANGE_BYTES = 12 << 20
 SHARD_BYTES = 4 << 20
@@ -49,15 +49,23 @@ def pieces(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     if n < length:
         return none, none, none, none
     at = np.arange(n - gram + 1)
-    h = span_hashes(data, at, at + gram)
-    key = ((h >> np.uint64(36)) << np.uint64(36)) | at.astype(np.uint64)
+    key = span_hashes(data, at, at + gram)
+    key >>= np.uint64(36)
+    key <<= np.uint64(36)
+    key |= at.astype(np.uint64)
+    del at
     w = length - gram + 1
-    pad = (-len(key)) % w
-    grid = np.concatenate([key, np.full(pad, np.uint64(2 ** 64 - 1))]).reshape(-1, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    grid = np.full(-(-len(key) // w) * w, 2 ** 64 - 1, np.uint64)
+    grid[:len(key)] = key
+    del key
+    grid = grid.reshape(-1, w)
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    ahead = np.minimum.accumulate(grid, axis=1, out=grid).ravel()
     count = n - length + 1
-    anchor = (np.minimum(behind[:count], ahead[w - 1:w - 1 + count]) & np.uint64((1 << 36) - 1)).astype(np.int64)
+    anchor = np.minimum(behind[:count], ahead[w - 1:w - 1 + count])
+    del behind, ahead, grid
+    anchor &= np.uint64((1 << 36) - 1)
+    anchor = anchor.view(np.int64)
     inside = np.zeros(n + 1, np.int32)  # windows that stay in one text
     sizes = np.diff(offs)
     own = np.flatnonzero(sizes >= length)
@@ -100,7 +108,7 @@ def _entries(texts: DataFrame, ranges: int, length: int) -> DataFrame:
                 row, first, windows, anchor = (x[keep] for x in (row, first, windows, anchor))
                 if not len(row):
                     continue
-                key = span_hashes(data, anchor, anchor + GRAM)
+                key = mix64(span_hashes(data, anchor, anchor + GRAM))  # anchors have small hashes: mixed again, ranges are even
                 piece = mix64(span_hashes(data, first, first + windows + length - 1) + mix64((anchor - first).astype(np.uint64)))
                 part = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -142,7 +150,7 @@ def _found(entries: DataFrame, shards: int, length: int) -> DataFrame:
         keep = repeated | open_
         shard = np.full(len(key), -1, np.int64)
         send = open_ & by_piece  # one of each kind is sorted
-        shard[send] = (mix64(key[send]) >> np.uint64(16)).astype(np.int64) % shards
+        shard[send] = (key[send] & np.uint64((1 << 32) - 1)).astype(np.int64) % shards
         out = [th[keep], first[keep], (first + windows + length - 1)[keep], shard[keep].astype(np.int32), repeated[keep]]
         return pa.table(dict(zip(["th", "first", "end", "shard", "repeated"], map(pa.array, out))))
 
