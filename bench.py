@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from shoprank.plans.queries import QUERIES  # noqa: E402
-from shoprank.session import get_spark  # noqa: E402
+from shoprank.session import drop_scratch, get_spark  # noqa: E402
 
 HEADLINE = [
     "hybrid_topk_fetch",
@@ -53,6 +53,7 @@ def main() -> None:
     times = {}
     for name in names:
         times[name] = round(run(spark, name, sf_dir), 3)
+    drop_scratch(spark)
     spark.stop()
     print(json.dumps({
         "metric": "headline_queries_total",

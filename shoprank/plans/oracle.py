@@ -303,38 +303,38 @@ WITH sp AS (
   UNION ALL SELECT vec_id, 'full', CAST(embedding AS DOUBLE[]) FROM embeddings),
 n AS (SELECT *, {_norm('v')} AS nb FROM sp),
 u AS (SELECT *, list_transform(v, lambda x: CASE WHEN nb = 0 THEN 0.0 ELSE x / nb END) AS u FROM n)
-SELECT product_id, space, round(nb, 6) AS norm_before, round({_norm('u')}, 6) AS norm_after,
-       round(u[1], 6) AS first_value
+SELECT product_id, space, round(nb, 6) + 0.0 AS norm_before, round({_norm('u')}, 6) AS norm_after,
+       round(u[1], 6) + 0.0 AS first_value
 FROM u""",
     "text_encode_hashed": _with(_hash_tokens("db", "documents", "doc_id", "text")) + """
 SELECT id AS doc_id, bucket, tf, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)), 6) AS weight FROM db""",
     "topn_text": _with(retrieval_ctes()) + """
-SELECT query_id, product_id, CAST(text_rank AS INTEGER) AS rank, round(text_sim, 6) AS sim FROM pool WHERE text_rank IS NOT NULL""",
+SELECT query_id, product_id, CAST(text_rank AS INTEGER) AS rank, round(text_sim, 6) + 0.0 AS sim FROM pool WHERE text_rank IS NOT NULL""",
     "topn_image": _with(retrieval_ctes()) + """
-SELECT query_id, product_id, CAST(image_rank AS INTEGER) AS rank, round(image_sim, 6) AS sim FROM pool WHERE image_rank IS NOT NULL""",
+SELECT query_id, product_id, CAST(image_rank AS INTEGER) AS rank, round(image_sim, 6) + 0.0 AS sim FROM pool WHERE image_rank IS NOT NULL""",
     "candidate_union": _with(retrieval_ctes()) + """
 SELECT query_id, product_id, text_rank IS NOT NULL AS in_text, image_rank IS NOT NULL AS in_image FROM pool""",
     "rescore_fusion": _with(retrieval_ctes(), top_ctes()) + """
-SELECT query_id, product_id, round(text_sim, 6) AS text_sim, round(image_sim, 6) AS image_sim, round(score, 6) AS score
+SELECT query_id, product_id, round(text_sim, 6) + 0.0 AS text_sim, round(image_sim, 6) + 0.0 AS image_sim, round(score, 6) + 0.0 AS score
 FROM scored""",
     "hybrid_topk_fetch": RANKED + """
 SELECT t.query_id, t.rank, t.product_id, c.title, c.store, c.price, c.average_rating, c.image,
-       round(t.score, 6) AS score
+       round(t.score, 6) + 0.0 AS score
 FROM top t JOIN catalog c ON c.product_id = t.product_id""",
     "text_only_topk": _with(retrieval_ctes("'Blip-Text'"), top_ctes()) + """
-SELECT t.query_id, t.rank, t.product_id, c.title, round(t.text_sim, 6) AS text_sim
+SELECT t.query_id, t.rank, t.product_id, c.title, round(t.text_sim, 6) + 0.0 AS text_sim
 FROM top t JOIN catalog c ON c.product_id = t.product_id""",
     "mode_dispatch": _with(retrieval_ctes(_modes_sql()), top_ctes()) + """
-SELECT query_id, model_choice, route_mode, rank, product_id, round(score, 6) AS score FROM top""",
+SELECT query_id, model_choice, route_mode, rank, product_id, round(score, 6) + 0.0 AS score FROM top""",
     "alpha_sweep": _with(retrieval_ctes(), f"""
 grid(alpha) AS (VALUES {_GRID}),
 swept AS (SELECT p.* EXCLUDE (alpha), g.alpha, {_score('g.alpha')} AS score FROM pool p CROSS JOIN grid g),
 top AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id, alpha ORDER BY score DESC, product_id) AS INTEGER) AS rank
   FROM swept QUALIFY rank <= {K})""") + """
-SELECT query_id, alpha, rank, product_id, round(score, 6) AS score FROM top""",
+SELECT query_id, alpha, rank, product_id, round(score, 6) + 0.0 AS score FROM top""",
     "mixed_parameter_topk": _with(MIXED, top_ctes()) + """
-SELECT query_id, k, rank, product_id, round(score, 6) AS score FROM top""",
+SELECT query_id, k, rank, product_id, round(score, 6) + 0.0 AS score FROM top""",
     "question_rejects": _with(VECTORS) + f"""
 SELECT query_id, reason FROM (
   SELECT CASE WHEN product_id % 23 != 0 THEN product_id END AS query_id,
@@ -399,10 +399,10 @@ pairs AS (
 top AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INTEGER) AS rank
   FROM pairs QUALIFY rank <= 10)""") + """
-SELECT query_id, rank, product_id, round(score, 6) AS score FROM top""",
+SELECT query_id, rank, product_id, round(score, 6) + 0.0 AS score FROM top""",
 }
 ORACLE["stream_retrieval"] = _with(MIXED, top_ctes()) + """
-SELECT t.query_id, t.rank, t.product_id, c.title, c.store, c.price, c.average_rating, c.image, round(t.score, 6) AS score
+SELECT t.query_id, t.rank, t.product_id, c.title, c.store, c.price, c.average_rating, c.image, round(t.score, 6) + 0.0 AS score
 FROM top t JOIN catalog c ON c.product_id = t.product_id"""
 
 # Questions with keywords, their hashed search over the catalog text and the context of the found products.

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from shoprank.operators.knn import SideStats, TileConfig, hybrid_candidates
 from shoprank.operators.rank import fuse, pools, top_k
@@ -48,6 +47,7 @@ CONFIGS = [
     TileConfig(),
     TileConfig(corpus_tile_bytes=300, query_tile_rows=3),           # many tiles, corpus broadcast
     TileConfig(corpus_tile_bytes=300, query_tile_rows=3, broadcast_bytes=0),  # replicated join
+    TileConfig(corpus_tile_bytes=300, query_tile_rows=3, broadcast_bytes=0, merge_above=1),  # two merge levels
 ]
 
 
