@@ -5,7 +5,8 @@ are cut so that strings that could be equal are in one shard:
 
 1. Every ``length``-byte window has an anchor: its ``GRAM``-byte piece with the least hash (the leftmost of equal ones).
    Equal windows have equal anchors. Neighbouring windows with the same anchor are one piece of text, about 285 bytes for
-   every 85; only (anchor hash, hash of the piece) pairs are shuffled. Texts are reduced to distinct ones before.
+   every 85; only (anchor hash, hash of the piece) pairs are shuffled. Equal texts, then equal pieces, of a
+   batch are reduced to one before.
 2. An anchor that occurs once has no repeated window. A piece that occurs twice, byte for byte, is a repeat as a whole.
    Anchors with different pieces are open: their distinct pieces are fetched, dealt by anchor to shards, and sorted.
    A window is repeated if the common prefix with either neighbour in the suffix order is ``length`` or more.
@@ -16,7 +17,8 @@ shards are kept small. An anchor with very many different pieces is one shard, w
 
 Null texts are empty; texts shorter than ``length`` bytes lose nothing. Repeated rows and equal texts are repeats of each
 other, each judged as a row of its own; matches within one text count, overlapping or not. Strings are judged on the input.
-Null ids and other columns don't matter. An empty table gives an empty result. Texts are told apart by two 64-bit hashes.
+Null ids and other columns don't matter. An empty table gives an empty result. Texts and pieces are told apart by
+64-bit hashes (pieces by that and their anchor's).
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ GRAM = 32
 BLOCK = 1 << 20
 #: Packed bytes per range of anchors, and piece bytes per shard, that are aimed at.
 RANGE_BYTES = 12 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SORT_MEMORY = 96 << 20
+#: Entries of a batch that are compared with each other before they are sent.
+HELD = 400_000
 #: Ends a piece in a shard's text; no UTF-8 byte.
 SEPARATOR = 0xFF
 
@@ -93,13 +97,53 @@ _ENTRIES = "part int, key binary, piece binary, th binary, first binary, windows
 _KINDS = {"key": "<u8", "piece": "<u8", "th": "<i8", "first": "<i8", "windows": "<i4"}
 
 
+def _differs(*cols: np.ndarray) -> np.ndarray:
+    """Whether each entry of sorted columns differs from the one before."""
+    out = np.ones(len(cols[0]), bool)
+    out[1:] = False
+    for c in cols:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def _entries(texts: DataFrame, ranges: int, length: int) -> DataFrame:
-    """Pieces of each distinct text in a block, packed by range of their anchor's hash."""
+    """Pieces of the distinct texts of an Arrow batch, packed by range of their anchor's hash.
+
+    A piece that several texts (or places) of a batch have is told to be repeated at once (ranges from ``ranges`` on pass
+    these through) and goes on as one entry with a negative window count, so that a passage of very many texts is
+    an entry per batch, not per text.
+    """
+
+    def packed(key, piece, th, first, windows, offset: int) -> pa.RecordBatch:
+        part = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64) + offset
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0, [True]]))
+        cols = {c: x[order].astype(_KINDS[c]) for c, x in zip(_KINDS, (key, piece, th, first, windows))}
+        pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[order][cuts[:-1]].astype(np.int32)),
+             *(pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for x in cols.values())], names=["part", *_KINDS])
+
+    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, piece, th, first, windows = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((first, th, piece, key))
+        key, piece, th, first, windows = (x[order] for x in (key, piece, th, first, windows))
+        new = _differs(key, piece, th, first)
+        key, piece, th, first, windows = (x[new] for x in (key, piece, th, first, windows))
+        head = _differs(key, piece)
+        twins = (np.bincount(np.cumsum(head) - 1) > 1)[np.cumsum(head) - 1]
+        signed = np.where(twins, -windows, windows)
+        yield packed(key[head], piece[head], th[head], first[head], signed[head], 0)
+        rest = ~head
+        if rest.any():
+            # told by their text's hash: nothing more is to be compared
+            yield packed(mix64(th[rest].astype(np.uint64)), piece[rest], th[rest], first[rest], signed[rest], ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             th = np.asarray(batch.column(names.index("th")))
+            held: list[tuple] = []
             for lo, hi, data, offs in text_blocks(batch, "text", BLOCK):
                 row, first, windows, anchor = pieces(data, offs, length)
                 own = np.zeros(hi - lo, bool)
@@ -110,39 +154,34 @@ def _entries(texts: DataFrame, ranges: int, length: int) -> DataFrame:
                     continue
                 key = mix64(span_hashes(data, anchor, anchor + GRAM))  # anchors have small hashes: mixed again, ranges are even
                 piece = mix64(span_hashes(data, first, first + windows + length - 1) + mix64((anchor - first).astype(np.uint64)))
-                part = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0, [True]]))
-                cols = dict(zip(_KINDS, (key, piece, th[lo:hi][row], first - offs[row], windows)))
-                cols = {c: x[order].astype(_KINDS[c]) for c, x in cols.items()}
-                pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[order][cuts[:-1]].astype(np.int32)),
-                     *(pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for x in cols.values())], names=["part", *_KINDS])
+                held.append((key, piece, th[lo:hi][row], first - offs[row], windows))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from sent(held)
+                    held = []
+            if held:
+                yield from sent(held)
 
     return texts.mapInArrow(run, _ENTRIES)
 
 
-def _found(entries: DataFrame, shards: int, length: int) -> DataFrame:
+def _found(entries: DataFrame, ranges: int, shards: int, length: int) -> DataFrame:
     """(th, first, end, shard, repeated): pieces that have twins, and one of each kind of open piece with its shard (else -1)."""
 
     def run(t: pa.Table) -> pa.Table:
         key, piece, th, first, windows = (np.concatenate([np.zeros(0, d), *(np.frombuffer(x, d) for x in t[c].to_pylist())]) for c, d in _KINDS.items())
+        if t["part"][0].as_py() >= ranges:
+            n = len(th)
+            return pa.table({"th": th, "first": first, "end": first - windows + length - 1, "shard": np.full(n, -1, np.int32), "repeated": np.ones(n, bool)})
         order = np.lexsort((first, th, piece, key))
         key, piece, th, first, windows = (x[order] for x in (key, piece, th, first, windows))
-
-        def differs(*cols: np.ndarray) -> np.ndarray:
-            out = np.ones(len(key), bool)
-            out[1:] = False
-            for c in cols:
-                out[1:] |= c[1:] != c[:-1]
-            return out
-
-        new = differs(key, piece, th, first)  # one text met by several tasks
+        twins = windows < 0
+        windows = np.abs(windows)
+        new = _differs(key, piece, th, first)  # one text met by several tasks
+        twins = np.logical_or.reduceat(twins, np.flatnonzero(new)) if len(new) else twins
         key, piece, th, first, windows = (x[new] for x in (key, piece, th, first, windows))
-        by_key, by_piece = differs(key), differs(key, piece)
+        by_key, by_piece = _differs(key), _differs(key, piece)
         kind = np.cumsum(by_piece) - 1
-        copies = np.bincount(kind)
+        copies = np.bincount(kind, weights=1 + twins)
         anchor = np.cumsum(by_key) - 1
         kinds_of = np.bincount(anchor[by_piece])
         repeated = copies[kind] > 1
@@ -243,7 +282,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     total = sizes.agg(F.sum("size").alias("n")).first().n or 0
     ranges = max(8, int(total / 85 * 36 / RANGE_BYTES) + 1)
     shards = max(8, int(total / 4 / SHARD_BYTES) + 1)
-    found = written(spark, _found(_entries(texts, ranges, length), shards, length), "dedup-found")
+    found = written(spark, _found(_entries(texts, ranges, length), ranges, shards, length), "dedup-found")
     asked = _piece_texts(texts, found)
     sorted_ = written(spark, _sorted_spans(asked, shards, length), "dedup-sorted")
     spans = found.where("repeated").select("th", "first", "end").unionByName(sorted_)
