@@ -4,7 +4,7 @@ A document's set is its distinct word shingles (64-bit hashes). Documents with e
 if 100 * |A n B| >= 80 * |A u B|, i.e. 9 |A n B| >= 4 (|A| + |B|).
 
 1. Candidates. Tokens are ordered: sampled ones (a fixed share of the hash range) by the number of classes that hold
-   them, then the rest by hash. Two linked sets share a token among the first floor(|A| / 5) + 1 of either, whatever
+   them, then the rest by hash, last of all hot ones (those that HOT_SHARE of the classes hold) by hash. Two linked sets share a token among the first floor(|A| / 5) + 1 of either, whatever
    the order; rare tokens first, a class whose first tokens are its own alone needs no further look. The others are
    tied to the least class of each first token's holders; ties make blocks that no link crosses.
 2. Join. In a block, tokens are hashed into GROUPS groups; a class is the point of its group counts. An R-tree over the
@@ -15,7 +15,8 @@ if 100 * |A n B| >= 80 * |A u B|, i.e. 9 |A n B| >= 4 (|A| + |B|).
    with those of the other chunks, and where components remain apart, every pair of chunks.
 
 Distribution: hashes travel as packed arrays keyed by hash range; equal documents are reduced to one class inside each
-task and again in the range. A token that x classes hold costs 12 x bytes in its range's task.
+task and again in the range. Hot tokens don't travel: the least class of each (as many as HOT_SHARE allows, times a
+document's tokens) is found by a grouped minimum and sent to the tasks, which tie classes to it where they stand.
 
 Null and empty texts and texts without words have empty sets, linked with nothing: a component of their own id.
 Repeated rows are one class. With fewer than ``k`` words the whole sequence is the one shingle. Rows with a null id link
@@ -40,6 +41,12 @@ SAMPLED = 0.4
 _CUT = np.uint64(int(SAMPLED * 2 ** 64))
 GROUPS = 128
 LEAF = 24
+#: A token is hot if so large a share of the classes hold it; what fewer classes of a batch hold isn't reported.
+HOT_SHARE, HOT_LEAST = 1 / 256, 64
+#: Tokens of a batch that are counted at a time to find hot ones.
+HOT_BATCH = 1_000_000
+#: Text bytes that are hashed at a time.
+BLOCK = 1 << 20
 #: Most classes that are joined in one task.
 CHUNK = 4000
 #: Bytes of packed hashes that one range or bucket of blocks is meant to hold.
@@ -91,17 +98,36 @@ def _first_of(n: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc_id, n, fp) of every row."""
+    """(doc_id, n, fp) of every row, and rows (null, classes, token) with ``hot`` of what is hot in an Arrow batch."""
+    share, least = HOT_SHARE, HOT_LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in text_blocks(batch, "text"):
+            held: list[np.ndarray] = []
+            classes: set[int] = set()
+            for lo, hi, data, offs in text_blocks(batch, "text", BLOCK):
                 flat, n = shingle_sets(data, offs, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(fingerprints(flat, n))],
-                                                 names=["doc_id", "n", "fp"])
+                fp = fingerprints(flat, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(fp), pa.array(np.zeros(hi - lo, bool))],
+                                                 names=["doc_id", "n", "fp", "hot"])
+                new = np.array([x not in classes for x in fp.tolist()]) & (n > 0)
+                new &= np.isin(np.arange(len(fp)), np.unique(fp, return_index=True)[1])
+                classes.update(fp[new].tolist())
+                held.append(flat[np.repeat(new, n)])
+                if sum(map(len, held)) > HOT_BATCH:
+                    yield report(held, len(classes))
+                    held, classes = [], set()
+            if held:
+                yield report(held, len(classes))
+
+    def report(held: list[np.ndarray], classes: int) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        at = np.flatnonzero(count >= max(least, share * classes))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(count[at]), pa.array(token[at].view(np.int64)), pa.array(np.ones(len(at), bool))],
+                                          names=["doc_id", "n", "fp", "hot"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, fp long")
+    return rows.mapInArrow(run, "doc_id long, n long, fp long, hot boolean")
 
 
 def _by_range(ranges: int, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -129,26 +155,74 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([np.zeros(0, d), *(np.frombuffer(x, d) for x in t[c].to_pylist())]) for c, d in _TYPES.items())
 
 
-def _emitted(docs: DataFrame, k: int, ranges: int) -> DataFrame:
-    """Each class's sampled tokens, and the least others it needs, packed by hash range."""
+def _order(flat: np.ndarray, n: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, whether hot, rank among the row's tokens that are alike in that, number of the row's other tokens)."""
+    row = np.repeat(np.arange(len(n)), n)
+    is_hot = np.isin(flat, hot) if len(hot) else np.zeros(len(flat), bool)
+    hots = np.bincount(row[is_hot], minlength=len(n))
+    seen = np.cumsum(is_hot)
+    before = np.cumsum(hots) - hots
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    rank_hot = seen - 1 - before[row]
+    rank = np.where(is_hot, rank_hot, place - (seen - before[row]))
+    return row, is_hot, rank, n - hots
+
+
+def _hot_ties(docs: DataFrame, k: int, hot: np.ndarray) -> DataFrame | None:
+    """(fp, hub): classes whose first tokens include hot ones, tied to the least such class of each; None if there are none."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def firsts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, _, data, offs in text_blocks(batch, "text", BLOCK):
+            flat, n = shingle_sets(data, offs, k)
+            fp = fingerprints(flat, n)
+            row, is_hot, rank, others = _order(flat, n, sent.value)
+            need = is_hot & (rank < (_first_of(n) - others)[row])
+            yield fp[row[need]], flat[need].view(np.int64)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, token = (np.concatenate(x) for x in zip(*firsts(batch), (np.zeros(0, np.int64),) * 2))
+            order = np.lexsort((fp, token))
+            fp, token = fp[order], token[order]
+            head = np.ones(len(fp), bool)
+            head[1:] = token[1:] != token[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(token[head]), pa.array(fp[head])], names=["token", "hub"])
+
+    hubs = docs.mapInArrow(least, "token long, hub long").groupBy("token").agg(F.min("hub").alias("hub")).collect()  # hot tokens at most
+    if not hubs:
+        return None
+    to = docs.sparkSession.sparkContext.broadcast(tuple(np.array(x) for x in zip(*sorted((r.token, r.hub) for r in hubs))))
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, hub = to.value
+        for batch in batches:
+            for fp, token in firsts(batch):
+                pairs = np.unique(np.stack([fp, hub[np.searchsorted(tokens, token)]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["fp", "hub"])
+
+    return docs.mapInArrow(tie, "fp long, hub long")
+
+
+def _emitted(docs: DataFrame, k: int, ranges: int, hot: np.ndarray) -> DataFrame:
+    """Each class's sampled tokens, and the least others it needs, packed by hash range; no hot ones."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple] = []
             size = 0
-            for lo, hi, data, offs in text_blocks(batch, "text"):
+            for lo, hi, data, offs in text_blocks(batch, "text", BLOCK):
                 flat, n = shingle_sets(data, offs, k)
                 fp = fingerprints(flat, n)
                 own = np.zeros(hi - lo, bool)
                 own[np.unique(fp, return_index=True)[1]] = True
                 own &= n > 0
-                row = np.repeat(np.arange(hi - lo), n)
-                rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)  # sets are sorted: sampled tokens come first
-                sampled = flat < _CUT
-                keep = own[row] & (sampled | (rank < _first_of(n)[row]))
+                row, is_hot, rank, _ = _order(flat, n, sent.value)  # sets are sorted: sampled tokens come first
+                keep = own[row] & ~is_hot & ((flat < _CUT) | (rank < _first_of(n)[row]))
                 held.append((fp[row[keep]], n[row[keep]], flat[keep]))
                 size += len(held[-1][0])
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield deal(held)
                     held, size = [], 0
             if held:
@@ -327,7 +401,7 @@ def _sets_of(docs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in text_blocks(batch, "text"):
+            for lo, hi, data, offs in text_blocks(batch, "text", BLOCK):
                 flat, n = shingle_sets(data, offs, k)
                 fp = fingerprints(flat, n)
                 at = np.cumsum(n)
@@ -341,14 +415,18 @@ def _sets_of(docs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     return docs.join(blocks, "doc_id").select(*keep, "text").mapInArrow(run, f"{types}, set binary").dropDuplicates(["fp"])
 
 
-def classes_with_links(docs: DataFrame, sig: DataFrame, k: int) -> DataFrame | None:
+def classes_with_links(docs: DataFrame, sig: DataFrame, reported: DataFrame, k: int) -> DataFrame | None:
     """(node, root) over classes that link with another; None if no class can."""
     spark = docs.sparkSession
-    stats = sig.agg(F.sum("n").alias("n")).first()
+    stats = sig.where("n > 0").agg(F.sum("n").alias("n"), F.approx_count_distinct("fp").alias("classes")).first()
     if not stats.n:
         return None
+    counts = reported.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, HOT_SHARE * stats.classes))
+    hot = np.sort(np.array([r.fp for r in counts.select("fp").collect()], np.int64).view(np.uint64))
     ranges = max(8, int(stats.n * SAMPLED * 20 / RANGE_BYTES) + 1)
-    ties = _ties(_first_tokens(_counted(_emitted(docs, k, ranges), ranges), ranges))
+    ties = _ties(_first_tokens(_counted(_emitted(docs, k, ranges, hot), ranges), ranges))
+    hot_ties = _hot_ties(docs.select("text"), k, hot) if len(hot) else None
+    ties = ties if hot_ties is None else ties.unionByName(hot_ties)
     blocks = components(ties, "fp", "hub").select(F.col("node").alias("fp"), F.col("root").alias("block"))
     blocks = written(spark, blocks, "jaccard-blocks")
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
@@ -389,8 +467,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, n_shingles, component_id) of every row."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(spark, signatures(df, id_col, text_col, k), "jaccard-signatures")
-    roots = classes_with_links(docs, sig, k)
+    both = written(spark, signatures(df, id_col, text_col, k), "jaccard-signatures")
+    sig, reported = both.where("NOT hot").drop("hot"), both.where("hot")
+    roots = classes_with_links(docs, sig, reported, k)
     cls = sig.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     if roots is not None:
         cls = cls.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

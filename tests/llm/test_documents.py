@@ -65,6 +65,22 @@ def test_jaccard_cut_blocks(spark, monkeypatch):
     assert got == jaccard_components([r[:2] for r in rows])
 
 
+def test_jaccard_hot_tokens(spark, monkeypatch):
+    """A group of near copies and a passage that most classes hold, with their tokens kept out of the exchange."""
+    rnd = random.Random(8)
+    base, passage = [f"b{i}" for i in range(50)], [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rnd.randrange(50)] = f"x{rnd.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w), "en", "s"))
+        rows.append((100 + i, " ".join([*passage, *(f"y{i}z{j}" for j in range(rnd.choice([3, 5, 30])))]), "en", "s"))
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 3)
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 0.1)
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
+    assert got == jaccard_components([r[:2] for r in rows])
+
+
 def test_count_tree_bounds():
     rnd = np.random.default_rng(2)
     base = np.sort(rnd.integers(1, 1 << 62, 200, dtype=np.uint64))
