@@ -41,7 +41,7 @@ RANGE_BYTES = 12 << 20
 SHARD_BYTES = 2 << 20
 SORT_MEMORY = 96 << 20
 #: Entries of a batch that are compared with each other before they are sent.
-HELD = 400_000
+HELD = 100_000
 #: Ends a piece in a shard's text; no UTF-8 byte.
 SEPARATOR = 0xFF
 
