@@ -37,6 +37,11 @@ def fold(id_col: Column, k: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
+def unit_hash(h: Column) -> Column:
+    """A signed 64-bit hash as a double in [0, 1)."""
+    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+
+
 def with_fields(df: DataFrame, more: str, *without: str) -> StructType:
     """The schema of ``df`` but for some columns, followed by the fields of a DDL text."""
     return StructType([f for f in df.schema.fields if f.name not in without] + StructType.fromDDL(more).fields)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unit_hash, written
 
 PIVOTS = 32
 PIVOT_SAMPLE = 4096
@@ -61,9 +61,12 @@ def _matrix(batch: pa.RecordBatch, col: str) -> np.ndarray:
     return np.asarray(arr.flatten(), np.float64).reshape(len(arr), -1)
 
 
-def _pivots(vectors: DataFrame, most: int) -> np.ndarray:
+def _pivots(vectors: DataFrame, most: int, total: int) -> np.ndarray:
     """Pivots in the widened space: farthest-first choice from a seeded sample of ``PIVOT_SAMPLE`` rows at most."""
-    rows = vectors.orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("v", "sq").collect()
+    h = F.xxhash64(F.lit(11), "vec_id")
+    # rows are thinned out by their hash first, so that each partition sends about its share of the sample only
+    some = vectors.where(unit_hash(h) < min(1.0, 2 * PIVOT_SAMPLE / total))
+    rows = some.orderBy(h, "vec_id").limit(PIVOT_SAMPLE).select("v", "sq").collect()
     x = np.array([r.v for r in rows], np.float64)
     x = np.concatenate([x, np.sqrt(np.maximum(0.0, most - np.array([r.sq for r in rows], np.float64)))[:, None]], 1)
     chosen = [x[0]]
@@ -98,7 +101,7 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
     if not stats.n:
         return spark.createDataFrame([], result)
     most = stats.most
-    pivots = _pivots(vectors, most)
+    pivots = _pivots(vectors, most, stats.n)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,17 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unit_hash, written
 
 #: Rows that one ranking bucket is meant to hold.
 BUCKET_ROWS = 20_000
 
 
-def _unit(h):
-    """A signed 64-bit hash as a double in [0, 1)."""
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
-
-
 def _offsets(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     """Running count before each bucket, by ``keys``."""
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -53,7 +48,7 @@ def interleaved_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     total = df.count()
     buckets = max(64, -(-total // BUCKET_ROWS))
-    rows = rows.withColumn("b", F.floor(_unit(F.col("h")) * buckets).cast("int"))
+    rows = rows.withColumn("b", F.floor(unit_hash(F.col("h")) * buckets).cast("int"))
     counts = rows.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("n"))
     at = _offsets(counts, ["stratum"], "b").select("stratum", "b", "before", "total")
     inner = Window.partitionBy("stratum", "b").orderBy("h", "doc_id", "size0", "text_crc32")
