@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ragged, span_hashes, table, text_blocks, with_fields, written
+from .common import fold, ragged, span_hashes, table, text_blocks, unit_hash, with_fields, written
 from .langid import _fold_case
 
 SAMPLE = 40_000
@@ -408,7 +408,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.where(learn_from(F.col("doc_id"))) if learn_from else known
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(SAMPLE)
+    h = F.xxhash64(F.lit(3), "doc_id")
+    # rows are thinned out by their hash first, so that the cut at SAMPLE sees about its own size only
+    some = known.where(unit_hash(h) < min(1.0, 2 * SAMPLE / max(1, known.count())))
+    known = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(h, "doc_id").limit(SAMPLE)
     known = written(spark, known, "toxic-labels")
     rows = docs.join(F.broadcast(known), "doc_id").select("text", "toxic")  # SAMPLE rows of 12 bytes at most
     terms = learn_lexicon(rows)
