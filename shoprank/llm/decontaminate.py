@@ -2,18 +2,19 @@
 
 1. Term weights: the number of documents that hold each benchmark word, over all documents; words of more than
    ``COMMON`` of the documents weigh nothing, others log(COMMON * documents / holders).
-2. Latent space: randomised SVD of the benchmark passages' TF-IDF matrix (terms hashed to ``TERMS`` columns), by
-   products with A'A that are summed over the table's partitions; ``RANK`` directions.
-3. Candidates: every window of ``WINDOW`` words of every document (one per ``STRIDE``) is projected; items whose cosine
-   with it is ``COSINE`` or more are its candidates. The window's length counts all its words, those unknown to the
-   benchmark with the weight of a word that no document holds.
+2. Latent spaces: items are cut into passages of ``WINDOW`` words (one per ``STRIDE``), passages are dealt to spaces of
+   ``SPACE`` at most, and each space gets the randomised SVD of its passages' TF-IDF matrix, with as many directions as
+   it takes for every passage to keep ``ENERGY`` of its squared length. Spaces are fitted in tasks.
+3. Candidates: every window of ``WINDOW`` words of every document (one per ``STRIDE``) is projected; items with a passage
+   whose projection has a cosine of ``COSINE`` or more with it are its candidates. The window's length counts all its
+   words, those unknown to the benchmark with the weight of a word that no document holds.
 4. Check: the longest common subsequence of the item's words and the words around the window, as a share of the
    item's words, over all words and over weighted words, whichever is less; an item is leaked into a document at
    ``SHARE``, or at ``SHARE_WITH_ANSWER`` if its last ``ANSWER`` words stand there in a row. So reordered or partly
    reworded passages are found, and single shared phrases are not.
 
-Distribution: two passes over the documents without a shuffle. The benchmark is worked on in blocks of ``ITEMS`` items,
-so what is sent to the workers is bounded: items, weights, and TERMS x RANK numbers.
+Distribution: two passes over the documents without a shuffle. The benchmark is worked on in blocks of about
+``PASSAGES`` passages, so what is sent to the workers is bounded: items, weights, and at most SPACE directions a space.
 
 Null and empty texts and items match nothing. A benchmark of no items gives no rows, like an empty table. Repeated rows
 and repeated items give one row per (doc_id, item_id). Null ids match like others. Other columns are ignored.
@@ -29,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import span_hashes, table, text_blocks
+from .common import ragged, span_hashes, table, text_blocks
 from .langid import _fold_case
 from .toxicity import words_of
 
 WINDOW, STRIDE = 16, 8
-TERMS = 1 << 15
-RANK = 128
-ITEMS = 2048
+SPACE, ENERGY = 256, 0.9
+PASSAGES = 4096
 COMMON = 0.2
 COSINE = 0.25
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.65, 0.5, 5
@@ -81,66 +81,68 @@ def holders(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bucket(word: np.ndarray) -> np.ndarray:
-    return (word >> np.uint64(20)).astype(np.int64) % TERMS
-
-
-def _columns(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Column of each word: the place of its bucket among those that the vocabulary fills."""
-    return np.searchsorted(np.unique(_bucket(vocabulary)), _bucket(words))
-
-
-def _vector(words: np.ndarray, vocabulary: np.ndarray, weight: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, unit TF-IDF weights) of one passage; ``column``: of each vocabulary word."""
-    at = np.searchsorted(vocabulary, words)
-    at[at == len(vocabulary)] = 0
-    at = at[vocabulary[at] == words]
-    cols, inv = np.unique(column[at], return_inverse=True)
-    x = np.bincount(inv, weights=weight[at], minlength=len(cols))
-    norm = math.sqrt(float((x * x).sum()))
-    return cols, x / norm if norm else x
-
-
-def randomised_svd(items: DataFrame, vocabulary: np.ndarray, weight: np.ndarray, rank: int = RANK, passes: int = 2) -> np.ndarray:
-    """[columns, rank] right singular directions of the passages' TF-IDF matrix A, by subspace iteration with A'A.
-
-    Each pass sums a_i (a_i' Q) over the rows of each partition, then over partitions: TERMS x rank numbers at most.
-    """
-    sc = items.sparkSession.sparkContext
-    column = _columns(vocabulary, vocabulary)
-    size = int(column.max()) + 1
-    rank = min(rank, size)
-    q = np.random.default_rng(29).standard_normal((size, rank))
-    for last in [False] * passes + [True]:
-        sent = sc.broadcast((vocabulary, weight, column, q.astype(np.float32)))
-
-        def run(batches: Iterator[pa.RecordBatch], last: bool = last, sent=sent) -> Iterator[pa.RecordBatch]:
-            known, w, column, q = sent.value
-            rows: dict[int, np.ndarray] = {}
-            small = np.zeros((q.shape[1], q.shape[1]))
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    cols, x = _vector(_words_of_text(text), known, w, column)
-                    y = x @ q[cols]
-                    if last:
-                        small += np.outer(y, y)
-                        continue
-                    for c, v in zip(cols.tolist(), x.tolist()):
-                        rows[c] = rows.get(c, 0) + v * y
-            if last:
-                rows = dict(enumerate(small))
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([v.tolist() for v in rows.values()], pa.list_(pa.float64()))],
-                                             names=["row", "v"])
-
-        part = items.select("text").mapInArrow(run, "row int, v array<double>")
-        total = np.zeros((rank if last else size, rank))
-        for r in part.toLocalIterator():
-            total[r.row] += r.v
-        if last:
-            value, turn = np.linalg.eigh(total)
-            return (q @ turn[:, np.argsort(-value)]).astype(np.float32)
-        q = np.linalg.qr(total)[0]
-    return q
+def _held(have: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key is in the sorted, non-empty ``have``."""
+    at = np.searchsorted(have, keys)
+    at[at == len(have)] = 0
+    return have[at] == keys
+
+
+def passages(words: np.ndarray) -> list[np.ndarray]:
+    """An item's windows: one per STRIDE words, the last one at its end."""
+    last = max(0, len(words) - WINDOW)
+    return [words[i:i + WINDOW] for i in sorted({*range(0, last, STRIDE), last})]
+
+
+def randomised_svd(a: np.ndarray, energy: float = ENERGY, turns: int = 2) -> np.ndarray:
+    """[columns, rank] right singular directions of ``a`` (rows of length 1), by subspace iteration: the fewest that leave
+    every row ``energy`` of its squared length. The subspace is doubled until it does; at full rank it holds every row."""
+    most = min(a.shape)
+    size = min(64, most)
+    while True:
+        q = np.random.default_rng(29).standard_normal((a.shape[1], size))
+        for _ in range(turns + 1):
+            q = np.linalg.qr(a.T @ (a @ q))[0]
+        y = a @ q
+        value, turn = np.linalg.eigh(y.T @ y)
+        turn = turn[:, np.argsort(-value)]
+        kept = np.cumsum((y @ turn) ** 2, axis=1).min(0)
+        if kept[-1] >= energy or size == most:
+            rank = int(np.argmax(kept >= energy)) + 1 if kept[-1] >= energy else size
+            return (q @ turn[:, :rank]).astype(np.float32)
+        size = min(2 * size, most)
+
+
+def _space(part: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, [terms, rank] their part of a projection, [passages, rank] unit queries, item of each) of the passages
+    (item, terms, weights) of one space."""
+    terms = np.unique(np.concatenate([t for _, t, _ in part]))
+    a = np.zeros((len(part), len(terms)))
+    own = np.zeros(len(terms))
+    for i, (_, t, w) in enumerate(part):
+        col = np.searchsorted(terms, t)
+        np.add.at(a[i], col, w)
+        own[col] = w
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    v = randomised_svd(a)
+    q = a.astype(np.float32) @ v
+    q /= np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None]
+    return terms, v * own[:, None].astype(np.float32), q, np.array([i for i, _, _ in part])
+
+
+def spaces(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight: np.ndarray) -> list[tuple]:
+    """The latent spaces of a block of items, fitted in one task each."""
+    cut = []
+    for i, (_, x) in enumerate(items):
+        for p in passages(x):
+            t = np.searchsorted(vocabulary, p)
+            if weight[t].any():
+                cut.append((i, t, weight[t]))
+    if not cut:
+        return []
+    n = -(-len(cut) // SPACE)
+    parts = [cut[len(cut) * k // n:len(cut) * (k + 1) // n] for k in range(n)]
+    return docs.sparkSession.sparkContext.parallelize(parts, n).map(_space).collect()
 
 
 def common_subsequence(item: dict, n: int, words: list) -> int:
@@ -194,19 +196,22 @@ def _windows(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return base[text] + first, base[text] + np.minimum(first + WINDOW, count[text]), text
 
 
-def _search(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight: np.ndarray, unknown: float, directions: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((items, vocabulary, weight, directions))
+def _search(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight: np.ndarray, unknown: float,
+            latent: list[tuple]) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((items, vocabulary, weight, latent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, known, w, v = sent.value
-        heavy = set(known[w > 0].tolist())
+        items, known, w, latent = sent.value
+        rare = w > 0
+        heavy = set(known[rare].tolist())
         objects = [_Item(i, x, heavy) for i, x in items]
-        column = _columns(known, known)
-        q = np.zeros((len(items), v.shape[1]), np.float32)
-        for i, (_, x) in enumerate(items):
-            cols, t = _vector(x, known, w, column)
-            q[i] = t @ v[cols]
-        mine = v[column] * w[:, None].astype(np.float32)  # a word's part of a window's projection
+        size, core_size = np.array([o.n for o in objects]), np.array([len(o.core) for o in objects])
+        members = np.unique(np.concatenate([j * len(known) + np.searchsorted(known, x) for j, (_, x) in enumerate(items)]))
+        least = min(SHARE, SHARE_WITH_ANSWER)
+        column = []  # each vocabulary word's row in each space
+        for terms, *_ in latent:
+            column.append(np.full(len(known), -1, np.int32))
+            column[-1][terms] = np.arange(len(terms))
         for batch in batches:
             ids = batch.column(0)
             best: dict[tuple, tuple] = {}
@@ -219,28 +224,57 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight:
                 at = np.searchsorted(known, word)
                 at[at == len(known)] = 0
                 hit = known[at] == word
-                own = np.where(hit, w[at], unknown)
-                square = np.concatenate([[0.0], np.cumsum(own * own)])
-                use = np.flatnonzero(hit & (w[at] > 0))  # words that carry weight in the latent space
-                before = np.searchsorted(use, np.arange(len(word) + 1))
+                own = np.where(hit, w[at], unknown) ** 2
+                square = np.concatenate([[0.0], np.cumsum(own)])
                 first, end, text = _windows(row, hi - lo)
-                some = before[end] - before[first] >= 3
-                first, end, text = first[some], end[some], text[some]
-                if not len(first):
-                    continue
                 length = np.sqrt(square[end] - square[first])
-                a, n = before[first], before[end] - before[first]
-                place = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                part = np.add.reduceat(mine[at[use[place]]], np.cumsum(n) - n, axis=0)
-                cos = (part @ q.T) / np.maximum(length, 1e-9)[:, None]
-                for i, j in zip(*np.nonzero(cos >= COSINE)):
+                win, who, near = [], [], []  # candidates: window, item, cosine
+                spots = np.flatnonzero(hit)
+                for (_, mine, q, owner), col in zip(latent, column):
+                    local = col[at[spots]]
+                    use, local = spots[local >= 0], local[local >= 0]
+                    before = np.searchsorted(use, np.arange(len(word) + 1))
+                    part = np.concatenate([[0.0], np.cumsum(own[use])])
+                    a, n = before[first], before[end] - before[first]
+                    # a projection is no longer than the part of the window that the space knows
+                    go = np.flatnonzero((n > 0) & (np.sqrt(part[a + n] - part[a]) >= (COSINE - 1e-6) * length))
+                    for c in range(0, len(go), 1024):
+                        g = go[c:c + 1024]
+                        put = np.add.reduceat(mine[local[ragged(a[g], n[g])]], np.cumsum(n[g]) - n[g], axis=0)
+                        cos = (put @ q.T) / np.maximum(length[g], 1e-9)[:, None]
+                        i, j = np.nonzero(cos >= COSINE)
+                        win.append(g[i])
+                        who.append(owner[j])
+                        near.append(cos[i, j])
+                bounds = np.searchsorted(row, np.arange(hi - lo + 1))
+                if not win:
+                    continue
+                win, who, near = (np.concatenate(y) for y in (win, who, near))
+                order = np.lexsort((-near, who, win))
+                win, who, near = win[order], who[order], near[order]
+                one = np.ones(len(win), bool)
+                one[1:] = (win[1:] != win[:-1]) | (who[1:] != who[:-1])
+                win, who, near = win[one], who[one], near[one]
+                # the words around the window; those of the item's among them bound the common subsequence
+                x0 = np.maximum(bounds[text[win]], first[win] - size[who])
+                x1 = np.minimum(bounds[text[win] + 1], end[win] + size[who])
+                may = np.zeros(len(win), bool)
+                s0, s1 = np.searchsorted(spots, x0), np.searchsorted(spots, x1)
+                for c in range(0, len(win), 4096):
+                    z = slice(c, c + 4096)
+                    n = s1[z] - s0[z]
+                    term = at[spots[ragged(s0[z], n)]]
+                    mine = _held(members, np.repeat(who[z], n) * len(known) + term)
+                    total = np.concatenate([[0], np.cumsum(mine)])
+                    core = np.concatenate([[0], np.cumsum(mine & rare[term])])
+                    stop = np.cumsum(n)
+                    may[z] = (total[stop] - total[stop - n] >= least * size[who[z]]) & (core[stop] - core[stop - n] >= least * core_size[who[z]])
+                for i, j, cosine, x, y in zip(*(v[may].tolist() for v in (win, who, near, x0, x1))):
                     item = objects[j]
                     r = int(text[i])
-                    own0, own1 = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
-                    x, y = max(int(own0), int(first[i]) - item.n), min(int(own1), int(end[i]) + item.n)
                     lcs, share, answer = item.check(word[x:y].tolist())
                     if share >= SHARE or (answer and share >= SHARE_WITH_ANSWER):
-                        key, new = (lo + r, item.id), (share, float(cos[i, j]), lcs, item.n, answer)
+                        key, new = (lo + r, item.id), (share, cosine, lcs, item.n, answer)
                         if key not in best or new > best[key]:
                             best[key] = new
             if best:
@@ -261,19 +295,19 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).distinct()
     total = docs.count()
-    blocks = max(1, -(-items.count() // ITEMS))
+    cuts = F.size(F.split("text", r"\s+")) / STRIDE + 1
+    blocks = max(1, math.ceil((items.agg(F.sum(cuts)).first()[0] or 0) / PASSAGES))
     out = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        own = [(r.item_id, _words_of_text(r.text)) for r in block.collect()]  # about ITEMS items
+        own = [(r.item_id, _words_of_text(r.text)) for r in block.collect()]  # about PASSAGES passages
         own = [(i, x) for i, x in own if len(x)]
         if not own:
             continue
         vocabulary = np.unique(np.concatenate([x for _, x in own]))
         unknown = math.log(max(COMMON * total, 2.0)) or 1.0
         weight = np.clip(np.log(np.maximum(COMMON * total, 2.0) / np.maximum(holders(docs, vocabulary), 1)), 0, None)
-        directions = randomised_svd(block, vocabulary, weight)
-        found = _search(docs, own, vocabulary, weight, unknown, directions)
+        found = _search(docs, own, vocabulary, weight, unknown, spaces(docs, own, vocabulary, weight))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], RESULT)

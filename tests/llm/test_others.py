@@ -200,6 +200,24 @@ def test_leaks_of_whole_and_reworded_passages(spark):
     assert decontaminate.leaks(frame(spark).limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("n, size", [(500, 38), (2000, 38), (300, 300)])
+def test_leak_recall_of_many_and_long_items(spark, n, size):
+    """Exact copies, and copies with every seventh word replaced, of items drawn from the same words."""
+    rnd = random.Random(n + size)
+    words = ["".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(7)) for _ in range(4000)]
+    draw = lambda k: [rnd.choice(words) for _ in range(k)]
+    items = [(i, " ".join(draw(size))) for i in range(n)]
+    rows, want = [], set()
+    for i, text in items:
+        w = text.split()
+        if i % 2:
+            w[::7] = draw(len(w[::7]))
+        rows.append((i, " ".join([*draw(rnd.randint(5, 25)), *w, *draw(20)]), "en", "a"))
+        want.add((i, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & want) >= 0.99 * n and {x for x in want if x[0] % 2 == 0} <= got and len(got - want) <= 0.01 * n
+
+
 def test_common_subsequence():
     rnd = random.Random(6)
     for _ in range(200):
