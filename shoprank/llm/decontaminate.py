@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval, longest common subsequences and answer checks.
 
-1. Term weights: the number of documents that hold each benchmark word, over all documents; words of more than
-   ``COMMON`` of the documents weigh nothing, others log(COMMON * documents / holders).
+1. Term weights: log(1 + documents / (holders + 1)), which is never 0. Holders are the documents that hold a word outside
+   the runs of ``GRAM`` words that they share with the benchmark, so copies of a passage don't make its words common.
 2. Latent spaces: items are cut into passages of ``WINDOW`` words (one per ``STRIDE``), passages are dealt to spaces of
    ``SPACE`` at most, and each space gets the randomised SVD of its passages' TF-IDF matrix, with as many directions as
    it takes for every passage to keep ``ENERGY`` of its squared length. Spaces are fitted in tasks.
 3. Candidates: every window of ``WINDOW`` words of every document (one per ``STRIDE``) is projected; items with a passage
    whose projection has a cosine of ``COSINE`` or more with it are its candidates. The window's length counts all its
-   words, those unknown to the benchmark with the weight of a word that no document holds.
+   words, those unknown to the benchmark with the weight of a word that no document holds. Windows that hold an item
+   word for word are candidates whatever their cosine (each item is looked up by its rarest word).
 4. Check: the longest common subsequence of the item's words and the words around the window, as a share of the
    item's words, over all words and over weighted words, whichever is less; an item is leaked into a document at
    ``SHARE``, or at ``SHARE_WITH_ANSWER`` if its last ``ANSWER`` words stand there in a row. So reordered or partly
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, span_hashes, table, text_blocks
+from .common import _P, _powers, mix64, ragged, span_hashes, table, text_blocks
 from .langid import _fold_case
 from .toxicity import words_of
 
 WINDOW, STRIDE = 16, 8
 SPACE, ENERGY = 256, 0.9
 PASSAGES = 4096
+GRAM = 4
 COMMON = 0.2
 COSINE = 0.25
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.65, 0.5, 5
@@ -55,12 +57,20 @@ def _words_of_text(text: str | None) -> np.ndarray:
     return _hashed_words(raw, np.array([0, len(raw)]))[0] if len(raw) else np.zeros(0, np.uint64)
 
 
-def holders(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Number of documents that hold each word of a sorted ``vocabulary``."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _grams(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hash of the run of GRAM words from each of ``begin`` on."""
+    out = np.zeros(len(begin), np.uint64)
+    for i in range(GRAM):
+        out = mix64(out + words[begin + i])
+    return out
+
+
+def holders(docs: DataFrame, vocabulary: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Number of documents that hold each word of a sorted ``vocabulary`` outside runs of sorted ``grams``."""
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known, runs = sent.value
         n = np.zeros(len(known), np.int64)
         for batch in batches:
             for lo, hi, data, offs in text_blocks(batch, "text"):
@@ -69,6 +79,14 @@ def holders(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
                     at = np.searchsorted(known, word)
                     at[at == len(known)] = 0
                     hit = known[at] == word
+                    # runs of GRAM known words in one text, looked up in the benchmark's
+                    solid = np.concatenate([[0], np.cumsum(hit)])
+                    begin = np.flatnonzero(solid[GRAM:] - solid[:-GRAM] == GRAM) if len(word) >= GRAM else np.zeros(0, np.int64)
+                    begin = begin[row[begin] == row[begin + GRAM - 1]]
+                    if len(begin) and len(runs):
+                        begin = begin[_held(runs, _grams(word, begin))]
+                        for i in range(GRAM):
+                            hit[begin + i] = False
                     seen = np.unique(row[hit] * len(known) + at[hit])
                     n += np.bincount(seen % len(known), minlength=len(known))
         at = np.flatnonzero(n)
@@ -136,10 +154,7 @@ def spaces(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight:
     for i, (_, x) in enumerate(items):
         for p in passages(x):
             t = np.searchsorted(vocabulary, p)
-            if weight[t].any():
-                cut.append((i, t, weight[t]))
-    if not cut:
-        return []
+            cut.append((i, t, weight[t]))
     n = -(-len(cut) // SPACE)
     parts = [cut[len(cut) * k // n:len(cut) * (k + 1) // n] for k in range(n)]
     return docs.sparkSession.sparkContext.parallelize(parts, n).map(_space).collect()
@@ -196,15 +211,42 @@ def _windows(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return base[text] + first, base[text] + np.minimum(first + WINDOW, count[text]), text
 
 
-def _search(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight: np.ndarray, unknown: float,
+class _Exact:
+    """Looks up items word for word: where an item's rarest word stands, the words around it are compared by hash."""
+
+    def __init__(self, items: list[tuple], vocabulary: np.ndarray, weight: np.ndarray):
+        at = [np.searchsorted(vocabulary, x) for _, x in items]
+        self.back = np.array([int(weight[t].argmax()) for t in at])
+        self.size = np.array([len(t) for t in at])
+        key = np.array([t[k] for t, k in zip(at, self.back)])
+        self.order = np.argsort(key, kind="stable")
+        self.first = np.searchsorted(key[self.order], np.arange(len(vocabulary) + 1))
+        self.hash = np.array([(x * _powers(_P, len(x))).sum(dtype=np.uint64) for _, x in items])
+
+    def find(self, word: np.ndarray, row: np.ndarray, at: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, item) of every copy; ``at``: place of each word in the vocabulary where ``hit``."""
+        pos = np.flatnonzero(hit & (self.first[at + 1] > self.first[at]))
+        n = self.first[at[pos] + 1] - self.first[at[pos]]
+        item = self.order[ragged(self.first[at[pos]], n)]
+        begin = np.repeat(pos, n) - self.back[item]
+        end = begin + self.size[item]
+        ok = (begin >= 0) & (end <= len(word))
+        item, begin, end = item[ok], begin[ok], end[ok]
+        power = _powers(_P, len(word) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * power[:-1], dtype=np.uint64)])
+        ok = (row[begin] == row[end - 1]) & (total[end] - total[begin] == self.hash[item] * power[begin])
+        return begin[ok], item[ok]
+
+
+def _search(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight: np.ndarray, heavy: np.ndarray, unknown: float,
             latent: list[tuple]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((items, vocabulary, weight, latent))
+    sent = docs.sparkSession.sparkContext.broadcast((items, vocabulary, weight, heavy, latent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, known, w, latent = sent.value
-        rare = w > 0
+        items, known, w, rare, latent = sent.value
         heavy = set(known[rare].tolist())
         objects = [_Item(i, x, heavy) for i, x in items]
+        exact = _Exact(items, known, w)
         size, core_size = np.array([o.n for o in objects]), np.array([len(o.core) for o in objects])
         members = np.unique(np.concatenate([j * len(known) + np.searchsorted(known, x) for j, (_, x) in enumerate(items)]))
         least = min(SHARE, SHARE_WITH_ANSWER)
@@ -247,8 +289,11 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight:
                         who.append(owner[j])
                         near.append(cos[i, j])
                 bounds = np.searchsorted(row, np.arange(hi - lo + 1))
-                if not win:
-                    continue
+                base = np.searchsorted(text, np.arange(hi - lo + 1))
+                x, j = exact.find(word, row, at, hit)
+                win.append(np.minimum(base[row[x]] + (x - bounds[row[x]]) // STRIDE, base[row[x] + 1] - 1))
+                who.append(j)
+                near.append(np.zeros(len(x)))
                 win, who, near = (np.concatenate(y) for y in (win, who, near))
                 order = np.lexsort((-near, who, win))
                 win, who, near = win[order], who[order], near[order]
@@ -294,7 +339,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).distinct()
-    total = docs.count()
+    total = max(1, docs.count())
     cuts = F.size(F.split("text", r"\s+")) / STRIDE + 1
     blocks = max(1, math.ceil((items.agg(F.sum(cuts)).first()[0] or 0) / PASSAGES))
     out = None
@@ -305,9 +350,12 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
         if not own:
             continue
         vocabulary = np.unique(np.concatenate([x for _, x in own]))
-        unknown = math.log(max(COMMON * total, 2.0)) or 1.0
-        weight = np.clip(np.log(np.maximum(COMMON * total, 2.0) / np.maximum(holders(docs, vocabulary), 1)), 0, None)
-        found = _search(docs, own, vocabulary, weight, unknown, spaces(docs, own, vocabulary, weight))
+        grams = np.unique(np.concatenate([_grams(x, np.arange(len(x) - GRAM + 1)) for _, x in own]))
+        held = holders(docs, vocabulary, grams)
+        unknown = math.log1p(total)
+        weight = np.log1p(total / (held + 1))
+        heavy = np.maximum(held, 1) < max(COMMON * total, 2.0)
+        found = _search(docs, own, vocabulary, weight, heavy, unknown, spaces(docs, own, vocabulary, weight))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], RESULT)

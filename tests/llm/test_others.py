@@ -218,6 +218,23 @@ def test_leak_recall_of_many_and_long_items(spark, n, size):
     assert len(got & want) >= 0.99 * n and {x for x in want if x[0] % 2 == 0} <= got and len(got - want) <= 0.01 * n
 
 
+def test_leaks_of_an_item_that_many_documents_hold(spark):
+    rnd = random.Random(8)
+    draw = lambda k: ["".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(7)) for _ in range(k)]
+    hot = draw(30)
+    other = hot[:]
+    other[::7] = draw(5)
+    items = spark.createDataFrame([(0, " ".join(hot)), (1, "to be"), (2, "a")], "item_id long, text string")
+    rows = [(i, " ".join([*draw(30), *(hot if i % 3 == 0 else other if i % 8 == 1 else []), *draw(30)]), "en", "a") for i in range(120)]
+    want = {(i, 0) for i in range(120) if i % 3 == 0 or i % 8 == 1}
+    for part, most in ((rows, 120), (rows[:3], 3), (rows[:1], 1)):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, part), items).collect()}
+        assert got == {x for x in want if x[0] < most}
+    rows = [(i, "to be or not" if i < 15 else "a to b be", "en", "a") for i in range(20)]  # items of common words only
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), items).collect()}
+    assert {(i, 1) for i in range(15)} <= got and {(i, 2) for i in range(15, 20)} <= got
+
+
 def test_common_subsequence():
     rnd = random.Random(6)
     for _ in range(200):
