@@ -7,9 +7,12 @@ neighbouring equal elements, and neighbouring equal groups of up to GROUP elemen
 expressions of one element are merged by aligning their parts: texts that differ become a slot, parts that only one has
 become optional, a part that is repeated in either is repeated.
 
-The wrapper tells what is main text: the content element (an ``article`` or ``main``, else the smallest element that holds
-most of the slots' text), without elements whose tag or class names page furniture, and without fixed texts outside
-``article``/``main`` that at least FIXED_PAGES pages share. A page that has no such element is read from its body.
+The wrapper tells what is main text: the content elements (those ``article`` and ``main`` that hold slots, else the smallest
+element that holds most of the slots' text), without fixed texts that at least FIXED_PAGES different pages share (pages of
+the same texts count once; within ``article``/``main``, only lines without slots), and without elements whose tag or class names page furniture.
+Texts in a run of
+neighbouring equal elements are slots. A page whose content elements are missing or hold fixed texts only is read with these,
+then from its body.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by two line feeds.
 
@@ -67,7 +70,8 @@ class Element:
 
     def __init__(self, key: str):
         self.key, self.parts, self.text, self.size = key, [], None, 0
-        self.optional, self.repeated, self.pages = False, False, 1
+        self.optional, self.repeated = False, False
+        self.pages: tuple[int, ...] = ()  # of a text: the least FIXED_PAGES hashes of the pages that hold it
 
 
 def parse(page: str) -> Element:
@@ -128,13 +132,22 @@ def _summary(raw: str) -> tuple[int, int]:
     return zlib.crc32(s.encode("utf-8", "replace")), len(s)
 
 
-def expression(e: Element) -> Element:
+def _page_hash(e: Element, seed: int = 0) -> int:
+    """Hash of all texts of a page, whatever their tags."""
+    for p in e.parts:
+        seed = _page_hash(p, seed) if p.text is None else zlib.crc32(b"%d" % _summary(p.text)[0], seed)
+    return seed
+
+
+def expression(e: Element, page: int | None = None) -> Element:
     """The element as an expression of its own: texts by hash and size, repeated parts folded."""
+    page = _page_hash(e) if page is None else page
     out = Element(e.key)
     if e.text is not None:
         out.text, out.size = _summary(e.text)
+        out.pages = (page,)
         return out
-    out.parts = fold([expression(x) for x in e.parts])
+    out.parts = fold([expression(x, page) for x in e.parts])
     return out
 
 
@@ -149,7 +162,7 @@ def fold(parts: list[Element]) -> list[Element]:
             if len(keys) == width and [x.key for x in parts[j:j + width]] == keys:
                 group = _grouped(parts[i:j])
                 while [x.key for x in parts[j:j + width]] == keys:
-                    merge(group, _grouped(parts[j:j + width]), pages=False)
+                    merge(group, _grouped(parts[j:j + width]))
                     j += width
                 group.repeated = True
                 out.append(group)
@@ -169,19 +182,19 @@ def _grouped(parts: list[Element]) -> Element:
     return g
 
 
-def merge(a: Element, b: Element, pages: bool = True) -> Element:
+def merge(a: Element, b: Element) -> Element:
     """``a`` widened so that it matches what ``b`` matches too; of equal keys."""
     a.optional |= b.optional
     a.repeated |= b.repeated
     a.size += b.size
-    if pages:
-        a.pages += b.pages
+    if a.pages != b.pages:
+        a.pages = tuple(sorted({*a.pages, *b.pages})[:FIXED_PAGES])
     if a.key == "#":
         a.text = a.text if a.text == b.text else None
         return a
     if [x.key for x in a.parts] == [x.key for x in b.parts]:
         for x, y in zip(a.parts, b.parts):
-            merge(x, y, pages)
+            merge(x, y)
         return a
     out: list[Element] = []
     i = j = 0
@@ -190,7 +203,7 @@ def merge(a: Element, b: Element, pages: bool = True) -> Element:
             lone.optional = True
             out.append(lone)
         if x < len(a.parts):
-            out.append(merge(a.parts[x], b.parts[y], pages))
+            out.append(merge(a.parts[x], b.parts[y]))
         i, j = x + 1, y + 1
     a.parts = _unified(out)
     return a
@@ -202,9 +215,8 @@ def _unified(parts: list[Element]) -> list[Element]:
     for p in parts:
         if out and out[-1].key == p.key:
             both = out[-1].optional and p.optional
-            merge(out[-1], p, pages=False)
+            merge(out[-1], p)
             out[-1].repeated, out[-1].optional = True, both
-            out[-1].pages = max(out[-1].pages, p.pages)
         else:
             out.append(p)
     return out
@@ -238,7 +250,7 @@ def dumped(e: Element) -> list:
 
 def loaded(x: list) -> Element:
     e = Element(x[0])
-    e.text, e.size, e.optional, e.repeated, e.pages = x[1], x[2], bool(x[3]), bool(x[4]), x[5]
+    e.text, e.size, e.optional, e.repeated, e.pages = x[1], x[2], bool(x[3]), bool(x[4]), tuple(x[5])
     e.parts = [loaded(y) for y in x[6]]
     return e
 
@@ -257,33 +269,62 @@ def is_furniture(key: str, in_content: bool) -> bool:
 
 
 class Wrapper:
-    """What a host's expression tells: the content element's path, and fixed texts by path."""
+    """What a host's expression tells: the content elements' paths, and fixed texts by path."""
 
     def __init__(self, root: Element):
         self.fixed: dict[str, set[int]] = {}
         self.slots: dict[int, int] = {}
-        self.content = None
-        self.marked = False
-        self._walk(root, "", False)
-        if not self.marked:
+        self.content: set[str] = set()
+        self._all: dict[int, tuple[int, int]] = {}
+        self._sum(root)
+        self._walk(root, "", None)
+        if not self.content:
             self._descend(root)
 
-    def _walk(self, e: Element, path: str, inside: bool) -> int:
-        """Collects fixed texts; returns the size of the slots below that aren't furniture."""
+    @staticmethod
+    def _is_fixed(p: Element) -> bool:
+        return p.text is not None and len(p.pages) >= FIXED_PAGES
+
+    def _sum(self, e: Element) -> tuple[int, int]:
+        """Size of all slots below, furniture's too, and of those in ``article``/``main``."""
+        total = marked = 0
+        for p in e.parts:
+            if p.key == "#":
+                total += 0 if self._is_fixed(p) else p.size
+            elif _tag(p.key) not in ("head", "title"):
+                some = self._sum(p)
+                total, marked = total + some[0], marked + some[1]
+        self._all[id(e)] = total, total if _tag(e.key) in CONTENT else marked
+        return self._all[id(e)]
+
+    def _line(self, e: Element) -> int:
+        """Size of the slots that stand in one line with the texts of ``e``."""
+        total = 0
+        for p in e.parts:
+            if p.key == "#":
+                total += 0 if self._is_fixed(p) else p.size
+            elif p.key.startswith("(") or _tag(p.key) in INLINE:
+                total += self._line(p)
+        return total
+
+    def _walk(self, e: Element, path: str, inside: Element | None, line: int = 0) -> int:
+        """Collects fixed texts and content; returns the size of the slots below that aren't furniture. Within content a
+        fixed text is kept if ``line``, the slots beside it, is not 0: it is part of a sentence."""
         total = 0
         for p in e.parts:
             if p.key == "#":
-                if p.text is not None and p.pages >= FIXED_PAGES:
-                    if not inside:
-                        self.fixed.setdefault(path, set()).add(p.text)
-                else:
+                if not self._is_fixed(p):
                     total += p.size
+                elif inside is None or not line:
+                    self.fixed.setdefault(path, set()).add(p.text)
             elif p.key.startswith("("):
-                total += self._walk(p, path, inside)
-            elif not is_furniture(p.key, inside):
-                content = _tag(p.key) in CONTENT
-                self.marked |= content
-                total += self._walk(p, f"{path}/{p.key}", inside or content)
+                total += self._walk(p, path, inside, line)
+            elif not is_furniture(p.key, inside is not None):
+                below = f"{path}/{p.key}"
+                content = _tag(p.key) in CONTENT and self._all[id(p)][0] > 0
+                if content:
+                    self.content.add(below)
+                total += self._walk(p, below, inside or (p if content else None), line if _tag(p.key) in INLINE else self._line(p))
         self.slots[id(e)] = total
         return total
 
@@ -296,7 +337,8 @@ class Wrapper:
             if big is None or big.repeated or _tag(big.key) in INLINE | {"p"} or self.slots[id(big)] < 0.7 * self.slots[id(e)]:
                 break
             e, path = big, f"{path}/{big.key}"
-        self.content = path or None
+        if path:
+            self.content.add(path)
 
 
 def blocks(page: Element, wrapper: Wrapper | None) -> list[str]:
@@ -310,30 +352,31 @@ def blocks(page: Element, wrapper: Wrapper | None) -> list[str]:
             out.append(text)
         now.clear()
 
-    def read(e: Element, path: str, on: bool, inside: bool) -> None:
+    def read(e: Element, path: str, on: bool, inside: bool, fixed: bool) -> None:
+        """``fixed``: fixed texts are left out."""
         for p in e.parts:
             if p.text is not None:
-                if on and not (wrapper and not inside and path in wrapper.fixed and _summary(p.text)[0] in wrapper.fixed[path]):
+                if on and not (fixed and wrapper and path in wrapper.fixed and _summary(p.text)[0] in wrapper.fixed[path]):
                     now.append(html.unescape(p.text))
                 continue
             tag = _tag(p.key)
+            below = f"{path}/{p.key}"
             if is_furniture(p.key, inside):
                 end()
                 continue
-            below = f"{path}/{p.key}"
             if tag == "br":
                 now.append(" ")
             if tag not in INLINE:
                 end()
-            read(p, below, on or tag in CONTENT or (wrapper is not None and below == wrapper.content), inside or tag in CONTENT)
+            start = tag in CONTENT if wrapper is None else below in wrapper.content
+            read(p, below, on or start, inside or tag in CONTENT, fixed)
             if tag not in INLINE:
                 end()
 
-    read(page, "", False, False)
-    end()
-    if not out:  # no content element: the whole body
-        read(page, "", True, False)
-        end()
+    for on, fixed in ((False, True), (False, False), (True, True), (True, False)):
+        if not out:
+            read(page, "", on, False, fixed)
+            end()
     return out
 
 

@@ -154,6 +154,21 @@ def test_main_texts(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def texts(spark, rows):
+    return {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_wrapper_decides_within_articles(spark):
+    """Template lines go from articles, and an article of template texts only is not the main text."""
+    art = "<article><div class='box'>Read more on our site</div><h1>Title {i}</h1><p>Own text {i} <b>here</b></p><div>&copy; us</div></article>"
+    promo = "<html><body><article><p>Buy now</p></article><div class='x'><h2>Head {i}</h2><p>Long own text number {i}</p></div></body></html>"
+    rows = [(i, f"http://a.org/{i}", page(i, art.format(i=i))) for i in range(5)] + [(10 + i, f"http://b.org/{i}", promo.format(i=i)) for i in range(5)]
+    want = {i: f"Title {i}\n\nOwn text {i} here" for i in range(5)} | {10 + i: f"Head {i}\n\nLong own text number {i}" for i in range(5)}
+    assert texts(spark, rows) == want
+    alone = texts(spark, [(0, "http://a.org/0", rows[0][2])])  # the wrapper of one page knows no template
+    assert alone == {0: "Read more on our site\n\nTitle 0\n\nOwn text 0 here\n\n© us"}
+
+
 def test_wrapper_parts():
     one = html_text.expression(html_text.parse("<ul><li>a</li><li>b</li></ul><p>x</p><hr><p>x</p><hr>"))
     two = html_text.expression(html_text.parse("<p>y</p>"))
