@@ -9,10 +9,11 @@ become optional, a part that is repeated in either is repeated.
 
 The wrapper tells what is main text: the content elements (those ``article`` and ``main`` that hold slots, else the smallest
 element that holds most of the slots' text), without fixed texts that at least FIXED_PAGES different pages share (pages of
-the same texts count once; within ``article``/``main``, only lines without slots), and without elements whose tag or class names page furniture.
-Texts in a run of
+the same texts count once; within ``article``/``main``, only lines without slots), and without elements whose tag or class
+names page furniture. Such a name is a hint only: an
+element that holds most of the text of ``article``/``main``, or most of the slots' text, is read. Texts in a run of
 neighbouring equal elements are slots. A page whose content elements are missing or hold fixed texts only is read with these,
-then from its body.
+then from its body, then from any ``article``/``main``, then with elements that only a class names furniture.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by two line feeds.
 
@@ -269,14 +270,17 @@ def is_furniture(key: str, in_content: bool) -> bool:
 
 
 class Wrapper:
-    """What a host's expression tells: the content elements' paths, and fixed texts by path."""
+    """What a host's expression tells: the content elements' paths, fixed texts by path, and the paths of elements that are
+    read though their names are furniture's."""
 
     def __init__(self, root: Element):
         self.fixed: dict[str, set[int]] = {}
         self.slots: dict[int, int] = {}
         self.content: set[str] = set()
+        self.read: set[str] = set()
         self._all: dict[int, tuple[int, int]] = {}
         self._sum(root)
+        self.whole, self.marked = self._all[id(root)]
         self._walk(root, "", None)
         if not self.content:
             self._descend(root)
@@ -297,6 +301,14 @@ class Wrapper:
         self._all[id(e)] = total, total if _tag(e.key) in CONTENT else marked
         return self._all[id(e)]
 
+    def _holds_most(self, p: Element, inside: Element | None) -> bool:
+        """Whether an element with a furniture name holds most of what is sought."""
+        total, marked = self._all.get(id(p), (0, 0))
+        if inside is None and self.marked:
+            return 2 * marked > self.marked
+        named_only = _tag(p.key) not in FURNITURE - {"form"}
+        return named_only and 2 * total > (self.whole if inside is None else self._all[id(inside)][0])
+
     def _line(self, e: Element) -> int:
         """Size of the slots that stand in one line with the texts of ``e``."""
         total = 0
@@ -319,8 +331,12 @@ class Wrapper:
                     self.fixed.setdefault(path, set()).add(p.text)
             elif p.key.startswith("("):
                 total += self._walk(p, path, inside, line)
-            elif not is_furniture(p.key, inside is not None):
+            else:
                 below = f"{path}/{p.key}"
+                if is_furniture(p.key, inside is not None):
+                    if not self._holds_most(p, inside):
+                        continue
+                    self.read.add(below)
                 content = _tag(p.key) in CONTENT and self._all[id(p)][0] > 0
                 if content:
                     self.content.add(below)
@@ -352,8 +368,9 @@ def blocks(page: Element, wrapper: Wrapper | None) -> list[str]:
             out.append(text)
         now.clear()
 
-    def read(e: Element, path: str, on: bool, inside: bool, fixed: bool) -> None:
-        """``fixed``: fixed texts are left out."""
+    def read(e: Element, path: str, on: bool, inside: bool, fixed: bool, any_content: bool = False, named: bool = False) -> None:
+        """``fixed``: fixed texts are left out; ``any_content``: every article and main is read, wherever it lies;
+        ``named``: only tags tell furniture."""
         for p in e.parts:
             if p.text is not None:
                 if on and not (fixed and wrapper and path in wrapper.fixed and _summary(p.text)[0] in wrapper.fixed[path]):
@@ -361,21 +378,22 @@ def blocks(page: Element, wrapper: Wrapper | None) -> list[str]:
                 continue
             tag = _tag(p.key)
             below = f"{path}/{p.key}"
-            if is_furniture(p.key, inside):
+            if is_furniture(tag if named else p.key, inside) and not (wrapper and below in wrapper.read) and not (any_content and not on):
                 end()
                 continue
             if tag == "br":
                 now.append(" ")
             if tag not in INLINE:
                 end()
-            start = tag in CONTENT if wrapper is None else below in wrapper.content
-            read(p, below, on or start, inside or tag in CONTENT, fixed)
+            start = tag in CONTENT if any_content or wrapper is None else below in wrapper.content
+            read(p, below, on or start, inside or tag in CONTENT, fixed, any_content, named)
             if tag not in INLINE:
                 end()
 
-    for on, fixed in ((False, True), (False, False), (True, True), (True, False)):
+    for on, fixed, any_content, named in ((False, True, False, False), (False, False, False, False), (True, True, False, False),
+                                          (True, False, False, False), (False, False, True, False), (True, False, False, True)):
         if not out:
-            read(page, "", on, False, fixed)
+            read(page, "", on, False, fixed, any_content, named)
             end()
     return out
 

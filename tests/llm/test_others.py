@@ -169,6 +169,16 @@ def test_wrapper_decides_within_articles(spark):
     assert alone == {0: "Read more on our site\n\nTitle 0\n\nOwn text 0 here\n\n© us"}
 
 
+def test_main_text_is_not_lost(spark):
+    body = "<html><head><title>T</title></head><body class='{c}'><nav>menu</nav><div class='page-widget'>{x}</div><div id='comments'>Hm</div></body></html>"
+    rows = [(i, f"http://a{i}.org/", body.format(c=c, x=f"<article><h1>A</h1><p>Text {i} of the page</p></article>")) for i, c in enumerate(["has-sidebar", "tag-python", "x"])]
+    rows += [(10, "http://c.org/", body.format(c="no-sidebar", x="<h1>A</h1><p>Text without an article element</p>"))]
+    same = "<html><body><div><h1>Heading</h1><p>The only paragraph</p></div></body></html>"
+    rows += [(20 + i, f"http://d.org/{i}", same) for i in range(6)]
+    want = {i: f"A\n\nText {i} of the page" for i in range(3)} | {10: "A\n\nText without an article element"}
+    assert texts(spark, rows) == want | {20 + i: "Heading\n\nThe only paragraph" for i in range(6)}
+
+
 def test_wrapper_parts():
     one = html_text.expression(html_text.parse("<ul><li>a</li><li>b</li></ul><p>x</p><hr><p>x</p><hr>"))
     two = html_text.expression(html_text.parse("<p>y</p>"))
