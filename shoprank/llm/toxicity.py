@@ -5,7 +5,7 @@ Learning uses a bounded sample of labelled rows (``SAMPLE`` rows at most, smalle
   log-likelihood ratio of at least ``EVIDENCE``;
 - a linear model over the finds' context-window scores is fitted to the labels.
 
-Finding: each word of a text is looked up as it is; a word that isn't a term but shares a one-letter deletion with one
+Finding: each word of a text is looked up as it is; a word that isn't a term but shares a deletion of one UTF-8 character with one
 is given to its Levenshtein automaton (insertion, deletion, substitution or exchange of neighbours, ``EDITS`` in all),
 which is intersected with the lexicon trie, so that branches no edit can save are never entered.
 
@@ -44,7 +44,8 @@ LEAST_TEXTS, LEAST_SHARE = 3, 0.001
 EDITS = 1
 #: Shorter terms are found as they are only.
 FUZZY_LENGTH = 5
-#: A term one of whose misspellings stands in more than this share of the clean texts is found as it is only.
+#: A term is found as it is only if its misspellings stand in more than this share of the clean texts, in at least
+#: LEAST_TEXTS of them, and their share among toxic texts is less than ODDS times that.
 RIGID_SHARE = 0.0001
 WINDOW = 8
 #: Signs that open or close quotations; words that report another's speech.
@@ -154,17 +155,28 @@ def words_of(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offs, starts, side="right") - 1
 
 
+def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Number of UTF-8 characters of every word."""
+    n = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return n[ends] - n[starts]
+
+
 def _shortened(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the word without one byte, word) for every byte of every word."""
+    """(hash of the word without one UTF-8 character, word) for every character of every word."""
     size = ends - starts
     word = np.repeat(np.arange(len(starts)), size)
     out = ragged(starts, size)
+    first = (data[out] & 0xC0) != 0x80
+    first[np.cumsum(size)[size > 0] - size[size > 0]] = True
+    head = np.flatnonzero(first)
+    width = np.diff(np.append(head, len(out)))
+    word, out = word[head], out[head]
     # each shortened word is laid out once, then hashed: total size is the sum of squares of short words
-    reps = size[word] - 1
+    reps = size[word] - width
     lay = ragged(starts[word], reps)
     heads = np.cumsum(reps) - reps
     place = np.arange(len(lay)) - np.repeat(heads, reps)
-    lay += place >= np.repeat(out - starts[word], reps)
+    lay += np.where(place >= np.repeat(out - starts[word], reps), np.repeat(width, reps), 0)
     return span_hashes(data[lay], heads, heads + reps), word
 
 
@@ -172,7 +184,7 @@ class Lexicon:
     """Exact and misspelled finds among the words of a block; keeps what it has decided."""
 
     KEEP = 200_000
-    #: Longest word that edits are tried on.
+    #: Longest word, in characters, that edits are tried on.
     LONGEST = 40
 
     def __init__(self, terms: list[str], rigid: frozenset[str] = frozenset()):
@@ -198,7 +210,8 @@ class Lexicon:
         keys, first, inv = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
         s, e = starts[first], ends[first]
         kind = np.isin(keys, self.exact).astype(np.uint8)
-        try_ = np.flatnonzero((kind == 0) & (e - s >= FUZZY_LENGTH - 1) & (e - s <= self.LONGEST))
+        size = _letters(low, s, e)
+        try_ = np.flatnonzero((kind == 0) & (size >= FUZZY_LENGTH - 1) & (size <= self.LONGEST))
         if len(try_) and len(self.near):
             cut, word = _shortened(low, s[try_], e[try_])
             hit = np.zeros(len(try_), bool)
@@ -356,12 +369,13 @@ def _evidence(a: int, b: int, bad: int, good: int) -> float:
 
 
 def rigid_terms(rows: DataFrame, terms: list[str]) -> frozenset[str]:
-    """Terms whose misspellings are ordinary words: one stands in more than RIGID_SHARE of the clean texts."""
+    """Terms whose misspellings are ordinary words by the counts of clean and toxic texts that hold one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, count = Lexicon(terms), Counter()
         for batch in batches:
-            for _, _, data, offs in text_blocks(batch, "text"):
+            toxic = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
+            for lo, _, data, offs in text_blocks(batch, "text"):
                 low = _fold_case(data)
                 starts, ends, row = words_of(low, offs) if len(low) else ([], [], [])
                 if len(starts):
@@ -369,13 +383,17 @@ def rigid_terms(rows: DataFrame, terms: list[str]) -> frozenset[str]:
                     texts: dict[str, set] = {}
                     for at, term in lexicon.misspelt():
                         texts.setdefault(term, set()).update(row[at].tolist())
-                    count.update({t: len(x) for t, x in texts.items()})
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+                    count.update({(t, kind): sum(toxic[lo + r] == kind for r in x) for t, x in texts.items() for kind in (0, 1)})
+        term, kind = zip(*count) if count else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(kind, pa.int32()), pa.array(list(count.values()), pa.int64())],
+                                         names=["term", "toxic", "n"])
 
-    clean = rows.where("toxic = 0")
-    good = clean.count()
-    counts = clean.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return frozenset(r.term for r in counts.where(F.col("n") > RIGID_SHARE * good).collect())
+    totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = totals.get(1, 0), totals.get(0, 0)
+    counts = rows.select("text", "toxic").mapInArrow(run, "term string, toxic int, n long").groupBy("term").agg(
+        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
+    return frozenset(r.term for r in counts.collect() if r.clean >= LEAST_TEXTS and r.clean > RIGID_SHARE * good
+                     and (r.toxic + 0.5) / (bad + 1) < ODDS * (r.clean + 0.5) / (good + 1))
 
 
 def _featured(rows: DataFrame, terms: list[str], rigid: frozenset[str], weights: np.ndarray | None) -> DataFrame:

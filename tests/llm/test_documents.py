@@ -296,6 +296,24 @@ def test_automaton_accepts_what_the_distance_allows(edits):
         assert toxicity.LevenshteinAutomaton(w, edits).first_in(trie) == want
 
 
+def test_misspellings_of_other_alphabets():
+    terms = ["idiota", "idióta", "дурак", "schnösel"]
+    lexicon = toxicity.Lexicon(terms)
+    near = ["idiôta", "idiéota", "idita", "idiótа", "дурак".replace("а", "a"), "дурк", "дуррак", "друак", "schnosel", "schnsel", "schnöösel", "ïdiota"]
+    far = ["другой", "дом", "schnabel", "ïdïota" + "s"]
+    words = [*terms, *near, *far]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = toxicity.words_of(data, np.array([0, len(data)]))
+    assert lexicon.kinds(data, starts, ends).tolist() == [1] * len(terms) + [2] * len(near) + [0] * len(far)
+
+
+def test_one_clean_misspelling_leaves_a_term_fuzzy(spark):
+    rows = [(f"you blorgus {i}", 1) for i in range(20)] + [(f"you blorguss {i}", 1) for i in range(5)] + [(f"fine words {i}", 0) for i in range(200)]
+    schema = "text string, toxic int"
+    assert toxicity.rigid_terms(spark.createDataFrame([*rows, ("he wrote blargus", 0)], schema), ["blorgus"]) == frozenset()
+    assert toxicity.rigid_terms(spark.createDataFrame(rows + [("a blargus", 0)] * 40, schema), ["blorgus"]) == {"blorgus"}
+
+
 def _toxic(spark, extra=()):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("lmnoprstu") for _ in range(rnd.randint(3, 7)))
