@@ -18,7 +18,7 @@ all rows has many tiles and is spread over tasks. Per pair of block and tile at
 Vectors that are null, hold a null or a non-finite component, have another length than the most frequent one, or a
 component beyond +-2**20 after scaling (integer products would not be exact in doubles) take no part; such rows with
 an id divisible by ``every`` return nothing. Repeated vec_ids are candidates as often as they occur, but none is a
-candidate of its own id. Null ids take no part. Empty tables give an empty result.
+candidate of its own id; a repeated query row is one query, different vectors of one id are a query each. Null ids take no part. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -130,7 +130,9 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
     tiles = _tiles(keyed.withColumn("ring", ring).withColumn("tile", tile))
     tiles = written(spark, tiles, "pivot-tiles")
     qs = integer_vectors(queries, id_col, vec_col).where(F.size("v") == stats.dim)
-    qs = written(spark, qs.select("vec_id", "v", "sq"), "pivot-queries")
+    # a repeated query row is searched once; different vectors of one id are different queries
+    qs = qs.select("vec_id", "v", "sq").distinct().withColumn("key", F.monotonically_increasing_id())
+    qs = written(spark, qs.select("vec_id", "v", "sq", "key"), "pivot-queries")
 
     def visits(second: bool):
         """Annuli to search by each query; in the second round those within its radius that it has not searched."""
@@ -149,13 +151,13 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
                 np.put_along_axis(rank, order, np.broadcast_to(np.arange(bound.shape[1]), bound.shape), 1)
                 go = rank < need[:, None]
                 if second:
-                    kth = np.asarray(batch.column(3).fill_null(-(1 << 62)), np.float64)
+                    kth = np.asarray(batch.column(4).fill_null(-(1 << 62)), np.float64)
                     radius = np.sqrt(np.maximum(0.0, sq + most - 2 * kth))
                     go = ~go & (bound <= (radius * (1 + 1e-9) + 1e-3)[:, None])
                 q, r = np.nonzero(go)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(q)), pa.array([y.astype("<i4").tobytes() for y in x], pa.binary()).take(pa.array(q)),
-                     pa.array((ring_p[r] * ANNULI + ring_a[r]).astype(np.int32))], names=["query_id", "v", "ring"])
+                    [batch.column(3).take(pa.array(q)), batch.column(0).take(pa.array(q)), pa.array([y.astype("<i4").tobytes() for y in x], pa.binary()).take(pa.array(q)),
+                     pa.array((ring_p[r] * ANNULI + ring_a[r]).astype(np.int32))], names=["key", "query_id", "v", "ring"])
 
         return run
 
@@ -165,32 +167,33 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 for i in range(len(batch)):
-                    qid, qv, ids, v = (batch.column(c)[i].as_py() for c in range(4))
+                    keys, qid, qv, ids, v = (batch.column(c)[i].as_py() for c in range(5))
                     qid, ids = np.array(qid), np.array(ids)
                     x = np.frombuffer(v, "<i4").reshape(len(ids), -1).astype(np.float64)
                     s = (np.frombuffer(qv, "<i4").reshape(len(qid), -1).astype(np.float64) @ x.T).astype(np.int64)
                     for j, q in enumerate(qid):
                         other = np.flatnonzero(ids != q)
                         at = other[_best(s[j][other], ids[other], k)]
-                        out[0] += [q] * len(at)
-                        out[1] += ids[at].tolist()
-                        out[2] += s[j][at].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+                        out[0] += [keys[j]] * len(at)
+                        out[1] += [q] * len(at)
+                        out[2] += ids[at].tolist()
+                        out[3] += s[j][at].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["key", "query_id", "vec_id", "score"])
 
-        pairs = blocks.join(tiles, "ring").select("qids", "qv", "ids", "v")
-        return pairs.mapInArrow(score, "query_id long, vec_id long, score long")
+        pairs = blocks.join(tiles, "ring").select("keys", "qids", "qv", "ids", "v")
+        return pairs.mapInArrow(score, "key long, query_id long, vec_id long, score long")
 
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
 
     def keep(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
-    first = written(spark, keep(search(qs.mapInArrow(visits(False), "query_id long, v binary, ring int"))), "pivot-first")
-    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    second = search(qs.join(kth, "vec_id", "left").select("vec_id", "v", "sq", "kth")
-                    .mapInArrow(visits(True), "query_id long, v binary, ring int"))
+    first = written(spark, keep(search(qs.mapInArrow(visits(False), "key long, query_id long, v binary, ring int"))), "pivot-first")
+    kth = first.where(F.col("rank") == k).select("key", F.col("score").alias("kth"))
+    second = search(qs.join(kth, "key", "left").select("vec_id", "v", "sq", "key", "kth")
+                    .mapInArrow(visits(True), "key long, query_id long, v binary, ring int"))
     out = keep(first.drop("rank").unionByName(second))
     return out.select("query_id", "rank", "vec_id", "score")
 
@@ -210,13 +213,15 @@ def _tiles(rows: DataFrame) -> DataFrame:
 def _query_blocks(plan: DataFrame) -> DataFrame:
     """One row per ring and block of at most about QUERY_BLOCK queries."""
     sizes = plan.groupBy("ring").count().withColumn("blocks", F.ceil(F.col("count") / QUERY_BLOCK)).select("ring", "blocks")
-    dealt = plan.join(sizes, "ring").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "query_id"), F.col("blocks")).cast("int"))
+    dealt = plan.join(sizes, "ring").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "key"), F.col("blocks")).cast("int"))
 
     def pack(t: pa.Table) -> pa.Table:
-        return pa.table({"ring": t["ring"].slice(0, 1), "qids": pa.array([t["query_id"].to_pylist()], pa.list_(pa.int64())),
+        return pa.table({"ring": t["ring"].slice(0, 1), "keys": pa.array([t["key"].to_pylist()], pa.list_(pa.int64())),
+                         "qids": pa.array([t["query_id"].to_pylist()], pa.list_(pa.int64())),
                          "qv": pa.array([b"".join(t["v"].to_pylist())], pa.binary())})
 
-    return dealt.select("ring", "block", "query_id", "v").groupBy("ring", "block").applyInArrow(pack, "ring int, qids array<long>, qv binary")
+    return dealt.select("ring", "block", "key", "query_id", "v").groupBy("ring", "block").applyInArrow(
+        pack, "ring int, keys array<long>, qids array<long>, qv binary")
 
 
 def op7_pivot_topk(spark, sf_dir: str) -> DataFrame:

@@ -118,6 +118,17 @@ def test_top_k_ties_clusters_and_bad_vectors(spark, monkeypatch):
     assert {tuple(r) for r in got} == plain_top(rows, [r for r in rows if r[0] % 7 == 0], 5) and len(got) == len(set(got))
 
 
+def test_top_k_of_repeated_query_rows(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(rnd.normal(size=(120, 5)))]
+    rows += [rows[0]] * 2 + [(7, [1.0, -2.0, 3.0, 0.5, 0.25])]  # a row three times, and two vectors of one id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in pivot_search.top_k(df, df.where("vec_id % 7 = 0"), k=10).collect()]
+    queries = {(i, tuple(v)) for i, v in rows if i % 7 == 0}
+    want = Counter(x for q in queries for x in plain_top(rows, [q], 10))
+    assert Counter(got) == want and len(got) == 10 * len(queries)
+
+
 def test_top_k_query(spark):
     rows = [tuple(r) for r in table(spark, SF_SMALL, "embeddings", "vec_id", "embedding").collect()]
     got = pivot_search.op7_pivot_topk(spark, SF_SMALL).collect()
