@@ -28,6 +28,7 @@ HEADLINE = [
     "recommend_top3",
     "rag_prompt_end_to_end",
     "keyword_rag_prompt",
+    "text_mode_topk",
     "hashed_text_search",
     "text_encode_hashed",
     "catalog_csv_ingest",

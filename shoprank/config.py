@@ -180,5 +180,15 @@ EMBEDDING_DIM = 64
 IMAGE_URL_PREFIX = "https://img.invalid/"
 IMAGE_URL_SUFFIX = ".jpg"
 
+# Stand-in text encoders (dimension) and what each vector set is made of when products are encoded from their texts.
+TEXT_ENCODERS = {"clip": 32, "sbert": 24, "blip": 40}
+TEXT_SPACES = {
+    "clip_text": ("clip", ["title", "description", "store"]),
+    "sbert_text": ("sbert", ["title", "description", "store"]),
+    "blip_text": ("blip", ["title", "description", "store"]),
+    "amazon_text": ("sbert", ["title", "store"]),
+    "clip_image": ("clip", ["description"]),
+}
+
 # Hashing text encoder: number of buckets of the hashed bag-of-words vector.
 HASH_DIM = 256

@@ -388,14 +388,16 @@ def _tiles(df: DataFrame, id_col: str, n_tiles: int, n_parts: int) -> DataFrame:
     )
 
 
-def pack_corpus(corpus: DataFrame, cfg: TileConfig | None = None, dims: int = 64) -> DataFrame:
+def pack_corpus(corpus: DataFrame, cfg: TileConfig | None = None, dims: int = 64, most_rows: int | None = None) -> DataFrame:
     """Packed corpus tiles made where the rows are scanned: no exchange. The result can be written once as a table
     and given to :func:`hybrid_candidates` instead of the corpus, for later queries and micro-batches.
 
-    corpus: ``group_key, product_id, tv, iv``; ``dims``: elements of both vectors together, to size a tile.
+    corpus: ``group_key, product_id, tv, iv``; ``dims``: elements of both vectors together, to size a tile;
+    ``most_rows``: rows of a tile at most, if less than the bytes allow.
     """
     cfg = cfg or TileConfig()
     most = max(1, cfg.corpus_tile_bytes // (24 + 4 * max(dims, 1)))
+    most = min(most, most_rows) if most_rows else most
     rows = corpus.select("group_key", F.lit(0).alias("tile"), F.col("product_id").alias("id"), F.lit(0).alias("n"),
                          F.lit(0).alias("n_i"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("alpha"),
                          F.col("tv").alias("vt"), F.col("iv").alias("vi"))
@@ -529,8 +531,8 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
     n_q = max(1, math.ceil(qstats.rows / cfg.query_tile_rows))
 
     # Broadcast the smaller packed side when its size (count x fixed row width) is under
-    # the bound; the streamed side is cut into at least one tile per core so the scoring
-    # runs in parallel. Splitting questions never adds candidate rows (each question
+    # the bound; the streamed side is cut into about one tile per core at least, and a small corpus
+    # is spread by tiles, so the scoring runs in parallel. Splitting questions never adds candidate rows (each question
     # still sees the whole corpus tile); splitting the corpus does, so it is only done
     # when the corpus is the streamed side.
     # Partitions per side: one tile per partition up to a cap that keeps the task count sane
@@ -551,7 +553,10 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
     # Every partition that scores a question emits up to 2n rows for it. When the questions
     # are broadcast, each corpus partition sees all of them; beyond MERGE_ABOVE partitions a second
     # merge level (see _merged) bounds what the final windows read.
-    ctiles = corpus if packed else pack_corpus(corpus, cfg, cstats.dim_t + cstats.dim_i)
+    ctiles = corpus if packed else pack_corpus(corpus, cfg, cstats.dim_t + cstats.dim_i, -(-cstats.rows // n_c) or None)
+    if mode == "questions" and n_c <= par:
+        # a corpus of about a tile per core at most may lie in fewer files than there are cores: its tiles are spread
+        ctiles = ctiles.withColumn("_part", F.pmod(F.col("tile"), F.lit(n_c)).cast("int")).repartitionById(n_c, "_part").drop("_part")
     qtiles = _tiles(q, "query_id", n_q, min(n_q, cap))
 
     if mode == "corpus":

@@ -11,7 +11,7 @@ import json
 
 from ..config import (AGENT_ANSWER_USER_PARTS, AGENT_RECOMMENDATION_SYSTEM_MSG, AGENT_SLICING_SYSTEM_MSG, ALPHA_GRID,
                       ANSWER_USER_PARTS, HASH_DIM, MODE_CHOICES, PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER,
-                      QUERY_SLICING_SYSTEM_MSG, RECOMMENDATION_SYSTEM_MSG)
+                      QUERY_SLICING_SYSTEM_MSG, RECOMMENDATION_SYSTEM_MSG, TEXT_ENCODERS, TEXT_SPACES)
 from .fixtures import DISPATCH_MODES, MIXED_ALPHA, MIXED_K, MIXED_MODES, MIXED_MULTIPLIER
 
 # The constraint grammar, written out here on its own.
@@ -427,11 +427,71 @@ top AS (
 ORACLE["keyword_rag_prompt"] = _REQUESTS + f"""
 SELECT x.query_id, s.keywords, x.n_products, {_messages(RECOMMENDATION_SYSTEM_MSG, _user(ANSWER_USER_PARTS))} AS answer_json
 FROM context x JOIN kq s ON s.query_id = x.query_id"""
+
+
+def _encoded(name: str, src: str, key: str, text: str, encoder: str) -> str:
+    """Token counts per bucket of an encoder (``<name>: id, bucket, tf``) and norms (``<name>_n``)."""
+    return f"""
+{name}_tok AS (SELECT {key} AS id, unnest(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM {src}),
+{name} AS (
+  SELECT id, CAST(('0x' || substr(md5('{encoder}:' || tok), 1, 6)) AS BIGINT) % {TEXT_ENCODERS[encoder]} AS bucket, count(*) AS tf
+  FROM {name}_tok WHERE length(tok) > 0 GROUP BY ALL),
+{name}_n AS (SELECT id, sqrt(sum(tf * tf)) AS n FROM {name} GROUP BY id)"""
+
+
+#: The question's encoder in each space.
+_PROBES = {"clip_text": "clip", "sbert_text": "sbert", "blip_text": "blip", "amazon_text": "sbert", "clip_image": "clip"}
+_MODE_SETS = {"Clip-Clip": "clip_text", "Clip-STrans": "sbert_text", "Clip-Blip": "blip_text", "Blip-Text": "amazon_text"}
+
+
+def text_retrieval_ctes(mode_sql: str, k: int, mult: int, alpha: float) -> str:
+    """CTEs ``kq, asked, pool0, top`` of text questions: every question of ``kq`` in its mode, all products compared."""
+    parts = ["kq AS (SELECT query_id, query, constraints, keywords FROM sliced WHERE ok AND length(keywords) > 0)",
+             f"asked AS (SELECT query_id, keywords AS text, {mode_sql} AS model_choice, CASE WHEN {mode_sql} IN ({_KNOWN}) THEN {mode_sql} ELSE 'Clip-Clip' END AS route_mode FROM kq)",
+             "texts AS (SELECT DISTINCT text FROM asked)"]
+    parts += [_encoded(f"q_{e}", "texts", "text", "text", e) for e in TEXT_ENCODERS]
+    sims = []
+    for space, (encoder, cols) in TEXT_SPACES.items():
+        parts.append(_encoded(f"p_{space}", "catalog", "product_id", f"concat_ws(' ', {', '.join(cols)})", encoder))
+        p, e = f"p_{space}", _PROBES[space]
+        sims.append(f"""
+s_{space} AS (
+  SELECT t.text, c.product_id, CASE WHEN coalesce(qn.n, 0) * coalesce(pn.n, 0) = 0 THEN 0.0 ELSE CAST(coalesce(d.d, 0) AS DOUBLE) / (qn.n * pn.n) END AS sim
+  FROM texts t CROSS JOIN catalog c LEFT JOIN q_{e}_n qn ON qn.id = t.text LEFT JOIN {p}_n pn ON pn.id = c.product_id
+  LEFT JOIN (SELECT q.id AS qid, p.id AS pid, sum(q.tf * p.tf) AS d FROM q_{e} q JOIN {p} p USING (bucket) GROUP BY ALL) d
+    ON d.qid = t.text AND d.pid = c.product_id)""")
+    parts += sims
+    one = " UNION ALL ".join(
+        f"""SELECT m.text, m.route_mode, t.product_id, t.sim AS text_sim, {'NULL' if mode == 'Blip-Text' else 'i.sim'} AS image_sim,
+       {k if mode == 'Blip-Text' else k * mult} AS n_text, {0 if mode == 'Blip-Text' else k * mult} AS n_image
+  FROM (SELECT DISTINCT text, route_mode FROM asked WHERE route_mode = {q(mode)}) m JOIN s_{space} t ON t.text = m.text
+  JOIN s_clip_image i ON i.text = m.text AND i.product_id = t.product_id""" for mode, space in _MODE_SETS.items())
+    parts.append(f"allpairs AS ({one})")
+    parts.append(f"""
+pool0 AS (
+  SELECT *, row_number() OVER (PARTITION BY text, route_mode ORDER BY text_sim DESC, product_id) AS tr,
+         row_number() OVER (PARTITION BY text, route_mode ORDER BY image_sim DESC NULLS LAST, product_id) AS ir
+  FROM allpairs QUALIFY tr <= n_text OR (image_sim IS NOT NULL AND ir <= n_image)),
+best AS (
+  SELECT *, CASE WHEN n_image = 0 THEN text_sim ELSE CAST({alpha!r} AS DOUBLE) * text_sim + (1 - CAST({alpha!r} AS DOUBLE)) * image_sim END AS score,
+         CAST(row_number() OVER (PARTITION BY text, route_mode ORDER BY CASE WHEN n_image = 0 THEN text_sim
+           ELSE CAST({alpha!r} AS DOUBLE) * text_sim + (1 - CAST({alpha!r} AS DOUBLE)) * image_sim END DESC, product_id) AS INTEGER) AS rank
+  FROM pool0 QUALIFY rank <= {k}),
+top AS (SELECT a.query_id, a.model_choice, b.* FROM asked a JOIN best b ON b.text = a.text AND b.route_mode = a.route_mode)""")
+    return ",\n".join(x.strip() for x in parts)
+
+
+_MODE_CYCLE = "[" + ", ".join(q(m) for m in DISPATCH_MODES) + f"][(query_id % {len(DISPATCH_MODES)}) + 1]"
+ORACLE["text_mode_topk"] = _with(SLICED, CATALOG, text_retrieval_ctes(_MODE_CYCLE, K, MULT, A)) + """
+SELECT query_id, model_choice, route_mode, rank, product_id, round(text_sim, 6) + 0.0 AS text_sim, round(image_sim, 6) + 0.0 AS image_sim,
+       round(score, 6) + 0.0 AS score FROM top"""
+
 _REQUEST = f"CAST({_dumped(AGENT_RECOMMENDATION_SYSTEM_MSG, _user(AGENT_ANSWER_USER_PARTS))} AS VARCHAR)"
-ORACLE["rag_prompt_end_to_end"] = _REQUESTS + f"""
-SELECT x.query_id, s.constraints, s.keywords, x.n_products,
+ORACLE["rag_prompt_end_to_end"] = _with(SLICED, CATALOG, text_retrieval_ctes("'Clip-STrans'", 5, 20, 0.5), FETCHED, CONSTRAINTS, SURVIVORS,
+                                        BLOCKS.replace("FROM fetched", "FROM survivors"), CONTEXT) + f"""
+SELECT s.query_id, s.constraints, s.keywords, coalesce(x.n_products, 0) AS n_products,
        CAST(to_json([{{'role': 'user', 'content': [{{'text': {_REQUEST}}}]}}]) AS VARCHAR) AS request_json
-FROM context x JOIN kq s ON s.query_id = x.query_id"""
+FROM kq s LEFT JOIN context x ON x.query_id = s.query_id"""
 _ASK = "'Query:' || chr(10) || '\"' || coalesce(a.query, '') || '\"'"
 ORACLE["prompt_messages_json"] = _REQUESTS + f"""
 SELECT a.query_id, {_messages(QUERY_SLICING_SYSTEM_MSG, _ASK)} AS slicing_json,

@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ALPHA_GRID, HASH_DIM, MODE_SPACES, PARITY_K, SPACE_SLICES
+from ..config import (ALPHA_GRID, DEFAULT_MODE, HASH_DIM, MODE_SPACES, PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER, SPACE_SLICES, TEXT_ENCODERS,
+                      TEXT_SPACES)
+from ..functions.encoders import hashing_encoder
 from ..functions.hashing import dense_counts, sparse_weights, token_buckets
 from ..functions.vector import l2_norm, l2_normalize
 from ..operators.constraints import post_filter, recommend
@@ -26,10 +28,11 @@ from ..sources.catalog import catalog_from_tables, read_catalog_csv
 from ..sources.tables import read_table
 from ..sources.vectors import corpus_stats, product_vectors, valid_vectors
 from ..sources.vectors import vector_rejects as rejected_vectors
-from .fixtures import (faulty_questions, mixed_mode_questions, mixed_parameter_questions, parity_questions, question_texts,
+from .fixtures import (DISPATCH_MODES, faulty_questions, mixed_mode_questions, mixed_parameter_questions, parity_questions, question_texts,
                        slicing_responses)
 from .retrieval import (candidate_pools, question_rejects, question_stats, resolved_mode, retrieve, route_questions, route_table,
                         with_defaults)
+from .text_retrieval import search_texts, text_corpus
 
 R = 6  # decimals of published scores
 
@@ -333,21 +336,24 @@ def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hashed_search(spark: SparkSession, sf_dir: str, questions: DataFrame) -> DataFrame:
     """Text questions ``(query_id, text)`` against the catalog text (title, description,
-    store), both through the hashing encoder; exact cosine top-k on the tiled kNN join."""
+    store), both through the hashing encoder; exact cosine top-k on the tiled kNN join.
+    Every distinct text is searched once, for the least id that asks it."""
+    asked = scratch_table(spark, questions.select("query_id", F.coalesce("text", F.lit("")).alias("text")), "hashed-questions")
+    distinct = scratch_table(spark, asked.groupBy("text").agg(F.min("query_id").alias("rep")), "hashed-distinct")
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_brand"])
     ctext = part.select(F.col("p_partkey").alias("product_id"),
                         F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
-    qv = dense_counts(token_buckets(questions, "query_id", "text"), "query_id", HASH_DIM, questions)
+    qv = dense_counts(token_buckets(distinct, "rep", "text"), "rep", HASH_DIM, distinct)
     cv = dense_counts(token_buckets(ctext, "product_id", "text"), "product_id", HASH_DIM, ctext)
-    q = qv.select(F.lit("hash").alias("group_key"), "query_id", F.lit(PARITY_K).alias("n_text"),
+    q = qv.select(F.lit("hash").alias("group_key"), F.col("rep").alias("query_id"), F.lit(PARITY_K).alias("n_text"),
                   F.lit(0).alias("n_image"), F.lit(PARITY_K).alias("k"), F.lit(1.0).alias("alpha"),
                   F.col("vec").alias("qt"), F.lit(None).cast("array<float>").alias("qi"))
     c = cv.select(F.lit("hash").alias("group_key"), "product_id", F.col("vec").alias("tv"),
                   F.lit(None).cast("array<float>").alias("iv"))
-    cands = hybrid_candidates(q, c, TileConfig(pool_hint=PARITY_K), qstats=SideStats(questions.count(), HASH_DIM, 0),
+    cands = hybrid_candidates(q, c, TileConfig(pool_hint=PARITY_K), qstats=SideStats(distinct.count(), HASH_DIM, 0),
                               cstats=SideStats(part.count(), HASH_DIM, 0))
-    return top_k(fuse(pools(cands)), PARITY_K).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "product_id", "score")
+    found = top_k(fuse(pools(cands)), PARITY_K).select(F.col("query_id").alias("rep"), F.col("rank").cast("int").alias("rank"), "product_id", "score")
+    return asked.join(distinct, "text").select("query_id", "rep").join(found, "rep").drop("rep")
 
 
 def hashed_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,13 +370,51 @@ def keyword_rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
         answer_messages(F.col("query"), F.col("constraints"), F.col("context")).alias("answer_json"))
 
 
+def _text_setup(spark: SparkSession, sf_dir: str, modes: list[str]) -> tuple[DataFrame, dict]:
+    """Corpus of the modes' vector sets encoded from the catalog's texts, and the encoders."""
+    encoders = {name: hashing_encoder(name, dim) for name, dim in TEXT_ENCODERS.items()}
+    return text_corpus(catalog_from_tables(spark, sf_dir, with_rating=False), TEXT_SPACES, encoders, modes), encoders
+
+
+def hybrid_retriever(spark: SparkSession, sf_dir: str, mode: str = DEFAULT_MODE, **settings) -> Retriever:
+    """Text questions against the catalog through a mode's pair of vector sets (k, alpha, multiplier: the defaults, or ``settings``)."""
+    corpus, encoders = _text_setup(spark, sf_dir, [mode])
+
+    def search(questions: DataFrame) -> DataFrame:
+        for name, value in {"model_choice": mode, **settings}.items():
+            questions = questions.withColumn(name, F.lit(value))
+        return search_texts(questions, corpus, encoders).select("query_id", "rank", "product_id", "score")
+
+    return search
+
+
+def text_mode_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sliced keywords of every question as a text question, with a mode by ``query_id % 5`` (one of them unknown);
+    every distinct question is encoded and searched once."""
+    modes = F.array(*[F.lit(m) for m in DISPATCH_MODES])
+    asked = _answerable(spark, sf_dir).select(
+        "query_id", F.col("keywords").alias("text"), F.element_at(modes, F.pmod(F.col("query_id"), F.lit(len(DISPATCH_MODES))).cast("int") + 1).alias("model_choice"),
+        F.lit(PARITY_K).alias("k"), F.lit(PARITY_ALPHA).alias("alpha"), F.lit(PARITY_MULTIPLIER).alias("multiplier"))
+    asked = scratch_table(spark, asked, "mode-questions")
+    corpus, encoders = _text_setup(spark, sf_dir, list(MODE_SPACES))
+    out = search_texts(asked, corpus, encoders).join(asked.select("query_id", "model_choice"), "query_id")
+    return out.select("query_id", "model_choice", resolved_mode().alias("route_mode"), "rank", "product_id", _r("text_sim"), _r("image_sim"), _r("score"))
+
+
 def rag_prompt_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question -> slice -> retrieve -> context -> request body of the agent's call: its messages as
-    ``json.dumps`` text, wrapped as one user turn."""
+    """Question -> slice (Q1) -> hybrid retrieval of the keywords by the application's defaults (R9) -> products that meet
+    the question's constraints (Q4) -> blocks and context (P1, P2) -> request body of the agent's call (P3-P5): its
+    messages as ``json.dumps`` text, wrapped as one user turn. A question none of whose products meets its constraints
+    has an empty context."""
+    sliced = scratch_table(spark, _answerable(spark, sf_dir), "sliced")
+    catalog = catalog_from_tables(spark, sf_dir)
+    found = hybrid_retriever(spark, sf_dir)(sliced.select("query_id", F.col("keywords").alias("text")))
+    kept = post_filter(found.join(catalog, "product_id"), extract_constraints(sliced))
+    both = sliced.join(assemble_context(with_blocks(kept)), "query_id", "left")
     request = agent_answer_request(F.col("query"), F.col("constraints"), F.col("context"))
     body = F.to_json(F.array(F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"),
                                             F.array(F.named_struct(F.lit("text"), request)))))
-    return _requests(spark, sf_dir).select("query_id", "constraints", "keywords", "n_products", body.alias("request_json"))
+    return both.select("query_id", "constraints", "keywords", F.coalesce("n_products", F.lit(0)).cast("bigint").alias("n_products"), body.alias("request_json"))
 
 
 def stream_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,6 +468,7 @@ QUERIES = {
     "result_card_format": result_card_format,
     "response_status": response_status,
     "hashed_text_search": hashed_text_search,
+    "text_mode_topk": text_mode_topk,
     "rag_prompt_end_to_end": rag_prompt_end_to_end,
     "keyword_rag_prompt": keyword_rag_prompt,
     "stream_retrieval": stream_retrieval,

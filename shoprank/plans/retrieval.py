@@ -65,7 +65,7 @@ def largest_k(questions: DataFrame) -> int:
     return max(1, int(questions.agg(F.max(F.coalesce(F.col("k"), F.lit(DEFAULT_K))).alias("k")).first()["k"] or 1))
 
 
-def _route_case(field: int):
+def route_case(field: int):
     """CASE over the fixed mode routes (no join: the routes are constants)."""
     mode = resolved_mode()
     expr = None
@@ -82,8 +82,8 @@ def route_questions(questions: DataFrame) -> DataFrame:
     encoder (``clip``, ``sbert``, ``blip``).
     """
     q = with_defaults(questions).filter(reject_reason().isNull()).select(
-        "*", resolved_mode().alias("route_mode"), _route_case(1).alias("text_encoder"),
-        _route_case(2).cast("string").alias("image_encoder"), _route_case(3).alias("text_only"))
+        "*", resolved_mode().alias("route_mode"), route_case(1).alias("text_encoder"),
+        route_case(2).cast("string").alias("image_encoder"), route_case(3).alias("text_only"))
 
     def probe(enc_col: str):
         expr = F.lit(None).cast("array<float>")
