@@ -499,3 +499,4 @@ SELECT a.query_id, {_messages(QUERY_SLICING_SYSTEM_MSG, _ASK)} AS slicing_json,
 FROM sliced a LEFT JOIN context x ON x.query_id = a.query_id LEFT JOIN kq s ON s.query_id = a.query_id"""
 ORACLE["agent_messages_json"] = _with(QUESTION_TEXTS) + f"""
 SELECT a.query_id, {_dumped(AGENT_SLICING_SYSTEM_MSG, _ASK)} AS slicing_request FROM qtexts a"""
+ORACLE["coded_topn_text"] = ORACLE["topn_text"]

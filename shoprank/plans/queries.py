@@ -17,8 +17,10 @@ from ..config import (ALPHA_GRID, DEFAULT_MODE, HASH_DIM, MODE_SPACES, PARITY_AL
 from ..functions.encoders import hashing_encoder
 from ..functions.hashing import dense_counts, sparse_weights, token_buckets
 from ..functions.vector import l2_norm, l2_normalize
+from ..operators.cells import build_cells, calibrated_probes, search_cells
 from ..operators.constraints import post_filter, recommend
 from ..operators.knn import SideStats, TileConfig, hybrid_candidates, pack_corpus
+from ..operators.product_codes import build_codes, search_codes, survivors
 from ..operators.prompts import (agent_answer_request, agent_slicing_request, answer_messages, assemble_context, result_card,
                                  slicing_messages, with_blocks)
 from ..operators.rank import fuse, pools, ranked, top_k
@@ -203,6 +205,58 @@ def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "alpha", F.col("rank").cast("int").alias("rank"), "product_id", _r("score"))
 
 
+def _cell_setup(spark: SparkSession, sf_dir: str):
+    """The text-space corpus of the default mode as an index of cells, its questions (n = k), and the number of cells to probe,
+    measured on 256 questions."""
+    corpus = product_vectors(spark, sf_dir, ["Clip-STrans"]).select("product_id", F.col("tv").alias("vec"))
+    index = build_cells(corpus)
+    questions = parity_questions(spark, sf_dir).select("query_id", F.col("sbert").alias("vec"), "k")
+    questions = scratch_table(spark, questions.withColumn("n", F.lit(PARITY_K)).drop("k"), "cell-questions")
+    sample = scratch_table(spark, questions.orderBy(F.xxhash64("query_id"), "query_id").limit(256), "cell-sample")
+    exact = search_cells(sample, index, len(index.centroids))  # all cells: the exact answer
+    return index, questions, calibrated_probes(sample, index, scratch_table(spark, exact, "cell-exact"))
+
+
+def cell_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 approximated: every question's top k by text cosine among its nearest cells."""
+    index, questions, nprobe = _cell_setup(spark, sf_dir)
+    out = search_cells(questions, index, nprobe)
+    return out.select("query_id", "product_id", F.col("rank").cast("int").alias("rank"), _r("sim"))
+
+
+def cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the exact top k (the first k rows of ``topn_text``) that ``cell_topk`` finds, over all questions, and the
+    share of all vectors that a question is compared with."""
+    index, questions, nprobe = _cell_setup(spark, sf_dir)
+    exact = topn_text(spark, sf_dir).where(F.col("rank") <= PARITY_K).select("query_id", "product_id")
+    found = search_cells(questions, index, nprobe).select("query_id", "product_id", F.lit(1).alias("hit"))
+    hits = exact.join(found, ["query_id", "product_id"], "left").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
+    return hits.select(F.lit(len(index.centroids)).alias("cells"), F.lit(nprobe).alias("probed"), "n_exact", "n_found", (F.col("n_found") / F.col("n_exact")).alias("recall"))
+
+
+def _code_setup(spark: SparkSession, sf_dir: str):
+    corpus = product_vectors(spark, sf_dir, ["Clip-STrans"]).select("product_id", F.col("tv").alias("vec"))
+    questions = parity_questions(spark, sf_dir).select("query_id", F.col("sbert").alias("vec"), (F.col("k") * F.col("multiplier")).alias("n"))
+    return build_codes(corpus), questions
+
+
+def coded_topn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text pool of every question by two phases, product-quantised codes and floats of the survivors; equal to ``topn_text``."""
+    coded, questions = _code_setup(spark, sf_dir)
+    return search_codes(questions, coded).select("query_id", "product_id", F.col("rank").cast("int").alias("rank"), _r("sim"))
+
+
+def coded_search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first phase reads and leaves: bytes of all codes and of all floats, pairs of a question and a vector, and those whose
+    floats are fetched."""
+    coded, questions = _code_setup(spark, sf_dir)
+    m = len(coded.books)
+    few = survivors(questions, coded).agg(F.count(F.lit(1)).alias("n_rescored"), F.countDistinct("query_id").alias("n_questions"))
+    return few.select("n_questions", F.lit(coded.rows).cast("bigint").alias("n_vectors"), F.lit(coded.rows * (m + 4)).cast("bigint").alias("code_bytes"),
+                      F.lit(coded.rows * 4 * coded.dim).cast("bigint").alias("float_bytes"),
+                      (F.col("n_questions") * F.lit(coded.rows)).cast("bigint").alias("n_pairs"), "n_rescored")
+
+
 # --------------------------------------------------------------------------- slicing and constraints
 
 
@@ -447,6 +501,10 @@ QUERIES = {
     "text_encode_hashed": text_encode_hashed,
     "topn_text": topn_text,
     "topn_image": topn_image,
+    "coded_topn_text": coded_topn_text,
+    "coded_search_report": coded_search_report,
+    "cell_topk": cell_topk,
+    "cell_recall": cell_recall,
     "candidate_union": candidate_union,
     "rescore_fusion": rescore_fusion,
     "hybrid_topk_fetch": hybrid_topk_fetch,

@@ -8,7 +8,9 @@ from shoprank.plans.queries import QUERIES
 
 from .conftest import SF_SMALL
 
-NAMES = sorted(QUERIES)
+#: Approximate or measuring queries, which their own tests compare with brute force.
+MEASURED = {"cell_topk", "cell_recall", "coded_search_report"}
+NAMES = sorted(set(QUERIES) - MEASURED)
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(NAMES) <= set(entry.queries()) and set(NAMES) <= set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) and set(NAMES) <= set(entry.oracle_sql()) and MEASURED <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
