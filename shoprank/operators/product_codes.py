@@ -105,11 +105,12 @@ def _survivors_of(books: np.ndarray):
     m = len(books)
 
     def score(pairs) -> Iterator[pa.RecordBatch]:
-        bound: dict[int, np.ndarray] = {}  # per question the n greatest lower bounds met so far, least first
+        bounds: dict[int, dict[int, np.ndarray]] = {}  # per question tile and row: the n greatest lower bounds met so far
         tile = None
         for lt, questions, _, rows in pairs:
+            bound = bounds.setdefault(lt, {})
             if lt != tile:
-                tile, bound = lt, {}
+                tile = lt
                 ids, ns = (questions.column(c).to_numpy() for c in ("query_id", "n"))
                 q = _pieces(_unit(_matrix(questions.column("vec").combine_chunks())), m)
                 tables = np.einsum("qmw,mcw->qmc", q, books).astype(np.float32)

@@ -500,3 +500,21 @@ FROM sliced a LEFT JOIN context x ON x.query_id = a.query_id LEFT JOIN kq s ON s
 ORACLE["agent_messages_json"] = _with(QUESTION_TEXTS) + f"""
 SELECT a.query_id, {_dumped(AGENT_SLICING_SYSTEM_MSG, _ASK)} AS slicing_request FROM qtexts a"""
 ORACLE["coded_topn_text"] = ORACLE["topn_text"]
+
+ORACLE["sparse_text_search"] = _with(SLICED, """
+asked AS (
+  SELECT query_id, keywords AS text FROM sliced WHERE ok AND length(keywords) > 0
+  UNION ALL SELECT -item_id - 1, text FROM benchmark),
+texts AS (SELECT DISTINCT text FROM asked),
+qtok AS (SELECT text, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS tok FROM texts),
+qc AS (SELECT text, tok, count(*) AS tf FROM qtok WHERE length(tok) > 0 GROUP BY ALL),
+ptok AS (SELECT p_partkey AS id, unnest(regexp_split_to_array(lower(concat_ws(' ', p_name, p_type, p_brand)), '[^\\p{L}\\p{N}]+')) AS tok FROM part),
+pc AS (SELECT id, tok, count(*) AS tf FROM ptok WHERE length(tok) > 0 GROUP BY ALL),
+qn AS (SELECT text, sqrt(sum(tf * tf)) AS n FROM qc GROUP BY text),
+pn AS (SELECT id, sqrt(sum(tf * tf)) AS n FROM pc GROUP BY id),
+dots AS (SELECT text, id, sum(q.tf * p.tf) AS d FROM qc q JOIN pc p USING (tok) GROUP BY ALL),
+best AS (
+  SELECT text, id, CAST(d AS DOUBLE) / (qn.n * pn.n) AS score,
+         CAST(row_number() OVER (PARTITION BY text ORDER BY CAST(d AS DOUBLE) / (qn.n * pn.n) DESC, id) AS INTEGER) AS rank
+  FROM dots JOIN qn USING (text) JOIN pn USING (id) QUALIFY rank <= 10)""") + """
+SELECT a.query_id, b.rank, b.id AS product_id, round(b.score, 6) + 0.0 AS score FROM asked a JOIN best b ON b.text = a.text"""

@@ -24,6 +24,7 @@ from ..operators.product_codes import build_codes, search_codes, survivors
 from ..operators.prompts import (agent_answer_request, agent_slicing_request, answer_messages, assemble_context, result_card,
                                  slicing_messages, with_blocks)
 from ..operators.rank import fuse, pools, ranked, top_k
+from ..operators.sparse_index import build_index, search_index
 from ..operators.slicing import clean_keywords, extract_constraints, parse_slices
 from ..session import scratch_path, scratch_table
 from ..sources.catalog import catalog_from_tables, read_catalog_csv
@@ -417,6 +418,17 @@ def hashed_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "product_id", _r("score"))
 
 
+def sparse_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 on sparse vectors: the keywords of every answerable question and every benchmark text (ids below 0) against the catalog
+    text by token counts, exact cosine top k over an inverted index with upper bounds."""
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_brand"])
+    products = part.select(F.col("p_partkey").alias("product_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"]).select((-F.col("item_id") - 1).alias("query_id"), "text")
+    asked = _answerable(spark, sf_dir).select("query_id", F.col("keywords").alias("text")).unionByName(bench)
+    out = search_index(asked.withColumn("n", F.lit(PARITY_K)), build_index(products))
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "product_id", _r("score"))
+
+
 def keyword_rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliced keywords -> retriever -> catalog fetch -> blocks -> context -> answer messages (chat variant)."""
     return _requests(spark, sf_dir).select(
@@ -527,6 +539,7 @@ QUERIES = {
     "response_status": response_status,
     "hashed_text_search": hashed_text_search,
     "text_mode_topk": text_mode_topk,
+    "sparse_text_search": sparse_text_search,
     "rag_prompt_end_to_end": rag_prompt_end_to_end,
     "keyword_rag_prompt": keyword_rag_prompt,
     "stream_retrieval": stream_retrieval,
