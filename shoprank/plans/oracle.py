@@ -518,3 +518,14 @@ best AS (
          CAST(row_number() OVER (PARTITION BY text ORDER BY CAST(d AS DOUBLE) / (qn.n * pn.n) DESC, id) AS INTEGER) AS rank
   FROM dots JOIN qn USING (text) JOIN pn USING (id) QUALIFY rank <= 10)""") + """
 SELECT a.query_id, b.rank, b.id AS product_id, round(b.score, 6) + 0.0 AS score FROM asked a JOIN best b ON b.text = a.text"""
+
+# The fused top k over all products, and whether the pools' top k has the same rows.
+ORACLE["certified_fused_topk"] = _with(MIXED, top_ctes(), f"""
+every AS (
+  SELECT query_id, product_id, k, {_score()} AS score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_score()} DESC, product_id) AS INTEGER) AS rank
+  FROM pairs QUALIFY rank <= k),
+same AS (
+  SELECT e.query_id, bool_and(t.product_id IS NOT NULL AND t.product_id = e.product_id) AS pool_is_exact
+  FROM every e LEFT JOIN top t ON t.query_id = e.query_id AND t.rank = e.rank GROUP BY e.query_id)""") + """
+SELECT e.query_id, e.rank, e.product_id, round(e.score, 6) + 0.0 AS score, s.pool_is_exact FROM every e JOIN same s ON s.query_id = e.query_id"""

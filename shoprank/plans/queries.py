@@ -31,6 +31,7 @@ from ..sources.catalog import catalog_from_tables, read_catalog_csv
 from ..sources.tables import read_table
 from ..sources.vectors import corpus_stats, product_vectors, valid_vectors
 from ..sources.vectors import vector_rejects as rejected_vectors
+from .certified import certified_topk
 from .fixtures import (DISPATCH_MODES, faulty_questions, mixed_mode_questions, mixed_parameter_questions, parity_questions, question_texts,
                        slicing_responses)
 from .retrieval import (candidate_pools, question_rejects, question_stats, resolved_mode, retrieve, route_questions, route_table,
@@ -258,6 +259,15 @@ def coded_search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_questions") * F.lit(coded.rows)).cast("bigint").alias("n_pairs"), "n_rescored")
 
 
+def certified_fused_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7/R8 with R3: the true fused top k of every question, whatever the pools hold, and whether the pools of the application
+    (their own k, multiplier, alpha and mode) give the same rows."""
+    corpus, stats = _inputs(spark, sf_dir)
+    tiles = scratch_table(spark, pack_corpus(corpus, dims=stats.dim_t + stats.dim_i), "certified-tiles")
+    out = certified_topk(mixed_parameter_questions(spark, sf_dir), tiles, cstats=stats)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "product_id", _r("score"), "pool_is_exact")
+
+
 # --------------------------------------------------------------------------- slicing and constraints
 
 
@@ -513,6 +523,7 @@ QUERIES = {
     "text_encode_hashed": text_encode_hashed,
     "topn_text": topn_text,
     "topn_image": topn_image,
+    "certified_fused_topk": certified_fused_topk,
     "coded_topn_text": coded_topn_text,
     "coded_search_report": coded_search_report,
     "cell_topk": cell_topk,
