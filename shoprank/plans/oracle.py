@@ -529,3 +529,9 @@ same AS (
   SELECT e.query_id, bool_and(t.product_id IS NOT NULL AND t.product_id = e.product_id) AS pool_is_exact
   FROM every e LEFT JOIN top t ON t.query_id = e.query_id AND t.rank = e.rank GROUP BY e.query_id)""") + """
 SELECT e.query_id, e.rank, e.product_id, round(e.score, 6) + 0.0 AS score, s.pool_is_exact FROM every e JOIN same s ON s.query_id = e.query_id"""
+
+ORACLE["stored_topk_fetch"] = ORACLE["hybrid_topk_fetch"]
+ORACLE["stored_mode_dispatch"] = ORACLE["mode_dispatch"]
+ORACLE["stored_vectors"] = _with(VECTORS) + "\n" + " UNION ALL ".join(
+    f"SELECT {q(space)} AS space, count(*) AS n_vectors, max(len({v})) :: INTEGER AS dim, round(min({v}n), 6) AS least_norm, round(max({v}n), 6) AS greatest_norm FROM vecn"
+    for space, v in (("clip_text", "cl"), ("sbert_text", "sb"), ("blip_text", "bl"), ("amazon_text", "am"), ("clip_image", "iv")))

@@ -28,6 +28,7 @@ from ..operators.sparse_index import build_index, search_index
 from ..operators.slicing import clean_keywords, extract_constraints, parse_slices
 from ..session import scratch_path, scratch_table
 from ..sources.catalog import catalog_from_tables, read_catalog_csv
+from ..sources.store import space_vectors, store_stats, stored_catalog, stored_corpus, write_store
 from ..sources.tables import read_table
 from ..sources.vectors import corpus_stats, product_vectors, valid_vectors
 from ..sources.vectors import vector_rejects as rejected_vectors
@@ -170,6 +171,34 @@ def hybrid_topk_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "product_id", "title", "store", "price", "average_rating", "image", _r("score"))
 
 
+def _store(spark: SparkSession, sf_dir: str):
+    return write_store(space_vectors(spark, sf_dir), catalog_from_tables(spark, sf_dir))
+
+
+def stored_topk_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship over stored tables; catalog and vectors are joined bucket by bucket."""
+    store = _store(spark, sf_dir)
+    q = parity_questions(spark, sf_dir)
+    out = retrieve(q, stored_corpus(spark, store, modes=["Clip-STrans"]), stored_catalog(spark, store), cstats=store_stats(store, ["Clip-STrans"]))
+    return out.select("query_id", "rank", "product_id", "title", "store", "price", "average_rating", "image", _r("score"))
+
+
+def stored_mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mode_dispatch`` over the stored vector sets, of which only those are read that the questions' modes name."""
+    store = _store(spark, sf_dir)
+    q = mixed_mode_questions(spark, sf_dir)
+    modes = q.select("query_id", "model_choice", resolved_mode().alias("route_mode"))
+    out = retrieve(q, stored_corpus(spark, store, modes), cstats=store_stats(store))
+    return out.join(modes, "query_id").select("query_id", "model_choice", "route_mode", "rank", "product_id", _r("score"))
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored vector sets: rows, dimension and norms of every space."""
+    rows = spark.table(_store(spark, sf_dir).vectors)
+    return rows.groupBy("space").agg(F.count(F.lit(1)).alias("n_vectors"), F.max(F.size("embedding")).alias("dim"),
+                                     F.round(F.min("norm"), R).alias("least_norm"), F.round(F.max("norm"), R).alias("greatest_norm"))
+
+
 def text_only_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text-only mode: top k by text cosine, no over-fetch, no fusion."""
     q = parity_questions(spark, sf_dir, model_choice="Blip-Text")
@@ -531,6 +560,9 @@ QUERIES = {
     "candidate_union": candidate_union,
     "rescore_fusion": rescore_fusion,
     "hybrid_topk_fetch": hybrid_topk_fetch,
+    "stored_topk_fetch": stored_topk_fetch,
+    "stored_mode_dispatch": stored_mode_dispatch,
+    "stored_vectors": stored_vectors,
     "text_only_topk": text_only_topk,
     "mode_dispatch": mode_dispatch,
     "mixed_parameter_topk": mixed_parameter_topk,
