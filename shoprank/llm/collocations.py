@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import mix64, ragged, span_hasher, span_hashes, table, text_blocks, word_spans, written
 
 #: One window of TRIGGER ends a chunk, in pieces of more than SHORT words.
 TRIGGER = 16
@@ -37,11 +37,14 @@ SHORT = 8
 LONGEST = 4096
 #: Most slots of the table of frequent parts (one bit each when sent, one byte each in a task).
 SLOTS = 1 << 25
-#: Different chunks or phrases that a task sums up before it sends them.
+#: Different chunks that a task sums up before it sends them.
 HELD = 150_000
+#: Bytes of chunks whose phrases a task sums up before it sends them.
+BLOCK = 2 << 20
+#: Parts in which a language's phrases are ranked before the last ranking.
+PARTS = 8
 #: Bytes of text that are split at once.
 PART = 1 << 20
-SEED = 42
 
 _SPLIT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 
@@ -119,45 +122,58 @@ def chunk_counts(df: DataFrame, text_col: str, lang_col: str, window: int) -> Da
     return written(df.sparkSession, sums.withColumn("words", own.cast("long")), "phrase-chunks")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``size`` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            held.append(part)
+            n += part.nbytes
+            if n > size:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def phrase_counts(chunks: DataFrame, k: int, window: int, frequent: bytes | None) -> DataFrame:
     """(lang, phrase, f) of the phrases of ``k`` words; ``frequent``: packed bits of slots that their parts may have."""
     shared = chunks.sparkSession.sparkContext.broadcast(frequent)
 
-    def out(lang: str | None, sums: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(sums), pa.string()), pa.array(list(sums), pa.binary()).cast(pa.string()),
-                                           pa.array(list(sums.values()), pa.int64())], names=["lang", "phrase", "f"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.unpackbits(np.frombuffer(shared.value, np.uint8)).tobytes() if shared.value else b""
-        mask = len(slots) - 1
-        digest = xxhash.xxh64_intdigest
-        held: dict[str, Counter] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                for lang, chunk, f in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
-                    sums = held.get(lang)
-                    if sums is None:
-                        sums = held[lang] = Counter()
-                    words = chunk.split()
-                    n = len(words) - k + 1
-                    if not chunk.endswith(b"\n"):
-                        n = min(n, len(words) - window)
-                    if n <= 0:
-                        continue
-                    if k == 1:
-                        for w in words[:n]:
-                            sums[w] += f
-                        continue
-                    parts = words if k == 2 else [b" ".join(words[i:i + k - 1]) for i in range(n + 1)]
-                    good = [slots[digest(p, SEED) & mask] for p in parts[:n + 1]]
-                    for i in range(n):
-                        if good[i] and good[i + 1]:
-                            sums[b" ".join(words[i:i + k])] += f
-                if sum(map(len, held.values())) > HELD:
-                    yield from (out(lang, sums) for lang, sums in held.items() if sums)
-                    held.clear()
-        yield from (out(lang, sums) for lang, sums in held.items() if sums)
+        slots = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool) if shared.value else np.ones(1, bool)
+        mask = np.uint64(len(slots) - 1)
+        for batch in _gathered(batches, BLOCK):
+            langs = batch.column(0).dictionary_encode()
+            code = langs.indices.to_numpy()
+            f = batch.column(2).to_numpy()
+            for lo, hi, data, offs in text_blocks(batch, "chunk", 2 * BLOCK):
+                starts, ends, row = word_spans(data, offs)
+                n = len(starts) - k + 1
+                if n <= 0:
+                    continue
+                hashes = span_hasher(data)
+                after = np.full(len(starts), -1)  # the row of the word that stands ``window`` words on
+                after[:len(starts) - window] = row[window:]
+                own = (row[:n] == row[k - 1:]) & ((data[offs[1:] - 1] == 10)[row[:n]] | (after[:n] == row[:n]))
+                if k > 1:
+                    good = slots[hashes(starts[:n + 1], ends[k - 2:k - 1 + n]) & mask]
+                    own &= good[:-1] & good[1:]
+                at = np.flatnonzero(own)
+                if not len(at):
+                    continue
+                key = hashes(starts[at], ends[at + k - 1]) + mix64(code[lo:hi][row[at]].astype(np.uint64))
+                order = np.argsort(key, kind="stable")
+                cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+                one = at[order[cuts]]
+                size = ends[one + k - 1] - starts[one]
+                ends_of = np.zeros(len(one) + 1, np.int32)
+                np.cumsum(size, out=ends_of[1:])
+                phrase = pa.StringArray.from_buffers(len(one), pa.py_buffer(ends_of), pa.py_buffer(data[ragged(starts[one], size)]))
+                yield pa.RecordBatch.from_arrays(
+                    [langs.dictionary.take(pa.array(code[lo:hi][row[one]])), phrase, pa.array(np.add.reduceat(f[lo:hi][row[at[order]]], cuts))],
+                    names=["lang", "phrase", "f"])
 
     rows = chunks.select("lang", "chunk", "f").mapInArrow(run, "lang string, phrase string, f long")
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
@@ -167,9 +183,12 @@ def frequent_slots(frequent: DataFrame) -> bytes:
     """Bits of the slots of all phrases of ``frequent``, packed; at most SLOTS bits reach the driver."""
     size = min(SLOTS, 1 << max(10, int(16 * frequent.count()).bit_length()))
     page = min(size, 1 << 18)
-    slot = F.xxhash64("phrase").bitwiseAND(size - 1)
-    rows = frequent.select(slot.alias("slot")).distinct()
-    rows = rows.selectExpr(f"CAST(slot DIV {page} AS INT) AS page", f"CAST(slot % {page} AS INT) AS bit")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offs in text_blocks(batch, "phrase"):
+                at = np.unique(span_hashes(data, offs[:-1], offs[1:]) & np.uint64(size - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((at // page).astype(np.int32)), pa.array((at % page).astype(np.int32))], names=["page", "bit"])
 
     def pack(group: pa.Table) -> pa.Table:
         bits = np.zeros(page, np.uint8)
@@ -177,6 +196,7 @@ def frequent_slots(frequent: DataFrame) -> bytes:
         return pa.table({"page": group.column("page").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     out = bytearray(size // 8)
+    rows = frequent.select("phrase").mapInArrow(slots, "page int, bit int").distinct()
     for row in rows.groupBy("page").applyInArrow(pack, "page int, bits binary").toLocalIterator():
         out[row.page * page // 8:(row.page + 1) * page // 8] = row.bits
     return bytes(out)
@@ -221,8 +241,10 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
             rows = rows.join(over, ["lang", "phrase"], "left").where(f"over IS NULL OR 100 * over < {cover} * a").drop("over")
         scored = rows if scored is None else scored.unionByName(rows)
     scored = written(spark, scored, "phrases-scored")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    ranked = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)  # a language's best come from PARTS parts
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(F.broadcast(totals), "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 

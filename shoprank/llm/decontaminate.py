@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _P, _powers, mix64, ragged, span_hashes, table, text_blocks
+from .common import mix64, powers, ragged, span_hashes, table, text_blocks
 from .langid import _fold_case
 from .toxicity import words_of
 
@@ -221,7 +221,7 @@ class _Exact:
         key = np.array([t[k] for t, k in zip(at, self.back)])
         self.order = np.argsort(key, kind="stable")
         self.first = np.searchsorted(key[self.order], np.arange(len(vocabulary) + 1))
-        self.hash = np.array([(x * _powers(_P, len(x))).sum(dtype=np.uint64) for _, x in items])
+        self.hash = np.array([(x * powers(len(x))).sum(dtype=np.uint64) for _, x in items])
 
     def find(self, word: np.ndarray, row: np.ndarray, at: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, item) of every copy; ``at``: place of each word in the vocabulary where ``hit``."""
@@ -232,7 +232,7 @@ class _Exact:
         end = begin + self.size[item]
         ok = (begin >= 0) & (end <= len(word))
         item, begin, end = item[ok], begin[ok], end[ok]
-        power = _powers(_P, len(word) + 1)
+        power = powers(len(word) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * power[:-1], dtype=np.uint64)])
         ok = (row[begin] == row[end - 1]) & (total[end] - total[begin] == self.hash[item] * power[begin])
         return begin[ok], item[ok]
@@ -257,7 +257,7 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight:
         for batch in batches:
             ids = batch.column(0)
             best: dict[tuple, tuple] = {}
-            for lo, hi, data, offs in text_blocks(batch, "text", 1 << 20):
+            for lo, hi, data, offs in text_blocks(batch, "text"):
                 if not len(data):
                     continue
                 word, row = _hashed_words(data, offs)

@@ -60,6 +60,7 @@ def phrase_rows(seed):
 @pytest.mark.parametrize("most, parts", [(3, 1), (3, 7), (4, 3), (2, 3)])
 def test_phrases(spark, monkeypatch, most, parts):
     monkeypatch.setattr(collocations, "HELD", 40)
+    monkeypatch.setattr(collocations, "BLOCK", 200)
     monkeypatch.setattr(collocations, "TRIGGER", 3)
     monkeypatch.setattr(collocations, "SHORT", 4)
     monkeypatch.setattr(collocations, "PART", 50)
