@@ -70,6 +70,19 @@ def faulty_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id": F.when(i % 23 != 0, i)})
 
 
+def faulty_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied embeddings, some of them NULL, too short, with a NULL, NaN or infinite element, or of no product."""
+    i, e = F.col("vec_id"), F.col("embedding")
+
+    def with_first(value):
+        return F.concat(F.array(F.lit(value).cast("float")), F.slice(e, 2, 63))
+
+    bad = (F.when(i % 11 == 0, F.lit(None).cast("array<float>")).when(i % 13 == 0, F.slice(e, 1, 63)).when(i % 17 == 0, with_first(None))
+           .when(i % 19 == 0, with_first(float("nan"))).when(i % 23 == 0, with_first(float("-inf"))).otherwise(e))
+    return read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]).select(
+        F.when(i % 7 == 0, -i - 1).otherwise(i).alias("vec_id"), bad.alias("embedding"))
+
+
 def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shopping question text per product question: ``query_id, query, constraint_text, keywords_text``.
 

@@ -535,3 +535,13 @@ ORACLE["stored_mode_dispatch"] = ORACLE["mode_dispatch"]
 ORACLE["stored_vectors"] = _with(VECTORS) + "\n" + " UNION ALL ".join(
     f"SELECT {q(space)} AS space, count(*) AS n_vectors, max(len({v})) :: INTEGER AS dim, round(min({v}n), 6) AS least_norm, round(max({v}n), 6) AS greatest_norm FROM vecn"
     for space, v in (("clip_text", "cl"), ("sbert_text", "sb"), ("blip_text", "bl"), ("amazon_text", "am"), ("clip_image", "iv")))
+ORACLE["stream_answer_once"] = ORACLE["stream_retrieval"]
+ORACLE["answers_written_twice"] = ORACLE["hybrid_topk_fetch"]
+ORACLE["prompts_written"] = ORACLE["rag_prompt_end_to_end"]
+ORACLE["faulty_vector_rejects"] = """
+SELECT * FROM (
+  SELECT CASE WHEN vec_id % 7 = 0 THEN -vec_id - 1 ELSE vec_id END AS product_id,
+         CASE WHEN vec_id % 11 = 0 OR vec_id % 13 = 0 THEN 'length'
+              WHEN vec_id % 17 = 0 OR vec_id % 19 = 0 OR vec_id % 23 = 0 THEN 'element'
+              WHEN vec_id % 7 = 0 OR vec_id NOT IN (SELECT p_partkey FROM part) THEN 'no product' END AS reason
+  FROM embeddings) WHERE reason IS NOT NULL"""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import (ALPHA_GRID, DEFAULT_MODE, HASH_DIM, MODE_SPACES, PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER, SPACE_SLICES, TEXT_ENCODERS,
+from ..config import (ALPHA_GRID, DEFAULT_MODE, EMBEDDING_DIM, HASH_DIM, MODE_SPACES, PARITY_ALPHA, PARITY_K, PARITY_MULTIPLIER, SPACE_SLICES, TEXT_ENCODERS,
                       TEXT_SPACES)
 from ..functions.encoders import hashing_encoder
 from ..functions.hashing import dense_counts, sparse_weights, token_buckets
@@ -28,12 +28,13 @@ from ..operators.sparse_index import build_index, search_index
 from ..operators.slicing import clean_keywords, extract_constraints, parse_slices
 from ..session import scratch_path, scratch_table
 from ..sources.catalog import catalog_from_tables, read_catalog_csv
+from ..sources.sinks import KeyedSink
 from ..sources.store import space_vectors, store_stats, stored_catalog, stored_corpus, write_store
 from ..sources.tables import read_table
-from ..sources.vectors import corpus_stats, product_vectors, valid_vectors
+from ..sources.vectors import corpus_stats, product_vectors, rejects_of, valid_vectors
 from ..sources.vectors import vector_rejects as rejected_vectors
 from .certified import certified_topk
-from .fixtures import (DISPATCH_MODES, faulty_questions, mixed_mode_questions, mixed_parameter_questions, parity_questions, question_texts,
+from .fixtures import (DISPATCH_MODES, faulty_questions, faulty_vectors, mixed_mode_questions, mixed_parameter_questions, parity_questions, question_texts,
                        slicing_responses)
 from .retrieval import (candidate_pools, question_rejects, question_stats, resolved_mode, retrieve, route_questions, route_table,
                         with_defaults)
@@ -88,6 +89,12 @@ def vector_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected_vectors(spark, sf_dir)
 
 
+def faulty_vector_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings with faults put in, what of them can't be searched and why."""
+    products = read_table(spark, sf_dir, "part", ["p_partkey"]).select(F.col("p_partkey").alias("vec_id"))
+    return rejects_of(faulty_vectors(spark, sf_dir), products, EMBEDDING_DIM)
+
+
 def vector_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode routes with the number and dimension of the vectors in the sets that they search."""
     sets = F.array(*[F.struct(F.lit(name).alias("space"), F.size(F.slice("embedding", *at)).alias("dim")) for name, at in SPACE_SLICES.items()])
@@ -542,11 +549,46 @@ def stream_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "average_rating", "image", _r("score"))
 
 
+def stream_answer_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 with state: every question comes three times, in the same and in later micro-batches, and is answered once."""
+    from ..streaming.retrieval_stream import answer_stream, read_answers
+
+    base = scratch_path(spark, "stream-once")
+    questions = mixed_parameter_questions(spark, sf_dir)
+    questions.repartition(2, "query_id").write.parquet(f"{base}/source")
+    questions.unionByName(questions).coalesce(1).write.mode("append").parquet(f"{base}/source")
+    corpus, stats = _inputs(spark, sf_dir)
+    tiles = scratch_table(spark, pack_corpus(corpus, dims=stats.dim_t + stats.dim_i), "once-tiles")
+    catalog = scratch_table(spark, catalog_from_tables(spark, sf_dir), "once-catalog")
+    answer_stream(spark, f"{base}/source", questions.schema, f"{base}/sink", f"{base}/checkpoint", tiles, catalog,
+                  retrieve_kwargs={"cstats": stats}, once_within="1 day")
+    return read_answers(spark, f"{base}/sink").select("query_id", "rank", "product_id", "title", "store", "price", "average_rating", "image", _r("score"))
+
+
+def answers_written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's answers in a keyed sink, half of the questions written again, as they are read back."""
+    sink = KeyedSink(scratch_path(spark, "answers"))
+    answers = scratch_table(spark, hybrid_topk_fetch(spark, sf_dir), "answers")
+    sink.write(answers)
+    sink.write(answers.where("query_id % 2 = 0"))
+    return sink.read(spark)
+
+
+def prompts_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finished prompts as JSON lines in a keyed sink, written twice, as they are read back."""
+    sink = KeyedSink(scratch_path(spark, "prompts"), unique=(), format="json")
+    prompts = scratch_table(spark, rag_prompt_end_to_end(spark, sf_dir), "prompts")
+    sink.write(prompts)
+    sink.write(prompts)
+    return sink.read(spark)
+
+
 QUERIES = {
     "catalog_typed_scan": catalog_typed_scan,
     "catalog_csv_ingest": catalog_csv_ingest,
     "catalog_csv_rejects": catalog_csv_rejects,
     "vector_rejects": vector_rejects,
+    "faulty_vector_rejects": faulty_vector_rejects,
     "vector_route": vector_route,
     "l2_normalize": l2_normalize_query,
     "text_encode_hashed": text_encode_hashed,
@@ -586,4 +628,7 @@ QUERIES = {
     "rag_prompt_end_to_end": rag_prompt_end_to_end,
     "keyword_rag_prompt": keyword_rag_prompt,
     "stream_retrieval": stream_retrieval,
+    "stream_answer_once": stream_answer_once,
+    "answers_written_twice": answers_written_twice,
+    "prompts_written": prompts_written,
 }

@@ -26,15 +26,19 @@ def _slice(name: str, slices: dict[str, tuple[int, int]]) -> Column:
     return F.slice("embedding", first, length)
 
 
+def rejects_of(vectors: DataFrame, products: DataFrame, dim: int) -> DataFrame:
+    """``product_id, reason`` of ``vectors`` (``vec_id, embedding``) that can't be searched: no or wrong length, NULL or non-finite
+    elements, or no product (``products``: ``vec_id``); the first that applies."""
+    ids = products.select("vec_id").distinct().withColumn("known", F.lit(True))
+    size = F.coalesce(F.size("embedding") == dim, F.lit(False))
+    reason = F.when(~size, "length").when(~is_valid_vector("embedding", dim), "element").when(F.col("known").isNull(), "no product")
+    return vectors.join(ids, "vec_id", "left").select(F.col("vec_id").alias("product_id"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def vector_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``product_id, reason`` of embeddings that can't be searched: no or wrong length, NULL or non-finite elements,
-    or no catalog product."""
-    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
-    ids = read_table(spark, sf_dir, "part", ["p_partkey"]).select(F.col("p_partkey").alias("vec_id"), F.lit(True).alias("known"))
-    size = F.coalesce(F.size("embedding") == EMBEDDING_DIM, F.lit(False))
-    reason = (F.when(~size, "length").when(~is_valid_vector("embedding", EMBEDDING_DIM), "element")
-              .when(F.col("known").isNull(), "no product"))
-    return emb.join(ids, "vec_id", "left").select(F.col("vec_id").alias("product_id"), reason.alias("reason")).where("reason IS NOT NULL")
+    """:func:`rejects_of` the supplied embeddings."""
+    return rejects_of(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]),
+                      read_table(spark, sf_dir, "part", ["p_partkey"]).select(F.col("p_partkey").alias("vec_id")), EMBEDDING_DIM)
 
 
 def valid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,32 @@ def test_stream_equals_batch_and_replay_does_not_duplicate(spark):
     assert _rows(again.select(cols)) == _rows(batch.select(cols))
 
 
+def test_question_that_comes_again_is_answered_once(spark):
+    """Repeats in one file, in a later micro-batch and after a restart; rows without an id are rejected once."""
+    corpus = scratch_table(spark, pack_corpus(product_vectors(spark, SF_SMALL)), "test-once-tiles")
+    questions = faulty_questions(spark, SF_SMALL)
+    base = scratch_path(spark, "test-once")
+
+    def arrive(df, times=1):
+        for _ in range(times):
+            df.coalesce(1).write.mode("append").parquet(f"{base}/source")
+
+    def run():
+        answer_stream(spark, f"{base}/source", questions.schema, f"{base}/sink", f"{base}/ckpt", corpus, once_within="1 day")
+        out = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/sink").select("query_id", "rank", "product_id", "score")
+        return _rows(out)
+
+    half = questions.where("query_id IS NULL OR query_id < 100")
+    arrive(half.unionByName(half))
+    arrive(half)
+    want = retrieve(questions, corpus).select("query_id", "rank", "product_id", "score")
+    assert run() == _rows(want.where("query_id < 100"))
+    arrive(questions)  # the first half again, now with the second
+    assert run() == _rows(want)
+    rejects = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/sink_rejects")
+    assert sorted(map(str, rejects.collect())) == sorted(map(str, question_rejects(questions.distinct()).collect()))
+
+
 def test_encoder_slot_runs_a_batch_encoder(spark):
     docs = spark.createDataFrame([(1, "red shirt"), (2, ""), (3, None)], "doc_id long, text string")
 
