@@ -545,3 +545,6 @@ SELECT * FROM (
               WHEN vec_id % 17 = 0 OR vec_id % 19 = 0 OR vec_id % 23 = 0 THEN 'element'
               WHEN vec_id % 7 = 0 OR vec_id NOT IN (SELECT p_partkey FROM part) THEN 'no product' END AS reason
   FROM embeddings) WHERE reason IS NOT NULL"""
+ORACLE["catalog_csv_split"] = _with(CATALOG) + """
+SELECT row_number() OVER (ORDER BY product_id) - 1 AS product_id, title || ', ' || chr(10) || '"' || store || '"' || chr(10) || description AS title,
+       store, price, average_rating, image FROM catalog"""

@@ -84,6 +84,18 @@ def catalog_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.select("product_id", "price", "reason")
 
 
+def catalog_csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog CSV whose titles hold line ends, quotes and commas, one file read by blocks; ids are places in the file."""
+    cat = catalog_from_tables(spark, sf_dir)
+    title = F.concat("title", F.lit(", \n\""), "store", F.lit("\"\n"), "description")
+    out = cat.select("product_id", F.lit("x").alias("junk"), title.alias("title"), "store", F.col("price").cast("double").cast("string").alias("price"),
+                     F.col("average_rating").cast("string").alias("average_rating"), "image")
+    path = scratch_path(spark, "catalog-split")
+    out.coalesce(1).sortWithinPartitions("product_id").drop("product_id").write.option("header", True).option("escape", '"').csv(path)
+    typed, _ = read_catalog_csv(spark, path, split=True)
+    return typed.select("product_id", "title", "store", "price", "average_rating", "image")
+
+
 def vector_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings that can't be searched and why."""
     return rejected_vectors(spark, sf_dir)
@@ -587,6 +599,7 @@ QUERIES = {
     "catalog_typed_scan": catalog_typed_scan,
     "catalog_csv_ingest": catalog_csv_ingest,
     "catalog_csv_rejects": catalog_csv_rejects,
+    "catalog_csv_split": catalog_csv_split,
     "vector_rejects": vector_rejects,
     "faulty_vector_rejects": faulty_vector_rejects,
     "vector_route": vector_route,

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, LongType, StringType, StructField, StructType
 
 from ..config import IMAGE_URL_PREFIX, IMAGE_URL_SUFFIX, MISSING_WORDS
+from ..session import scratch_table
+from .csv_split import read_csv, with_place_ordinal
 from .tables import read_table
 
 CATALOG_SCHEMA = StructType([
@@ -31,25 +33,35 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 CSV_OPTIONAL = ["description", "features", "details"]
 
 
-def read_catalog_csv(spark: SparkSession, path: str, id_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_catalog_csv(spark: SparkSession, path: str, id_col: str | None = None, split: bool = False) -> tuple[DataFrame, DataFrame]:
     """Typed catalog from a CSV with a header. Returns ``(catalog, rejects)``.
 
+    split: read a file by many tasks (:mod:`shoprank.sources.csv_split`); records of another length than the header or with open
+    quotes then are rejects too, with their text as ``price``. Else Spark's own reader takes a file as one task.
+
     The header is read in full and columns are selected **by name** (a partial schema
     would bind by position). ``product_id`` is the value of ``id_col`` when given, else the
     0-based row ordinal of a single catalog file (the id the vector files refer to).
     Numbers written as a missing-value word (``MISSING_WORDS``) are NULL and the row stays; unparsable numbers send
     the row to ``rejects`` with a reason instead of failing the job.
     """
-    raw = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        .option("mode", "PERMISSIVE").csv(path)
-    )
+    broken = None
+    if split:
+        raw, broken = read_csv(spark, path)
+        raw = scratch_table(spark, raw, "catalog-csv-rows")
+    else:
+        raw = (
+            spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .option("mode", "PERMISSIVE").csv(path)
+        )
     missing = [c for c in CSV_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"catalog CSV lacks columns {missing}")
     keep = CSV_COLUMNS + [c for c in CSV_OPTIONAL if c in raw.columns]
     if id_col is not None:
         df = raw.select(*keep, F.col(id_col).try_cast("bigint").alias("product_id"))
+    elif split:
+        df = with_place_ordinal(raw, "product_id").select(*keep, "product_id")
     else:
         df = with_row_ordinal(raw.select(*keep), "product_id")
 
@@ -75,6 +87,9 @@ def read_catalog_csv(spark: SparkSession, path: str, id_col: str | None = None)
     rejects = typed.filter(bad_price | bad_rating).select(
         "product_id", F.col("_raw_price").alias("price"), F.col("_raw_rating").alias("average_rating"),
         reason.alias("reason"))
+    if broken is not None:
+        rejects = rejects.unionByName(broken.select(F.lit(None).cast("bigint").alias("product_id"), F.col("text").alias("price"),
+                                                    F.lit(None).cast("string").alias("average_rating"), "reason"))
     return catalog, rejects
 
 
