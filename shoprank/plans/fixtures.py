@@ -107,6 +107,26 @@ def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                        constraint.alias("constraint_text"), keywords.alias("keywords_text"))
 
 
+def prose_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, constraints``: a constraint text per product question, its form chosen by ``p_size % 8``: ranges, suffixes, negations,
+    units, none."""
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
+    n = F.col("p_size")
+    low, high, stars = (x.cast("string") for x in (n + 900, n + 930, F.pmod(n, F.lit(3)) + 2))
+    forms = [
+        F.concat(F.lit("between "), low, F.lit(" and "), high, F.lit(" dollars")),
+        F.concat(stars, F.lit("+ stars")),
+        F.concat(F.lit("no more than $"), high, F.lit(".50, please")),
+        F.concat(F.lit("Rating not under 2."), stars),
+        F.concat(stars, F.lit(" stars or more, price "), low, F.lit(" to "), high),
+        F.concat(F.lit("not between "), low, F.lit(" and "), high, F.lit(" dollars")),
+        F.concat(F.lit("price above "), low, F.lit(" and below "), high),
+        F.lit("None"),
+    ]
+    text = F.element_at(F.array(*forms), F.pmod(n, F.lit(len(forms))).cast("int") + 1)
+    return part.select(F.col("p_partkey").alias("query_id"), text.alias("constraints"))
+
+
 def slicing_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses to the slicing prompt, one per question: ``query_id, ok, body``.
 

@@ -548,3 +548,16 @@ SELECT * FROM (
 ORACLE["catalog_csv_split"] = _with(CATALOG) + """
 SELECT row_number() OVER (ORDER BY product_id) - 1 AS product_id, title || ', ' || chr(10) || '"' || store || '"' || chr(10) || description AS title,
        store, price, average_rating, image FROM catalog"""
+ORACLE["constraint_grammar"] = """
+WITH p AS (SELECT p_partkey AS query_id, p_size % 8 AS form, CAST(p_size + 900 AS DOUBLE) AS low, CAST(p_size + 930 AS DOUBLE) AS high,
+                  p_size % 3 + 2 AS stars FROM part)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, field, op, value FROM (
+  SELECT query_id, 1 AS pos, 'price' AS field, '>=' AS op, low AS value FROM p WHERE form = 0
+  UNION ALL SELECT query_id, 2, 'price', '<=', high FROM p WHERE form = 0
+  UNION ALL SELECT query_id, 1, 'rating', '>=', CAST(stars AS DOUBLE) FROM p WHERE form IN (1, 4)
+  UNION ALL SELECT query_id, 1, 'price', '<=', high + 0.5 FROM p WHERE form = 2
+  UNION ALL SELECT query_id, 1, 'rating', '>=', CAST('2.' || stars AS DOUBLE) FROM p WHERE form = 3
+  UNION ALL SELECT query_id, 2, 'price', '>=', low FROM p WHERE form = 4
+  UNION ALL SELECT query_id, 3, 'price', '<=', high FROM p WHERE form = 4
+  UNION ALL SELECT query_id, 1, 'price', '>', low FROM p WHERE form = 6
+  UNION ALL SELECT query_id, 2, 'price', '<', high FROM p WHERE form = 6)"""

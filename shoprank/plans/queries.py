@@ -18,6 +18,7 @@ from ..functions.encoders import hashing_encoder
 from ..functions.hashing import dense_counts, sparse_weights, token_buckets
 from ..functions.vector import l2_norm, l2_normalize
 from ..operators.cells import build_cells, calibrated_probes, search_cells
+from ..operators.constraint_grammar import grammar_constraints
 from ..operators.constraints import post_filter, recommend
 from ..operators.knn import SideStats, TileConfig, hybrid_candidates, pack_corpus
 from ..operators.product_codes import build_codes, search_codes, survivors
@@ -35,7 +36,7 @@ from ..sources.vectors import corpus_stats, product_vectors, rejects_of, valid_v
 from ..sources.vectors import vector_rejects as rejected_vectors
 from .certified import certified_topk
 from .fixtures import (DISPATCH_MODES, faulty_questions, faulty_vectors, mixed_mode_questions, mixed_parameter_questions, parity_questions, question_texts,
-                       slicing_responses)
+                       prose_constraints, slicing_responses)
 from .retrieval import (candidate_pools, question_rejects, question_stats, resolved_mode, retrieve, route_questions, route_table,
                         with_defaults)
 from .text_retrieval import search_texts, text_corpus
@@ -338,6 +339,11 @@ def constraint_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_constraints(_sliced(spark, sf_dir))
 
 
+def constraint_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3: ranges, suffixes, negations and units in constraint texts, by the transducer."""
+    return grammar_constraints(prose_constraints(spark, sf_dir)).select("query_id", "pos", "field", "op", "value")
+
+
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _ranked(spark, sf_dir, catalog=catalog_from_tables(spark, sf_dir))
     return post_filter(out, extract_constraints(_sliced(spark, sf_dir)))
@@ -626,6 +632,7 @@ QUERIES = {
     "slice_response_parse": slice_response_parse,
     "keyword_normalize": keyword_normalize,
     "constraint_extract": constraint_extract,
+    "constraint_grammar": constraint_grammar,
     "constraint_filter_post": constraint_filter_post,
     "recommend_top3": recommend_top3,
     "recommendation_guard": recommendation_guard,
