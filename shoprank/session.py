@@ -36,9 +36,17 @@ def get_spark(app: str = "shoprank", cpus: int | str | None = None,
     return spark
 
 
+#: Bytes of one Arrow batch that a Python stage gets, unless the session sets its own: 10,000 rows of long texts are too many to hold
+#: in the JVM and in a worker at once.
+ARROW_BATCH = "8m"
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make a session ready for this package: shared checkpoint folder + code on the workers."""
+    """Make a session ready for this package: shared checkpoint folder, code on the workers, Arrow batches of bounded bytes."""
     ensure_checkpoint_dir(spark)
+    if spark.conf.get(_ARROW_BYTES) == "67108864b":  # Spark's default
+        spark.conf.set(_ARROW_BYTES, ARROW_BATCH)
     ship_package(spark)
     return spark
 
