@@ -53,7 +53,7 @@ def float_repr(c) -> Column:
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
     far = F.concat(F.regexp_replace(mant, r"\.0$", ""), F.lit("e"), F.when(exp < 0, "-").otherwise("+"),
                    F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))), F.lit("0")))
-    text = (F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).when(exp.isNull(), s)
+    text = (F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).when(F.instr(s, "E") == 0, s)
             .when(exp.between(0, 15), F.concat(sign, large)).when(exp.between(-4, -1), F.concat(sign, small))
             .otherwise(F.concat(sign, far)))
     return F.when(x.isNull(), F.lit("N/A")).otherwise(text)

@@ -48,6 +48,12 @@ def with_blocks(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("block", product_block(ranked))
 
 
+def blocks_of(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``ranked`` rows (``product_id``) with the ``block`` of their product, which is made once a product that occurs."""
+    wanted = catalog.join(ranked.select("product_id").distinct(), "product_id", "left_semi")
+    return ranked.join(with_blocks(wanted).select("product_id", "block"), "product_id")
+
+
 def assemble_context(blocks: DataFrame) -> DataFrame:
     """Per question, blocks joined in rank order with a blank line between them.
 

@@ -22,7 +22,7 @@ from ..operators.constraint_grammar import grammar_constraints
 from ..operators.constraints import post_filter, recommend
 from ..operators.knn import SideStats, TileConfig, hybrid_candidates, pack_corpus
 from ..operators.product_codes import build_codes, search_codes, survivors
-from ..operators.prompts import (agent_answer_request, agent_slicing_request, answer_messages, assemble_context, result_card,
+from ..operators.prompts import (agent_answer_request, agent_slicing_request, answer_messages, assemble_context, blocks_of, result_card,
                                  slicing_messages, with_blocks)
 from ..operators.rank import fuse, pools, ranked, top_k
 from ..operators.sparse_index import build_index, search_index
@@ -394,9 +394,8 @@ def rag_requests(sliced: DataFrame, retriever: Retriever, catalog: DataFrame) ->
     sliced: ``query_id, query, constraints, keywords``. ``retriever`` takes ``query_id, text`` and returns
     ``query_id, rank, product_id``; the keywords are what it searches. Adds ``n_products`` and ``context``.
     """
-    found = retriever(sliced.select("query_id", F.col("keywords").alias("text")))
-    context = assemble_context(with_blocks(found.join(catalog, "product_id")))
-    return sliced.join(context, "query_id")
+    found = scratch_table(sliced.sparkSession, retriever(sliced.select("query_id", F.col("keywords").alias("text"))), "rag-found")
+    return sliced.join(assemble_context(blocks_of(found, catalog)), "query_id")
 
 
 def hashed_retriever(spark: SparkSession, sf_dir: str) -> Retriever:
@@ -537,10 +536,11 @@ def rag_prompt_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages as ``json.dumps`` text, wrapped as one user turn. A question none of whose products meets its constraints
     has an empty context."""
     sliced = scratch_table(spark, _answerable(spark, sf_dir), "sliced")
-    catalog = catalog_from_tables(spark, sf_dir)
+    catalog = scratch_table(spark, catalog_from_tables(spark, sf_dir), "rag-catalog")
     found = hybrid_retriever(spark, sf_dir)(sliced.select("query_id", F.col("keywords").alias("text")))
-    kept = post_filter(found.join(catalog, "product_id"), extract_constraints(sliced))
-    both = sliced.join(assemble_context(with_blocks(kept)), "query_id", "left")
+    met = post_filter(found.join(catalog.select("product_id", "price", "average_rating"), "product_id"), extract_constraints(sliced))
+    kept = scratch_table(spark, met.select("query_id", "rank", "product_id"), "rag-kept")
+    both = sliced.join(assemble_context(blocks_of(kept, catalog)), "query_id", "left")
     request = agent_answer_request(F.col("query"), F.col("constraints"), F.col("context"))
     body = F.to_json(F.array(F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"),
                                             F.array(F.named_struct(F.lit("text"), request)))))
