@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, ragged, span_hasher, span_hashes, table, text_blocks, word_spans, written
+from .common import mix64, ragged, span_hasher, span_hashes, table, text_blocks, tidied, word_spans, written
 
 #: One window of TRIGGER ends a chunk, in pieces of more than SHORT words.
 TRIGGER = 16
@@ -117,7 +117,7 @@ def chunk_counts(df: DataFrame, text_col: str, lang_col: str, window: int) -> Da
         yield from out(held)
 
     rows = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    sums = rows.mapInArrow(run, "lang string, chunk string, f long").groupBy("lang", "chunk").agg(F.sum("f").alias("f"))
+    sums = rows.mapInArrow(tidied(run), "lang string, chunk string, f long").groupBy("lang", "chunk").agg(F.sum("f").alias("f"))
     own = F.size(F.split(F.rtrim("chunk", F.lit("\n")), " ")) - F.when(F.col("chunk").endswith("\n"), 0).otherwise(window)
     return written(df.sparkSession, sums.withColumn("words", own.cast("long")), "phrase-chunks")
 
@@ -175,7 +175,7 @@ def phrase_counts(chunks: DataFrame, k: int, window: int, frequent: bytes | None
                     [langs.dictionary.take(pa.array(code[lo:hi][row[one]])), phrase, pa.array(np.add.reduceat(f[lo:hi][row[at[order]]], cuts))],
                     names=["lang", "phrase", "f"])
 
-    rows = chunks.select("lang", "chunk", "f").mapInArrow(run, "lang string, phrase string, f long")
+    rows = chunks.select("lang", "chunk", "f").mapInArrow(tidied(run), "lang string, phrase string, f long")
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
@@ -196,7 +196,7 @@ def frequent_slots(frequent: DataFrame) -> bytes:
         return pa.table({"page": group.column("page").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     out = bytearray(size // 8)
-    rows = frequent.select("phrase").mapInArrow(slots, "page int, bit int").distinct()
+    rows = frequent.select("phrase").mapInArrow(tidied(slots), "page int, bit int").distinct()
     for row in rows.groupBy("page").applyInArrow(pack, "page int, bits binary").toLocalIterator():
         out[row.page * page // 8:(row.page + 1) * page // 8] = row.bits
     return bytes(out)

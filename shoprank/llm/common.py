@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +43,22 @@ def unit_hash(h: Column) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function after whose last batch the worker gives unused memory back: workers are used again by later stages,
+    and would otherwise keep the most that any stage has needed."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def with_fields(df: DataFrame, more: str, *without: str) -> StructType:
     """The schema of ``df`` but for some columns, followed by the fields of a DDL text."""
     return StructType([f for f in df.schema.fields if f.name not in without] + StructType.fromDDL(more).fields)
@@ -177,3 +194,36 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     out[0] = st[0]
     out[en[:-1]] = st[1:] - (st[:-1] + ln[:-1] - 1)
     return np.cumsum(out)
+
+
+def spaced_parts(data: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """(from, to) of parts of one text of about ``size`` bytes (BLOCK_BYTES), cut before white space: no word is in two parts."""
+    size = size or BLOCK_BYTES
+    a, n = 0, len(data)
+    while n - a > size:
+        b = a + size
+        while b < n:
+            gap = np.flatnonzero(_WS[data[b:b + 4096]])
+            if len(gap):
+                b += int(gap[0])
+                break
+            b += 4096
+        b = min(b, n)
+        yield a, b
+        a = b
+    if a < n:
+        yield a, n
+
+
+def long_words(words: Callable, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``words(data, offs)``, which gives arrays (start, end, row, ...) a word, with a long text taken part by part.
+
+    The working memory of ``words`` then grows with BLOCK_BYTES, not with the longest text.
+    """
+    if len(offs) != 2 or len(data) <= 2 * BLOCK_BYTES:
+        return words(data, offs)
+    out = []
+    for a, b in spaced_parts(data):
+        starts, ends, *rest = words(data[a:b], np.array([0, b - a]))
+        out.append((starts + a, ends + a, *rest))
+    return tuple(np.concatenate(x) for x in zip(*out))

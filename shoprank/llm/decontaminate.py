@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, powers, ragged, span_hashes, table, text_blocks
+from .common import long_words, mix64, powers, ragged, span_hashes, table, text_blocks, tidied
 from .langid import _fold_case
 from .toxicity import words_of
 
@@ -47,9 +47,14 @@ RESULT = "doc_id long, item_id long, cosine double, lcs int, item_words int, sha
 
 def _hashed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word hash, text) of a block of texts, folded, punctuation left out."""
-    low = _fold_case(data)
-    starts, ends, row = words_of(low, offs)
-    return span_hashes(low, starts, ends).astype(np.uint64), row
+
+    def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+        low = _fold_case(data)
+        starts, ends, row = words_of(low, offs)
+        return starts, ends, row, span_hashes(low, starts, ends).astype(np.uint64)
+
+    _, _, row, key = long_words(words, data, offs)
+    return key, row
 
 
 def _words_of_text(text: str | None) -> np.ndarray:
@@ -93,7 +98,7 @@ def holders(docs: DataFrame, vocabulary: np.ndarray, grams: np.ndarray) -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     for r in counts.collect():  # a row per benchmark word at most
         out[r.term] = r.n
     return out
@@ -330,7 +335,7 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: np.ndarray, weight:
                      pa.array(lcs, pa.int32()), pa.array(n, pa.int32()), pa.array(share, pa.float64()), pa.array(answer, pa.bool_())],
                     names=["doc_id", "item_id", "cosine", "lcs", "item_words", "share", "answer"])
 
-    return docs.mapInArrow(run, RESULT)
+    return docs.mapInArrow(tidied(run), RESULT)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table, text_blocks, with_fields
+from .common import fold, spaced_parts, table, text_blocks, tidied, with_fields
 
 BUCKETS = 1 << 16
 PENALTY = 12.0
@@ -106,8 +106,8 @@ def words_of(data: np.ndarray, offs: np.ndarray):
     return starts, ends, row, _script_of_word(low, starts) if len(starts) else row, bucket
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log-probabilities [BUCKETS, languages], candidates [scripts, languages]) of labelled rows."""
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray, int]:
+    """(languages, log-probabilities [BUCKETS, languages], candidates [scripts, languages], commonest) of labelled rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -131,7 +131,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
                                              names=["lang", "bucket", "n"])
 
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidied(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got: dict[str, list] = {}
     # at most BUCKETS + scripts rows a language; the language bound is checked as rows arrive
     for r in counts.toLocalIterator():
@@ -147,7 +147,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     share = c[BUCKETS:] / np.maximum(c[BUCKETS:].sum(0), 1)
     cand = share >= SCRIPT_SHARE
     cand[~cand.any(1)] = True
-    return langs, logp, cand
+    return langs, logp, cand, int(c[:BUCKETS].sum(0).argmax()) if langs else 0
 
 
 def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
@@ -188,13 +188,14 @@ def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty
     return path
 
 
-def label(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
+def label(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, int], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
           penalty: float = PENALTY) -> DataFrame:
     """Columns ``carry`` with (lang_pred, score, spans) of every row; a span is (first byte, end byte, lang) of words of one language.
 
-    score: the share of the text's letter bytes in spans of its language.
+    score: the share of the text's letter bytes in spans of its language. A text whose only letters are outside the word ranges
+    (ordinals and the like) gets the commonest language with score 0.
     """
-    langs, logp, cand = model
+    langs, logp, cand, common = model
     shut = np.where(cand, np.float32(0), np.float32(RULED_OUT)).astype(np.float32)
     sent = df.sparkSession.sparkContext.broadcast((langs, logp, shut))
 
@@ -207,20 +208,23 @@ def label(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_c
         width = max(1, len(langs))
         part = max(1 << 16, (6 << 20) // width)
         for batch in batches:
-            for lo, hi, data, offs in text_blocks(batch, text_col, 8 << 20):
+            for lo, hi, data, offs in text_blocks(batch, text_col, 2 << 20):
                 n = hi - lo
                 s, e, r, m = [], [], [], []
                 a = 0
                 while a < n and langs:  # scores are made in smaller parts, paths are sought over all
                     b = min(n, max(a + 1, int(np.searchsorted(offs, offs[a] + part, side="right")) - 1))
-                    if offs[b] > offs[a]:
-                        starts, ends, row, script, bucket = words_of(data[offs[a]:offs[b]], offs[a:b + 1] - offs[a])
+                    # a long text is scored part by part
+                    own = data[offs[a]:offs[b]]
+                    parts = spaced_parts(own, part) if b == a + 1 and len(own) > 2 * part else [(0, len(own))] if len(own) else []
+                    for x, y in parts:
+                        starts, ends, row, script, bucket = words_of(own[x:y], offs[a:b + 1] - offs[a] if (x, y) == (0, len(own)) else np.array([0, y - x]))
                         if len(starts):
                             size = ends - starts
                             heads = np.cumsum(size) - size
                             m.append(np.add.reduceat(logp[bucket], heads, axis=0) + shut[script])
-                            s.append(starts + offs[a])
-                            e.append(ends + offs[a])
+                            s.append(starts + offs[a] + x)
+                            e.append(ends + offs[a] + x)
                             r.append(row + a)
                     a = b
                 pred, score, spans = np.full(n, len(langs)), np.zeros(n), [[] for _ in range(n)]
@@ -241,13 +245,15 @@ def label(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_c
                     text = data[offs[d]:offs[d + 1]].tobytes().decode("utf-8", "replace")
                     if not letter.search(text):
                         pred[d], score[d], spans[d] = len(langs), 0.0, []
+                    elif pred[d] == len(langs) and langs:
+                        pred[d] = common
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(lo, n) for c in batch.columns), pa.array(names[pred].tolist(), pa.string()), pa.array(score),
                      pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))],
                     names=[*batch.schema.names, "lang_pred", "score", "spans"])
 
     rows = df.select(*carry) if text_col in carry else df.select(*carry, text_col)
-    out = rows.mapInArrow(run, with_fields(rows, "lang_pred string, score double, spans array<struct<first:long,end:long,lang:string>>"))
+    out = rows.mapInArrow(tidied(run), with_fields(rows, "lang_pred string, score double, spans array<struct<first:long,end:long,lang:string>>"))
     return out.select(*carry, "lang_pred", "score", "spans")
 
 

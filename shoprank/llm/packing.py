@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, span_hashes, table, text_blocks, written
+from .common import ragged, span_hashes, table, text_blocks, tidied, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -216,7 +216,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         tok = tokeniser(path)
         for batch in batches:
             doc = batch.column(0)
-            for lo, hi, data, offs in text_blocks(batch, "text", 2 << 20):
+            for lo, hi, data, offs in text_blocks(batch, "text"):
                 ids, counts = tok.block(data, offs)
                 at = np.concatenate([[0], np.cumsum(counts)])
                 row, piece, start, length, crc = [], [], [], [], []
@@ -234,7 +234,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(cut), PIECES)
 
 
 # ---- planning -----------------------------------------------------------------------------------------------
@@ -340,7 +340,7 @@ def best_fit_pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)],
                                              names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tidied(place), PIECES + ", sequence_id long, offset long")
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
