@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mix64, span_hashes, table, text_blocks, word_spans, written
+from .common import long_words, lowered, mix64, span_hashes, table, text_blocks, tidied, word_spans, written
 from .components import components
 
 WORDS = 5
@@ -41,9 +41,9 @@ SAMPLED = 0.4
 _CUT = np.uint64(int(SAMPLED * 2 ** 64))
 GROUPS = 128
 LEAF = 24
-#: A token is hot if so large a share of the classes hold it; what fewer classes of a batch hold isn't reported.
+#: A token is hot if so large a share of the classes hold it; what fewer classes of a counted lot hold isn't reported.
 HOT_SHARE, HOT_LEAST = 1 / 256, 64
-#: Tokens of a batch that are counted at a time to find hot ones.
+#: Tokens that are counted at a time to find hot ones.
 HOT_BATCH = 1_000_000
 #: Text bytes that are hashed at a time.
 BLOCK = 1 << 20
@@ -55,14 +55,19 @@ _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
                              0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7)]
 
 
+def _hashed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, hash) of every lower-cased word."""
+    low = lowered(data)
+    starts, ends, row = word_spans(low, offs)
+    return starts, ends, row, span_hashes(low, starts, ends)
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts one after another, number per text)."""
     rows = len(offs) - 1
-    low = lowered(data)
-    starts, ends, row = word_spans(low, offs)
-    if not len(starts):
+    _, _, row, w = long_words(_hashed_words, data, offs)
+    if not len(w):
         return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
-    w = span_hashes(low, starts, ends)
     count = np.bincount(row, minlength=rows)
     first = np.cumsum(count) - count
     padded = np.concatenate([w, np.zeros(k, np.uint64)])
@@ -98,13 +103,13 @@ def _first_of(n: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc_id, n, fp) of every row, and rows (null, classes, token) with ``hot`` of what is hot in an Arrow batch."""
+    """(doc_id, n, fp) of every row, and rows (null, classes, token) with ``hot`` of what is hot among about HOT_BATCH tokens."""
     share, least = HOT_SHARE, HOT_LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        classes: set[int] = set()
         for batch in batches:
-            held: list[np.ndarray] = []
-            classes: set[int] = set()
             for lo, hi, data, offs in text_blocks(batch, "text", BLOCK):
                 flat, n = shingle_sets(data, offs, k)
                 fp = fingerprints(flat, n)
@@ -117,8 +122,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 if sum(map(len, held)) > HOT_BATCH:
                     yield report(held, len(classes))
                     held, classes = [], set()
-            if held:
-                yield report(held, len(classes))
+        if held:
+            yield report(held, len(classes))
 
     def report(held: list[np.ndarray], classes: int) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
@@ -127,7 +132,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                                           names=["doc_id", "n", "fp", "hot"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, fp long, hot boolean")
+    return rows.mapInArrow(tidied(run), "doc_id long, n long, fp long, hot boolean")
 
 
 def _by_range(ranges: int, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -189,7 +194,7 @@ def _hot_ties(docs: DataFrame, k: int, hot: np.ndarray) -> DataFrame | None:
             head[1:] = token[1:] != token[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(token[head]), pa.array(fp[head])], names=["token", "hub"])
 
-    hubs = docs.mapInArrow(least, "token long, hub long").groupBy("token").agg(F.min("hub").alias("hub")).collect()  # hot tokens at most
+    hubs = docs.mapInArrow(tidied(least), "token long, hub long").groupBy("token").agg(F.min("hub").alias("hub")).collect()  # hot tokens at most
     if not hubs:
         return None
     to = docs.sparkSession.sparkContext.broadcast(tuple(np.array(x) for x in zip(*sorted((r.token, r.hub) for r in hubs))))
@@ -201,7 +206,7 @@ def _hot_ties(docs: DataFrame, k: int, hot: np.ndarray) -> DataFrame | None:
                 pairs = np.unique(np.stack([fp, hub[np.searchsorted(tokens, token)]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["fp", "hub"])
 
-    return docs.mapInArrow(tie, "fp long, hub long")
+    return docs.mapInArrow(tidied(tie), "fp long, hub long")
 
 
 def _emitted(docs: DataFrame, k: int, ranges: int, hot: np.ndarray) -> DataFrame:
@@ -232,7 +237,7 @@ def _emitted(docs: DataFrame, k: int, ranges: int, hot: np.ndarray) -> DataFrame
         fp, n, token = (np.concatenate(x) for x in zip(*held))
         return _pack([(p, fp[at], n[at], token[at], np.zeros(0, np.int32)) for p, at in _by_range(ranges, token)])
 
-    return docs.mapInArrow(run, _PACKED)
+    return docs.mapInArrow(tidied(run), _PACKED)
 
 
 def _counted(emitted: DataFrame, ranges: int) -> DataFrame:
@@ -396,23 +401,32 @@ def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """(columns of ``blocks``, set) for one document of each class in ``blocks`` (which has doc_id)."""
+    """(columns of ``blocks``, set) for one document of each class in ``blocks`` (which has doc_id).
+
+    Classes whose documents all lack an id are found by the fingerprints of the documents without an id.
+    """
     keep = [c for c in blocks.columns if c != "doc_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in text_blocks(batch, "text", BLOCK):
-                flat, n = shingle_sets(data, offs, k)
-                fp = fingerprints(flat, n)
-                at = np.cumsum(n)
-                own = fp == np.asarray(batch.column(batch.schema.get_field_index("fp")))[lo:hi]
-                s = pa.array([flat[e - c:e].astype("<u8").tobytes() for e, c in zip(at.tolist(), n.tolist())], pa.binary())
-                out = pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in keep), s],
-                                                 names=[*keep, "set"])
-                yield out.filter(pa.array(own))
+    def sets_with(carry: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, data, offs in text_blocks(batch, "text", BLOCK):
+                    flat, n = shingle_sets(data, offs, k)
+                    fp = fingerprints(flat, n)
+                    at = np.cumsum(n)
+                    s = pa.array([flat[e - c:e].astype("<u8").tobytes() for e, c in zip(at.tolist(), n.tolist())], pa.binary())
+                    out = pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), s, *(batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in carry)],
+                                                     names=["of", "set", *carry])
+                    own = fp == np.asarray(out.column("fp")) if "fp" in carry else n > 0
+                    yield out.filter(pa.array(own))
+
+        return run
 
-    types = ", ".join(f"{c} {t}" for c, t in blocks.dtypes if c != "doc_id")
-    return docs.join(blocks, "doc_id").select(*keep, "text").mapInArrow(run, f"{types}, set binary").dropDuplicates(["fp"])
+    types = ", ".join(["of long, set binary", *(f"{c} {t}" for c, t in blocks.dtypes if c != "doc_id")])
+    known = docs.join(blocks.where("doc_id IS NOT NULL"), "doc_id").select(*keep, "text").mapInArrow(tidied(sets_with(keep)), types)
+    nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(tidied(sets_with([])), "of long, set binary").dropDuplicates(["of"])
+    nameless = nameless.join(blocks.where("doc_id IS NULL"), F.col("of") == F.col("fp"))
+    return known.dropDuplicates(["fp"]).select(*keep, "set").unionByName(nameless.select(*keep, "set"))
 
 
 def classes_with_links(docs: DataFrame, sig: DataFrame, reported: DataFrame, k: int) -> DataFrame | None:
@@ -455,10 +469,14 @@ def classes_with_links(docs: DataFrame, sig: DataFrame, reported: DataFrame, k:
     roots = written(spark, components(ties, "fp", "tie"), "jaccard-roots")
     now = large.drop("seen").join(roots.select(F.col("node").alias("fp"), F.col("root").alias("seen")), "fp", "left")
     now = now.withColumn("seen", F.coalesce("seen", "fp"))
-    apart = now.groupBy("block").agg(F.min("seen").alias("a"), F.max("seen").alias("b")).where("a <> b").select("block")
-    # then, where components remain apart, every pair of chunks; a chunk's own pairs are done
-    pairs = now.join(apart, "block").withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).where("chunk <> other")
-    pairs = pairs.withColumns({"x": F.least("chunk", "other"), "y": F.greatest("chunk", "other")})
+    # then, where components remain apart, the classes outside a block's largest component against all of the block: a link
+    # between two components has one of them at an end
+    parts = now.groupBy("block", "seen").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(
+        F.max_by("seen", F.struct("n", "seen")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    open_ = now.join(parts, "block").withColumn("lots", F.ceil(F.col("rest") / F.lit(CHUNK)).cast("int"))
+    every = open_.withColumns({"x": F.col("chunk"), "y": F.explode(F.expr("sequence(0, lots - 1)"))})
+    outside = open_.where("seen <> largest").withColumn("y", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("lots")).cast("int"))
+    pairs = every.unionByName(outside.withColumn("x", F.explode(F.expr("sequence(0, chunks - 1)"))))
     ties = written(spark, ties.unionByName(_joined(pairs, ["block", "x", "y"])), "jaccard-ties")
     return components(ties, "fp", "tie")
 
