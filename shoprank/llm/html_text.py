@@ -9,7 +9,7 @@ become optional, a part that is repeated in either is repeated.
 
 The wrapper tells what is main text: the content elements (those ``article`` and ``main`` that hold slots, else the smallest
 element that holds most of the slots' text), without fixed texts that at least FIXED_PAGES different pages share (pages of
-the same texts count once; within ``article``/``main``, only lines without slots), and without elements whose tag or class
+the same texts count once; within content, only lines without slots that aren't titles), and without elements whose tag or class
 names page furniture. Such a name is a hint only: an
 element that holds most of the text of ``article``/``main``, or most of the slots' text, is read. Texts in a run of
 neighbouring equal elements are slots. A page whose content elements are missing or hold fixed texts only is read with these,
@@ -17,9 +17,10 @@ then from its body, then from any ``article``/``main``, then with elements that
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by two line feeds.
 
-Distribution: wrappers are merged inside each task first, then per host over one partial wrapper per task, so a host that
-holds a third of all pages is no heavier than others; wrappers are as large as a host's template, not its pages. Pages
-meet their wrapper in a join on the host.
+Distribution: wrappers are merged inside each task first, then per host by groups of PARTIALS partial wrappers, level by
+level, so that no task holds a partial wrapper of every task. A wrapper grows with the different structures of a host's pages. Pages
+meet their wrapper in a join on the host. The order in which pages are merged depends on the file splits and can decide which of
+two equally long alignments is taken.
 
 Null and empty pages have empty text. Null URLs and URLs without a host share one wrapper. Unclosed tags, comments and
 references are read as far as they go. Repeated rows get equal texts; other columns are ignored; an empty table gives none.
@@ -31,17 +32,22 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_fields
+from .common import table, tidied, with_fields
 from .url_filter import host_and_path
 
 GROUP = 3
 FIXED_PAGES = 4
+#: Nested elements; deeper ones hold nothing themselves.
+DEPTH = 128
+#: Partial wrappers of a host that are merged at once.
+PARTIALS = 64
 #: Most parts that are aligned by the quadratic method; longer sequences are aligned by their longest common blocks.
 ALIGNED = 120
 
@@ -59,7 +65,10 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figcapt
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                 "option": {"option"}}
 FURNITURE = set("nav footer aside form button select menu dialog head title".split())
+BARRIERS = {"p", "td", "th", "li", "button"}
 CONTENT = {"article", "main"}
+#: Titles within content stay whether or not other pages have them too.
+TITLES = set("h1 h2 h3 h4 h5 h6 caption figcaption summary th dt".split())
 FURNITURE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|aside|footer|site-?header|masthead|"
     r"top-?bar|comments?|respon[ds]\w*|replies|disqus\w*|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|share|sharing|"
@@ -76,9 +85,15 @@ class Element:
 
 
 def parse(page: str) -> Element:
-    """The page's elements; a text is a part with the key ``#`` and its raw string."""
+    """The page's elements; a text is a part with the key ``#`` and its raw string.
+
+    Elements nested deeper than DEPTH hold nothing themselves: what they hold follows them, and they end with an
+    empty element of their own, so that blocks stay apart.
+    """
     root = Element("")
     stack, tags = [root], [""]
+    opened = Counter(tags)
+    marks: list[int] = []  # places in ``tags`` of the elements that decide whether a paragraph is open
     at = 0
 
     def add(raw: str) -> None:
@@ -87,6 +102,16 @@ def parse(page: str) -> Element:
             e.text = raw
             stack[-1].parts.append(e)
 
+    def close(size: int) -> None:
+        """Ends all elements from place ``size`` on."""
+        while len(tags) > size:
+            tag = tags.pop()
+            opened[tag] -= 1
+            if stack.pop() is stack[-1] and tag not in INLINE:
+                stack[-1].parts.append(Element(tag))
+        while marks and marks[-1] >= size:
+            marks.pop()
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             add(page[at:m.start()])
@@ -96,21 +121,18 @@ def parse(page: str) -> Element:
             continue
         tag = tag.lower()
         if m.group(2):
-            if tag in tags:
-                while tags[-1] != tag:
-                    tags.pop()
-                    stack.pop()
-                tags.pop()
-                stack.pop()
+            if opened[tag]:
+                size = len(tags) - 1
+                while tags[size] != tag:
+                    size -= 1
+                close(size)
             continue
-        if tag in CLOSES_P and "p" in tags and not {"td", "th", "li", "button"} & set(tags[len(tags) - tags[::-1].index("p"):]):
-            while tags.pop() != "p":
-                stack.pop()
-            stack.pop()
-        elif tag in SELF_CLOSING:
+        if tag in CLOSES_P and marks and tags[marks[-1]] == "p":
+            close(marks[-1])
+        elif tag in SELF_CLOSING and any(opened[x] for x in SELF_CLOSING[tag]):
             for i in range(len(tags) - 1, 0, -1):
                 if tags[i] in SELF_CLOSING[tag]:
-                    del tags[i:], stack[i:]
+                    close(i)
                     break
                 if tags[i] in ("ul", "ol", "dl", "table", "select"):
                     break
@@ -119,8 +141,11 @@ def parse(page: str) -> Element:
         e = Element(key)
         stack[-1].parts.append(e)
         if tag not in VOID and not m.group(4).rstrip().endswith("/"):
-            stack.append(e)
+            if tag in BARRIERS:
+                marks.append(len(tags))
+            stack.append(e if len(stack) < DEPTH else stack[-1])
             tags.append(tag)
+            opened[tag] += 1
     if at < len(page) and (cut := page[at:].find("<")) != 0:
         add(page[at:] if cut < 0 else page[at:at + cut])
     return root
@@ -321,7 +346,7 @@ class Wrapper:
 
     def _walk(self, e: Element, path: str, inside: Element | None, line: int = 0) -> int:
         """Collects fixed texts and content; returns the size of the slots below that aren't furniture. Within content a
-        fixed text is kept if ``line``, the slots beside it, is not 0: it is part of a sentence."""
+        fixed text is kept if ``line``, the slots beside it, is not 0 (it is part of a sentence), or in a title."""
         total = 0
         for p in e.parts:
             if p.key == "#":
@@ -340,7 +365,8 @@ class Wrapper:
                 content = _tag(p.key) in CONTENT and self._all[id(p)][0] > 0
                 if content:
                     self.content.add(below)
-                total += self._walk(p, below, inside or (p if content else None), line if _tag(p.key) in INLINE else self._line(p))
+                beside = line if _tag(p.key) in INLINE else 1 if _tag(p.key) in TITLES else self._line(p)
+                total += self._walk(p, below, inside or (p if content else None), beside)
         self.slots[id(e)] = total
         return total
 
@@ -417,10 +443,16 @@ def wrappers(rows: DataFrame) -> DataFrame:
         e = loaded(json.loads(parts[0]))
         for x in parts[1:]:
             merge(e, loaded(json.loads(x)))
-        return pa.table({"host": t["host"].slice(0, 1), "wrapper": [json.dumps(dumped(e))]})
+        group = t["part"][0].as_py() // PARTIALS
+        return pa.table({"host": t["host"].slice(0, 1), "part": pa.array([group], pa.int64()), "wrapper": [json.dumps(dumped(e))]})
 
-    some = rows.select("host", "html").mapInArrow(partial, "host string, wrapper string")
-    return some.groupBy("host").applyInArrow(whole, "host string, wrapper string")
+    schema = "host string, part long, wrapper string"
+    out = rows.select("host", "html").mapInArrow(tidied(partial), "host string, wrapper string").withColumn("part", F.spark_partition_id().cast("long"))
+    parts = rows.rdd.getNumPartitions()
+    while parts > PARTIALS:  # a host's partial wrappers are merged by groups of PARTIALS
+        out = out.groupBy("host", F.expr(f"part DIV {PARTIALS}").alias("group")).applyInArrow(whole, schema)
+        parts = -(-parts // PARTIALS)
+    return out.select("host", "wrapper", F.lit(0).cast("long").alias("part")).groupBy("host").applyInArrow(whole, schema).select("host", "wrapper")
 
 
 def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -444,7 +476,7 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                                              names=["page_id", "url", "text", "n_blocks"])
 
     both = rows.join(wrappers(rows), "host").select("page_id", "url", "html", "wrapper")
-    return both.mapInArrow(run, with_fields(both, "text string, n_blocks int", "html", "wrapper"))
+    return both.mapInArrow(tidied(run), with_fields(both, "text string, n_blocks int", "html", "wrapper"))
 
 
 def op9_wrapper_extraction(spark, sf_dir: str) -> DataFrame:
