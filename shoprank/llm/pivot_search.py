@@ -15,14 +15,18 @@ sketch per pivot; every row is indexed. Tiles are written once under the checkpo
 blocks (``QUERY_BLOCK`` queries to a tile of ``TILE_ROWS`` rows, one matrix product); a pivot that holds a third of
 all rows has many tiles and is spread over tasks. Per pair of block and tile at most k rows a query leave the task.
 
+Wide vectors, those with a component beyond +-2**20 after scaling, whose integer products are not exact in doubles, stay out of the
+index: every query is also compared with the tiles of all wide vectors, and a wide query with all tiles, their products
+being summed in two halves of a component, as integers.
+
 Vectors that are null, hold a null or a non-finite component, have another length than the most frequent one, or a
-component beyond +-2**20 after scaling (integer products would not be exact in doubles) take no part; such rows with
-an id divisible by ``every`` return nothing. Repeated vec_ids are candidates as often as they occur, but none is a
+component so large that a score might not fit into 64 bits (beyond sqrt(2**62 / dimension) after scaling) take no part. Repeated vec_ids are candidates as often as they occur, but none is a
 candidate of its own id; a repeated query row is one query, different vectors of one id are a query each. Null ids take no part. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,20 +44,36 @@ QUERY_BLOCK = 256
 SCALE = 1024
 #: Largest absolute scaled component that keeps a 4096-dimensional integer product exact in doubles.
 LIMIT = 1 << 20
+#: Bits of the lower half of a component of a wide vector.
+HALF = 14
 FIRST_ANNULI = 2
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<long>, sq long) of the rows that take part."""
+    """(vec_id, v array<long>, sq long, wide boolean) of the rows that take part."""
     v = F.col(vec_col)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("e")).where(
         F.col("vec_id").isNotNull() & F.col("e").isNotNull()
         & ~F.exists("e", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))))
+    rows = rows.where(F.size("e") > 0)
+    dims = rows.groupBy(F.size("e").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    dim = dims[0].dim if dims else 1
+    most = min(math.isqrt((1 << 62) // dim), (1 << 30) - 1)
+    rows = rows.where((F.size("e") == dim) & ~F.exists("e", lambda x: F.abs(x.cast("double") * SCALE) > float(most)))
     rows = rows.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
-    rows = rows.where(~F.exists("v", lambda x: F.abs(x) > LIMIT) & (F.size("v") > 0))
-    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = dims[0].dim if dims else 0
-    return rows.where(F.size("v") == dim).withColumn("sq", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    rows = rows.where(~F.exists("v", lambda x: F.abs(x) > most))
+    return rows.withColumns({"sq": F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x), "wide": F.exists("v", lambda x: F.abs(x) > LIMIT)})
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products [queries, rows] of integer vectors whose products fit into 64 bits."""
+    if not q.size or not x.size:
+        return np.zeros((len(q), len(x)), np.int64)
+    if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < float(1 << 53):
+        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    (qh, ql), (xh, xl) = (((y.astype(np.int64) >> HALF).astype(np.float64), (y.astype(np.int64) & ((1 << HALF) - 1)).astype(np.float64)) for y in (q, x))
+    mixed = (qh @ xl.T).astype(np.int64) + (ql @ xh.T).astype(np.int64)
+    return ((qh @ xh.T).astype(np.int64) << (2 * HALF)) + (mixed << HALF) + (ql @ xl.T).astype(np.int64)
 
 
 def _matrix(batch: pa.RecordBatch, col: str) -> np.ndarray:
@@ -97,11 +117,14 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
     spark = df.sparkSession
     result = "query_id long, rank int, vec_id long, score long"
     vectors = written(spark, integer_vectors(df, id_col, vec_col), "pivot-vectors")
-    stats = vectors.agg(F.max("sq").alias("most"), F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    narrow, wide = vectors.where("NOT wide"), vectors.where("wide")
+    stats = vectors.agg(F.max(F.when(~F.col("wide"), F.col("sq"))).alias("most"), F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"),
+                        F.coalesce(F.sum(F.col("wide").cast("long")), F.lit(0)).alias("n_wide")).first()
     if not stats.n:
         return spark.createDataFrame([], result)
-    most = stats.most
-    pivots = _pivots(vectors, most, stats.n)
+    most = stats.most or 0
+    pivots = _pivots(narrow, most, stats.n - stats.n_wide) if stats.n > stats.n_wide else np.zeros((1, stats.dim + 1))
+    wide_ring = PIVOTS * ANNULI
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,21 +136,31 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
                 [batch.column(0), pa.array([r.astype("<i4").tobytes() for r in x], pa.binary()), pa.array(p.astype(np.int32)),
                  pa.array(d[np.arange(len(p)), p])], names=["vec_id", "v", "pivot", "dist"])
 
-    keyed = written(spark, vectors.select("vec_id", "v", "sq").mapInArrow(key, "vec_id long, v binary, pivot int, dist double"), "pivot-keys")
+    keyed = written(spark, narrow.select("vec_id", "v", "sq").mapInArrow(key, "vec_id long, v binary, pivot int, dist double"), "pivot-keys")
     # annulus edges: ANNULI - 1 quantiles of each pivot's distances (a bounded sketch per pivot)
     cuts = [i / ANNULI for i in range(1, ANNULI)]
     edges = {r.pivot: np.array(r.q) for r in keyed.groupBy("pivot").agg(F.percentile_approx("dist", cuts, 1000).alias("q")).collect()}
-    flat = F.create_map(*[x for p, q in sorted(edges.items()) for x in (F.lit(p), F.array(*[F.lit(float(y)) for y in q]))])
+    flat = F.create_map(*[x for p, q in sorted({-1: [], **edges}.items()) for x in (F.lit(p), F.array(*[F.lit(float(y)) for y in q]).cast("array<double>"))])
     keyed = keyed.withColumn("annulus", F.size(F.filter(flat[F.col("pivot")], lambda e: e < F.col("dist"))))
     rings = keyed.groupBy("pivot", "annulus").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
     rings = rings.collect()  # PIVOTS * ANNULI rows at most
-    ring_p, ring_a, ring_n = (np.array([r[i] for r in rings]) for i in range(3))
+    ring_p, ring_a, ring_n = (np.array([r[i] for r in rings], np.int64) for i in range(3))
     ring_lo, ring_hi = (np.array([r[i] for r in rings], np.float64) for i in (3, 4))
-    tiles_of = {(r.pivot, r.annulus): -(-r.n // TILE_ROWS) for r in rings}
-    counts = F.create_map(*[x for (p, a), t in sorted(tiles_of.items()) for x in (F.lit(p * ANNULI + a), F.lit(t))])
-    ring = F.col("pivot") * ANNULI + F.col("annulus")
-    tile = F.pmod(F.xxhash64("vec_id"), counts[F.col("ring")].cast("long")).cast("int")
-    tiles = _tiles(keyed.withColumn("ring", ring).withColumn("tile", tile))
+    ring_ids = np.append(ring_p * ANNULI + ring_a, wide_ring).astype(np.int32)
+    tiles_of = {r.pivot * ANNULI + r.annulus: -(-r.n // TILE_ROWS) for r in rings} | {wide_ring: -(-max(1, stats.n_wide) // TILE_ROWS)}
+    counts = F.create_map(*[x for i, t in sorted(tiles_of.items()) for x in (F.lit(i), F.lit(t))])
+    placed = keyed.select("vec_id", "v", (F.col("pivot") * ANNULI + F.col("annulus")).alias("ring"))
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [r.astype("<i4").tobytes() for r in _matrix(batch, "v")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(np.full(len(raw), wide_ring, np.int32))], names=["vec_id", "v", "ring"])
+
+    if stats.n_wide:
+        placed = placed.unionByName(wide.select("vec_id", "v").mapInArrow(as_bytes, "vec_id long, v binary, ring int"))
+    # equal ids are told apart by their vectors, so that many rows of one id are many tiles too
+    tile = F.pmod(F.xxhash64("vec_id", "v"), counts[F.col("ring")].cast("long")).cast("int")
+    tiles = _tiles(placed.withColumn("tile", tile))
     tiles = written(spark, tiles, "pivot-tiles")
     qs = integer_vectors(queries, id_col, vec_col).where(F.size("v") == stats.dim)
     # a repeated query row is searched once; different vectors of one id are different queries
@@ -141,6 +174,7 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
             for batch in batches:
                 x = _matrix(batch, "v")
                 sq = np.asarray(batch.column(2), np.float64)
+                everywhere = (np.abs(x) > LIMIT).any(1)
                 d = _distances(np.concatenate([x, np.zeros((len(x), 1))], 1), pivots)[:, ring_p]
                 bound = np.maximum(0, np.maximum(d - ring_hi, ring_lo - d))
                 order = np.lexsort((np.broadcast_to(np.arange(bound.shape[1]), bound.shape), bound), axis=1)
@@ -154,10 +188,12 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
                     kth = np.asarray(batch.column(4).fill_null(-(1 << 62)), np.float64)
                     radius = np.sqrt(np.maximum(0.0, sq + most - 2 * kth))
                     go = ~go & (bound <= (radius * (1 + 1e-9) + 1e-3)[:, None])
+                go[everywhere] = not second
+                go = np.concatenate([go, np.full((len(go), 1), bool(stats.n_wide) and not second)], 1)
                 q, r = np.nonzero(go)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(3).take(pa.array(q)), batch.column(0).take(pa.array(q)), pa.array([y.astype("<i4").tobytes() for y in x], pa.binary()).take(pa.array(q)),
-                     pa.array((ring_p[r] * ANNULI + ring_a[r]).astype(np.int32))], names=["key", "query_id", "v", "ring"])
+                     pa.array(ring_ids[r])], names=["key", "query_id", "v", "ring"])
 
         return run
 
@@ -171,8 +207,7 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
                 for i in range(len(batch)):
                     keys, qid, qv, ids, v = (batch.column(c)[i].as_py() for c in range(5))
                     qid, ids = np.array(qid), np.array(ids)
-                    x = np.frombuffer(v, "<i4").reshape(len(ids), -1).astype(np.float64)
-                    s = (np.frombuffer(qv, "<i4").reshape(len(qid), -1).astype(np.float64) @ x.T).astype(np.int64)
+                    s = products(np.frombuffer(qv, "<i4").reshape(len(qid), -1), np.frombuffer(v, "<i4").reshape(len(ids), -1))
                     for j, q in enumerate(qid):
                         other = np.flatnonzero(ids != q)
                         at = other[_best(s[j][other], ids[other], k)]
