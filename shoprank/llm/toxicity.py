@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ragged, span_hashes, table, text_blocks, unit_hash, with_fields, written
+from .common import fold, long_words, ragged, span_hashes, table, text_blocks, tidied, unit_hash, with_fields, written
 from .langid import _fold_case
 
 SAMPLE = 40_000
@@ -184,13 +184,13 @@ class Lexicon:
     """Exact and misspelled finds among the words of a block; keeps what it has decided."""
 
     KEEP = 200_000
-    #: Longest word, in characters, that edits are tried on.
-    LONGEST = 40
-
     def __init__(self, terms: list[str], rigid: frozenset[str] = frozenset()):
         """``rigid`` terms are found as they are only."""
         loose = [t for t in terms if len(t) >= FUZZY_LENGTH and t not in rigid]
+        if EDITS != 1:
+            raise ValueError("candidates are words that share a deletion of one character with a term: EDITS must be 1")
         self.trie = Trie(loose)
+        self.longest = max(map(len, loose), default=0) + EDITS  # no longer word is near a term
         self.exact = self._sorted([t.encode() for t in terms])
         fuzzy = [t.encode() for t in loose]
         cat = np.frombuffer(b"".join(fuzzy), np.uint8)
@@ -211,7 +211,7 @@ class Lexicon:
         s, e = starts[first], ends[first]
         kind = np.isin(keys, self.exact).astype(np.uint8)
         size = _letters(low, s, e)
-        try_ = np.flatnonzero((kind == 0) & (size >= FUZZY_LENGTH - 1) & (size <= self.LONGEST))
+        try_ = np.flatnonzero((kind == 0) & (size >= FUZZY_LENGTH - 1) & (size <= self.longest))
         if len(try_) and len(self.near):
             cut, word = _shortened(low, s[try_], e[try_])
             hit = np.zeros(len(try_), bool)
@@ -250,10 +250,14 @@ def features(low: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((len(offs) - 1, len(FEATURES)))
     if not len(low):
         return out
-    starts, ends, row = words_of(low, offs)
+
+    def words(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+        starts, ends, row = words_of(low, offs)
+        return starts, ends, row, lexicon.kinds(low, starts, ends) if len(starts) else np.zeros(0, np.uint8)
+
+    starts, ends, row, kind = long_words(words, low, offs)
     if not len(starts):
         return out
-    kind = lexicon.kinds(low, starts, ends)
     hits = np.flatnonzero(kind)
     if not len(hits):
         return out
@@ -341,7 +345,7 @@ def _word_counts(rows: DataFrame, only: list[str] | None) -> DataFrame:
         if count:
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
-    return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(tidied(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(rows: DataFrame) -> list[str]:
@@ -390,7 +394,7 @@ def rigid_terms(rows: DataFrame, terms: list[str]) -> frozenset[str]:
 
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
-    counts = rows.select("text", "toxic").mapInArrow(run, "term string, toxic int, n long").groupBy("term").agg(
+    counts = rows.select("text", "toxic").mapInArrow(tidied(run), "term string, toxic int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
     return frozenset(r.term for r in counts.collect() if r.clean >= LEAST_TEXTS and r.clean > RIGID_SHARE * good
                      and (r.toxic + 0.5) / (bad + 1) < ODDS * (r.clean + 0.5) / (good + 1))
@@ -415,7 +419,7 @@ def _featured(rows: DataFrame, terms: list[str], rigid: frozenset[str], weights:
                     kept += [pa.array(p), pa.array(np.rint(np.expm1(f[:, 3])).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(kept, names=[*names, *(["f"] if weights is None else ["score", "finds"])])
 
-    return rows.mapInArrow(run, with_fields(rows, "f array<double>" if weights is None else "score double, finds long", "text"))
+    return rows.mapInArrow(tidied(run), with_fields(rows, "f array<double>" if weights is None else "score double, finds long", "text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -432,6 +436,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(h, "doc_id").limit(SAMPLE)
     known = written(spark, known, "toxic-labels")
     rows = docs.join(F.broadcast(known), "doc_id").select("text", "toxic")  # SAMPLE rows of 12 bytes at most
+    rows = written(spark, rows, "toxic-rows")  # read by each step of the learning
     terms = learn_lexicon(rows)
     if not terms:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("finds"))
