@@ -49,6 +49,15 @@ def test_jaccard_query(spark):
     assert got == jaccard_components(texts_of(spark))
 
 
+def test_jaccard_links_through_a_null_id(spark):
+    """Documents tied only by one without an id, alone or in several copies, share a component."""
+    one, mid, two = (" ".join(f"w{i}" for i in range(a, a + 100)) for a in (0, 8, 16))
+    rows = [(1, one), (None, mid), (None, mid), (3, two), (None, "quite another text that stands all alone here")]
+    rows += [(20 + i, f"some other row number {i} with words of its own {i * i}") for i in range(20)]
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == jaccard_components(rows) and got[3, 96, 1] == 1 and got[None, 96, 1] == 2
+
+
 def test_jaccard_cut_blocks(spark, monkeypatch):
     """Near copies around the threshold, in blocks of more classes than a task takes."""
     rnd = random.Random(4)
@@ -230,6 +239,42 @@ def test_shard_query(spark):
     assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
 
 
+def plain_shards(spark, rows, shards=16, seed=7):
+    """(doc_id, size, text_crc32, shard, slot) by plain sorting; the seeded hashes are Spark's."""
+    from pyspark.sql import functions as F
+
+    ids = spark.createDataFrame([(d, "null" if s is None else "=" + s) for d, _, s in rows], "d long, s string")
+    hashes = {(r.d, r.s): (r.h, r.u, r.g) for r in ids.select(
+        "d", "s", F.xxhash64(F.lit(seed), "d").alias("h"), sharding.unit_hash(F.xxhash64(F.lit(seed), "d")).alias("u"),
+        F.xxhash64(F.lit(seed), "s").alias("g")).collect()}
+    buckets = max(64, -(-len(rows) // sharding.BUCKET_ROWS))
+    of = defaultdict(list)
+    for d, t, s in rows:
+        s = "null" if s is None else "=" + s
+        h, u, g = hashes[d, s]
+        raw = (t or "").encode()
+        of[s].append((int(u * buckets), h, (d is not None, d or 0), len(raw), zlib.crc32(raw), g, s))
+    placed = []
+    for members in of.values():
+        placed += [((r + 0.5) / len(members), m[5], m[6], *m[1:5]) for r, m in enumerate(sorted(members))]
+    out, slot = Counter(), Counter()
+    for pos, (_, _, _, _, (known, d), size, crc) in enumerate(sorted(placed)):
+        shard = pos * shards // len(rows)
+        out[d if known else None, size + 1, crc, shard, slot[shard]] += 1
+        slot[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("bucket_rows", [20_000, 3])
+def test_shards_against_plain_sorting(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket_rows)
+    some = [(d, t, s) for d, t, _, s in DOCS] + [(d, t, "b") for d, t, _, _ in DOCS[:3]]
+    whole = [(r.doc_id, r.text, r.source) for r in table(spark, SF_SMALL, "documents", "doc_id", "text", "source").collect()]
+    for rows in (some, whole):
+        got = sharding.interleaved_shards(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == plain_shards(spark, rows)
+
+
 # ---- op6 ----------------------------------------------------------------------------------------------------
 
 def test_language_held_out_accuracy(spark):
@@ -249,6 +294,12 @@ def test_language_edge_rows(docs, none):
     assert langid.identify(none).collect() == []
 
 
+def test_letters_outside_words_have_a_language(spark):
+    docs = frame(spark, DOCS + [(60, "\u00aa", None, "a"), (61, "\u207f 12", None, "a"), (62, "\u3005", None, "a"), (63, "\u00b2 \u2030", None, "a")])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert got[60] == got[61] == got[62] == ("en", 0.0) and got[63] == ("und", 0.0)
+
+
 def test_language_spans_of_a_mixed_text(spark):
     known = {r.lang: r.text for r in table(spark, SF_SMALL, "documents", "text", "lang").where("n_chars > 1500").collect()}
     a, b = known["de"][:800], known["en"][:800]
@@ -257,6 +308,37 @@ def test_language_spans_of_a_mixed_text(spark):
     assert {s.lang for s in got.spans} >= {"de", "en"} and got.spans[0].lang == "de" and got.spans[-1].lang == "en"
 
 
+def test_whole_query_against_plain_paths(spark):
+    """Every document of the query by a plain word-by-word Viterbi on the learned model."""
+    docs = table(spark, SF_SMALL, "documents", "doc_id", "text", "lang")
+    langs, logp, cand, _ = langid.learn(docs.where(langid.fold(docs.doc_id, 4) != 2))
+    got = {r.doc_id: r for r in langid.op6_language_viterbi(spark, SF_SMALL).collect()}
+    same = 0
+    for r in docs.collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        starts, ends, _, script, bucket = langid.words_of(data, np.array([0, len(data)])) if len(data) else ([],) * 5
+        if not len(starts):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        best, back, at = None, [], 0
+        for a, b, kind in zip(starts, ends, script):
+            word = logp[bucket[at:at + b - a]].astype(float).sum(0) + np.where(cand[kind], 0, langid.RULED_OUT)
+            at += b - a
+            if best is None:
+                best = word
+            else:
+                stay = best >= best.max() - langid.PENALTY
+                back.append(np.where(stay, np.arange(len(langs)), best.argmax()))
+                best = np.maximum(best, best.max() - langid.PENALTY) + word
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        held = np.bincount(path[::-1], weights=np.asarray(ends) - np.asarray(starts), minlength=len(langs))
+        assert got[r.doc_id].lang_pred == langs[int(held.argmax())]
+        same += abs(got[r.doc_id].score - held.max() / held.sum()) < 1e-6
+    assert same >= 0.99 * len(got)  # sums of single precision may break a near tie between two words' spans
+
+
 def test_paths_against_plain_viterbi():
     rnd = np.random.default_rng(0)
     scores = rnd.normal(size=(60, 3)).astype(np.float32) * 3

@@ -141,6 +141,26 @@ def test_top_k_empty_and_few(spark):
     assert pivot_search.top_k(df.limit(0), df).collect() == []
 
 
+def test_top_k_of_wide_components(spark, monkeypatch):
+    """Components beyond the index's bound, in candidates, in queries, in both, and in all rows."""
+    monkeypatch.setattr(pivot_search, "TILE_ROWS", 8)
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(120, 4)) * np.where(rnd.random(120) < 0.2, 2e5, 3)[:, None]
+    x[5], x[6] = 1.0e5, 1.0e5
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    bad = [(900, [1e300, 1.0, 1.0, 1.0]), (901, [float(1 << 30), 0.0, 0.0, 0.0])]  # no score of theirs would fit
+    for some in (rows, [r for r in rows if max(map(abs, r[1])) > 1024]):
+        df = spark.createDataFrame(some + bad, "vec_id long, embedding array<double>")
+        got = pivot_search.top_k(df, df.where("vec_id % 3 = 0"), k=4).collect()
+        assert {tuple(r) for r in got} == plain_top(some, [r for r in some if r[0] % 3 == 0], 4) and len(got) == len(set(got))
+
+
+def test_products_are_exact():
+    rnd = np.random.default_rng(1)
+    q, x = (rnd.integers(-(1 << 28), 1 << 28, (7, 9)).astype(np.int32) for _ in range(2))
+    assert pivot_search.products(q, x).tolist() == [[sum(int(a) * int(b) for a, b in zip(u, v)) for v in x] for u in q]
+
+
 # ---- op9 ----------------------------------------------------------------------------------------------------
 
 def page(i, article, extra=""):
@@ -190,6 +210,34 @@ def test_main_text_is_not_lost(spark):
     assert texts(spark, rows) == want | {20 + i: "Heading\n\nThe only paragraph" for i in range(6)}
 
 
+def test_shared_titles_stay(spark):
+    art = "<article><h1>Title {i}</h1><h2>Summary</h2><p>Text {i} one</p><h2>Background</h2><p>Text {i} two</p><h3>Conclusion</h3><p>End {i}</p><div>Read more</div></article>"
+    rows = [(i, f"http://a.org/{i}", page(i, art.format(i=i) if i % 2 else art.format(i=i).replace("<h2>Background</h2>", ""))) for i in range(9)]
+    want = {i: f"Title {i}\n\nSummary\n\nText {i} one\n\n" + ("Background\n\n" if i % 2 else "") + f"Text {i} two\n\nConclusion\n\nEnd {i}" for i in range(9)}
+    assert texts(spark, rows) == want
+
+
+def test_deep_pages(spark):
+    """Elements nested 100,000 deep, closed or not, block and inline, and lists in paragraphs: no text is lost."""
+    n = 100_000
+    rows = [(1, "http://a.org/1", "<article>" + "<div>" * n + "deep" + "</div>" * n + "<p>after</p></article>"),
+            (2, "http://a.org/2", "<article>" + "<div>" * 1200 + "x<p>one<div>two</div>three"),
+            (3, "http://a.org/3", "<article>" + "<b>" * n + "bold" + "</b>" * n + " plain</article>"),
+            (4, "http://a.org/4", "<article><p>a<li>" + "<div>" * n + "b</article>"),
+            (5, "http://a.org/5", "<article>" + "<ul><li>i" * 5000 + "</article>")]
+    want = {1: "deep\n\nafter", 2: "x\n\none\n\ntwo\n\nthree", 3: "bold plain", 4: "a\n\nb", 5: "\n\n".join(["i"] * 5000)}
+    assert texts(spark, rows) == want
+    assert texts(spark, rows[:2] + [(9, "http://a.org/9", "<article>" + "<section>" * 3000 + "y")]) == {1: want[1], 2: want[2], 9: "y"}
+
+
+def test_wrappers_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PARTIALS", 3)
+    art = "<article><h1>T {i}</h1><p>Own {i} text</p><div>Read more</div></article>"
+    df = spark.createDataFrame([(i, "http://a.org/x", page(i, art.format(i=i))) for i in range(60)], "page_id long, url string, html string")
+    got = {(r.page_id, r.text) for r in html_text.main_texts(df.repartition(30)).collect()}
+    assert got == {(i, f"T {i}\n\nOwn {i} text") for i in range(60)}
+
+
 def test_wrapper_parts():
     one = html_text.expression(html_text.parse("<ul><li>a</li><li>b</li></ul><p>x</p><hr><p>x</p><hr>"))
     two = html_text.expression(html_text.parse("<p>y</p>"))
@@ -236,6 +284,39 @@ def test_leaks_of_whole_and_reworded_passages(spark):
     assert decontaminate.leaks(frame(spark).limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+def test_leak_query_against_every_pair(spark):
+    """The whole query against checks of every item at every place of every document, without any search."""
+    docs = table(spark, SF_SMALL, "documents", "doc_id", "text").collect()
+    items = [(r.item_id, decontaminate._words_of_text(r.text)) for r in table(spark, SF_SMALL, "benchmark", "item_id", "text").collect()]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op10_latent_decontamination(spark, SF_SMALL).collect()}
+    words = {d.doc_id: decontaminate._words_of_text(d.text) for d in docs}
+    held = Counter(w for x in words.values() for w in set(x.tolist()))
+    gone = {tuple(x[i:i + decontaminate.GRAM].tolist()) for _, x in items for i in range(len(x) - decontaminate.GRAM + 1)}
+    for x in words.values():  # words within the benchmark's own runs don't count as held
+        mine, outside = x.tolist(), set()
+        inside = np.zeros(len(mine), bool)
+        for i in range(len(mine) - decontaminate.GRAM + 1):
+            if tuple(mine[i:i + decontaminate.GRAM]) in gone:
+                inside[i:i + decontaminate.GRAM] = True
+        outside = {w for w, hide in zip(mine, inside) if not hide}
+        held.subtract(set(mine) - outside)
+    want = set()
+    for item_id, x in items:
+        heavy = {w for w in x.tolist() if max(held[w], 1) < max(decontaminate.COMMON * len(docs), 2.0)}
+        one = decontaminate._Item(item_id, x, heavy)
+        for d, y in words.items():
+            n, size = len(y), len(x)
+            if len(set(x.tolist()) & set(y.tolist())) < 0.5 * len(set(x.tolist())) * 0.5:
+                continue  # fewer words in common than any share needs
+            for first in {*range(0, max(1, n - decontaminate.WINDOW), decontaminate.STRIDE), max(0, n - decontaminate.WINDOW)}:
+                part = y[max(0, first - size):first + decontaminate.WINDOW + size].tolist()
+                _, share, answer = one.check(part)
+                if share >= decontaminate.SHARE or (answer and share >= decontaminate.SHARE_WITH_ANSWER):
+                    want.add((d, item_id))
+                    break
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 3
+
+
 @pytest.mark.parametrize("n, size", [(500, 38), (2000, 38), (300, 300)])
 def test_leak_recall_of_many_and_long_items(spark, n, size):
     """Exact copies, and copies with every seventh word replaced, of items drawn from the same words."""
