@@ -146,7 +146,9 @@ class InducedSorter:
     """Suffix order of one byte string."""
 
     def __init__(self, text: np.ndarray, depth: int, memory: int = 256 << 20):
-        self.text, self.depth, self.memory = text, min(depth, 250), memory
+        if not 0 < depth <= 250:
+            raise ValueError("common prefixes are kept in a byte: 1 to 250")
+        self.text, self.depth, self.memory = text, depth, memory
         n = len(text)
         self.kind = np.int32 if n < 1 << 31 else np.int64
         turn = np.ones(n, bool)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, ragged, span_hashes, table, text_blocks, with_fields, written
+from .common import mix64, ragged, span_hashes, table, text_blocks, tidied, with_fields, written
 from .induced import InducedSorter
 
 LENGTH = 200
@@ -87,6 +87,26 @@ def pieces(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     return np.searchsorted(offs, first, side="right") - 1, first, last - first + 1, anchor[first]
 
 
+def _parts(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, offsets) of a block as it is, or of a long text in parts that share length - 1 bytes: each window is in one part."""
+    if len(offs) != 2 or len(data) <= 2 * BLOCK:
+        yield 0, data, offs
+        return
+    for a in range(0, max(1, len(data) - length + 1), BLOCK):
+        part = data[a:a + BLOCK + length - 1]
+        yield a, part, np.array([0, len(part)])
+
+
+def _gone(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs that intervals cover."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    head = np.ones(len(starts), bool)
+    head[1:] = starts[1:] > reach[:-1]
+    at = np.flatnonzero(head)
+    return starts[at], reach[np.append(at[1:] - 1, len(starts) - 1)]
+
+
 def _texts(df: DataFrame, text_col: str) -> DataFrame:
     """Rows with the hash that stands for their text."""
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -140,28 +160,29 @@ def _entries(texts: DataFrame, ranges: int, length: int) -> DataFrame:
             yield packed(mix64(th[rest].astype(np.uint64)), piece[rest], th[rest], first[rest], signed[rest], ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             names = batch.schema.names
             th = np.asarray(batch.column(names.index("th")))
-            held: list[tuple] = []
             for lo, hi, data, offs in text_blocks(batch, "text", BLOCK):
-                row, first, windows, anchor = pieces(data, offs, length)
-                own = np.zeros(hi - lo, bool)
-                own[np.unique(th[lo:hi], return_index=True)[1]] = True
-                keep = own[row] if len(row) else np.zeros(0, bool)
-                row, first, windows, anchor = (x[keep] for x in (row, first, windows, anchor))
-                if not len(row):
-                    continue
-                key = mix64(span_hashes(data, anchor, anchor + GRAM))  # anchors have small hashes: mixed again, ranges are even
-                piece = mix64(span_hashes(data, first, first + windows + length - 1) + mix64((anchor - first).astype(np.uint64)))
-                held.append((key, piece, th[lo:hi][row], first - offs[row], windows))
-                if sum(len(x[0]) for x in held) > HELD:
-                    yield from sent(held)
-                    held = []
-            if held:
-                yield from sent(held)
-
-    return texts.mapInArrow(run, _ENTRIES)
+                for base, data, offs in _parts(data, offs, length):
+                    row, first, windows, anchor = pieces(data, offs, length)
+                    own = np.zeros(hi - lo, bool)
+                    own[np.unique(th[lo:hi], return_index=True)[1]] = True
+                    keep = own[row] if len(row) else np.zeros(0, bool)
+                    row, first, windows, anchor = (x[keep] for x in (row, first, windows, anchor))
+                    if not len(row):
+                        continue
+                    key = mix64(span_hashes(data, anchor, anchor + GRAM))  # anchors have small hashes: mixed again, ranges are even
+                    piece = mix64(span_hashes(data, first, first + windows + length - 1) + mix64((anchor - first).astype(np.uint64)))
+                    held.append((key, piece, th[lo:hi][row], first - offs[row] + base, windows))
+                    if sum(len(x[0]) for x in held) > HELD:
+                        yield from sent(held)
+                        held = []
+        if held:
+            yield from sent(held)
+
+    return texts.mapInArrow(tidied(run), _ENTRIES)
 
 
 def _found(entries: DataFrame, ranges: int, shards: int, length: int) -> DataFrame:
@@ -221,7 +242,7 @@ def _piece_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
                                                   pa.array(out[3], pa.binary())], names=["shard", "th", "first", "bytes"])
 
-    return texts.join(asked, "th").mapInArrow(run, "shard int, th long, first long, bytes binary")
+    return texts.join(asked, "th").mapInArrow(tidied(run), "shard int, th long, first long, bytes binary")
 
 
 def _sorted_spans(asked: DataFrame, shards: int, length: int) -> DataFrame:
@@ -270,7 +291,7 @@ def _sorted_spans(asked: DataFrame, shards: int, length: int) -> DataFrame:
             yield spans(th, first, raw)
 
     dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "th long, first long, end long")
+    return dealt.mapInArrow(tidied(run), "th long, first long, end long")
 
 
 def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -314,13 +335,9 @@ def without_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
                     if whole[r].as_py() and n >= length:
                         keep, runs = own[:0], 1
                     elif spans[r].is_valid:
-                        s = np.sort(np.asarray(spans[r].values.field(0))), np.sort(np.asarray(spans[r].values.field(1)))
-                        step = np.zeros(n + 1, np.int32)
-                        np.add.at(step, s[0], 1)
-                        np.add.at(step, s[1], -1)
-                        gone = np.cumsum(step)[:n] > 0
-                        keep = own[~gone]
-                        runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                        first, end = _gone(np.asarray(spans[r].values.field(0)), np.asarray(spans[r].values.field(1)))
+                        keep = np.concatenate([own[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), n])])
+                        runs = len(first)
                     else:
                         keep, runs = own, 0
                     kept.append(keep.tobytes().decode("utf-8", "ignore") if as_text else keep.tobytes())
@@ -333,7 +350,7 @@ def without_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
                     names=[*cols, "kept", "n_bytes", "n_removed", "n_spans"])
 
     kind = "string" if as_text else "binary"
-    return rows.mapInArrow(run, with_fields(rows, f"kept {kind}, n_bytes long, n_removed long, n_spans long", "spans", "whole"))
+    return rows.mapInArrow(tidied(run), with_fields(rows, f"kept {kind}, n_bytes long, n_removed long, n_spans long", "spans", "whole"))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
