@@ -266,8 +266,8 @@ def _cosines(q: _Matrix, c: _Matrix, r: np.ndarray, col: np.ndarray) -> np.ndarr
     return out
 
 
-def _near(q: _Matrix, c: _Matrix, a: int, b: int, n_rows: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(row, column) of the pairs of the questions ``a`` to ``b`` with all of ``c`` that can be among a question's n best.
+def _near(q: _Matrix, c: _Matrix, a: int, b: int, n_rows: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """(row, column, product) of the pairs of the questions ``a`` to ``b`` with all of ``c`` that can be among a question's n best.
 
     One pass of matrix products. ``floor``: a lower bound of each question's n-th best, -inf if none is known. It rises when
     the rows seen have doubled, so that about n * log2(rows) pairs of a question are held. None: near ties of several questions are
@@ -303,7 +303,7 @@ def _near(q: _Matrix, c: _Matrix, a: int, b: int, n_rows: np.ndarray, floor: np.
             if size > _HELD_CELLS and b - a > 1:
                 return None
     cut()
-    return held[0][:2]
+    return held[0]
 
 
 class _Search:
@@ -363,7 +363,7 @@ class _Search:
         if any(x is None for x in near):
             mid = (a + b) // 2
             return self._best(a, mid, c_ids, ct, ci) + self._best(mid, b, c_ids, ct, ci)
-        pairs = [r * len(c_ids) + j for r, j in near]
+        pairs = [r * len(c_ids) + j for r, j, _ in near]
         if not pairs:
             return []
         key = np.sort(np.concatenate(pairs))

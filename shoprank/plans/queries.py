@@ -21,7 +21,7 @@ from ..operators.cells import build_cells, calibrated_probes, search_cells
 from ..operators.constraint_grammar import grammar_constraints
 from ..operators.constraints import post_filter, recommend
 from ..operators.knn import SideStats, TileConfig, hybrid_candidates, pack_corpus
-from ..operators.product_codes import build_codes, search_codes, survivors
+from ..operators.product_codes import build_codes, search_codes, survivor_counts
 from ..operators.prompts import (agent_answer_request, agent_slicing_request, answer_messages, assemble_context, blocks_of, result_card,
                                  slicing_messages, with_blocks)
 from ..operators.rank import fuse, pools, ranked, top_k
@@ -301,9 +301,8 @@ def coded_search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the first phase reads and leaves: bytes of all codes and of all floats, pairs of a question and a vector, and those whose
     floats are fetched."""
     coded, questions = _code_setup(spark, sf_dir)
-    m = len(coded.books)
-    few = survivors(questions, coded).agg(F.count(F.lit(1)).alias("n_rescored"), F.countDistinct("query_id").alias("n_questions"))
-    return few.select("n_questions", F.lit(coded.rows).cast("bigint").alias("n_vectors"), F.lit(coded.rows * (m + 4)).cast("bigint").alias("code_bytes"),
+    few = survivor_counts(questions, coded).where("n_rescored > 0").agg(F.coalesce(F.sum("n_rescored"), F.lit(0)).alias("n_rescored"), F.count(F.lit(1)).alias("n_questions"))
+    return few.select("n_questions", F.lit(coded.rows).cast("bigint").alias("n_vectors"), F.lit(coded.code_bytes).cast("bigint").alias("code_bytes"),
                       F.lit(coded.rows * 4 * coded.dim).cast("bigint").alias("float_bytes"),
                       (F.col("n_questions") * F.lit(coded.rows)).cast("bigint").alias("n_pairs"), "n_rescored")
 

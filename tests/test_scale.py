@@ -77,3 +77,20 @@ def test_rank_keep_is_the_sorted_rank():
         want = sorted(zip(r[rank < n[r]], ids[order][rank < n[r]], score[order][rank < n[r]]))
         keep = knn._rank_keep(rows, ids, score, n)
         assert sorted(zip(rows[keep], ids[keep], score[keep])) == want
+
+
+def test_few_survive_the_codes(spark):
+    """24 dimensions in 8 pieces: one level of codes left a sixth of all pairs to rescore; they are counted without being written."""
+    from pyspark.sql import functions as F
+
+    from shoprank.operators.product_codes import build_codes, survivor_counts, survivors
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 24)).astype(np.float32)
+    v = "vec array<float>"
+    corpus = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], f"product_id long, {v}").repartition(4)
+    asked = spark.createDataFrame([(i, r.tolist(), 10) for i, r in enumerate(x[:50])], f"query_id long, {v}, n int")
+    coded = build_codes(corpus)
+    count = {r.query_id: r.n_rescored for r in survivor_counts(asked, coded).collect()}
+    assert len(count) == 50 and all(r >= 10 for r in count.values()) and sum(count.values()) < 0.02 * 50 * 4000
+    assert count == {r.query_id: r.n for r in survivors(asked, coded).groupBy("query_id").agg(F.count("*").alias("n")).collect()}
