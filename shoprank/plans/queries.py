@@ -394,7 +394,8 @@ def rag_requests(sliced: DataFrame, retriever: Retriever, catalog: DataFrame) ->
     ``query_id, rank, product_id``; the keywords are what it searches. Adds ``n_products`` and ``context``.
     """
     found = scratch_table(sliced.sparkSession, retriever(sliced.select("query_id", F.col("keywords").alias("text"))), "rag-found")
-    return sliced.join(assemble_context(blocks_of(found, catalog)), "query_id")
+    # texts made from a small, well packed file look small to the planner: never broadcast, both sides grow with the questions
+    return sliced.hint("merge").join(assemble_context(blocks_of(found, catalog)), "query_id")
 
 
 def hashed_retriever(spark: SparkSession, sf_dir: str) -> Retriever:
@@ -416,7 +417,7 @@ def prompt_messages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     (chat variant)."""
     asked = _sliced(spark, sf_dir).select("query_id", "query")
     answers = _requests(spark, sf_dir).select("query_id", "constraints", "context")
-    both = asked.join(answers, "query_id", "left")
+    both = asked.hint("merge").join(answers, "query_id", "left")
     answer = answer_messages(F.col("query"), F.col("constraints"), F.col("context"))
     return both.select("query_id", slicing_messages(F.col("query")).alias("slicing_json"),
                        F.when(F.col("context").isNotNull(), answer).alias("answer_json"))
@@ -539,7 +540,7 @@ def rag_prompt_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hybrid_retriever(spark, sf_dir)(sliced.select("query_id", F.col("keywords").alias("text")))
     met = post_filter(found.join(catalog.select("product_id", "price", "average_rating"), "product_id"), extract_constraints(sliced))
     kept = scratch_table(spark, met.select("query_id", "rank", "product_id"), "rag-kept")
-    both = sliced.join(assemble_context(blocks_of(kept, catalog)), "query_id", "left")
+    both = sliced.hint("merge").join(assemble_context(blocks_of(kept, catalog)), "query_id", "left")
     request = agent_answer_request(F.col("query"), F.col("constraints"), F.col("context"))
     body = F.to_json(F.array(F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"),
                                             F.array(F.named_struct(F.lit("text"), request)))))

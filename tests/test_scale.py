@@ -94,3 +94,17 @@ def test_few_survive_the_codes(spark):
     count = {r.query_id: r.n_rescored for r in survivor_counts(asked, coded).collect()}
     assert len(count) == 50 and all(r >= 10 for r in count.values()) and sum(count.values()) < 0.02 * 50 * 4000
     assert count == {r.query_id: r.n for r in survivors(asked, coded).groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+
+
+def test_question_texts_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Texts that Spark makes of a few packed bytes a row look small to its planner; a join by question takes none of them to the driver."""
+    from shoprank.plans import queries
+
+    path = str(tmp_path / "asked")
+    spark.range(50_000).selectExpr("id AS query_id").write.parquet(path)
+    texts = spark.read.parquet(path).selectExpr("query_id", "repeat('long text ', 20) AS query", "'None' AS constraints", "'word' AS keywords")
+    blocks = spark.range(3_000_000).selectExpr("id AS query_id", "1 AS rank", "CAST(id AS STRING) AS block")
+    monkeypatch.setattr(queries, "blocks_of", lambda found, catalog: blocks)
+    found = spark.createDataFrame([(1, 1, 1)], "query_id long, rank int, product_id long")
+    plan = queries.rag_requests(texts, lambda asked: found, found)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
