@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -253,6 +254,11 @@ def _matrix_of(tile: dict, space: str, rows: int) -> _Matrix | None:
     return _Matrix(buf.as_buffer(), rows, dim) if dim and buf.is_valid else None
 
 
+def _fused(alpha: np.ndarray, ts: np.ndarray, im: np.ndarray, n_image: np.ndarray) -> np.ndarray:
+    """The score of :func:`shoprank.operators.rank.fuse`, in its order of operations."""
+    return np.where(n_image == 0, ts, alpha * ts + (1.0 - alpha) * im)
+
+
 def _cosines(q: _Matrix, c: _Matrix, r: np.ndarray, col: np.ndarray) -> np.ndarray:
     """Exact cosine of pairs of rows, summed from left to right in DOUBLE; zero norm -> 0."""
     out = np.zeros(r.size)
@@ -266,7 +272,21 @@ def _cosines(q: _Matrix, c: _Matrix, r: np.ndarray, col: np.ndarray) -> np.ndarr
     return out
 
 
-def _near(q: _Matrix, c: _Matrix, a: int, b: int, n_rows: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, ...] | None:
+class _Joined:
+    """Both spaces of a tile side by side, unit vectors times a weight per row and space: their product is the fused score. A space
+    that the other side lacks is left out."""
+
+    def __init__(self, t: _Matrix, i: _Matrix | None, weight_t: np.ndarray | None = None, weight_i: np.ndarray | None = None):
+        parts = [(t, weight_t)] + ([(i, weight_i)] if i is not None else [])
+        self.unit = np.concatenate([m.unit if w is None else m.unit * w[:, None].astype(np.float32) for m, w in parts], axis=1)
+        # a row of two unit vectors has a norm of sqrt(2): what rounds counts as if there were twice the dimensions
+        self.dim = 2 * self.unit.shape[1]
+
+    def __len__(self) -> int:
+        return len(self.unit)
+
+
+def _near(q: _Matrix | _Joined, c: _Matrix | _Joined, a: int, b: int, n_rows: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, ...] | None:
     """(row, column, product) of the pairs of the questions ``a`` to ``b`` with all of ``c`` that can be among a question's n best.
 
     One pass of matrix products. ``floor``: a lower bound of each question's n-th best, -inf if none is known. It rises when
@@ -308,14 +328,16 @@ def _near(q: _Matrix, c: _Matrix, a: int, b: int, n_rows: np.ndarray, floor: np.
 
 class _Search:
     """One question tile and what has been found for it in this partition: per question, rows that are in its top-n by text or
-    by image among all corpus tiles met (exact, since a global top-n row is a top-n row of any subset containing it)."""
+    by image (``fused``: by fused score) among all corpus tiles met (exact, since a global top-n row is a top-n row of any subset
+    containing it)."""
 
-    def __init__(self, key: str, tile: dict):
-        self.key, self.ids = key, _ints(tile["ids"])
+    def __init__(self, key: str, tile: dict, fused: bool = False):
+        self.key, self.ids, self.fused = key, _ints(tile["ids"]), fused
         self.ns, self.ns_i, self.ks = (_ints(tile[f]) for f in ("ns", "ns_i", "ks"))
         self.alphas = np.asarray(tile["alphas"].values.to_numpy(zero_copy_only=False), dtype=np.float64)
         self.t, self.i = (_matrix_of(tile, space, len(self.ids)) for space in "ti")
-        self.floor, self.floor_i = np.full(len(self.ids), -np.inf), np.full(len(self.ids), -np.inf)
+        # a lower bound of each question's n-th best by every score that counts
+        self.floors = [np.full(len(self.ids), -np.inf) for _ in ([0] if fused else [0, 1])]
         # per block of questions: question row, product, text and image similarity of what has been found
         self.found: dict[int, tuple[np.ndarray, ...]] = {}
         self.rows = 0
@@ -332,17 +354,31 @@ class _Search:
             return
         if self.t.dim != ct.dim or (self.i is not None and ci is not None and self.i.dim != ci.dim):
             raise ValueError("question and corpus vectors differ in dimension")
+        spaces = [(self.t, ct)]
+        if self.fused:
+            two = self.i is not None and ci is not None
+            weights = np.where(self.ns_i > 0, self.alphas, 1.0), np.where(self.ns_i > 0, 1.0 - self.alphas, 0.0)
+            spaces = [(_Joined(self.t, self.i if two else None, *weights), _Joined(ct, ci if two else None))]
+        elif self.i is not None and ci is not None:
+            spaces.append((self.i, ci))
         for a in range(0, len(self.ids), self.step):
-            self._block(a, min(len(self.ids), a + self.step), c_ids, ct, ci)
+            self._block(a, min(len(self.ids), a + self.step), c_ids, ct, ci, spaces)
+
+    def _scores(self, r: np.ndarray, ts: np.ndarray, im: np.ndarray) -> list[np.ndarray]:
+        """What rows (of the questions ``r``) are ranked by, one score for each of ``floors``."""
+        if self.fused:
+            both = _fused(self.alphas[r], ts, im, self.ns_i[r])
+            return [np.where(np.isnan(both), -np.inf, both)]
+        return [ts, np.where(np.isnan(im), -np.inf, im)]
 
-    def _block(self, a: int, b: int, c_ids: np.ndarray, ct: _Matrix, ci: _Matrix | None) -> None:
+    def _block(self, a: int, b: int, c_ids: np.ndarray, ct: _Matrix, ci: _Matrix | None, spaces: list) -> None:
         """What a corpus tile adds to a block of questions, and their floors, which hold on when rows are handed out."""
-        new = self._best(a, b, c_ids, ct, ci)
+        new = self._best(a, b, c_ids, ct, ci, spaces)
         old = self.found.get(a)
-        n, n_i = self.ns[a:b], self.ns_i[a:b]
+        sizes = self.ns[a:b], self.ns_i[a:b]
         if old is not None and new:
             r, ids, ts, im = (np.concatenate(x) for x in zip(old, *new))
-            keep = _rank_keep(r - a, ids, ts, n) | _rank_keep(r - a, ids, np.where(np.isnan(im), -np.inf, im), n_i)
+            keep = np.any([_rank_keep(r - a, ids, score, n) for score, n in zip(self._scores(r, ts, im), sizes)], axis=0)
             both = r[keep], ids[keep], ts[keep], im[keep]
         elif new:
             both = tuple(np.concatenate(x) for x in zip(*new))
@@ -350,32 +386,31 @@ class _Search:
             return
         self.rows += both[0].size - (0 if old is None else old[0].size)
         self.found[a] = both
-        self.floor[a:b] = np.maximum(self.floor[a:b], _nth_best(both[0] - a, both[2], n))
-        self.floor_i[a:b] = np.maximum(self.floor_i[a:b], _nth_best(both[0] - a, np.where(np.isnan(both[3]), -np.inf, both[3]), n_i))
+        for floor, score, n in zip(self.floors, self._scores(both[0], *both[2:]), sizes):
+            floor[a:b] = np.maximum(floor[a:b], _nth_best(both[0] - a, score, n))
 
-    def _best(self, a: int, b: int, c_ids: np.ndarray, ct: _Matrix, ci: _Matrix | None) -> list[tuple[np.ndarray, ...]]:
+    def _best(self, a: int, b: int, c_ids: np.ndarray, ct: _Matrix, ci: _Matrix | None, spaces: list) -> list[tuple[np.ndarray, ...]]:
         """Top rows of the questions ``a`` to ``b`` in one corpus tile, in pieces."""
-        n, n_i = self.ns[a:b], self.ns_i[a:b]
-        spaces = [(self.t, ct, n, self.floor[a:b])]
-        if self.i is not None and ci is not None:
-            spaces.append((self.i, ci, n_i, self.floor_i[a:b]))
-        near = [_near(q, c, a, b, m, f) for q, c, m, f in spaces if m.any()]
+        sizes = self.ns[a:b], self.ns_i[a:b]
+        near = [_near(q, c, a, b, n, f[a:b]) for (q, c), n, f in zip(spaces, sizes, self.floors) if n.any()]
         if any(x is None for x in near):
             mid = (a + b) // 2
-            return self._best(a, mid, c_ids, ct, ci) + self._best(mid, b, c_ids, ct, ci)
+            return self._best(a, mid, c_ids, ct, ci, spaces) + self._best(mid, b, c_ids, ct, ci, spaces)
         pairs = [r * len(c_ids) + j for r, j, _ in near]
+        if self.fused and ci is None:
+            # questions that rank by both spaces have no score here: the least ids fill what is left
+            least = np.argsort(c_ids, kind="stable")[:int(sizes[0].max(initial=0))]
+            pairs.append((np.flatnonzero(sizes[1] > 0)[:, None] * len(c_ids) + least).ravel())
         if not pairs:
             return []
         key = np.sort(np.concatenate(pairs))
         r, j = np.divmod(key[np.diff(key, prepend=-1) != 0], len(c_ids))
         ids, ts = c_ids[j], _cosines(self.t, ct, a + r, j)
-        keep = _rank_keep(r, ids, ts, n)
-        if len(spaces) > 1:
-            im = _cosines(self.i, ci, a + r, j)
-            keep |= _rank_keep(r, ids, im, n_i)
-            im = np.where(n_i[r] > 0, im, np.nan)
+        if self.i is not None and ci is not None:
+            im = np.where(sizes[1][r] > 0, _cosines(self.i, ci, a + r, j), np.nan)
         else:
             im = np.full(r.size, np.nan)
+        keep = np.any([_rank_keep(r, ids, score, n) for score, n, _ in zip(self._scores(a + r, ts, im), sizes, spaces)], axis=0)
         return [((a + r[keep]).astype(np.int32), ids[keep], ts[keep], im[keep])]
 
     def drain(self) -> Iterator[pa.RecordBatch]:
@@ -404,7 +439,7 @@ def _ints(cell) -> np.ndarray:
 _TILE_FIELDS = ("ids", "ns", "ns_i", "ks", "alphas", "dim_t", "dim_i", "mat_t", "mat_i")
 
 
-def _score_batches(batches):
+def _score_batches(batches, fused: bool = False):
     """Rows = joined pairs (``q_*`` and ``c_*`` tile columns), as in the broadcast modes: question tiles are held while they fit."""
     held: dict[tuple, _Search] = {}
     for rb in batches:
@@ -416,7 +451,7 @@ def _score_batches(batches):
                     for x in held.values():
                         yield from x.drain()
                     held.clear()
-                held[key] = _Search(key[0], {f: cols["q_" + f][r] for f in _TILE_FIELDS})
+                held[key] = _Search(key[0], {f: cols["q_" + f][r] for f in _TILE_FIELDS}, fused)
             held[key].meet({f: cols["c_" + f][r] for f in _TILE_FIELDS})
             for other in [k for k in held if k != key] + [key]:
                 if sum(x.rows for x in held.values()) < _EMIT_ROWS:
@@ -426,7 +461,7 @@ def _score_batches(batches):
         yield from x.drain()
 
 
-def _score_cogrouped(batches):
+def _score_cogrouped(batches, fused: bool = False):
     """Rows = replicated tiles sorted by (group_key, q_tile, side): a question tile (side 0)
     followed by the corpus tiles (side 1) it meets in this partition. Holds one question
     tile at a time."""
@@ -439,7 +474,7 @@ def _score_cogrouped(batches):
             if cols["side"][r].as_py() == 0:
                 if held is not None:
                     yield from held.drain()
-                held_key, held = key, _Search(key[0], tile)
+                held_key, held = key, _Search(key[0], tile, fused)
                 continue
             if held_key != key:
                 continue          # corpus tile of a question tile that does not exist
@@ -525,7 +560,7 @@ def pack_corpus(corpus: DataFrame, cfg: TileConfig | None = None, dims: int = 64
     return rows.mapInArrow(pack, _TILE_SCHEMA)
 
 
-def _merged(cands: DataFrame, partitions: int) -> DataFrame:
+def _merged(cands: DataFrame, partitions: int, fused: bool = False) -> DataFrame:
     """Second merge level: candidates of a question from many scoring partitions meet in about sqrt(partitions)
     buckets, each of which keeps its top rows, before the final windows see them."""
     buckets = max(2, math.isqrt(partitions))
@@ -542,10 +577,14 @@ def _merged(cands: DataFrame, partitions: int) -> DataFrame:
             number = number * len(key.dictionary) + key.indices.to_numpy()
             ids = t["product_id"].to_numpy()
             keep = np.zeros(len(t), bool)
-            for sim, size in (("text_sim", "n_text"), ("image_sim", "n_image")):
+            scores = [(t["text_sim"], "n_text"), (t["image_sim"], "n_image")]
+            if fused:
+                both = _fused(*(t[c].to_numpy() for c in ("alpha", "text_sim", "image_sim", "n_image")))
+                scores = [(pa.array(both, from_pandas=True), "n_text")]
+            for score, size in scores:
                 n = np.zeros(len(q) * len(key.dictionary), np.int64)
                 n[number] = t[size].to_numpy()  # every row of a question has the same
-                keep |= _rank_keep(number, ids, t[sim].fill_null(-np.inf).to_numpy(), n)
+                keep |= _rank_keep(number, ids, score.fill_null(-np.inf).to_numpy(), n)
             return t.filter(pa.array(keep))
 
         for rb in batches:
@@ -710,7 +749,7 @@ def tile_pairs(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None =
 
 
 def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None,
-                      qstats: SideStats | None = None, cstats: SideStats | None = None) -> DataFrame:
+                      qstats: SideStats | None = None, cstats: SideStats | None = None, fused: bool = False) -> DataFrame:
     """Per question, its top-``n_text`` rows by text and top-``n_image`` rows by image within
     each partition of tile pairs (the global pools are a final ``row_number`` away).
 
@@ -720,11 +759,12 @@ def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig |
     Output (:data:`CANDIDATE_SCHEMA`) carries both exact similarities of every row, so a
     row found in one space still has its true score in the other; ``k``/``alpha`` pass
     through so later steps need no join back to the question table.
+    ``fused``: instead, its top-``n_text`` rows by the fused score (of rows without an image similarity, the least ids last).
     """
     cfg = cfg or TileConfig()
     cstats = cstats or (packed_stats(corpus) if "mat_t" in corpus.columns else side_stats(corpus, "tv", "iv"))
     pairs, mode = tile_pairs(questions, corpus, cfg, qstats, cstats)
     score = _score_cogrouped if mode == "replicate" else _score_batches
-    cands = pairs.mapInArrow(score, CANDIDATE_SCHEMA)
+    cands = pairs.mapInArrow(partial(score, fused=fused), CANDIDATE_SCHEMA)
     tiles = math.ceil(cstats.rows * cstats.row_bytes / cfg.corpus_tile_bytes)
-    return _merged(cands, tiles) if mode != "corpus" and tiles > cfg.merge_above else cands
+    return _merged(cands, tiles, fused) if mode != "corpus" and tiles > cfg.merge_above else cands

@@ -2,9 +2,9 @@
 
 The application fuses only what its two pools hold. A row outside both pools of a question scores at most
 ``alpha * t + (1 - alpha) * i``, t and i being the least similarities of the pools (the threshold algorithm's bound, for
-pools that are not the whole corpus). If the k-th fused score of the pool is greater than that, the pool's top k is the true one. The pools of the
-other questions, and only these, are searched again with ``growth`` times the rows, until every question is certified or
-its pools hold the whole corpus.
+pools that are not the whole corpus). If the k-th fused score of the pool is greater than that, the pool's top k is the true one. The
+other questions, and only these, are searched again by the fused score itself, which is one product of vectors that hold both
+spaces: k rows a question are kept, whatever pools would have been needed to certify it.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.knn import SideStats, TileConfig, packed_stats, side_stats
-from ..operators.rank import fuse, ranked
+from ..operators.knn import SideStats, TileConfig, hybrid_candidates, packed_stats, side_stats
+from ..operators.rank import fuse, ranked, top_k
 from ..session import scratch_table
 from .retrieval import candidate_pools, question_stats, route_questions
 
@@ -52,28 +52,29 @@ def _certain(top: DataFrame) -> DataFrame:
 def certified_topk(questions: DataFrame, corpus: DataFrame, cfg: TileConfig | None = None, growth: int = 4, cstats: SideStats | None = None) -> DataFrame:
     """``query_id, rank, product_id, text_sim, image_sim, score, rounds, pool_is_exact`` of the true fused top k.
 
-    rounds: searches that the question took. pool_is_exact: whether the first pools (k * multiplier) had given the same rows.
-    Every round is written, so that a lost executor repeats no search.
+    rounds: searches that the question took, two at most. pool_is_exact: whether the first pools (k * multiplier) had given the same rows.
+    Both rounds are written, so that a lost executor repeats no search. growth: not used any more, as pools are not enlarged.
     """
     spark = questions.sparkSession
+    cfg = cfg or TileConfig()
     routed = scratch_table(spark, route_questions(questions), "certified-routed")
     cstats = cstats or (packed_stats(corpus) if "mat_t" in corpus.columns else side_stats(corpus, "tv", "iv"))
-    left, first, done, turn = routed, None, None, 0
-    while True:
-        turn += 1
-        qstats, _, pool_rows = question_stats(left)
-        if not qstats.rows:
-            break
-        pool = candidate_pools(left, corpus, replace(cfg or TileConfig(), pool_hint=pool_rows), qstats, cstats)
-        top = scratch_table(spark, bounded(pool).where(F.col("rank") <= F.col("k")).select(
-            "query_id", "rank", "product_id", "text_sim", "image_sim", "score", "unseen", "k", "n_image"), f"certified-{turn}")
-        sure = scratch_table(spark, _certain(top), f"certain-{turn}")
-        first = top if first is None else first
-        here = top.join(sure.where("certain"), "query_id", "left_semi").withColumn("rounds", F.lit(turn))
-        done = here if done is None else done.unionByName(here)
+    columns = ["query_id", "rank", "product_id", "text_sim", "image_sim", "score"]
+    first = done = None
+    qstats, _, pool_rows = question_stats(routed)
+    if qstats.rows:
+        pool = candidate_pools(routed, corpus, replace(cfg, pool_hint=pool_rows), qstats, cstats)
+        first = scratch_table(spark, bounded(pool).where(F.col("rank") <= F.col("k")).select(*columns, "unseen", "k", "n_image"), "certified-pools")
+        sure = scratch_table(spark, _certain(first), "certain")
+        done = first.join(sure.where("certain"), "query_id", "left_semi").select(*columns, F.lit(1).alias("rounds"))
         # questions without any row (an empty corpus) are not searched again
-        left = scratch_table(spark, left.join(sure.where("NOT certain"), "query_id", "left_semi").withColumns(
-            {"n_text": (F.col("n_text") * growth).cast("int"), "n_image": (F.col("n_image") * growth).cast("int")}), f"certified-left-{turn}")
+        left = scratch_table(spark, routed.join(sure.where("NOT certain"), "query_id", "left_semi").withColumn("n_text", F.col("k")), "certified-left")
+        qstats, k_max, _ = question_stats(left)
+        if qstats.rows:
+            # one score a question: no more than k rows of it leave a task
+            found = hybrid_candidates(left, corpus, replace(cfg, pool_hint=k_max), qstats, cstats, fused=True)
+            second = scratch_table(spark, top_k(fuse(found), k_max).select(*columns), "certified-fused")
+            done = done.unionByName(second.withColumn("rounds", F.lit(2)))
     if done is None:
         return spark.createDataFrame([], "query_id long, rank int, product_id long, text_sim double, image_sim double, score double, rounds int, pool_is_exact boolean")
     old = first.select("query_id", "rank", F.col("product_id").alias("was"))

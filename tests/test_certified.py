@@ -58,3 +58,25 @@ def test_no_corpus_and_no_questions(spark):
     _, _, _, corpus, questions = setup(spark, 3)
     assert certified_topk(questions, corpus.limit(0)).collect() == []
     assert certified_topk(questions.limit(0), corpus).collect() == []
+
+
+def test_no_pool_is_enlarged(spark, monkeypatch):
+    """Questions that their pools don't certify are searched once more, for k rows each: nothing that is held or written grows with the pools
+    that a certificate would need."""
+    from shoprank.operators import knn
+    from shoprank.plans import certified
+
+    asked = []
+    search = certified.hybrid_candidates
+    monkeypatch.setattr(certified, "hybrid_candidates", lambda q, *a, **b: asked.append(q.agg({"n_text": "max"}).first()[0]) or search(q, *a, **b))
+    pooled = []
+    pools = certified.candidate_pools
+    monkeypatch.setattr(certified, "candidate_pools", lambda q, *a, **b: pooled.append(q.count()) or pools(q, *a, **b))
+    monkeypatch.setattr(knn, "_STEP", 16)
+    c, q, rows, corpus, questions = setup(spark, 4, rows=400)
+    got = certified_topk(questions.where("k < 10"), corpus.repartition(3), knn.TileConfig(corpus_tile_bytes=3000)).collect()
+    assert len(pooled) == 1 and asked == [7]
+    assert {r.rounds for r in got} == {1, 2}
+    for row in rows:
+        if row[2] < 10:
+            assert [p for _, p in sorted((r["rank"], r.product_id) for r in got if r.query_id == row[0])] == plain(c, q, row)[0]
