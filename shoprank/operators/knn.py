@@ -48,7 +48,7 @@ _SLACK = 1e-9
 # Questions and corpus rows of one matrix product: its float32 cells stay in a core's cache.
 _BLOCK, _STEP = 256, 2048
 # Cells that are held at once for the exact step of a block of questions.
-_HELD_CELLS = 4_000_000
+_HELD_CELLS = 1_000_000
 # Pairs whose exact similarity is computed at once.
 _EXACT_PAIRS = 1 << 16
 # Decoded question tiles that a worker may hold (bytes).
@@ -286,7 +286,7 @@ class _Joined:
         return len(self.unit)
 
 
-def _near(q: _Matrix | _Joined, c: _Matrix | _Joined, a: int, b: int, n_rows: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, ...] | None:
+def _near(q: _Matrix | _Joined, c: _Matrix | _Joined | _Classes, a: int, b: int, n_rows: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, ...] | None:
     """(row, column, product) of the pairs of the questions ``a`` to ``b`` with all of ``c`` that can be among a question's n best.
 
     One pass of matrix products. ``floor``: a lower bound of each question's n-th best, -inf if none is known. It rises when
@@ -326,6 +326,53 @@ def _near(q: _Matrix | _Joined, c: _Matrix | _Joined, a: int, b: int, n_rows: np
     return held[0]
 
 
+class _Classes:
+    """Rows of a corpus tile whose vectors are equal score alike, so a question meets one of each class; the least ids stand first.
+
+    ``rep``: a row of each class; ``unit``: its unit vector(s); ``rows``: all rows by class, then id; ``start``, ``count``: where in it.
+    """
+
+    def __init__(self, whole: _Matrix | _Joined, dim: int, rep: np.ndarray, number: np.ndarray, ids: np.ndarray):
+        self.dim, self.rep, self.unit = dim, rep, whole.unit[rep]
+        self.rows = np.lexsort((ids, number))
+        self.count = np.bincount(number, minlength=len(rep))
+        self.start = np.cumsum(self.count) - self.count
+
+    def __len__(self) -> int:
+        return len(self.rep)
+
+    @staticmethod
+    def of(whole: _Matrix | _Joined, parts: list[_Matrix], ids: np.ndarray) -> _Classes | None:
+        """None if less than half of the rows are alike. ``parts``: what must be equal."""
+        rng = np.random.default_rng(3)
+        key = np.zeros(len(ids), np.uint64)
+        for x in (x for m in parts for x in m.by_dim):
+            key = (key + x.view(np.uint32)) * np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
+            key ^= key >> np.uint64(29)
+        _, rep, number = np.unique(key, return_index=True, return_inverse=True)
+        if 2 * len(rep) > len(ids) or any((x[rep][number] != x).any() for m in parts for x in m.by_dim):
+            return None
+        return _Classes(whole, whole.dim, rep, number, ids)
+
+    def spread(self, r: np.ndarray, cls: np.ndarray, score: np.ndarray, n_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(question row, corpus row) of classes by score until a question has its n, those that tie with the last one too; of each
+        class the least ids. None: too many to hold for several questions."""
+        order = np.lexsort((-score, r))
+        r, cls, score = r[order], cls[order], score[order]
+        count = np.minimum(self.count[cls], n_rows[r])
+        # rows of the same question in classes of greater score
+        new_r = np.diff(r, prepend=-1) != 0
+        new = new_r | (np.diff(score, prepend=np.inf) != 0)
+        total = np.cumsum(count) - count
+        before = (total[new] - total[new_r][np.cumsum(new_r)[new] - 1])[np.cumsum(new) - 1]
+        keep = before < n_rows[r]
+        r, cls, count = r[keep], cls[keep], np.minimum(count, n_rows[r] - before)[keep]
+        if count.sum() > _HELD_CELLS and len(n_rows) > 1:
+            return None
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(r, count), self.rows[np.repeat(self.start[cls], count) + place]
+
+
 class _Search:
     """One question tile and what has been found for it in this partition: per question, rows that are in its top-n by text or
     by image (``fused``: by fused score) among all corpus tiles met (exact, since a global top-n row is a top-n row of any subset
@@ -354,16 +401,23 @@ class _Search:
             return
         if self.t.dim != ct.dim or (self.i is not None and ci is not None and self.i.dim != ci.dim):
             raise ValueError("question and corpus vectors differ in dimension")
-        spaces = [(self.t, ct)]
+        two = self.i is not None and ci is not None
         if self.fused:
-            two = self.i is not None and ci is not None
             weights = np.where(self.ns_i > 0, self.alphas, 1.0), np.where(self.ns_i > 0, 1.0 - self.alphas, 0.0)
-            spaces = [(_Joined(self.t, self.i if two else None, *weights), _Joined(ct, ci if two else None))]
-        elif self.i is not None and ci is not None:
-            spaces.append((self.i, ci))
+            both = _Joined(ct, ci if two else None)
+            spaces = [(_Joined(self.t, self.i if two else None, *weights), _Classes.of(both, [ct, ci] if two else [ct], c_ids) or both)]
+        else:
+            spaces = [(q, _Classes.of(c, [c], c_ids) or c) for q, c in [(self.t, ct), (self.i, ci)][:1 + two]]
         for a in range(0, len(self.ids), self.step):
             self._block(a, min(len(self.ids), a + self.step), c_ids, ct, ci, spaces)
 
+    def _similarities(self, r: np.ndarray, j: np.ndarray, ct: _Matrix, ci: _Matrix | None) -> tuple[np.ndarray, np.ndarray]:
+        """Exact text and image similarity of pairs, NaN where the image space is not searched."""
+        ts = _cosines(self.t, ct, r, j)
+        if self.i is None or ci is None:
+            return ts, np.full(r.size, np.nan)
+        return ts, np.where(self.ns_i[r] > 0, _cosines(self.i, ci, r, j), np.nan)
+
     def _scores(self, r: np.ndarray, ts: np.ndarray, im: np.ndarray) -> list[np.ndarray]:
         """What rows (of the questions ``r``) are ranked by, one score for each of ``floors``."""
         if self.fused:
@@ -396,7 +450,17 @@ class _Search:
         if any(x is None for x in near):
             mid = (a + b) // 2
             return self._best(a, mid, c_ids, ct, ci, spaces) + self._best(mid, b, c_ids, ct, ci, spaces)
-        pairs = [r * len(c_ids) + j for r, j, _ in near]
+        pairs = []
+        for (r, j, _), at in zip(near, [at for at in range(len(spaces)) if sizes[at].any()]):
+            c = spaces[at][1]
+            if isinstance(c, _Classes):
+                score = self._scores(a + r, *self._similarities(a + r, c.rep[j], ct, ci))[at]
+                met = c.spread(r, j, score, sizes[at])
+                if met is None:
+                    mid = (a + b) // 2
+                    return self._best(a, mid, c_ids, ct, ci, spaces) + self._best(mid, b, c_ids, ct, ci, spaces)
+                r, j = met
+            pairs.append(r * len(c_ids) + j)
         if self.fused and ci is None:
             # questions that rank by both spaces have no score here: the least ids fill what is left
             least = np.argsort(c_ids, kind="stable")[:int(sizes[0].max(initial=0))]
@@ -405,11 +469,8 @@ class _Search:
             return []
         key = np.sort(np.concatenate(pairs))
         r, j = np.divmod(key[np.diff(key, prepend=-1) != 0], len(c_ids))
-        ids, ts = c_ids[j], _cosines(self.t, ct, a + r, j)
-        if self.i is not None and ci is not None:
-            im = np.where(sizes[1][r] > 0, _cosines(self.i, ci, a + r, j), np.nan)
-        else:
-            im = np.full(r.size, np.nan)
+        ids = c_ids[j]
+        ts, im = self._similarities(a + r, j, ct, ci)
         keep = np.any([_rank_keep(r, ids, score, n) for score, n, _ in zip(self._scores(a + r, ts, im), sizes, spaces)], axis=0)
         return [((a + r[keep]).astype(np.int32), ids[keep], ts[keep], im[keep])]
 

@@ -108,3 +108,21 @@ def test_question_texts_are_not_broadcast(spark, monkeypatch, tmp_path):
     found = spark.createDataFrame([(1, 1, 1)], "query_id long, rank int, product_id long")
     plan = queries.rag_requests(texts, lambda asked: found, found)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_equal_vectors_are_scored_once(monkeypatch):
+    """A space with few different vectors (store names) ties for most of the corpus: the rows that tie are neither scored nor held one by one."""
+    rng = np.random.default_rng(8)
+    stores, order = np.eye(5), rng.permutation(6000)
+    t, i = rng.normal(size=(6000, 4)), stores[rng.integers(0, 5, 6000)]
+    qt, qi = rng.normal(size=(50, 4)), stores[rng.integers(0, 5, 50)]
+    pairs_scored, exact = [], knn._cosines
+    monkeypatch.setattr(knn, "_cosines", lambda q, c, r, j: pairs_scored.append(r.size) or exact(q, c, r, j))
+    corpus = [tile(order[at:at + 3000], t[order[at:at + 3000]], i[order[at:at + 3000]], 0) for at in (0, 3000)]
+    got = found(knn._score_batches(pairs(tile(np.arange(50), qt, qi, 20), corpus)))
+    assert sum(pairs_scored) < 50 * 2 * 2 * 60  # with 1,200 rows of each store: above 100,000
+    t, qt = t.astype(np.float32).astype(float), qt.astype(np.float32).astype(float)
+    for x in range(50):
+        by_text = np.lexsort((np.arange(6000), -(t @ qt[x]) / np.sqrt((t * t).sum(1))))[:20]
+        by_store = np.lexsort((np.arange(6000), -(i @ qi[x])))[:20]
+        assert {p for a, p in got if a == x} == set(by_text.tolist()) | set(by_store.tolist())
