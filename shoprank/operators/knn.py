@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, update_wrapper
 
 import numpy as np
 import pyarrow as pa
@@ -826,6 +826,8 @@ def hybrid_candidates(questions: DataFrame, corpus: DataFrame, cfg: TileConfig |
     cstats = cstats or (packed_stats(corpus) if "mat_t" in corpus.columns else side_stats(corpus, "tv", "iv"))
     pairs, mode = tile_pairs(questions, corpus, cfg, qstats, cstats)
     score = _score_cogrouped if mode == "replicate" else _score_batches
-    cands = pairs.mapInArrow(partial(score, fused=fused), CANDIDATE_SCHEMA)
+    if fused:
+        score = update_wrapper(partial(score, fused=True), score)
+    cands = pairs.mapInArrow(score, CANDIDATE_SCHEMA)
     tiles = math.ceil(cstats.rows * cstats.row_bytes / cfg.corpus_tile_bytes)
     return _merged(cands, tiles, fused) if mode != "corpus" and tiles > cfg.merge_above else cands
