@@ -126,3 +126,44 @@ def test_equal_vectors_are_scored_once(monkeypatch):
         by_text = np.lexsort((np.arange(6000), -(t @ qt[x]) / np.sqrt((t * t).sum(1))))[:20]
         by_store = np.lexsort((np.arange(6000), -(i @ qi[x])))[:20]
         assert {p for a, p in got if a == x} == set(by_text.tolist()) | set(by_store.tolist())
+
+
+def test_a_tile_is_merged_a_few_times_not_once_a_corpus_tile(monkeypatch):
+    """What is held for a block of questions was sorted again with every corpus tile, however little the tile added."""
+    rng = np.random.default_rng(4)
+    q = tile(np.arange(100), rng.normal(size=(100, 6)), rng.normal(size=(100, 5)), 30)
+    t, i = rng.normal(size=(8000, 6)), rng.normal(size=(8000, 5))
+    corpus = [tile(np.arange(a, a + 200), t[a:a + 200], i[a:a + 200], 0) for a in range(0, 8000, 200)]
+    ranked, exact = [], knn._nth_best
+    monkeypatch.setattr(knn, "_nth_best", lambda rows, score, n: ranked.append(rows.size) or exact(rows, score, n))
+    got = found(knn._score_batches(pairs(q, corpus)))
+    assert sum(n > 100 * 30 for n in ranked) < 60  # two scores, merged and bounded with each of 40 tiles: above 160
+    for x in range(100):
+        want = set()
+        for m, v in ((t, q["mat_t"][0].as_py()), (i, q["mat_i"][0].as_py())):
+            m = m.astype(np.float32).astype(float)
+            v = np.frombuffer(v, "<f4").reshape(100, -1)[x].astype(float)
+            want |= set(np.argsort(-(m @ v) / np.sqrt((m * m).sum(1)))[:30].tolist())
+        assert {p for a, p in got if a == x} == want
+
+
+def test_copies_of_tiles_are_handed_on_one_by_one(spark):
+    """The replicate pairing copied a tile by explode, which made all copies (217 of up to 32 MB at 615,384 vectors) before the first left the task."""
+    v = "array(cast(id AS float), 1.0F)"
+    asked = spark.range(200).selectExpr("'g' AS group_key", "id AS query_id", "3 AS n_text", "3 AS n_image", "1 AS k", "0.5D AS alpha", f"{v} AS qt", f"{v} AS qi")
+    corpus = spark.range(300).selectExpr("'g' AS group_key", "id AS product_id", f"{v} AS tv", f"{v} AS iv")
+    made, mode = knn.tile_pairs(asked, corpus, knn.TileConfig(corpus_tile_bytes=2000, query_tile_rows=20, broadcast_bytes=0),
+                                knn.SideStats(200, 2, 2), knn.SideStats(300, 2, 2))
+    assert mode == "replicate" and "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    met = made.select("q_tile", "c_tile", "side").collect()
+    tiles = {x.c_tile for x in met if x.side == 1}
+    assert len([x for x in met if x.side == 1]) == len({(x.q_tile, x.c_tile) for x in met if x.side == 1}) == len(tiles) * len({x.q_tile for x in met if x.side == 0})
+
+
+def test_the_corpus_is_copied_no_more_than_cores_and_memory_need():
+    """A question tile is scored in one partition once there are two a core: further tiles would only copy the corpus (217 times at 615,384 vectors)."""
+    cfg, q, c = knn.TileConfig(), 615_384, 615_384 * 248
+    assert knn._replicate_plan(q, c, c, 5, 62, 600, cfg, 12)[0] == 62
+    assert knn._replicate_plan(q, c, c, 5, 1, 600, cfg, 12)[0] == 24
+    # few questions: a corpus of many tiles is divided among the cores, not copied
+    assert knn._replicate_plan(1000, 248_000, 1 << 40, 32_768, 1, 600, cfg, 12)[0] == 1
