@@ -6,7 +6,9 @@ if 100 * |A n B| >= 80 * |A u B|, i.e. 9 |A n B| >= 4 (|A| + |B|).
 1. Candidates. Tokens are ordered: sampled ones (a fixed share of the hash range) by the number of classes that hold
    them, then the rest by hash, last of all hot ones (those that HOT_SHARE of the classes hold) by hash. Two linked sets share a token among the first floor(|A| / 5) + 1 of either, whatever
    the order; rare tokens first, a class whose first tokens are its own alone needs no further look. The others are
-   tied to the least class of each first token's holders; ties make blocks that no link crosses.
+   tied to the least class of each first token's holders; ties make blocks that no link crosses. Lines that many documents
+   share (notices, licenses) tie short ones that have little else among their sampled tokens, and such blocks grow faster
+   than the table; in blocks of more than FINER classes all tokens are counted, and ties by the first ones make finer blocks.
 2. Join. In a block, tokens are hashed into GROUPS groups; a class is the point of its group counts. An R-tree over the
    points gives, for a class, an upper bound of the overlap with everything below a node: the sum over groups of the
    smaller of its count and the node's largest. Nodes whose bound is under the overlap needed for their smallest set are
@@ -49,6 +51,8 @@ HOT_BATCH = 1_000_000
 BLOCK = 1 << 20
 #: Most classes that are joined in one task.
 CHUNK = 4000
+#: Blocks of more classes are made anew from counts of all their tokens.
+FINER = 1000
 #: Bytes of packed hashes that one range or bucket of blocks is meant to hold.
 RANGE_BYTES = 12 << 20
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
@@ -228,18 +232,20 @@ def _emitted(docs: DataFrame, k: int, ranges: int, hot: np.ndarray) -> DataFrame
                 held.append((fp[row[keep]], n[row[keep]], flat[keep]))
                 size += len(held[-1][0])
                 if size > 1 << 19:
-                    yield deal(held)
+                    yield _dealt(held, ranges)
                     held, size = [], 0
             if held:
-                yield deal(held)
-
-    def deal(held: list[tuple]) -> pa.RecordBatch:
-        fp, n, token = (np.concatenate(x) for x in zip(*held))
-        return _pack([(p, fp[at], n[at], token[at], np.zeros(0, np.int32)) for p, at in _by_range(ranges, token)])
+                yield _dealt(held, ranges)
 
     return docs.mapInArrow(tidied(run), _PACKED)
 
 
+def _dealt(held: list[tuple], ranges: int) -> pa.RecordBatch:
+    """Arrays (fp, n, token) as a row for each hash range."""
+    fp, n, token = (np.concatenate(x) for x in zip(*held))
+    return _pack([(p, fp[at], n[at], token[at], np.zeros(0, np.int32)) for p, at in _by_range(ranges, token)])
+
+
 def _counted(emitted: DataFrame, ranges: int) -> DataFrame:
     """By range of class numbers: (class, size, token, classes that hold it), token 0 and df the count for those held by one."""
 
@@ -263,13 +269,13 @@ def _counted(emitted: DataFrame, ranges: int) -> DataFrame:
     return emitted.groupBy("part").applyInArrow(run, _PACKED)
 
 
-def _first_tokens(counted: DataFrame, ranges: int) -> DataFrame:
-    """By hash range: (class, token) of the first tokens that another class holds too."""
+def _first_tokens(counted: DataFrame, ranges: int, all_counted: bool = False) -> DataFrame:
+    """By hash range: (class, token) of the first tokens that another class holds too. all_counted: none is known by its hash only."""
 
     def run(t: pa.Table) -> pa.Table:
         fp, n, token, df = _unpack(t)
         alone = token == 0
-        late = ~alone & (token >= _CUT)
+        late = ~alone & (token >= _CUT) & (not all_counted)
         order = np.lexsort((token, np.where(late, 0, df), late, ~alone, fp))
         fp, n, token, df, alone = fp[order], n[order], token[order], df[order], alone[order]
         head = np.ones(len(fp), bool)
@@ -301,6 +307,35 @@ def _ties(first: DataFrame) -> DataFrame:
     return first.groupBy("part").applyInArrow(run, "fp long, hub long")
 
 
+def _block_tokens(sets: DataFrame, ranges: int) -> DataFrame:
+    """All tokens of classes (block, fp, set), packed by hash range; equal tokens of different blocks differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, fp, held, size = *(np.asarray(batch.column(i)) for i in range(2)), [], 0
+            for i in range(len(batch)):
+                s = np.frombuffer(batch.column(2)[i].as_py(), "<u8")
+                held.append((np.full(len(s), fp[i]), np.full(len(s), len(s)), np.maximum(mix64(s ^ mix64(block[i:i + 1].astype(np.uint64))), np.uint64(1))))
+                size += len(s)
+                if size > 1 << 19:
+                    yield _dealt(held, ranges)
+                    held, size = [], 0
+            if held:
+                yield _dealt(held, ranges)
+
+    return sets.select("block", "fp", "set").mapInArrow(tidied(run), _PACKED)
+
+
+def _finer_blocks(sets: DataFrame, tokens: int) -> DataFrame:
+    """``sets`` (block, fp, set) of classes that may link, by all their tokens, with the block they are left in and its size."""
+    ranges = max(8, int(tokens * 20 / RANGE_BYTES) + 1)
+    ties = _ties(_first_tokens(_counted(_block_tokens(sets, ranges), ranges), ranges, all_counted=True))
+    finer = components(ties, "fp", "hub").select(F.col("node").alias("fp"), F.col("root").alias("block"))
+    finer = written(sets.sparkSession, finer, "jaccard-finer")
+    sizes = finer.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    return sets.select("fp", "set").join(finer.join(sizes, "block"), "fp")
+
+
 # ---- joining ------------------------------------------------------------------------------------------------
 
 class CountTree:
@@ -446,19 +481,23 @@ def classes_with_links(docs: DataFrame, sig: DataFrame, reported: DataFrame, k:
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     one = sig.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     placed = blocks.join(sizes, "block").join(one, "fp")
-    total = placed.agg(F.sum("n").alias("n"), F.max("size").alias("most")).first()
+    total = placed.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("size") > FINER, F.col("n"))).alias("large")).first()
     if not total.n:
         return None
     buckets = max(8, int(total.n * 8 / RANGE_BYTES) + 1)
+    sets = written(spark, _sets_of(docs, placed.select("doc_id", "fp", "block", "size"), k), "jaccard-sets")
+    if total.large:
+        finer = _finer_blocks(sets.where(F.col("size") > FINER), total.large)
+        sets = sets.where(F.col("size") <= FINER).unionByName(written(spark, finer, "jaccard-finer-sets"))
+    most = sets.agg(F.max("size")).first()[0]
     big = F.col("size") > CHUNK
     chunks = F.ceil(F.col("size") / F.lit(CHUNK))
-    placed = placed.select(
-        "doc_id", "fp", "block", big.alias("big"), chunks.cast("int").alias("chunks"), F.col("fp").alias("seen"),
+    sets = sets.select(
+        "fp", "set", "block", big.alias("big"), chunks.cast("int").alias("chunks"), F.col("fp").alias("seen"),
         F.when(big, F.pmod(F.xxhash64("fp"), chunks)).otherwise(-1).cast("int").alias("chunk"),
         F.when(big, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(buckets))).alias("bucket"))
-    sets = written(spark, _sets_of(docs, placed, k), "jaccard-sets")
     ties = written(spark, _joined(sets, ["bucket", "chunk"]), "jaccard-ties")
-    if total.most <= CHUNK:
+    if most is None or most <= CHUNK:
         return ties.select(F.col("fp").alias("node"), F.col("tie").alias("root"))
     # cut blocks: first one class of each chunk's component against those of the other chunks
     large = sets.where("big")

@@ -74,6 +74,25 @@ def test_jaccard_cut_blocks(spark, monkeypatch):
     assert got == jaccard_components([r[:2] for r in rows])
 
 
+def test_jaccard_common_line(spark, monkeypatch):
+    """A line that many short documents share ties them where only sampled tokens are counted; blocks made from all tokens don't hold
+    them together, and no link is lost."""
+    line = " ".join(f"line{j}" for j in range(12))
+    rows = [(i, f"{line} " + " ".join(f"w{i}x{j}" for j in range(9))) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(0, 120, 10)] + [(None, rows[3][1] + " more"), (400, line), (401, line + " more")]
+    largest, joined = [], jaccard._joined
+
+    def watched(df, keys):
+        largest.append(max((r["count"] for r in df.groupBy("block").count().collect()), default=0))
+        return joined(df, keys)
+
+    monkeypatch.setattr(jaccard, "_joined", watched)
+    monkeypatch.setattr(jaccard, "FINER", 5, raising=False)
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == jaccard_components(rows)
+    assert max(largest) <= 5
+
+
 def test_jaccard_hot_tokens(spark, monkeypatch):
     """A group of near copies and a passage that most classes hold, with their tokens kept out of the exchange."""
     rnd = random.Random(8)
