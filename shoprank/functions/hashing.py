@@ -46,7 +46,8 @@ def dense_counts(buckets: DataFrame, key: str, dim: int = HASH_DIM, all_keys: Da
     vector when ``all_keys`` lists them. One group = one text's <= dim buckets."""
     per = buckets.groupBy(key).agg(F.collect_list("bucket").alias("b"), F.collect_list("tf").alias("c"))
     if all_keys is not None:
-        per = all_keys.select(key).join(per, key, "left")
+        # the planner takes the buckets of all texts for no larger than the texts' well packed file: never broadcast
+        per = all_keys.select(key).hint("merge").join(per, key, "left")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

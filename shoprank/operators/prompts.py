@@ -49,9 +49,12 @@ def with_blocks(ranked: DataFrame) -> DataFrame:
 
 
 def blocks_of(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``ranked`` rows (``product_id``) with the ``block`` of their product, which is made once a product that occurs."""
-    wanted = catalog.join(ranked.select("product_id").distinct(), "product_id", "left_semi")
-    return ranked.join(with_blocks(wanted).select("product_id", "block"), "product_id")
+    """``ranked`` rows (``product_id``) with the ``block`` of their product, which is made once a product that occurs.
+
+    Ranked rows in a file are packed so well that tens of millions look small to the planner: never broadcast.
+    """
+    wanted = catalog.join(ranked.select("product_id").distinct().hint("merge"), "product_id", "left_semi")
+    return ranked.hint("merge").join(with_blocks(wanted).select("product_id", "block"), "product_id")
 
 
 def assemble_context(blocks: DataFrame) -> DataFrame:

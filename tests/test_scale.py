@@ -6,7 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from shoprank.functions.hashing import dense_counts, token_buckets
 from shoprank.operators import knn
+from shoprank.operators.prompts import blocks_of
+from shoprank.sources.vectors import valid_vectors
 
 
 def tile(ids, t, i, n, key="g"):
@@ -167,3 +170,41 @@ def test_the_corpus_is_copied_no_more_than_cores_and_memory_need():
     assert knn._replicate_plan(q, c, c, 5, 1, 600, cfg, 12)[0] == 24
     # few questions: a corpus of many tiles is divided among the cores, not copied
     assert knn._replicate_plan(1000, 248_000, 1 << 40, 32_768, 1, 600, cfg, 12)[0] == 1
+
+
+def shuffles_only(df):
+    """The plan, which must not send a whole table to the driver."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan, plan
+
+
+def test_text_vectors_are_not_broadcast(spark, tmp_path):
+    """Texts that repeat are a small file, whose size the planner takes for that of all their buckets."""
+    path = str(tmp_path / "texts")
+    rows = [(1, "red shoe"), (2, ""), (3, "red red"), (None, "lost"), (3, "shoe"), (4, None)]
+    spark.createDataFrame(rows, "id long, text string").write.parquet(path)
+    texts = spark.read.parquet(path)
+    df = dense_counts(token_buckets(texts, "id", "text", 16), "id", 16, texts)
+    shuffles_only(df)
+    got = sorted((r.id or 0, int(sum(r.vec))) for r in df.collect())
+    assert got == [(0, 0), (1, 2), (2, 0), (3, 3), (3, 3), (4, 0)]
+
+
+def test_found_rows_are_not_broadcast(spark, tmp_path):
+    """Rows found for many questions are packed well too; a product's block is still made once and reaches all of them."""
+    found, catalog = str(tmp_path / "found"), str(tmp_path / "catalog")
+    spark.range(3000).selectExpr("id DIV 3 AS query_id", "CAST(id % 3 + 1 AS int) AS rank", "id % 3 AS product_id").write.parquet(found)
+    spark.range(50).selectExpr("id AS product_id", "concat('t', id) AS title", "CAST(1 AS float) AS price").write.parquet(catalog)
+    df = blocks_of(spark.read.parquet(found), spark.read.parquet(catalog))
+    shuffles_only(df)
+    assert df.count() == 3000 and {r.block.split("\n")[0] for r in df.select("block").distinct().collect()} == {"Title: t0", "Title: t1", "Title: t2"}
+
+
+def test_product_ids_are_not_broadcast(spark, tmp_path):
+    """Every part's id, packed to next to nothing, only says which vectors have a product."""
+    spark.range(40).selectExpr("id + 5 AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    vec = "transform(sequence(1, 64), x -> CAST(x AS float))"
+    spark.range(10).selectExpr("nullif(id, 9) AS vec_id", f"{vec} AS embedding", "1 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = valid_vectors(spark, str(tmp_path))
+    shuffles_only(df)
+    assert sorted(r.vec_id for r in df.collect()) == [5, 6, 7, 8]
